@@ -45,17 +45,23 @@ def _type_ok(sv: Column, key: str, types: tuple[str, ...]) -> Column:
 
 
 def body_violation(body: Column, top: str, fields: dict[str, tuple[str, ...]]) -> Column:
-    """NULL when the body passes the strict check, else the reason."""
+    """NULL when the body passes the strict check, else the reason.
+
+    The parsed shape is bound once through a one-element ``transform`` (a lambda
+    variable), so the body is parsed a single time however many keys are checked;
+    a plain shared column would be inlined into every test by the optimizer."""
     first = F.regexp_extract(body, r"(?s)^\s*(.)", 1)
-    v = F.try_parse_json(body)
-    sv = F.schema_of_variant(v)
-    type_ok = F.lit(True)
-    for key, types in fields.items():
-        type_ok = type_ok & _type_ok(sv, key, types)
+
+    def judge(sv: Column) -> Column:
+        type_ok = F.lit(True)
+        for key, types in fields.items():
+            type_ok = type_ok & _type_ok(sv, key, types)
+        return F.when(sv.isNull(), F.lit("malformed_json")).when(~type_ok, F.lit("json_type_mismatch"))
+
+    shape = F.element_at(F.transform(F.array(F.schema_of_variant(F.try_parse_json(body))), judge), 1)
     return (F.when(body.isNull() | (F.trim(body) == ""), F.lit("empty_body"))
             .when(first != top, F.lit("unexpected_json_container"))
-            .when(v.isNull(), F.lit("malformed_json"))
-            .when(~type_ok, F.lit("json_type_mismatch")))
+            .otherwise(shape))
 
 
 def _reject_rows(df: DataFrame, reason: Column, item: Column, raw: Column, raw_bytes: Column | None = None

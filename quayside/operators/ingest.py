@@ -60,8 +60,9 @@ def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int =
     """Process one batch of trade-page responses. Returns the observed totals."""
     spark = store.spark
     dec = decode_agg_trades(responses)
-    batch = dec.good.withColumn("ym", year_month(F.col("trade_time"))) \
-                    .withColumn("_ord", F.struct("fetched_at", "page_pos"))
+    # decode once: the batch is checkpointed, every later step reads the staged copy
+    batch = cut_lineage(dec.good.withColumn("ym", year_month(F.col("trade_time")))
+                        .withColumn("_ord", F.struct("fetched_at", "page_pos")))
     res = insert_ignore(store.trades(), batch, TRADE_KEY, "_ord", group_col="symbol", prune_col="ym")
     new = res.inserted.drop("_ord", "fetched_at", "page_pos").withColumn("inserted_at", F.localtimestamp())
     staged = cut_lineage(new)                       # materialized before the target changes

@@ -60,14 +60,17 @@ def validate_spec(df: DataFrame, spec: TableSpec) -> DataFrame:
                     allowed=spec.allowed, key=spec.key)
 
 
-def threshold_report(checks: list[tuple[str, DataFrame, int]]) -> DataFrame:
+def threshold_report(checks: list[tuple[str, DataFrame, str, int]]) -> DataFrame:
     """``(check_name, actual, minimum, status)`` per check plus an ``ALL`` row whose
-    status is PASS only if every check passes. Each check is a one-row DataFrame with a
-    column ``actual``; the checks are evaluated once (the verdict is folded over the
-    collected check rows, whose number is the number of checks)."""
-    rows = [df.select(F.lit(name).alias("check_name"), F.col("actual").cast("bigint").alias("actual"),
+    status is PASS only if every check passes.
+
+    A check is ``(name, one_row_df, column, minimum)``. Several checks may read columns
+    of the same one-row aggregate: its exchange is planned once and reused, so each
+    source table is scanned once. The verdict is folded over the collected check rows,
+    whose number is the number of checks."""
+    rows = [df.select(F.lit(name).alias("check_name"), F.col(col).cast("bigint").alias("actual"),
                       F.lit(minimum).cast("bigint").alias("minimum"))
-            for name, df, minimum in checks]
+            for name, df, col, minimum in checks]
     allc = reduce(DataFrame.unionByName, rows).withColumn(
         "status", F.when(F.col("actual") >= F.col("minimum"), "PASS").otherwise("FAIL"))
     folded = allc.agg(F.collect_list(F.struct("check_name", "actual", "minimum", "status")).alias("rs"))

@@ -70,7 +70,7 @@ def trade_pages(spark: SparkSession, sf: str, trades: DataFrame | None = None) -
         ts_to_millis(F.col("trade_time")).alias("T"),
         F.col("is_buyer_maker").alias("m"), F.col("is_best_match").alias("M"))
     pages = t.groupBy("symbol", F.floor(F.col("agg_trade_id") / 1000).alias("page_no")).agg(
-        F.array_sort(F.collect_list(item)).alias("items"), F.max("trade_time").alias("fetched_at"))
+        F.sort_array(F.collect_list(item)).alias("items"), F.max("trade_time").alias("fetched_at"))
     return pages.select(*_resp(F.lit("aggTrades"), F.col("symbol"), _null('int'), F.lit(200), _null('string'), _null('string'),
                                F.to_json("items"), F.col("fetched_at")), "page_no")
 
@@ -99,7 +99,7 @@ def exchange_info(spark: SparkSession, sf: str, update: bool = False) -> DataFra
         nr = nr.select("r_regionkey", F.struct(F.lit(0).alias("o"), F.col("n_nationkey").alias("k"),
                                                entry(status).alias("s")).alias("it"))
         fetched = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    bodies = nr.groupBy("r_regionkey").agg(F.array_sort(F.collect_list("it")).alias("items"))
+    bodies = nr.groupBy("r_regionkey").agg(F.sort_array(F.collect_list("it")).alias("items"))
     body = F.to_json(F.struct(F.transform("items", lambda x: x["s"]).alias("symbols")))
     return bodies.select(*_resp(F.lit("exchangeInfo"), _null('string'), _null('int'), F.lit(200), _null('string'), _null('string'), body,
                                 fetched + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("r_regionkey"))))
@@ -111,16 +111,16 @@ def order_books(spark: SparkSession, sf: str, depth: int = 20) -> DataFrame:
     quantity, as text; price '' when ``l_partkey % 50 = 0``, a one-element entry when
     ``% 50 = 1`` (both must be dropped by the decoder)."""
     li = table(spark, sf, "lineitem")
-    p_txt = F.format_string("%.2f", "l_extendedprice")
-    q_txt = F.format_string("%.2f", "l_quantity")
+    p_txt = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    q_txt = F.col("l_quantity").cast("decimal(18,2)").cast("string")
     entry = (F.when(F.col("l_partkey") % 50 == 1, F.array(p_txt))
              .otherwise(F.array(F.when(F.col("l_partkey") % 50 == 0, F.lit("")).otherwise(p_txt), q_txt)))
     it = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
                   "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", entry.alias("e"))
     odd = F.col("l_linenumber") % 2 == 1
     g = li.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.when(odd, it))).alias("b"),
-        F.array_sort(F.collect_list(F.when(~odd, it))).alias("a"),
+        F.sort_array(F.collect_list(F.when(odd, it))).alias("b"),
+        F.sort_array(F.collect_list(F.when(~odd, it))).alias("a"),
         F.max("l_shipdate").alias("fetched_at"))
     body = F.to_json(F.struct((F.col("l_orderkey") * 10).alias("lastUpdateId"),
                               F.transform("b", lambda x: x["e"]).alias("bids"),
