@@ -59,7 +59,7 @@ def utf8_prefix_bytes(c, n: int) -> Column:
 
 def utf8_prefix_text(c, n: int) -> Column:
     """F08 for display: byte prefix decoded leniently (a cut character becomes U+FFFD)."""
-    return F.decode(utf8_prefix_bytes(c, n), "UTF-8")
+    return F.make_valid_utf8(utf8_prefix_bytes(c, n).cast("string"))
 
 
 def zero_if_null(c, zero) -> Column:

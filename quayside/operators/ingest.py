@@ -49,7 +49,11 @@ class TradeStore:
         return VersionedTable(self.spark, f"{self.root}/ingest_state")
 
     def trades(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.trades_path) if path_exists(self.spark, self.trades_path) else None
+        """The stored trades, read with the table schema (an empty first batch leaves a
+        folder without data files, which has no schema to infer)."""
+        if not path_exists(self.spark, self.trades_path):
+            return None
+        return self.spark.read.schema(TABLES["crypto.agg_trades"].ddl).parquet(self.trades_path)
 
     def marks(self) -> DataFrame:
         return self.state.read(STATE_SCHEMA)
