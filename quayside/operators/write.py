@@ -260,3 +260,28 @@ def observed_append(df: DataFrame, path: str, name: str, partition_by: tuple[str
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return obs.get
+
+
+# --------------------------------------------------------------------------- per-batch writes
+
+def write_batch_partition(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
+    """Idempotent append for streaming micro-batches: rows land under ``batch_id=N`` and a
+    re-run of batch N (at-least-once replay after a failure) replaces exactly that
+    partition instead of appending a second copy."""
+    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *partition_by).parquet(path))
+
+
+def write_header_detail(headers: DataFrame, levels: DataFrame, root: str, batch_id: int) -> None:
+    """Headers and their levels from one decoded input. Both carry the hashed
+    ``snapshot_id``; headers are written even when they have no levels."""
+    write_batch_partition(headers, f"{root}/orderbook_snapshots", batch_id)
+    write_batch_partition(levels, f"{root}/orderbook_levels", batch_id)
+
+
+# --------------------------------------------------------------------------- bucketed tables
+
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: tuple[str, ...]) -> None:
+    """A catalog table hash-bucketed and sorted on ``key``: two tables bucketed alike on the
+    join key join without a shuffle on either side."""
+    (df.write.mode("overwrite").option("path", path).bucketBy(buckets, *key).sortBy(*key).saveAsTable(name))

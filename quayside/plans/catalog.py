@@ -19,11 +19,13 @@ from ..operators.decode import decode_agg_trades, decode_order_book, decode_symb
 from ..operators.encode import event_messages
 from ..operators.ingest import TradeStore, ingest_trade_pages
 from ..operators.write import (VersionedTable, add_month, bootstrap, high_water_marks, insert_ignore,
-                               month_filter, replace_table, upsert, write_layout, write_shards, write_table)
+                               month_filter, replace_table, upsert, write_bucketed, write_layout, write_shards,
+                               write_table)
 from ..schemas import EVENT_MESSAGE_DDL, EVENT_MESSAGE_FIELDS, TABLES
 from ..session import scratch_dir
 from ..sources.tables import DRIVER_TABLES, read_json, read_shards, table
 from ..streaming.events import events_to_json_files, file_messages, run_available
+from ..streaming.market import start_book_stream
 from ..streaming.trades import response_stream, start_trade_stream
 from . import standins as si
 
@@ -173,17 +175,36 @@ def orderbook_levels(spark: SparkSession, sf: str) -> DataFrame:
                                                       "price", "quantity")
 
 
+BOOK_BUCKETS = 16
+
+
 def book_with_header(spark: SparkSession, sf: str) -> DataFrame:
-    """Levels joined to their snapshot header on ``snapshot_id`` (stored tables)."""
+    """Levels joined to their snapshot header on ``snapshot_id``. Both tables are stored
+    bucketed on ``snapshot_id`` with the same bucket count, so the join reads matching
+    buckets side by side: no shuffle of either table."""
     root = scratch_dir(spark, "book")
+    db = "q" + root.rsplit("-", 1)[-1] + "_book"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}/db'")
     b = _book(spark, sf, BOOK_DEPTH)
-    write_layout(b.headers, f"{root}/headers", sort_by=("snapshot_id",))
-    write_layout(b.levels, f"{root}/levels", sort_by=("snapshot_id", "side", "level_index"))
-    h, lv = spark.read.parquet(f"{root}/headers"), spark.read.parquet(f"{root}/levels")
-    j = lv.drop("symbol", "last_update_id").join(h, on="snapshot_id", how="inner")
+    write_bucketed(b.headers, f"{db}.snapshots", f"{root}/snapshots", BOOK_BUCKETS, ("snapshot_id",))
+    write_bucketed(b.levels.drop("symbol", "last_update_id"), f"{db}.levels", f"{root}/levels", BOOK_BUCKETS,
+                   ("snapshot_id",))
+    j = spark.table(f"{db}.levels").join(spark.table(f"{db}.snapshots"), on="snapshot_id", how="inner")
     return j.select("symbol", "last_update_id", "depth_level", "side", "level_index", "price", "quantity")
 
 
+def stream_books(spark: SparkSession, sf: str) -> DataFrame:
+    """T04 + K10 in a stream: book responses arrive as files; every micro-batch writes
+    snapshot headers and levels; the levels are read back with their header."""
+    src, ck, root = (scratch_dir(spark, n) for n in ("books-src", "books-ck", "books-store"))
+    si.order_books(spark, sf, BOOK_DEPTH).repartition(4).write.json(src)
+    q = start_book_stream(root, response_stream(spark, src, max_files_per_trigger=2), ck,
+                          trigger={"availableNow": True})
+    run_available(q)
+    lv = spark.read.parquet(f"{root}/orderbook_levels").drop("batch_id")
+    return lv.select("symbol", "last_update_id", "side", "level_index", "price", "quantity")
+
+
 # --------------------------------------------------------------------------- quality
 
 def quality_report(spark: SparkSession, sf: str) -> DataFrame:

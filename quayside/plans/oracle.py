@@ -261,6 +261,8 @@ FROM ({TRADES}) WHERE agg_trade_id % 97 <> 0 GROUP BY symbol"""
 
 SQL["stream_trades"] = SQL["decode_agg_trades"]
 
+SQL["stream_books"] = SQL["orderbook_levels"]
+
 SQL["ticker_append"] = f"SELECT * FROM ({DECODED_TICKER}) UNION ALL SELECT * FROM ({DECODED_TICKER})"
 
 SQL["ticker_from_trades"] = f"""SELECT symbol, open_price, last_price, high_price, low_price, volume, quote_volume,

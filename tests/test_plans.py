@@ -30,3 +30,15 @@ def test_time_range_prunes_partitions(spark):
 
 def test_top_n_is_take_ordered(spark):
     assert "TakeOrderedAndProject" in plan_of(entry.queries()["top_n"](spark, SF_SMALL))
+
+
+def test_bucketed_book_join_has_no_shuffle_when_not_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = entry.queries()["book_with_header"](spark, SF_SMALL)
+        df.collect()
+        p = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in p and "Exchange hashpartitioning" not in p
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -32,3 +32,16 @@ def test_messages_parse_back(spark):
     d = json.loads(m)
     assert set(d) == {"event_id", "user_id", "event_type", "payload", "created_at"}
     assert "T" in d["created_at"]
+
+
+def test_ticker_stream_appends_and_rejects(spark):
+    from quayside.operators import aggregates as agg
+    from quayside.streaming.market import start_ticker_stream
+    from quayside.streaming.trades import response_stream
+    src, ck, root = (scratch_dir(spark, n) for n in ("t-src", "t-ck", "t-root"))
+    si.ticker_responses(agg.ticker_from_trades(si.agg_trades(spark, SF_SMALL))).write.json(src)
+    q = start_ticker_stream(root, response_stream(spark, src), ck, trigger={"availableNow": True})
+    run_available(q)
+    good = spark.read.parquet(f"{root}/ticker_24hr")
+    assert good.filter("symbol = 'SIGNUP'").count() == 0 and good.count() == 4
+    assert rows(spark.read.parquet(f"{root}/rejects"), "symbol", "reason") == [("SIGNUP", "empty_last_price_or_volume")]
