@@ -91,9 +91,9 @@ TRADE_COLUMNS = ["symbol", "agg_trade_id", "price", "quantity", "first_trade_id"
                  "is_buyer_maker", "is_best_match", "fetched_at", "page_pos"]
 
 
-def decode_agg_trades(responses: DataFrame) -> Decoded:
-    """Trade pages -> one row per trade. The symbol comes from the request row, not
-    the body. Keys ``m`` and ``M`` differ only in case, so fields are taken by position."""
+def trade_items(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """D02 core: every trade element of every accepted page, typed, with ``_why`` = NULL
+    for a good row or the reason it is quarantined; plus the rejected pages."""
     ok, bad = _split_bodies(responses, "aggTrades", "[", TRADE_FIELDS)
     items = ok.select("endpoint", "symbol", "fetched_at",
                       F.posexplode(F.from_json("body", TRADE_JSON)).alias("page_pos", "t"))
@@ -111,11 +111,20 @@ def decode_agg_trades(responses: DataFrame) -> Decoded:
         zero_if_null(F.col("best"), False).alias("is_best_match"))
     why = (F.when(~(non_empty("p") & non_empty("q")), F.lit("empty_price_or_quantity"))
            .when(F.col("price").isNull() | F.col("quantity").isNull(), F.lit("bad_decimal")))
-    flat = flat.withColumn("_why", why)
-    good = flat.filter(F.col("_why").isNull()).select(*TRADE_COLUMNS)
-    row_bad = _reject_rows(flat.filter(F.col("_why").isNotNull()), F.col("_why"), F.col("agg_trade_id"),
+    return flat.withColumn("_why", why), bad
+
+
+def split_trade_items(items: DataFrame, bad_pages: DataFrame) -> Decoded:
+    good = items.filter(F.col("_why").isNull()).select(*TRADE_COLUMNS)
+    row_bad = _reject_rows(items.filter(F.col("_why").isNotNull()), F.col("_why"), F.col("agg_trade_id"),
                            F.concat_ws("|", F.coalesce("p", F.lit("")), F.coalesce("q", F.lit(""))))
-    return Decoded(good, bad.unionByName(row_bad))
+    return Decoded(good, bad_pages.unionByName(row_bad))
+
+
+def decode_agg_trades(responses: DataFrame) -> Decoded:
+    """Trade pages -> one row per trade. The symbol comes from the request row, not
+    the body. Keys ``m`` and ``M`` differ only in case, so fields are taken by position."""
+    return split_trade_items(*trade_items(responses))
 
 
 # --------------------------------------------------------------------------- D01 symbols

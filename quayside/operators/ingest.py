@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import year_month
 from ..schemas import TABLES
 from ..session import cut_lineage
-from .decode import decode_agg_trades
+from .decode import TRADE_COLUMNS, split_trade_items, trade_items
 from .write import VersionedTable, advance_marks, high_water_marks, insert_ignore, path_exists, write_metrics
 
 TRADE_KEY = ["symbol", "agg_trade_id"]
@@ -61,12 +61,16 @@ class TradeStore:
 
 def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int = 0,
                        monotone: bool = False) -> dict:
-    """Process one batch of trade-page responses. Returns the observed totals."""
-    spark = store.spark
-    dec = decode_agg_trades(responses)
-    # decode once: the batch is checkpointed, every later step reads the staged copy
-    batch = cut_lineage(dec.good.withColumn("ym", year_month(F.col("trade_time")))
+    """Process one batch of trade-page responses. Returns the observed totals.
+
+    The pages are decoded once: the typed items (good and quarantined) are checkpointed
+    and every later step reads that copy. Marks advance over quarantined trades too, so
+    a page whose rows are all invalid is not fetched again for ever (SURVEY Q4)."""
+    items, bad_pages = trade_items(responses)
+    items = cut_lineage(items.withColumn("ym", year_month(F.col("trade_time")))
                         .withColumn("_ord", F.struct("fetched_at", "page_pos")))
+    dec = split_trade_items(items, bad_pages)
+    batch = items.filter(F.col("_why").isNull()).select(*TRADE_COLUMNS, "ym", "_ord")
     res = insert_ignore(store.trades(), batch, TRADE_KEY, "_ord", group_col="symbol", prune_col="ym")
     new = res.inserted.drop("_ord", "fetched_at", "page_pos").withColumn("inserted_at", F.localtimestamp())
     staged = cut_lineage(new)                       # materialized before the target changes
@@ -75,7 +79,7 @@ def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int =
     staged.write.mode("append").partitionBy("ym").parquet(store.trades_path)
     dec.rejects.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(store.rejects_path)
     metrics.write.mode("append").parquet(store.metrics_path)
-    marks = high_water_marks(batch.drop("_ord"))
+    marks = high_water_marks(items.select("symbol", "agg_trade_id", "trade_time"))
     store.state.commit(advance_marks(store.marks(), marks, monotone=monotone))
     tot = metrics.agg(F.sum("attempted").alias("attempted"), F.sum("inserted").alias("inserted")).first()
     return {"attempted": int(tot["attempted"] or 0), "inserted": int(tot["inserted"] or 0)}

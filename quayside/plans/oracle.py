@@ -255,9 +255,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY
 SELECT symbol, agg_trade_id, price, trade_time, CAST(page_row AS INTEGER) AS page_row,
        last_id IS NOT NULL AS from_state FROM r WHERE page_row <= 1000"""
 
-SQL["resume_after_replay"] = f"""SELECT symbol, count(*) AS trades, count(DISTINCT agg_trade_id) AS distinct_ids,
-       sum(price) AS sum_price, max(agg_trade_id) AS last_id, arg_max(trade_time, agg_trade_id) AS last_timestamp
-FROM ({TRADES}) WHERE agg_trade_id % 97 <> 0 GROUP BY symbol"""
+SQL["resume_after_replay"] = f"""SELECT symbol,
+       count(*) FILTER (WHERE agg_trade_id % 97 <> 0) AS trades,
+       count(DISTINCT agg_trade_id) FILTER (WHERE agg_trade_id % 97 <> 0) AS distinct_ids,
+       sum(price) FILTER (WHERE agg_trade_id % 97 <> 0) AS sum_price,
+       max(agg_trade_id) AS last_id, arg_max(trade_time, agg_trade_id) AS last_timestamp
+FROM ({TRADES}) GROUP BY symbol"""
 
 SQL["stream_trades"] = SQL["decode_agg_trades"]
 

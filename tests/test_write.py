@@ -87,6 +87,8 @@ def _pages(spark, trades):
 
 def test_ingest_replay_inserts_nothing_and_keeps_marks(spark):
     store = TradeStore(spark, scratch_dir(spark, "ingest-test"))
+    r0 = ingest_trade_pages(store, _pages(spark, [(7, "")]), batch_id=9)            # all rows invalid
+    assert r0 == {"attempted": 0, "inserted": 0} and rows(store.marks(), "last_id") == [(7,)]
     r1 = ingest_trade_pages(store, _pages(spark, [(1, "10"), (2, "11"), (3, "")]), batch_id=0)
     r2 = ingest_trade_pages(store, _pages(spark, [(2, "99"), (3, "12"), (4, "13")]), batch_id=1)
     r3 = ingest_trade_pages(store, _pages(spark, [(2, "99"), (3, "12"), (4, "13")]), batch_id=2)  # replay
@@ -94,4 +96,4 @@ def test_ingest_replay_inserts_nothing_and_keeps_marks(spark):
                             {"attempted": 3, "inserted": 0})
     assert rows(store.trades(), "agg_trade_id", "price") == [(1, 10), (2, 11), (3, 12), (4, 13)]
     assert rows(store.marks(), "symbol", "last_id") == [("S", 4)]
-    assert spark.read.parquet(store.rejects_path).count() == 1
+    assert spark.read.parquet(store.rejects_path).count() == 2
