@@ -65,3 +65,30 @@ def test_disposition_and_alerts(spark):
     assert [tuple(r) for r in got] == [("ok", "ok"), ("ban", "warn"), ("retry_after_header", "pause"),
                                        ("retry_backoff", "none"), ("skip", "none"), ("retry_backoff", "none"),
                                        ("error", "warn")]
+
+
+def test_sessionize_hot_user_is_split_across_tasks(spark):
+    """One user holds a third of all events: results still equal the single pass, and the
+    row-level window is partitioned by (user, bucket), not by user alone."""
+    ue = si.user_events(spark, SF_MID).withColumn(
+        "user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
+    gap = 8 * 3600
+    out = agg.sessionize(ue, "user_id", "event_timestamp", "event_id", gap, bucket_seconds=3600)
+    assert rows(out, "event_id", "session_no") == rows(_naive_sessions(ue, gap), "event_id", "session_no")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep the tiny shuffle's partitions
+    try:
+        hot = out.filter("user_id = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert hot > 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id#" in plan and ", _b#" in plan
+
+
+def test_ticker_hot_symbol_partial_aggregation(spark):
+    t = si.agg_trades(spark, SF_MID).withColumn(
+        "symbol", F.when(F.col("agg_trade_id") % 3 == 0, F.lit("HOT")).otherwise(F.col("symbol")))
+    tk = agg.ticker_from_trades(t)
+    plan = tk._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "partial_sum" in plan   # reduced before the shuffle
+    assert tk.filter("symbol = 'HOT'").count() == 1
