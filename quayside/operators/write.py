@@ -71,7 +71,8 @@ def insert_ignore(target: DataFrame | None, batch: DataFrame, key: list[str], or
     if target is not None:
         probe = target.select(*key, *([prune_col] if prune_col else []))
         if prune_col:
-            touched = [r[0] for r in first.select(prune_col).distinct().collect()]
+            # partition values the batch touches (months: a handful per batch)
+            touched = [r[0] for r in batch.select(prune_col).distinct().collect()]
             probe = probe.filter(F.col(prune_col).isin(touched))
         new = first.join(probe.select(*key), on=key, how="left_anti")
     else:
@@ -134,18 +135,22 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def versions(self) -> list[int]:
+    def _folders(self) -> list[tuple[int, bool]]:
+        """(version, committed) for every ``v=`` folder."""
         fs, p = _fs(self.spark, self.root)
         if not fs.exists(p):
             return []
+        jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         out = []
         for st in fs.listStatus(p):
             name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
-                    st.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
+            if name.startswith("v="):
+                out.append((int(name[2:]), bool(fs.exists(jpath(st.getPath(), "_SUCCESS")))))
         return sorted(out)
 
+    def versions(self) -> list[int]:
+        return [v for v, done in self._folders() if done]
+
     def current_path(self) -> str | None:
         v = self.versions()
         return f"{self.root}/v={v[-1]:06d}" if v else None
@@ -157,8 +162,10 @@ class VersionedTable:
         return self.spark.read.parquet(path)
 
     def commit(self, df: DataFrame, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> str:
-        v = self.versions()
-        path = f"{self.root}/v={(v[-1] + 1 if v else 1):06d}"
+        # next number after every folder, committed or not: a write that died half-way
+        # leaves a folder without _SUCCESS, which is skipped, never reused
+        allv = [v for v, _ in self._folders()]
+        path = f"{self.root}/v={(allv[-1] + 1 if allv else 1):06d}"
         write_layout(df, path, partition_by=partition_by, sort_by=sort_by, mode="errorifexists")
         return path
 

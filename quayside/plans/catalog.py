@@ -19,7 +19,8 @@ from ..operators.decode import decode_agg_trades, decode_order_book, decode_symb
 from ..operators.encode import event_messages
 from ..operators.ingest import TradeStore, ingest_trade_pages
 from ..operators.write import (VersionedTable, add_month, bootstrap, high_water_marks, insert_ignore,
-                               month_filter, replace_table, upsert, write_bucketed, write_layout, write_shards,
+                               month_filter, observed_append, replace_table, upsert, write_bucketed, write_layout,
+                               write_shards,
                                write_table)
 from ..schemas import EVENT_MESSAGE_DDL, EVENT_MESSAGE_FIELDS, TABLES
 from ..session import scratch_dir
@@ -326,6 +327,21 @@ def table_replace(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table(name).select(*EVENT_MESSAGE_FIELDS)
 
 
+def lake_events_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference notebook end to end: table rows -> messages (K04) ->
+    stream decode (S01/D06) -> JSON files (K01/K02) -> inferred JSON scan (S02) ->
+    create-or-replace lake table (K03) -> grouped count ordered by type (A02/O01)."""
+    src = _message_dir(spark, sf, "lake-msgs")
+    out, ck = scratch_dir(spark, "lake-raw"), scratch_dir(spark, "lake-raw-ck")
+    q, _ = events_to_json_files(file_messages(spark, src), out, ck, trigger={"availableNow": True})
+    run_available(q)
+    root = scratch_dir(spark, "lake-db")
+    db = "q" + root.rsplit("-", 1)[-1] + "_lake"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}/db'")
+    replace_table(read_json(spark, out), f"{db}.events", f"{root}/events")
+    return spark.sql(f"SELECT count(*) AS cnt, event_type FROM {db}.events GROUP BY event_type ORDER BY event_type")
+
+
 # --------------------------------------------------------------------------- decoders
 
 def decode_symbols_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -482,8 +498,8 @@ def ticker_append(spark: SparkSession, sf: str) -> DataFrame:
     """Decoded tickers appended twice (no dedup)."""
     path = scratch_dir(spark, "ticker")
     t = decode_ticker(si.ticker_responses(agg.ticker_from_trades(si.agg_trades(spark, sf)))).good
-    for _ in range(2):
-        t.write.mode("append").parquet(path)
+    for i in range(2):
+        observed_append(t, path, f"ticker_append_{i}")   # K12: rows written, seen by the write itself
     return spark.read.parquet(path).select(*TICKER_OUT)
 
 

@@ -216,6 +216,7 @@ GROUP BY event_type ORDER BY event_type"""
 SQL["stream_decode_events"] = f"SELECT {MSG_COLS} FROM ({APP_EVENTS})"
 SQL["stream_json_sink"] = SQL["stream_decode_events"]
 SQL["table_replace"] = SQL["stream_decode_events"]
+SQL["lake_events_by_type"] = SQL["events_by_type"]
 
 SQL["decode_symbols"] = f"""SELECT symbol, status, base_asset, quote_asset, base_precision, quote_precision
 FROM ({SYMBOLS_BASE}) WHERE status <> ''"""
