@@ -135,7 +135,7 @@ def ticker_from_trades(trades: DataFrame, window_hours: int = 24) -> DataFrame:
         F.min_by("price", order).alias("open_price"), F.max_by("price", order).alias("last_price"),
         F.max_by("quantity", order).alias("last_qty"),
         F.max("price").alias("high_price"), F.min("price").alias("low_price"),
-        F.sum("quantity").alias("volume"), F.sum(pq).alias("quote_volume"),
+        F.sum("quantity").cast("decimal(38,8)").alias("volume"), F.sum(pq).alias("quote_volume"),
         F.min("trade_time").alias("open_time"), F.max("trade_time").alias("close_time"),
         F.min_by("agg_trade_id", order).alias("first_trade_id"),
         F.max_by("agg_trade_id", order).alias("last_trade_id"),

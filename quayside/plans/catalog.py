@@ -473,7 +473,7 @@ def resume_after_replay(spark: SparkSession, sf: str) -> DataFrame:
     tr = store.trades()
     summary = tr.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"),
                                        F.count_distinct("agg_trade_id").alias("distinct_ids"),
-                                       F.sum("price").alias("sum_price"))
+                                       F.sum("price").cast("decimal(38,8)").alias("sum_price"))
     return summary.join(store.marks().select("symbol", "last_id", "last_timestamp"), "symbol", "left")
 
 

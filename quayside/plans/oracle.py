@@ -196,11 +196,11 @@ UNION ALL SELECT 'app.events', 'not_null:user_id', count(*) FILTER (WHERE user_i
 UNION ALL SELECT 'app.events', 'not_null:event_type', count(*) FILTER (WHERE event_type IS NULL) FROM d
 UNION ALL SELECT 'app.events', 'not_null:created_at', count(*) FILTER (WHERE created_at IS NULL) FROM d
 UNION ALL SELECT 'app.events', 'max_length:event_type<=64', count(*) FILTER (WHERE length(event_type) > 64) FROM d
-UNION ALL SELECT 'app.events', 'unique:event_id', coalesce(sum(n - 1), 0) FROM
+UNION ALL SELECT 'app.events', 'unique:event_id', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM
   (SELECT event_id, count(*) AS n FROM d GROUP BY event_id HAVING count(*) > 1)
-UNION ALL SELECT 'crypto.agg_trades', 'not_null:price', 0
+UNION ALL SELECT 'crypto.agg_trades', 'not_null:price', CAST(0 AS BIGINT)
 UNION ALL SELECT 'crypto.agg_trades', 'unique:symbol,agg_trade_id', count(*) FROM events WHERE event_id % 10 >= 3
-UNION ALL SELECT 'crypto.orderbook_levels', 'allowed:side', 0
+UNION ALL SELECT 'crypto.orderbook_levels', 'allowed:side', CAST(0 AS BIGINT)
 UNION ALL SELECT 'crypto.orderbook_levels', 'orphan', count(*) FROM ({_levels(20)})
   WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"""
 

@@ -56,6 +56,23 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+_SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT",
+                  "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "date": "DATE",
+                  "timestamp_ntz": "TIMESTAMP", "binary": "BLOB"}
+
+
+def type_mismatches(df, con, sql: str) -> list:
+    """Columns whose Spark type differs from the DuckDB statement's type."""
+    duck_types = {d[0]: str(d[1]) for d in con.execute(f"SELECT * FROM ({sql}) LIMIT 0").description}
+    out = []
+    for f in df.schema.fields:
+        s = f.dataType.simpleString()
+        want = s.upper() if s.startswith("decimal") else _SPARK_TO_DUCK.get(s, s.upper())
+        if duck_types.get(f.name) != want:
+            out.append((f.name, s, duck_types.get(f.name)))
+    return out
+
+
 def check(spark, con, name: str, sf_dir: str) -> dict:
     q = entry.queries()[name]
     sql = entry.oracle_sql().get(name)
@@ -75,6 +92,10 @@ def check(spark, con, name: str, sf_dir: str) -> dict:
     if sorted(scols) != sorted(dcols):
         res["status"] = f"COLUMNS spark={sorted(scols)} oracle={sorted(dcols)}"
         return res
+    tm = type_mismatches(df, con, sql)
+    if tm:
+        res["status"] = f"TYPES {tm}"
+        return res
     a, b = _rows(scols, srows), _rows(dcols, drows)
     if a == b:
         res["status"] = "ok"
