@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the white-space set of Go's strings.TrimSpace (unicode.IsSpace).
+# Fixed value: the white-space set of Go's strings.TrimSpace (unicode.IsSpace):
+# TAB LF VT FF CR SPACE, U+0085, U+00A0, U+1680, U+2000-U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+GO_SPACE_CHARS = ("\t\n\x0b\x0c\r \u0085\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000")
 GO_SPACE_CLASS = (r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                   r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
@@ -18,8 +21,9 @@ def _c(c) -> Column:
 
 
 def trim_space(c) -> Column:
-    """Go ``strings.TrimSpace``: strip Unicode white space at both ends."""
-    return F.regexp_replace(_c(c), f"^{GO_SPACE_CLASS}+|{GO_SPACE_CLASS}+$", "")
+    """Go ``strings.TrimSpace``: strip Unicode white space at both ends (a character-set
+    trim, no regular expression)."""
+    return F.btrim(_c(c), F.lit(GO_SPACE_CHARS))
 
 
 def split_clean(c, sep: str = ",", rtrim_chars: str | None = "/", lower: bool = True) -> Column:

@@ -290,5 +290,8 @@ def write_header_detail(headers: DataFrame, levels: DataFrame, root: str, batch_
 
 def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: tuple[str, ...]) -> None:
     """A catalog table hash-bucketed and sorted on ``key``: two tables bucketed alike on the
-    join key join without a shuffle on either side."""
-    (df.write.mode("overwrite").option("path", path).bucketBy(buckets, *key).sortBy(*key).saveAsTable(name))
+    join key join without a shuffle on either side. Rows are first hash-partitioned into
+    ``buckets`` tasks (the same hash as bucketing), so each task writes one file per bucket
+    instead of every task writing a file into every bucket."""
+    (df.repartition(buckets, *key).write.mode("overwrite").option("path", path)
+       .bucketBy(buckets, *key).sortBy(*key).saveAsTable(name))

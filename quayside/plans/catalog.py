@@ -51,11 +51,11 @@ def events_projection(spark: SparkSession, sf: str) -> DataFrame:
     return si.app_events(spark, sf).select("event_id", "user_id", "event_type", "payload", "created_at")
 
 
-def _message_dir(spark: SparkSession, sf: str, name: str, parts: int = 4) -> str:
-    """Write the event messages (K04) as text lines to a fresh folder."""
+def _message_dir(spark: SparkSession, sf: str, name: str) -> str:
+    """Write the event messages (K04) as text lines to a fresh folder, one file per input
+    split (the input's own parallelism; nothing is funnelled into a fixed task count)."""
     path = scratch_dir(spark, name)
-    msgs = event_messages(si.app_events(spark, sf))
-    msgs.repartition(parts).write.text(path)
+    event_messages(si.app_events(spark, sf)).write.text(path)
     return path
 
 
@@ -198,8 +198,8 @@ def stream_books(spark: SparkSession, sf: str) -> DataFrame:
     """T04 + K10 in a stream: book responses arrive as files; every micro-batch writes
     snapshot headers and levels; the levels are read back with their header."""
     src, ck, root = (scratch_dir(spark, n) for n in ("books-src", "books-ck", "books-store"))
-    si.order_books(spark, sf, BOOK_DEPTH).repartition(4).write.json(src)
-    q = start_book_stream(root, response_stream(spark, src, max_files_per_trigger=2), ck,
+    si.order_books(spark, sf, BOOK_DEPTH).write.json(src)
+    q = start_book_stream(root, response_stream(spark, src, max_files_per_trigger=4), ck,
                           trigger={"availableNow": True})
     run_available(q)
     lv = spark.read.parquet(f"{root}/orderbook_levels").drop("batch_id")
@@ -483,11 +483,10 @@ def stream_trades(spark: SparkSession, sf: str) -> DataFrame:
     src, ck = scratch_dir(spark, "pages-src"), scratch_dir(spark, "pages-ck")
     store = TradeStore(spark, scratch_dir(spark, "pages-store"))
     pages = si.trade_pages(spark, sf).drop("page_no")
-    pages.repartition(3).write.json(f"{src}/a")
+    pages.write.json(f"{src}/a")
     for sub in ("a", "b"):
         if sub == "b":
-            pages.filter(F.col("fetched_at") >= F.lit("2024-01-20").cast("timestamp_ntz")) \
-                 .coalesce(1).write.json(f"{src}/b")
+            pages.filter(F.col("fetched_at") >= F.lit("2024-01-20").cast("timestamp_ntz")).write.json(f"{src}/b")
         q = start_trade_stream(store, response_stream(spark, f"{src}/*", max_files_per_trigger=2), ck,
                                trigger={"availableNow": True})
         run_available(q)

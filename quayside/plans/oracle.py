@@ -101,7 +101,9 @@ MOVEMENTS = """SELECT l_partkey AS product_id, CAST(l_suppkey % 10 AS INTEGER) A
             ELSE CAST(trunc(l_quantity) AS INTEGER) END AS quantity, l_shipdate
 FROM lineitem"""
 
-SPACE = (r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+# white space as Go's TrimSpace sees it, spelled with chr() so the SQL holds the characters
+GO_SPACES = "(" + " || ".join(f"chr({c})" for c in [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                                      0x2028, 0x2029, 0x202F, 0x205F, 0x3000]) + ")"
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -314,7 +316,7 @@ SQL["factorial_udf"] = """SELECT p_partkey, CAST(p_size - 25 AS BIGINT) AS n,
 SQL["string_cleanup"] = f"""SELECT doc_id, CAST(len(items) AS INTEGER) AS n_items,
        array_to_string(list_transform(items, lambda x: '''' || replace(x, '''', '''''') || ''''), ', ') AS quoted
 FROM (SELECT doc_id, list_transform(string_split(text, ','),
-        lambda x: lower(rtrim(regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g'), '/'))) AS items
+        lambda x: lower(rtrim(trim(x, {GO_SPACES}), '/'))) AS items
       FROM documents)"""
 
 SQL["replace_first"] = """SELECT page_id, regexp_replace(html, '<P>', '<p data-first="1">', 'i') AS first_rewritten,
