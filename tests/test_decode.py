@@ -127,3 +127,22 @@ def test_event_messages_decode_and_quarantine(spark):
     d = decode_events(spark.createDataFrame([(m,) for m in msgs], "value string"))
     assert rows(d.good) == [(1, 2, "click", None, "x"), (3, 4, "view", "{}", "y")]
     assert rows(d.rejects, "reason") == [("bad_number",), ("malformed_json",)]
+
+
+def test_full_books_give_snapshots_times_two_times_depth_levels(spark):
+    depth = 20
+    side = [[f"{100 + i}.5", "1"] for i in range(25)]          # deeper than requested: cut to depth
+    items = [("depth", f"S{k}", depth, json.dumps({"lastUpdateId": k, "bids": side, "asks": side})) for k in range(24)]
+    b = decode_order_book(responses(spark, items))
+    assert b.headers.count() == 24 and b.levels.count() == 24 * 2 * depth   # 960, as in the recorded run
+
+
+def test_prices_stay_exact_decimals(spark):
+    body = json.dumps([trade(1, p="0.10000000", q="123456789.12345678"), trade(2, p="0.3", q="0.1")])
+    g = decode_agg_trades(responses(spark, [("aggTrades", "X", None, body)])).good
+    assert g.schema["price"].dataType.simpleString() == "decimal(18,8)"
+    got = rows(g, "agg_trade_id", "price", "quantity")
+    assert got == [(1, Decimal("0.10000000"), Decimal("123456789.12345678")),
+                   (2, Decimal("0.30000000"), Decimal("0.10000000"))]
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert "as double" not in plan.lower() and "as float" not in plan.lower()
