@@ -4,8 +4,8 @@ advance the high-water marks (K07-K09, K12, T05-T06).
 Order of writes replaces the reference's single transaction (K09): trades first
 (idempotent: insert-if-absent), marks second. A crash between the two only makes the
 next run re-read pages whose trades are already stored, which inserts nothing.
-The rows to insert are checkpointed to the shared checkpoint folder before anything is
-written, so a lost executor recomputes them from the staged copy and never from a
+The rows to insert are staged in the shared checkpoint folder before anything is
+written, so a lost executor re-reads the staged copy and never recomputes them from a
 target that has meanwhile grown.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import year_month
 from ..schemas import TABLES
-from ..session import cut_lineage
+from ..session import stage
 from .decode import TRADE_COLUMNS, split_trade_items, trade_items
 from .write import VersionedTable, advance_marks, high_water_marks, insert_ignore, path_exists, write_metrics
 
@@ -63,17 +63,18 @@ def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int =
                        monotone: bool = False) -> dict:
     """Process one batch of trade-page responses. Returns the observed totals.
 
-    The pages are decoded once: the typed items (good and quarantined) are checkpointed
-    and every later step reads that copy. Marks advance over quarantined trades too, so
-    a page whose rows are all invalid is not fetched again for ever (SURVEY Q4)."""
+    The pages are decoded once: the typed items (good and quarantined) are staged as a
+    Parquet table under the shared checkpoint folder and every later step reads that
+    copy. Marks advance over quarantined trades too, so a page whose rows are all invalid
+    is not fetched again for ever (SURVEY Q4)."""
     items, bad_pages = trade_items(responses)
-    items = cut_lineage(items.withColumn("ym", year_month(F.col("trade_time")))
-                        .withColumn("_ord", F.struct("fetched_at", "page_pos")))
+    items = stage(items.withColumn("ym", year_month(F.col("trade_time")))
+                  .withColumn("_ord", F.struct("fetched_at", "page_pos")), "trade-items")
     dec = split_trade_items(items, bad_pages)
     batch = items.filter(F.col("_why").isNull()).select(*TRADE_COLUMNS, "ym", "_ord")
     res = insert_ignore(store.trades(), batch, TRADE_KEY, "_ord", group_col="symbol", prune_col="ym")
     new = res.inserted.drop("_ord", "fetched_at", "page_pos").withColumn("inserted_at", F.localtimestamp())
-    staged = cut_lineage(new)                       # materialized before the target changes
+    staged = stage(new, "trade-inserts")            # materialized before the target changes
     # K12 from the batch and the staged rows: stable once the target has grown
     metrics = write_metrics(batch, staged, "symbol").withColumn("batch_id", F.lit(batch_id))
     staged.write.mode("append").partitionBy("ym").parquet(store.trades_path)

@@ -487,7 +487,7 @@ def stream_trades(spark: SparkSession, sf: str) -> DataFrame:
     for sub in ("a", "b"):
         if sub == "b":
             pages.filter(F.col("fetched_at") >= F.lit("2024-01-20").cast("timestamp_ntz")).write.json(f"{src}/b")
-        q = start_trade_stream(store, response_stream(spark, f"{src}/*", max_files_per_trigger=2), ck,
+        q = start_trade_stream(store, response_stream(spark, f"{src}/*"), ck,
                                trigger={"availableNow": True})
         run_available(q)
     return store.trades().select(*TRADE_OUT)

@@ -68,3 +68,12 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint (written to the shared checkpoint dir, survives executor loss)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def stage(df, name: str):
+    """Cut lineage by writing a Parquet table into the shared checkpoint folder and reading
+    it back: one columnar write, later reads prune columns, and a lost executor re-reads
+    the staged files instead of recomputing (or re-reading a changed source)."""
+    path = scratch_dir(df.sparkSession, f"stage-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
