@@ -1,7 +1,8 @@
 """Aggregations A01-A10 and the running-window snapshot W01.
 
-All aggregates here are partial/final hash aggregates (map-side combine), so a key
-holding a third of the rows is reduced inside every map task before the shuffle.
+All aggregates here are planned as partial/final aggregates (map-side combine: hash
+based, or sort based for ``min_by``/``max_by`` over struct keys), so a key holding a
+third of the rows is reduced inside every map task before the shuffle.
 Order-dependent picks (open/last price, entry/exit URL) use ``min_by``/``max_by``
 over an explicit total order, never the row order of a DataFrame.
 """

@@ -55,6 +55,29 @@ def validate(df: DataFrame, table: str, not_null=(), max_length: dict | None = N
     return out.select(F.lit(table).alias("table_name"), "rule", F.col("violations").cast("bigint").alias("violations"))
 
 
+def split_valid(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
+    """P08/P09 before a write: rows that pass every per-row rule of ``spec`` (NOT NULL,
+    length limit, allowed values), and the others with the first rule they break. Pure
+    per-row filters: no shuffle. Key uniqueness needs an aggregate and is left to
+    ``validate`` or to insert-if-absent."""
+    broken = None
+    for c in spec.not_null:
+        broken = _first(broken, F.col(c).isNull(), f"not_null:{c}")
+    for c, n in spec.max_length.items():
+        broken = _first(broken, F.length(c) > n, f"max_length:{c}<={n}")
+    for c, vals in spec.allowed.items():
+        broken = _first(broken, F.col(c).isNotNull() & ~F.col(c).isin(list(vals)), f"allowed:{c}")
+    if broken is None:
+        return df, df.limit(0).withColumn("rule", F.lit(None).cast("string"))
+    tagged = df.withColumn("_rule", broken)
+    return (tagged.filter(F.col("_rule").isNull()).drop("_rule"),
+            tagged.filter(F.col("_rule").isNotNull()).withColumnRenamed("_rule", "rule"))
+
+
+def _first(acc, cond, name):
+    return F.when(cond, F.lit(name)) if acc is None else acc.when(cond, F.lit(name))
+
+
 def validate_spec(df: DataFrame, spec: TableSpec) -> DataFrame:
     return validate(df, spec.qualified, not_null=spec.not_null, max_length=spec.max_length,
                     allowed=spec.allowed, key=spec.key)

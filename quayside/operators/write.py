@@ -4,8 +4,10 @@ partitioned and sharded layouts, versioned tables and idempotent bootstrap.
 Parquet tables in the session catalog have no MERGE and cannot be overwritten while
 being read, so a rewrite (upsert) produces a *new version folder*; readers follow the
 newest committed version. Appends (insert-if-absent, plain append) write new files
-only. Every write is idempotent or replay-safe, so a lost executor or a re-run batch
-never duplicates rows.
+only. Task retries never duplicate rows (Spark's commit protocol publishes a task's
+files once). The writes the ingestion and streaming jobs repeat are idempotent:
+insert-if-absent, version commits and per-batch partition overwrites. Plain append
+(K11) appends again when called again, by definition.
 """
 
 from __future__ import annotations

@@ -275,6 +275,14 @@ SEED_ROWS = [  # fixed values: the reference's 8 seed events (user, type, payloa
 ]
 
 
+def _load_checked(df: DataFrame, table_name: str, spec, reject_path: str) -> None:
+    """P08 before the write: rows breaking a per-row rule go to ``reject_path`` (a
+    ``varchar(64)`` overflow would otherwise fail the whole insert)."""
+    good, bad = quality.split_valid(df, spec)
+    good.write.insertInto(table_name)
+    bad.write.mode("append").parquet(reject_path)
+
+
 def seed_events(spark: SparkSession, sf: str) -> DataFrame:
     """The event table is loaded, then the 8 seed rows are inserted with generated
     ids (after the current maximum) and the statement's default time; grouped count after."""
@@ -282,7 +290,7 @@ def seed_events(spark: SparkSession, sf: str) -> DataFrame:
     prefix = "q" + root.rsplit("-", 1)[-1] + "_"
     bootstrap(spark, root, prefix=prefix, tables={"app.events": TABLES["app.events"]})
     name = f"{prefix}app.events"
-    si.app_events(spark, sf).write.insertInto(name)
+    _load_checked(si.app_events(spark, sf), name, TABLES["app.events"], f"{root}/rejected")
     values = ", ".join(
         f"({i}, {u}, '{t}', {('NULL' if p is None else repr(p))})" for i, (u, t, p) in enumerate(SEED_ROWS, 1))
     spark.sql(f"""INSERT INTO {name} (event_id, user_id, event_type, payload)
@@ -582,5 +590,5 @@ def bootstrap_twice(spark: SparkSession, sf: str) -> DataFrame:
     again = bootstrap(spark, root, prefix=prefix)
     if made != again:
         raise RuntimeError("bootstrap is not idempotent")
-    si.app_events(spark, sf).write.insertInto(f"{prefix}app.events")
+    _load_checked(si.app_events(spark, sf), f"{prefix}app.events", TABLES["app.events"], f"{root}/rejected")
     return agg.table_counts({name[len(prefix):]: spark.table(name) for name in made})

@@ -101,3 +101,13 @@ def test_ingest_replay_inserts_nothing_and_keeps_marks(spark):
     assert rows(store.trades(), "agg_trade_id", "price") == [(1, 10), (2, 11), (3, 12), (4, 13)]
     assert rows(store.marks(), "symbol", "last_id") == [("S", 4)]
     assert spark.read.parquet(store.rejects_path).count() == 2
+
+
+def test_split_valid_quarantines_rows_by_first_broken_rule(spark):
+    from quayside.operators.quality import split_valid
+    spec = TABLES["app.events"]
+    df = spark.createDataFrame([(1, 1, "ok", None, dt.datetime(2024, 1, 1)), (2, None, "x", None, dt.datetime(2024, 1, 1)),
+                                (3, 3, "y" * 65, None, dt.datetime(2024, 1, 1))], spec.ddl)
+    good, bad = split_valid(df, spec)
+    assert rows(good, "event_id") == [(1,)]
+    assert rows(bad, "event_id", "rule") == [(2, "not_null:user_id"), (3, "max_length:event_type<=64")]
