@@ -176,7 +176,9 @@ def orderbook_levels(spark: SparkSession, sf: str) -> DataFrame:
                                                       "price", "quantity")
 
 
-BOOK_BUCKETS = 16
+def _bucket_count(spark: SparkSession) -> int:
+    """Buckets follow the session's shuffle parallelism (sized by the cluster for its data)."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def book_with_header(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,8 +189,9 @@ def book_with_header(spark: SparkSession, sf: str) -> DataFrame:
     db = "q" + root.rsplit("-", 1)[-1] + "_book"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}/db'")
     b = _book(spark, sf, BOOK_DEPTH)
-    write_bucketed(b.headers, f"{db}.snapshots", f"{root}/snapshots", BOOK_BUCKETS, ("snapshot_id",))
-    write_bucketed(b.levels.drop("symbol", "last_update_id"), f"{db}.levels", f"{root}/levels", BOOK_BUCKETS,
+    n = _bucket_count(spark)
+    write_bucketed(b.headers, f"{db}.snapshots", f"{root}/snapshots", n, ("snapshot_id",))
+    write_bucketed(b.levels.drop("symbol", "last_update_id"), f"{db}.levels", f"{root}/levels", n,
                    ("snapshot_id",))
     j = spark.table(f"{db}.levels").join(spark.table(f"{db}.snapshots"), on="snapshot_id", how="inner")
     return j.select("symbol", "last_update_id", "depth_level", "side", "level_index", "price", "quantity")

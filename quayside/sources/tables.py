@@ -15,12 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema=None, sampling_ratio: float | None = None) -> DataFrame:
     """JSON-lines directory scan. With ``schema`` there is no inference pass (the
-    default to use at scale); without it the schema is inferred as the reference does."""
+    default to use at scale); without it the schema is inferred as the reference does,
+    from all rows or from the fraction ``sampling_ratio`` of them."""
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
+    elif sampling_ratio is not None:
+        reader = reader.option("samplingRatio", str(sampling_ratio))
     return reader.json(path)
 
 
