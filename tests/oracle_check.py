@@ -27,9 +27,9 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return f"{v:.9g}"
+        return repr(v)   # exact: both sides must produce the same double
     if isinstance(v, decimal.Decimal):
-        return format(v.normalize(), "f") if v == v.to_integral() or True else str(v)
+        return format(v.normalize(), "f")   # scale is checked by the type comparison
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, (dt.date,)):
