@@ -72,7 +72,8 @@ def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int =
                   .withColumn("_ord", F.struct("fetched_at", "page_pos")), "trade-items")
     dec = split_trade_items(items, bad_pages)
     batch = items.filter(F.col("_why").isNull()).select(*TRADE_COLUMNS, "ym", "_ord")
-    res = insert_ignore(store.trades(), batch, TRADE_KEY, "_ord", group_col="symbol", prune_col="ym")
+    res = insert_ignore(store.trades(), batch, TRADE_KEY, "_ord", group_col="symbol", prune_col="ym",
+                        range_col="agg_trade_id")
     new = res.inserted.drop("_ord", "fetched_at", "page_pos").withColumn("inserted_at", F.localtimestamp())
     staged = stage(new, "trade-inserts")            # materialized before the target changes
     # K12 from the batch and the staged rows: stable once the target has grown

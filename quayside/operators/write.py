@@ -65,17 +65,31 @@ class InsertResult:
 
 
 def insert_ignore(target: DataFrame | None, batch: DataFrame, key: list[str], ord_col: str,
-                  group_col: str = "symbol", prune_col: str | None = None) -> InsertResult:
+                  group_col: str = "symbol", prune_col: str | None = None,
+                  range_col: str | None = None) -> InsertResult:
     """``ON CONFLICT DO NOTHING``: an existing row wins, then the first duplicate of the
-    batch. ``prune_col`` (e.g. ``ym``) restricts the target scan to the partitions the batch
-    touches; the list of touched partition values is small by construction (months)."""
+    batch.
+
+    The target is probed only where the batch can collide: ``prune_col`` (e.g. ``ym``)
+    keeps the partitions the batch touches, and ``range_col`` (a key column, e.g. the
+    trade id) keeps rows inside the batch's [min, max], which row-group statistics of the
+    sorted target turn into skipped row groups. Both bounds come from one single-row
+    aggregate of the batch (a handful of months and two numbers), so the cost of an insert
+    follows the batch, not the table."""
     first = keep_first(batch, key, ord_col)
     if target is not None:
-        probe = target.select(*key, *([prune_col] if prune_col else []))
+        probe = target
+        bounds = []
         if prune_col:
-            # partition values the batch touches (months: a handful per batch)
-            touched = [r[0] for r in batch.select(prune_col).distinct().collect()]
-            probe = probe.filter(F.col(prune_col).isin(touched))
+            bounds.append(F.collect_set(prune_col).alias("_parts"))
+        if range_col:
+            bounds += [F.min(range_col).alias("_lo"), F.max(range_col).alias("_hi")]
+        if bounds:
+            b = batch.agg(*bounds).first()
+            if prune_col:
+                probe = probe.filter(F.col(prune_col).isin(list(b["_parts"] or [])))
+            if range_col and b["_lo"] is not None:
+                probe = probe.filter(F.col(range_col).between(b["_lo"], b["_hi"]))
         new = first.join(probe.select(*key), on=key, how="left_anti")
     else:
         new = first

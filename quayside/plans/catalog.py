@@ -430,7 +430,7 @@ def insert_ignore_trades(spark: SparkSession, sf: str) -> DataFrame:
                  sort_by=("symbol", "trade_time"))
     target = spark.read.parquet(root)
     batch = add_month(_trade_batch(trades), "trade_time")
-    res = insert_ignore(target, batch, ["symbol", "agg_trade_id"], "_ord", prune_col="ym")
+    res = insert_ignore(target, batch, ["symbol", "agg_trade_id"], "_ord", prune_col="ym", range_col="agg_trade_id")
     res.inserted.drop("_ord").write.mode("append").partitionBy("ym").parquet(root)
     return spark.read.parquet(root).select(*TRADE_OUT)
 
@@ -442,7 +442,8 @@ def write_metrics(spark: SparkSession, sf: str) -> DataFrame:
     write_layout(add_month(_stored_trades(trades), "trade_time"), root, partition_by=("ym",),
                  sort_by=("symbol", "trade_time"))
     batch = add_month(_trade_batch(trades), "trade_time")
-    res = insert_ignore(spark.read.parquet(root), batch, ["symbol", "agg_trade_id"], "_ord", prune_col="ym")
+    res = insert_ignore(spark.read.parquet(root), batch, ["symbol", "agg_trade_id"], "_ord", prune_col="ym",
+                        range_col="agg_trade_id")
     return res.metrics
 
 

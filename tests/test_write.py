@@ -111,3 +111,17 @@ def test_split_valid_quarantines_rows_by_first_broken_rule(spark):
     good, bad = split_valid(df, spec)
     assert rows(good, "event_id") == [(1,)]
     assert rows(bad, "event_id", "rule") == [(2, "not_null:user_id"), (3, "max_length:event_type<=64")]
+
+
+def test_insert_ignore_probe_is_bounded_by_the_batch(spark):
+    path = scratch_dir(spark, "probe-test")
+    t = spark.range(0, 100000).select(F.lit("S").alias("symbol"), F.col("id").alias("agg_trade_id"),
+                                      (F.col("id") % 3).cast("int").alias("ym"))
+    write_layout(t, path, partition_by=("ym",), sort_by=("symbol", "agg_trade_id"))
+    target = spark.read.parquet(path)
+    batch = spark.createDataFrame([("S", 99998, 2, 0), ("S", 100001, 2, 1)],
+                                  "symbol string, agg_trade_id long, ym int, ord int")
+    res = insert_ignore(target, batch, ["symbol", "agg_trade_id"], "ord", prune_col="ym", range_col="agg_trade_id")
+    assert rows(res.inserted, "agg_trade_id") == [(100001,)]
+    plan = res.inserted._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ym" in plan and "GreaterThanOrEqual(agg_trade_id,99998)" in plan
