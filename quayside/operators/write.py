@@ -311,3 +311,30 @@ def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: tuple
     instead of every task writing a file into every bucket."""
     (df.repartition(buckets, *key).write.mode("overwrite").option("path", path)
        .bucketBy(buckets, *key).sortBy(*key).saveAsTable(name))
+
+
+# --------------------------------------------------------------------------- partition-scoped upsert
+
+def upsert_partitions(spark: SparkSession, path: str, batch: DataFrame, key: list[str], ord_col: str,
+                      partition_col: str, refresh: dict[str, Column] | None = None) -> list:
+    """K06 for large partitioned tables: upsert only inside the partitions the batch touches.
+
+    The touched partitions are read, upserted, staged in the shared checkpoint folder
+    (a table cannot be overwritten while it is being read), then written back with
+    dynamic partition overwrite: untouched partitions are never read or rewritten.
+    The key must determine the partition (e.g. a trade's month). Returns the partition
+    values rewritten."""
+    from ..session import stage
+    touched = [r[0] for r in batch.select(partition_col).distinct().collect()]   # a few months
+    if path_exists(spark, path):
+        current = spark.read.parquet(path).filter(F.col(partition_col).isin(touched))
+        merged = upsert(current, batch, key, ord_col, refresh)
+    else:
+        latest = keep_last(batch, key, ord_col).drop(ord_col)
+        for name, expr in (refresh or {}).items():
+            latest = latest.withColumn(name, expr)
+        merged = latest
+    staged = stage(merged, "upsert")
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(partition_col).parquet(path))
+    return touched

@@ -27,6 +27,9 @@ DEFAULT_CONF = {
     # Parquet row-group statistics and dictionary filters make sorted layouts prunable.
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # streaming state (dedupe within a watermark) lives off-heap and is checkpointed
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -125,3 +125,19 @@ def test_insert_ignore_probe_is_bounded_by_the_batch(spark):
     assert rows(res.inserted, "agg_trade_id") == [(100001,)]
     plan = res.inserted._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ym" in plan and "GreaterThanOrEqual(agg_trade_id,99998)" in plan
+
+
+def test_upsert_partitions_rewrites_only_touched_partitions(spark):
+    import os
+    from quayside.operators.write import upsert_partitions
+    path = scratch_dir(spark, "uparts")
+    base = spark.createDataFrame([("A", 1, 202401, "x", 0), ("B", 2, 202402, "y", 0)],
+                                 "symbol string, id long, ym int, v string, ord int")
+    upsert_partitions(spark, path, base, ["symbol", "id"], "ord", "ym")
+    untouched = sorted(os.listdir(f"{path}/ym=202401"))
+    batch = spark.createDataFrame([("B", 2, 202402, "y1", 1), ("B", 2, 202402, "y2", 2), ("C", 3, 202402, "z", 1)],
+                                  "symbol string, id long, ym int, v string, ord int")
+    assert upsert_partitions(spark, path, batch, ["symbol", "id"], "ord", "ym") == [202402]
+    assert rows(spark.read.parquet(path), "symbol", "v", "ym") == [("A", "x", 202401), ("B", "y2", 202402),
+                                                                  ("C", "z", 202402)]
+    assert sorted(os.listdir(f"{path}/ym=202401")) == untouched      # never rewritten
