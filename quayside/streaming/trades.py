@@ -13,16 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import TradeStore, ingest_trade_pages
-from ..schemas import RESPONSE_DDL
+from ..sources.responses import stream_responses
 
 POLL_SECONDS = {"aggTrades": 5, "depth": 5, "ticker24hr": 30}  # fixed values: reference cadence
 
 
 def response_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(RESPONSE_DDL).format("json")
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(path)
+    """Recorded responses arriving as JSON-lines files (see ``sources.responses``)."""
+    return stream_responses(spark, path, "json", max_files_per_trigger)
 
 
 def drop_repeated_pages(responses: DataFrame, horizon: str) -> DataFrame:

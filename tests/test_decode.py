@@ -146,3 +146,14 @@ def test_prices_stay_exact_decimals(spark):
                    (2, Decimal("0.30000000"), Decimal("0.10000000"))]
     plan = g._jdf.queryExecution().optimizedPlan().toString()
     assert "as double" not in plan.lower() and "as float" not in plan.lower()
+
+
+def test_recorded_responses_round_trip_through_files(spark):
+    from quayside.plans import standins as si
+    from quayside.session import scratch_dir
+    from quayside.sources.responses import read_responses
+    path = scratch_dir(spark, "resp-files")
+    si.trade_pages(spark, "/root/testdata/sf0.001").drop("page_no").write.json(path)
+    back = read_responses(spark, path)
+    assert back.count() == si.trade_pages(spark, "/root/testdata/sf0.001").count()
+    assert decode_agg_trades(back).good.count() == decode_agg_trades(si.trade_pages(spark, "/root/testdata/sf0.001")).good.count()
