@@ -203,8 +203,9 @@ UNION ALL SELECT 'app.events', 'unique:event_id', CAST(coalesce(sum(n - 1), 0) A
 UNION ALL SELECT 'crypto.agg_trades', 'not_null:price', CAST(0 AS BIGINT)
 UNION ALL SELECT 'crypto.agg_trades', 'unique:symbol,agg_trade_id', count(*) FROM events WHERE event_id % 10 >= 3
 UNION ALL SELECT 'crypto.orderbook_levels', 'allowed:side', CAST(0 AS BIGINT)
-UNION ALL SELECT 'crypto.orderbook_levels', 'orphan', count(*) FROM ({_levels(20)})
-  WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"""
+UNION ALL SELECT 'crypto.orderbook_levels', 'orphan', count(*) FROM ({_levels(20)}) lv
+  JOIN (SELECT l_orderkey, max(l_shipdate) AS fetched_at FROM lineitem GROUP BY l_orderkey) b USING (l_orderkey)
+  WHERE b.fetched_at >= TIMESTAMP '2001-06-01 00:00:00'"""
 
 SQL["encode_messages"] = f"""SELECT event_id, user_id, event_type, payload, created_iso AS created_at, 5 AS n_keys,
        payload IS NULL AS payload_null_kept FROM ({APP_EVENTS})"""
@@ -227,7 +228,8 @@ SQL["decode_agg_trades"] = f"SELECT {TRADE_COLS} FROM ({TRADES}) WHERE agg_trade
 
 SQL["decode_ticker"] = DECODED_TICKER
 
-SQL["decode_rejects"] = """SELECT page_id, 'aggTrades' AS endpoint, 'unexpected_json_container' AS reason,
+SQL["decode_rejects"] = """SELECT 'PAGE' || CAST(page_id AS VARCHAR) AS symbol, 'aggTrades' AS endpoint,
+       'unexpected_json_container' AS reason,
        CAST(least(500, octet_length(encode(html))) AS INTEGER) AS raw_bytes FROM pages"""
 
 SQL["upsert_symbols"] = f"""SELECT symbol, CASE WHEN n_nationkey % 2 = 0 THEN 'TRADING' ELSE status END AS status,
