@@ -59,17 +59,24 @@ class TradeStore:
         return self.state.read(STATE_SCHEMA)
 
 
+class RejectedBatch(ValueError):
+    """Raised in strict mode when a batch holds a row that does not decode."""
+
+
 def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int = 0,
-                       monotone: bool = False) -> dict:
+                       monotone: bool = False, strict_batch: bool = False) -> dict:
     """Process one batch of trade-page responses. Returns the observed totals.
 
     The pages are decoded once: the typed items (good and quarantined) are staged as a
     Parquet table under the shared checkpoint folder and every later step reads that
     copy. Marks advance over quarantined trades too, so a page whose rows are all invalid
-    is not fetched again for ever (SURVEY Q4)."""
+    is not fetched again for ever (SURVEY Q4). With ``strict_batch`` one bad trade aborts the
+    whole batch before anything is written, as the reference's single transaction does."""
     items, bad_pages = trade_items(responses)
     items = stage(items.withColumn("ym", year_month(F.col("trade_time")))
                   .withColumn("_ord", F.struct("fetched_at", "page_pos")), "trade-items")
+    if strict_batch and items.filter(F.col("_why").isNotNull()).limit(1).count() > 0:
+        raise RejectedBatch(f"batch {batch_id}: a trade failed to decode; nothing written")
     dec = split_trade_items(items, bad_pages)
     batch = items.filter(F.col("_why").isNull()).select(*TRADE_COLUMNS, "ym", "_ord")
     res = insert_ignore(store.trades(), batch, TRADE_KEY, "_ord", group_col="symbol", prune_col="ym",

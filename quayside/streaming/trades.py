@@ -38,11 +38,11 @@ def drop_repeated_pages(responses: DataFrame, horizon: str) -> DataFrame:
 
 
 def start_trade_stream(store: TradeStore, responses: DataFrame, checkpoint: str, trigger: dict | None = None,
-                       monotone: bool = False, dedupe_horizon: str | None = None):
+                       monotone: bool = False, dedupe_horizon: str | None = None, strict_batch: bool = False):
     """One query for all symbols; default trigger is the reference's 5-second poll.
     ``dedupe_horizon`` (e.g. ``'1 hour'``) drops repeated pages in the stream first."""
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        ingest_trade_pages(store, df, batch_id=batch_id, monotone=monotone)
+        ingest_trade_pages(store, df, batch_id=batch_id, monotone=monotone, strict_batch=strict_batch)
 
     if dedupe_horizon:
         responses = drop_repeated_pages(responses, dedupe_horizon)

@@ -141,3 +141,13 @@ def test_upsert_partitions_rewrites_only_touched_partitions(spark):
     assert rows(spark.read.parquet(path), "symbol", "v", "ym") == [("A", "x", 202401), ("B", "y2", 202402),
                                                                   ("C", "z", 202402)]
     assert sorted(os.listdir(f"{path}/ym=202401")) == untouched      # never rewritten
+
+
+def test_strict_batch_aborts_before_writing(spark):
+    import pytest
+    from quayside.operators.ingest import RejectedBatch
+    store = TradeStore(spark, scratch_dir(spark, "strict-test"))
+    with pytest.raises(RejectedBatch):
+        ingest_trade_pages(store, _pages(spark, [(1, "10"), (2, "x")]), strict_batch=True)
+    assert store.trades() is None and store.state.versions() == []
+    assert ingest_trade_pages(store, _pages(spark, [(1, "10")]), strict_batch=True)["inserted"] == 1
