@@ -122,11 +122,16 @@ def session_facts(events: DataFrame, user_col: str = "user_id", session_col: str
 
 # --------------------------------------------------------------------------- A10 ticker
 
-def ticker_from_trades(trades: DataFrame, window_hours: int = 24) -> DataFrame:
+def ticker_from_trades(trades: DataFrame, window_hours: int = 24, since=None) -> DataFrame:
     """A10: 24-hour statistics per symbol over (max time - 24 h, max time].
 
     The per-symbol end time is one row per symbol (AQE broadcasts it at run time when it
-    is small); the statistics are one partial/final aggregate."""
+    is small); the statistics are one partial/final aggregate. ``since`` (optional) is a
+    lower bound on trade time known to lie before every symbol's window, e.g. now - 48 h
+    on a live table: it reaches the scan as a partition / row-group filter, so years of
+    history are not read. Without it every trade is read."""
+    if since is not None:
+        trades = trades.filter(F.col("trade_time") >= F.lit(since).cast("timestamp_ntz"))
     end = trades.groupBy("symbol").agg(F.max("trade_time").alias("_end"))
     start = F.timestamp_add("HOUR", F.lit(-window_hours), F.col("_end"))
     w = trades.join(end, "symbol").filter(F.col("trade_time") > start)

@@ -92,3 +92,11 @@ def test_ticker_hot_symbol_partial_aggregation(spark):
     plan = tk._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan and "partial_sum" in plan   # reduced before the shuffle
     assert tk.filter("symbol = 'HOT'").count() == 1
+
+
+def test_ticker_since_bound_prunes_without_changing_result(spark):
+    t = si.agg_trades(spark, SF_MID)
+    full = rows(agg.ticker_from_trades(t))
+    bounded = agg.ticker_from_trades(t, since="2024-01-28 00:00:00")
+    assert rows(bounded) == full
+    assert "trade_time#" in bounded._jdf.queryExecution().optimizedPlan().toString()
