@@ -44,11 +44,12 @@ def keep_first(df: DataFrame, key: list[str], ord_col: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- K06 upsert
 
-def upsert(target: DataFrame, batch: DataFrame, key: list[str], ord_col: str,
+def upsert(target: DataFrame, batch: DataFrame, key: list[str], ord_col: str | None,
            refresh: dict[str, Column] | None = None) -> DataFrame:
     """``ON CONFLICT (key) DO UPDATE``: the last batch row per key replaces the stored
-    row; untouched rows stay. ``refresh`` sets columns such as ``fetched_at = now()``."""
-    latest = keep_last(batch, key, ord_col).drop(ord_col)
+    row; untouched rows stay. ``refresh`` sets columns such as ``fetched_at = now()``.
+    ``ord_col=None`` declares the batch unique per key already (no keep-last aggregate)."""
+    latest = keep_last(batch, key, ord_col).drop(ord_col) if ord_col else batch
     for name, expr in (refresh or {}).items():
         latest = latest.withColumn(name, expr)
     latest = latest.select(*target.columns)
@@ -127,8 +128,7 @@ def advance_marks(state: DataFrame, marks: DataFrame, monotone: bool = False) ->
             F.when(F.col("_old_id").isNull() | (F.col("last_id") >= F.col("_old_id")), F.col("last_timestamp"))
              .otherwise(F.col("_old_ts")).alias("last_timestamp"),
             "updated_at")
-    marks = marks.withColumn("_ord", F.lit(0))
-    return upsert(state, marks, key, "_ord")
+    return upsert(state, marks, key, None)   # one mark per key by construction
 
 
 # --------------------------------------------------------------------------- storage
