@@ -20,7 +20,8 @@ from ..functions.scalar import year_month
 from ..schemas import TABLES
 from ..session import stage
 from .decode import TRADE_COLUMNS, split_trade_items, trade_items
-from .write import VersionedTable, advance_marks, high_water_marks, insert_ignore, path_exists, write_metrics
+from .write import (VersionedTable, advance_marks, high_water_marks, insert_ignore, read_parquet_or_none,
+                    write_metrics)
 
 TRADE_KEY = ["symbol", "agg_trade_id"]
 STATE_SCHEMA = TABLES["crypto.ingest_state"].ddl
@@ -51,9 +52,7 @@ class TradeStore:
     def trades(self) -> DataFrame | None:
         """The stored trades, read with the table schema (an empty first batch leaves a
         folder without data files, which has no schema to infer)."""
-        if not path_exists(self.spark, self.trades_path):
-            return None
-        return self.spark.read.schema(TABLES["crypto.agg_trades"].ddl).parquet(self.trades_path)
+        return read_parquet_or_none(self.spark, self.trades_path, TABLES["crypto.agg_trades"].ddl)
 
     def marks(self) -> DataFrame:
         return self.state.read(STATE_SCHEMA)

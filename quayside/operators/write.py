@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,43 +134,44 @@ def advance_marks(state: DataFrame, marks: DataFrame, monotone: bool = False) ->
 
 # --------------------------------------------------------------------------- storage
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
+def read_parquet_or_none(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The Parquet data at ``path`` read with ``schema``, or None when nothing was written
+    there yet."""
+    try:
+        df = spark.read.schema(schema).parquet(path)
+        df.schema  # resolves the path now
+        return df
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return None
+        raise
 
 
 class VersionedTable:
-    """A table whose rewrites go to ``root/v=NNNNNN``; the newest folder holding a
-    ``_SUCCESS`` marker is current. A failed rewrite leaves the old version current."""
+    """A table whose rewrites go to ``root/v=NNNNNN``. A version becomes current when its
+    row lands in the commit log ``root/_log`` (a small Parquet table), which happens only
+    after its data files are complete: a rewrite that dies half-way leaves the previous
+    version current, and its folder is overwritten by the next attempt."""
+
+    LOG_DDL = "version int, path string, committed_at timestamp_ntz"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _folders(self) -> list[tuple[int, bool]]:
-        """(version, committed) for every ``v=`` folder."""
-        fs, p = _fs(self.spark, self.root)
-        if not fs.exists(p):
-            return []
-        jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("v="):
-                out.append((int(name[2:]), bool(fs.exists(jpath(st.getPath(), "_SUCCESS")))))
-        return sorted(out)
+    def _log(self) -> DataFrame | None:
+        return read_parquet_or_none(self.spark, f"{self.root}/_log", self.LOG_DDL)
 
     def versions(self) -> list[int]:
-        return [v for v, done in self._folders() if done]
+        log = self._log()
+        return [] if log is None else sorted(r[0] for r in log.select("version").collect())
+
+    def current_version(self) -> int | None:
+        log = self._log()
+        return None if log is None else log.agg(F.max("version")).first()[0]
 
     def current_path(self) -> str | None:
-        v = self.versions()
-        return f"{self.root}/v={v[-1]:06d}" if v else None
+        v = self.current_version()
+        return f"{self.root}/v={v:06d}" if v is not None else None
 
     def read(self, schema=None) -> DataFrame | None:
         path = self.current_path()
@@ -178,11 +180,13 @@ class VersionedTable:
         return self.spark.read.parquet(path)
 
     def commit(self, df: DataFrame, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> str:
-        # next number after every folder, committed or not: a write that died half-way
-        # leaves a folder without _SUCCESS, which is skipped, never reused
-        allv = [v for v, _ in self._folders()]
-        path = f"{self.root}/v={(allv[-1] + 1 if allv else 1):06d}"
-        write_layout(df, path, partition_by=partition_by, sort_by=sort_by, mode="errorifexists")
+        v = self.current_version()
+        n = (v + 1) if v is not None else 1
+        path = f"{self.root}/v={n:06d}"
+        write_layout(df, path, partition_by=partition_by, sort_by=sort_by, mode="overwrite")
+        entry = self.spark.createDataFrame([(n, path)], "version int, path string") \
+                          .withColumn("committed_at", F.localtimestamp())
+        entry.coalesce(1).write.mode("append").parquet(f"{self.root}/_log")   # the commit point
         return path
 
 
@@ -326,8 +330,9 @@ def upsert_partitions(spark: SparkSession, path: str, batch: DataFrame, key: lis
     values rewritten."""
     from ..session import stage
     touched = [r[0] for r in batch.select(partition_col).distinct().collect()]   # a few months
-    if path_exists(spark, path):
-        current = spark.read.parquet(path).filter(F.col(partition_col).isin(touched))
+    stored = read_parquet_or_none(spark, path, batch.drop(ord_col).schema if ord_col else batch.schema)
+    if stored is not None:
+        current = stored.filter(F.col(partition_col).isin(touched))
         merged = upsert(current, batch, key, ord_col, refresh)
     else:
         latest = keep_last(batch, key, ord_col).drop(ord_col)

@@ -56,10 +56,10 @@ def test_versioned_table_commits_new_versions(spark):
     vt.commit(spark.range(3))
     vt.commit(vt.read().filter("id > 0"))
     assert vt.versions() == [1, 2] and vt.read().count() == 2
-    spark.range(1).write.parquet(f"{vt.root}/v=000003/_tmp_partial")   # a crashed write: no _SUCCESS
-    assert vt.versions() == [1, 2]
-    vt.commit(spark.range(5))
-    assert vt.versions() == [1, 2, 4] and vt.read().count() == 5
+    spark.range(7).write.parquet(f"{vt.root}/v=000003")   # a crashed rewrite: data but no log row
+    assert vt.versions() == [1, 2] and vt.read().count() == 2
+    vt.commit(spark.range(5))                               # takes over the abandoned folder
+    assert vt.versions() == [1, 2, 3] and vt.read().count() == 5
 
 
 def test_bootstrap_twice_is_idempotent(spark):
