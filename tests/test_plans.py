@@ -11,9 +11,10 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_cartesian_or_nested_loop(spark, name):
+def test_no_cartesian_nested_loop_or_python(spark, name):
     p = plan_of(entry.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    assert "EvalPython" not in p and "FlatMapGroupsInPandas" not in p   # everything stays in the JVM
 
 
 def test_projection_pruned_at_scan(spark):
