@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import whole_number_text
@@ -46,10 +46,16 @@ def response_disposition(responses: DataFrame) -> DataFrame:
 
 
 def weight_budget(responses: DataFrame) -> DataFrame:
-    """Weight spent per minute and endpoint against the per-minute budget."""
+    """Weight spent per minute and endpoint against the per-minute budget, plus the
+    minute's total over all endpoints (the budget is shared by the whole client) and
+    whether that total exceeds it. The total is a window over the aggregated rows (a
+    handful of endpoints per minute), not over the responses."""
     minute = F.window("fetched_at", "1 minute").start
     g = responses.groupBy(minute.alias("minute_start"), "endpoint").agg(
         F.sum(request_weight(F.col("endpoint"))).cast("bigint").alias("weight_used"),
         F.count(F.lit(1)).alias("requests"))
-    return g.withColumn("budget_pct",
-                        F.round(F.col("weight_used").cast("double") * 100.0 / WEIGHT_BUDGET_PER_MINUTE, 3))
+    total = F.sum("weight_used").over(Window.partitionBy("minute_start")).cast("bigint")
+    return (g.withColumn("budget_pct",
+                         F.round(F.col("weight_used").cast("double") * 100.0 / WEIGHT_BUDGET_PER_MINUTE, 3))
+             .withColumn("minute_weight", total)
+             .withColumn("over_budget", F.col("minute_weight") > WEIGHT_BUDGET_PER_MINUTE))

@@ -341,12 +341,14 @@ SQL["weight_alerts"] = f"""SELECT event_id, endpoint, TRY_CAST(used_weight AS IN
                  WHEN CAST(used_weight AS BIGINT) >= 4800 THEN 'warn' ELSE 'ok' END AS alert
   FROM ({RESPONSES})) WHERE alert IN ('warn', 'pause')"""
 
-SQL["weight_budget"] = f"""SELECT date_trunc('minute', fetched_at) AS minute_start, endpoint,
-       CAST(sum(CASE WHEN endpoint = 'exchangeInfo' THEN 20 ELSE 2 END) AS BIGINT) AS weight_used,
-       count(*) AS requests,
-       round(CAST(sum(CASE WHEN endpoint = 'exchangeInfo' THEN 20 ELSE 2 END) AS DOUBLE) * 100.0 / 5000, 3)
-         AS budget_pct
-FROM ({RESPONSES}) GROUP BY 1, 2"""
+SQL["weight_budget"] = f"""SELECT *, CAST(sum(weight_used) OVER (PARTITION BY minute_start) AS BIGINT) AS minute_weight,
+       sum(weight_used) OVER (PARTITION BY minute_start) > 5000 AS over_budget
+FROM (SELECT date_trunc('minute', fetched_at) AS minute_start, endpoint,
+             CAST(sum(CASE WHEN endpoint = 'exchangeInfo' THEN 20 ELSE 2 END) AS BIGINT) AS weight_used,
+             count(*) AS requests,
+             round(CAST(sum(CASE WHEN endpoint = 'exchangeInfo' THEN 20 ELSE 2 END) AS DOUBLE) * 100.0 / 5000, 3)
+               AS budget_pct
+      FROM ({RESPONSES}) GROUP BY 1, 2)"""
 
 SQL["bootstrap_twice"] = " UNION ALL ".join(
     [f"SELECT '{t}' AS table_name, count(*) AS row_count FROM events" if t == "app.events"
