@@ -100,3 +100,13 @@ def test_ticker_since_bound_prunes_without_changing_result(spark):
     bounded = agg.ticker_from_trades(t, since="2024-01-28 00:00:00")
     assert rows(bounded) == full
     assert "trade_time#" in bounded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weight_budget_minute_total(spark):
+    d = dt.datetime(2024, 1, 1, 0, 0, 5)
+    r = spark.createDataFrame([("exchangeInfo", d)] * 200 + [("aggTrades", d)] * 600 + [("aggTrades", d.replace(minute=1))],
+                              "endpoint string, fetched_at timestamp_ntz")
+    got = rows(telemetry.weight_budget(r), "minute_start", "endpoint", "weight_used", "minute_weight", "over_budget")
+    assert got == [(dt.datetime(2024, 1, 1, 0, 0), "aggTrades", 1200, 5200, True),
+                   (dt.datetime(2024, 1, 1, 0, 0), "exchangeInfo", 4000, 5200, True),
+                   (dt.datetime(2024, 1, 1, 0, 1), "aggTrades", 2, 2, False)]
