@@ -160,21 +160,35 @@ def ticker_from_trades(trades: DataFrame, window_hours: int = 24, since=None) ->
 
 # --------------------------------------------------------------------------- W01 stock
 
-def stock_snapshot(movements: DataFrame, reserved: int = 0, reorder_point: int = 0) -> DataFrame:
+def stock_snapshot(movements: DataFrame, reserved: int = 0, reorder_point: int = 0,
+                   stock_levels: DataFrame | None = None) -> DataFrame:
     """On-hand stock per (day, warehouse, product) from signed movements.
 
     Movements are first summed per day (partial aggregate), so the running window sees
     one row per (product, warehouse, day with a movement): bounded by the number of
-    days, however many movements a hot product has."""
+    days, however many movements a hot product has. Reserved quantity and reorder point
+    are the scalars given, or per (warehouse, product) from ``stock_levels``
+    (``warehouse_id, product_id, quantity_reserved, reorder_point``), joined on the key
+    the window already partitions by."""
     daily = movements.groupBy(F.to_date("movement_timestamp").alias("snapshot_date"), "warehouse_id",
                               "product_id").agg(
         F.sum("quantity").alias("_net"), F.max(F.col("quantity") > 0).alias("_inbound"))
     w = Window.partitionBy("warehouse_id", "product_id").orderBy("snapshot_date") \
               .rowsBetween(Window.unboundedPreceding, 0)
-    on_hand = F.sum("_net").over(w).cast("bigint")
-    return daily.select(
+    snap = daily.select(
         "snapshot_date", "warehouse_id", "product_id",
-        on_hand.alias("quantity_on_hand"), F.lit(reserved).cast("bigint").alias("quantity_reserved"),
-        (on_hand - F.lit(reserved)).alias("quantity_available"),
-        F.max(F.when(F.col("_inbound"), F.col("snapshot_date"))).over(w).alias("last_restock_date"),
-        F.lit(reorder_point).cast("bigint").alias("reorder_point"))
+        F.sum("_net").over(w).cast("bigint").alias("quantity_on_hand"),
+        F.max(F.when(F.col("_inbound"), F.col("snapshot_date"))).over(w).alias("last_restock_date"))
+    if stock_levels is not None:
+        lv = stock_levels.select("warehouse_id", "product_id",
+                                 F.col("quantity_reserved").cast("bigint").alias("_res"),
+                                 F.col("reorder_point").cast("bigint").alias("_rop"))
+        snap = snap.join(lv, on=["warehouse_id", "product_id"], how="left")
+        res = F.coalesce(F.col("_res"), F.lit(reserved).cast("bigint"))
+        rop = F.coalesce(F.col("_rop"), F.lit(reorder_point).cast("bigint"))
+    else:
+        res, rop = F.lit(reserved).cast("bigint"), F.lit(reorder_point).cast("bigint")
+    return snap.select(
+        "snapshot_date", "warehouse_id", "product_id", "quantity_on_hand",
+        res.alias("quantity_reserved"), (F.col("quantity_on_hand") - res).alias("quantity_available"),
+        "last_restock_date", rop.alias("reorder_point"))

@@ -110,3 +110,14 @@ def test_weight_budget_minute_total(spark):
     assert got == [(dt.datetime(2024, 1, 1, 0, 0), "aggTrades", 1200, 5200, True),
                    (dt.datetime(2024, 1, 1, 0, 0), "exchangeInfo", 4000, 5200, True),
                    (dt.datetime(2024, 1, 1, 0, 1), "aggTrades", 2, 2, False)]
+
+
+def test_stock_snapshot_with_stock_levels(spark):
+    d = dt.datetime
+    m = spark.createDataFrame([(1, 1, 5, d(2024, 1, 1)), (2, 1, 9, d(2024, 1, 1))],
+                              "product_id long, warehouse_id int, quantity int, movement_timestamp timestamp_ntz")
+    levels = spark.createDataFrame([(1, 1, 2, 10)], "warehouse_id int, product_id long, quantity_reserved int, "
+                                                    "reorder_point int")
+    got = rows(agg.stock_snapshot(m, stock_levels=levels), "product_id", "quantity_on_hand", "quantity_reserved",
+               "quantity_available", "reorder_point")
+    assert got == [(1, 5, 2, 3, 10), (2, 9, 0, 9, 0)]
