@@ -65,6 +65,27 @@ def daily_rollup(df: DataFrame, ts_col: str, value_col: str, dim_col: str, user_
         "unique_users")
 
 
+def daily_rollup_metrics(df: DataFrame, ts_col: str, metrics: dict[str, str], dim_col: str, user_col: str,
+                         value_type: str = "decimal(18,2)") -> DataFrame:
+    """A08 for several metrics in one pass: the metric columns are unpivoted into
+    (metric_name, value) rows, then one aggregate keyed by (day, metric, dimension)."""
+    names = list(metrics)
+    base = df.select(F.col(ts_col).alias("_ts"), F.col(dim_col).alias("_dim"), F.col(user_col).alias("_user"),
+                     *[F.col(c).cast(value_type).alias(n) for n, c in metrics.items()])
+    long = base.unpivot(["_ts", "_dim", "_user"], names, "_metric", "_value")
+    g = long.groupBy(F.to_date("_ts").alias("dt"), F.col("_metric").alias("metric_name"),
+                     F.col("_dim").alias("dimension_key"))
+    out = g.agg(F.count(F.lit(1)).alias("total_count"), F.sum("_value").alias("_sum"),
+                F.min("_value").alias("_min"), F.max("_value").alias("_max"),
+                F.count_distinct("_user").alias("unique_users"))
+    return out.select(
+        "dt", "metric_name", "dimension_key", "total_count",
+        F.col("_sum").cast("double").alias("total_sum"),
+        F.col("_min").cast("double").alias("min_value"), F.col("_max").cast("double").alias("max_value"),
+        (F.col("_sum").cast("double") / F.col("total_count")).alias("avg_value"),
+        "unique_users")
+
+
 # --------------------------------------------------------------------------- A09 sessions
 
 def sessionize(df: DataFrame, user_col: str, ts_col: str, id_col: str, gap_seconds: int,

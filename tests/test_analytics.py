@@ -121,3 +121,12 @@ def test_stock_snapshot_with_stock_levels(spark):
     got = rows(agg.stock_snapshot(m, stock_levels=levels), "product_id", "quantity_on_hand", "quantity_reserved",
                "quantity_available", "reorder_point")
     assert got == [(1, 5, 2, 3, 10), (2, 9, 0, 9, 0)]
+
+
+def test_daily_rollup_many_metrics_equals_one_by_one(spark):
+    e = spark.read.parquet(f"{SF_MID}/events.parquet").withColumn(
+        "k", F.get_json_object("props", "$.k").cast("double"))
+    both = agg.daily_rollup_metrics(e, "ts", {"value": "value", "k": "k"}, "event_type", "user_id")
+    one = agg.daily_rollup(e, "ts", "value", "event_type", "user_id", "value").unionByName(
+        agg.daily_rollup(e, "ts", "k", "event_type", "user_id", "k"))
+    assert rows(both) == rows(one)
