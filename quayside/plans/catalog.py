@@ -202,7 +202,7 @@ def stream_books(spark: SparkSession, sf: str) -> DataFrame:
     snapshot headers and levels; the levels are read back with their header."""
     src, ck, root = (scratch_dir(spark, n) for n in ("books-src", "books-ck", "books-store"))
     si.order_books(spark, sf, BOOK_DEPTH).write.json(src)
-    q = start_book_stream(root, response_stream(spark, src, max_files_per_trigger=4), ck,
+    q = start_book_stream(root, response_stream(spark, src, max_files_per_trigger=8), ck,
                           trigger={"availableNow": True})
     run_available(q)
     lv = spark.read.parquet(f"{root}/orderbook_levels").drop("batch_id")
