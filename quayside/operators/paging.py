@@ -18,17 +18,22 @@ def state_lookup(wanted: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def incremental_page(trades: DataFrame, state: DataFrame, limit: int = PAGE_LIMIT,
-                     worker_type: str = "agg_trades") -> DataFrame:
+                     worker_type: str = "agg_trades", salt_buckets: int = 64) -> DataFrame:
     """The next page per symbol: ids >= ``last_id + 1`` in id order, at most ``limit``;
     a symbol without state gets its newest ``limit`` rows.
 
-    ``row_number() <= limit`` over a per-symbol window is planned with a partial group
-    limit before the shuffle (WindowGroupLimit), so at most ``limit`` rows per symbol and
-    map task cross the network even when one symbol holds most of the data."""
+    Top-k in two exact levels, so a symbol holding a third of all rows never lands in one
+    task: first the top ``limit`` per (symbol, salt) with salt = hash(id) mod
+    ``salt_buckets``, then the top ``limit`` per symbol over at most
+    ``salt_buckets * limit`` survivors. Each ``row_number() <= limit`` is planned with a
+    partial group limit before its shuffle (WindowGroupLimit)."""
     marks = state.filter(F.col("worker_type") == worker_type).select("symbol", "last_id")
     j = trades.join(marks, on="symbol", how="left")
     j = j.filter(F.col("last_id").isNull() | (F.col("agg_trade_id") >= F.col("last_id") + 1))
     order = F.when(F.col("last_id").isNull(), -F.col("agg_trade_id")).otherwise(F.col("agg_trade_id"))
-    w = Window.partitionBy("symbol").orderBy(order)
-    return j.withColumn("page_row", F.row_number().over(w)).filter(F.col("page_row") <= limit) \
-            .withColumn("from_state", F.col("last_id").isNotNull()).drop("last_id")
+    salted = j.withColumn("_salt", F.pmod(F.xxhash64("agg_trade_id"), F.lit(salt_buckets)))
+    w1 = Window.partitionBy("symbol", "_salt").orderBy(order)
+    first = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= limit).drop("_r", "_salt")
+    w2 = Window.partitionBy("symbol").orderBy(order)
+    return first.withColumn("page_row", F.row_number().over(w2)).filter(F.col("page_row") <= limit) \
+                .withColumn("from_state", F.col("last_id").isNotNull()).drop("last_id")
