@@ -2,7 +2,6 @@ import datetime as dt
 import json
 from decimal import Decimal
 
-
 from conftest import rows
 from quayside.operators.decode import decode_agg_trades, decode_events, decode_order_book, decode_symbols, decode_ticker
 from quayside.schemas import RESPONSE_DDL
