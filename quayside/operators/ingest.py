@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import year_month
@@ -86,8 +86,11 @@ def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int =
     metrics = write_metrics(batch, staged, "symbol").withColumn("batch_id", F.lit(batch_id))
     staged.write.mode("append").partitionBy("ym").parquet(store.trades_path)
     dec.rejects.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(store.rejects_path)
-    metrics.write.mode("append").parquet(store.metrics_path)
+    totals = Observation(f"trade-batch-{batch_id}")   # K12 totals seen by the metrics write itself
+    metrics.observe(totals, F.sum("attempted").alias("attempted"), F.sum("inserted").alias("inserted")) \
+           .write.mode("append").parquet(store.metrics_path)
     marks = high_water_marks(items.select("symbol", "agg_trade_id", "trade_time"))
-    store.state.commit(advance_marks(store.marks(), marks, monotone=monotone))
-    tot = metrics.agg(F.sum("attempted").alias("attempted"), F.sum("inserted").alias("inserted")).first()
-    return {"attempted": int(tot["attempted"] or 0), "inserted": int(tot["inserted"] or 0)}
+    state = store.state
+    state.commit(advance_marks(state.read(STATE_SCHEMA), marks, monotone=monotone))
+    tot = totals.get
+    return {"attempted": int(tot.get("attempted") or 0), "inserted": int(tot.get("inserted") or 0)}

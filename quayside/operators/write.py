@@ -157,6 +157,7 @@ class VersionedTable:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._known: int | None = None   # version this object committed or last saw
 
     def _log(self) -> DataFrame | None:
         return read_parquet_or_none(self.spark, f"{self.root}/_log", self.LOG_DDL)
@@ -165,9 +166,14 @@ class VersionedTable:
         log = self._log()
         return [] if log is None else sorted(r[0] for r in log.select("version").collect())
 
-    def current_version(self) -> int | None:
-        log = self._log()
-        return None if log is None else log.agg(F.max("version")).first()[0]
+    def current_version(self, refresh: bool = False) -> int | None:
+        """Newest committed version. The log is read once per object; later calls reuse the
+        number this object committed or saw (``refresh=True`` re-reads it, for tables that
+        another writer may have advanced meanwhile)."""
+        if self._known is None or refresh:
+            log = self._log()
+            self._known = None if log is None else log.agg(F.max("version")).first()[0]
+        return self._known
 
     def current_path(self) -> str | None:
         v = self.current_version()
@@ -187,6 +193,7 @@ class VersionedTable:
         entry = self.spark.createDataFrame([(n, path)], "version int, path string") \
                           .withColumn("committed_at", F.localtimestamp())
         entry.coalesce(1).write.mode("append").parquet(f"{self.root}/_log")   # the commit point
+        self._known = n
         return path
 
 
