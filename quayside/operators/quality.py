@@ -87,13 +87,17 @@ def threshold_report(checks: list[tuple[str, DataFrame, str, int]]) -> DataFrame
     """``(check_name, actual, minimum, status)`` per check plus an ``ALL`` row whose
     status is PASS only if every check passes.
 
-    A check is ``(name, one_row_df, column, minimum)``. Several checks may read columns
-    of the same one-row aggregate: its exchange is planned once and reused, so each
-    source table is scanned once. The verdict is folded over the collected check rows,
-    whose number is the number of checks."""
-    rows = [df.select(F.lit(name).alias("check_name"), F.col(col).cast("bigint").alias("actual"),
-                      F.lit(minimum).cast("bigint").alias("minimum"))
-            for name, df, col, minimum in checks]
+    A check is ``(name, one_row_df, column, minimum)``. Checks reading the same one-row
+    aggregate are produced by one ``stack`` over that row, so every source appears once
+    in the plan and is computed once. The verdict is folded over the collected check
+    rows, whose number is the number of checks."""
+    by_source: dict[int, tuple[DataFrame, list]] = {}
+    for name, df, col, minimum in checks:
+        by_source.setdefault(id(df), (df, []))[1].append((name, col, minimum))
+    rows = []
+    for df, items in by_source.values():
+        cells = ", ".join(f"'{n}', CAST(`{c}` AS BIGINT), CAST({int(m)} AS BIGINT)" for n, c, m in items)
+        rows.append(df.selectExpr(f"stack({len(items)}, {cells}) AS (check_name, actual, minimum)"))
     allc = reduce(DataFrame.unionByName, rows).withColumn(
         "status", F.when(F.col("actual") >= F.col("minimum"), "PASS").otherwise("FAIL"))
     folded = allc.agg(F.collect_list(F.struct("check_name", "actual", "minimum", "status")).alias("rs"))
