@@ -133,9 +133,13 @@ def session_facts(events: DataFrame, user_col: str = "user_id", session_col: str
         F.sum(F.col(duration_col).cast("decimal(18,2)")).cast("double").alias("total_duration_seconds"),
         F.min_by(url_col, order).alias("entry_url"), F.max_by(url_col, order).alias("exit_url"),
         F.min_by(device_col, order).alias("device_type"))
+    if session_col == "session_id":          # real input: the table's own session id
+        ident = [F.col("session_id"), F.col(user_col)]
+    else:                                    # derived sessions: numbered per user
+        ident = [F.concat_ws("-", F.col(user_col).cast("string"), F.col(session_col).cast("string"))
+                 .alias("session_id"), F.col(user_col), F.col(session_col)]
     return out.select(
-        F.concat_ws("-", F.col(user_col).cast("string"), F.col(session_col).cast("string")).alias("session_id"),
-        user_col, session_col, "started_at", "ended_at", "page_count",
+        *ident, "started_at", "ended_at", "page_count",
         F.timestamp_diff("SECOND", F.col("started_at"), F.col("ended_at")).alias("session_seconds"),
         "total_duration_seconds", (F.col("page_count") == 1).alias("is_bounce"),
         "entry_url", "exit_url", "device_type")

@@ -131,3 +131,16 @@ def test_daily_rollup_many_metrics_equals_one_by_one(spark):
     one = agg.daily_rollup(e, "ts", "value", "event_type", "user_id", "value").unionByName(
         agg.daily_rollup(e, "ts", "k", "event_type", "user_id", "k"))
     assert rows(both) == rows(one)
+
+
+def test_session_facts_on_real_session_ids(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame(
+        [(1, 7, "s-a", t0, "/a", 1.5, "mobile"), (2, 7, "s-a", t0 + dt.timedelta(seconds=90), "/b", 2.0, "mobile"),
+         (3, 7, "s-b", t0 + dt.timedelta(days=1), "/c", 0.5, "desktop")],
+        "event_id long, user_id long, session_id string, event_timestamp timestamp_ntz, page_url string, "
+        "duration_seconds double, device_type string")
+    out = agg.session_facts(ev, session_col="session_id")
+    assert out.columns.count("session_id") == 1
+    assert rows(out, "session_id", "page_count", "session_seconds", "entry_url", "exit_url", "is_bounce") == [
+        ("s-a", 2, 90, "/a", "/b", False), ("s-b", 1, 0, "/c", "/c", True)]
