@@ -199,7 +199,8 @@ def book_with_header(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_books(spark: SparkSession, sf: str) -> DataFrame:
     """T04 + K10 in a stream: book responses arrive as files; every micro-batch writes
-    snapshot headers and levels; the levels are read back with their header."""
+    snapshot headers and levels (idempotently per batch id); the stored levels are read
+    back."""
     src, ck, root = (scratch_dir(spark, n) for n in ("books-src", "books-ck", "books-store"))
     si.order_books(spark, sf, BOOK_DEPTH).write.json(src)
     q = start_book_stream(root, response_stream(spark, src, max_files_per_trigger=8), ck,
