@@ -179,3 +179,19 @@ def test_month_filter_prunes_partitions(spark):
     q = spark.read.parquet(path).filter(month_filter("ts", "2024-02-01 00:00:00", "2024-02-28 00:00:00"))
     assert rows(q, "v") == [(2,)]
     assert "(ym#" in q._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_layout_spreads_a_hot_month_over_several_files(spark):
+    import os
+    path = scratch_dir(spark, "hot-month")
+    t = spark.range(0, 20000).select((F.col("id") % 7).alias("user_id"),
+                                     F.when(F.col("id") % 10 == 0, 202402).otherwise(202401).alias("ym"),
+                                     F.col("id").alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_layout(t, path, partition_by=("ym",), sort_by=("user_id", "ts"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    hot = [f for f in os.listdir(f"{path}/ym=202401") if f.endswith(".parquet")]
+    assert len(hot) > 1                                     # the 90 % month is written by several tasks
+    assert spark.read.parquet(path).count() == 20000
