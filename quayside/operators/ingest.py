@@ -20,8 +20,7 @@ from ..functions.scalar import year_month
 from ..schemas import TABLES
 from ..session import stage
 from .decode import TRADE_COLUMNS, split_trade_items, trade_items
-from .write import (VersionedTable, advance_marks, high_water_marks, insert_ignore, read_parquet_or_none,
-                    write_metrics)
+from .write import VersionedTable, advance_marks, ensure_table, high_water_marks, insert_ignore, write_metrics
 
 TRADE_KEY = ["symbol", "agg_trade_id"]
 STATE_SCHEMA = TABLES["crypto.ingest_state"].ddl
@@ -49,10 +48,12 @@ class TradeStore:
     def state(self) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.root}/ingest_state")
 
-    def trades(self) -> DataFrame | None:
-        """The stored trades, read with the table schema (an empty first batch leaves a
-        folder without data files, which has no schema to infer)."""
-        return read_parquet_or_none(self.spark, self.trades_path, TABLES["crypto.agg_trades"].ddl)
+    def trades(self) -> DataFrame:
+        """The stored trades, read with the table schema (the table is created empty on
+        first use, so there is never a missing path to probe)."""
+        ddl = TABLES["crypto.agg_trades"].ddl
+        ensure_table(self.spark, self.trades_path, ddl, ("ym",))
+        return self.spark.read.schema(ddl).parquet(self.trades_path)
 
     def marks(self) -> DataFrame:
         return self.state.read(STATE_SCHEMA)
@@ -89,8 +90,8 @@ def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int =
     totals = Observation(f"trade-batch-{batch_id}")   # K12 totals seen by the metrics write itself
     metrics.observe(totals, F.sum("attempted").alias("attempted"), F.sum("inserted").alias("inserted")) \
            .write.mode("append").parquet(store.metrics_path)
+    tot = totals.get          # collected at once: the observation is finished before the next query
     marks = high_water_marks(items.select("symbol", "agg_trade_id", "trade_time"))
     state = store.state
     state.commit(advance_marks(state.read(STATE_SCHEMA), marks, monotone=monotone))
-    tot = totals.get
     return {"attempted": int(tot.get("attempted") or 0), "inserted": int(tot.get("inserted") or 0)}

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,17 +133,13 @@ def advance_marks(state: DataFrame, marks: DataFrame, monotone: bool = False) ->
 
 # --------------------------------------------------------------------------- storage
 
-def read_parquet_or_none(spark: SparkSession, path: str, schema) -> DataFrame | None:
-    """The Parquet data at ``path`` read with ``schema``, or None when nothing was written
-    there yet."""
-    try:
-        df = spark.read.schema(schema).parquet(path)
-        df.schema  # resolves the path now
-        return df
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return None
-        raise
+def ensure_table(spark: SparkSession, path: str, schema, partition_by: tuple[str, ...] = ()) -> None:
+    """Create the folder of a Parquet table if it does not exist (an empty append: writes no
+    rows, idempotent), so later reads with an explicit schema never hit a missing path."""
+    w = spark.createDataFrame([], schema).write.mode("append")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
 
 
 class VersionedTable:
@@ -159,20 +154,20 @@ class VersionedTable:
         self.spark, self.root = spark, root.rstrip("/")
         self._known: int | None = None   # version this object committed or last saw
 
-    def _log(self) -> DataFrame | None:
-        return read_parquet_or_none(self.spark, f"{self.root}/_log", self.LOG_DDL)
+    def _log(self) -> DataFrame:
+        path = f"{self.root}/_log"
+        ensure_table(self.spark, path, self.LOG_DDL)
+        return self.spark.read.schema(self.LOG_DDL).parquet(path)
 
     def versions(self) -> list[int]:
-        log = self._log()
-        return [] if log is None else sorted(r[0] for r in log.select("version").collect())
+        return sorted(r[0] for r in self._log().select("version").collect())
 
     def current_version(self, refresh: bool = False) -> int | None:
         """Newest committed version. The log is read once per object; later calls reuse the
         number this object committed or saw (``refresh=True`` re-reads it, for tables that
         another writer may have advanced meanwhile)."""
         if self._known is None or refresh:
-            log = self._log()
-            self._known = None if log is None else log.agg(F.max("version")).first()[0]
+            self._known = self._log().agg(F.max("version")).first()[0]
         return self._known
 
     def current_path(self) -> str | None:
@@ -337,15 +332,12 @@ def upsert_partitions(spark: SparkSession, path: str, batch: DataFrame, key: lis
     values rewritten."""
     from ..session import stage
     touched = [r[0] for r in batch.select(partition_col).distinct().collect()]   # a few months
-    stored = read_parquet_or_none(spark, path, batch.drop(ord_col).schema if ord_col else batch.schema)
-    if stored is not None:
-        current = stored.filter(F.col(partition_col).isin(touched))
-        merged = upsert(current, batch, key, ord_col, refresh)
-    else:
-        latest = keep_last(batch, key, ord_col).drop(ord_col)
-        for name, expr in (refresh or {}).items():
-            latest = latest.withColumn(name, expr)
-        merged = latest
+    schema = batch.drop(ord_col).schema if ord_col else batch.schema
+    for name, expr in (refresh or {}).items():
+        schema = batch.drop(ord_col).withColumn(name, expr).schema
+    ensure_table(spark, path, schema, (partition_col,))
+    current = spark.read.schema(schema).parquet(path).filter(F.col(partition_col).isin(touched))
+    merged = upsert(current, batch, key, ord_col, refresh)
     staged = stage(merged, "upsert")
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy(partition_col).parquet(path))
