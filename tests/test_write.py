@@ -195,3 +195,14 @@ def test_layout_spreads_a_hot_month_over_several_files(spark):
     hot = [f for f in os.listdir(f"{path}/ym=202401") if f.endswith(".parquet")]
     assert len(hot) > 1                                     # the 90 % month is written by several tasks
     assert spark.read.parquet(path).count() == 20000
+
+
+def test_ensure_table_is_idempotent_and_keeps_rows(spark):
+    from quayside.operators.write import ensure_table
+    path = scratch_dir(spark, "ensure")
+    ddl = "k string, v int, ym int"
+    ensure_table(spark, path, ddl, ("ym",))
+    assert spark.read.schema(ddl).parquet(path).count() == 0
+    spark.createDataFrame([("a", 1, 202401)], ddl).write.mode("append").partitionBy("ym").parquet(path)
+    ensure_table(spark, path, ddl, ("ym",))
+    assert rows(spark.read.schema(ddl).parquet(path), "k", "v", "ym") == [("a", 1, 202401)]
