@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # White space of the word rule ``[^\x20\x09-\x0D]+`` used across the corpus operators.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(),
           "int": pa.int32(), "binary": pa.binary()}
+_SPARK = {"bigint": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(),
+          "int": T.IntegerType(), "binary": T.BinaryType()}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def map_texts(docs: DataFrame, fn: Callable[[list[str]], dict[str, list]], schem
     has the key column and those columns.
     """
     src = docs.select(F.col(key).alias("k"), clean_text(text_col).cast("binary").alias("t"))
-    out_schema = ", ".join([f"`{key}` {docs.schema[key].dataType.simpleString()}", *(f"`{c}` {t}" for c, t in schema.items())])
+    out_schema = T.StructType([T.StructField(key, src.schema["k"].dataType), *(T.StructField(c, _SPARK[t]) for c, t in schema.items())])
     names = list(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

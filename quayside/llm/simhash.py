@@ -23,6 +23,7 @@ smallest id of its linked group. Steps:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text_col:
     """The key and ``fp``, the fingerprint as a signed long. Null texts have no words."""
     def fn(texts: list[str]) -> dict[str, list]:
         out = [fingerprint(t.encode("utf-8"), width) for t in texts]
-        return {"fp": [x - (1 << 64) if x >> 63 else x for x in out]}
+        return {"fp": [_long(x) for x in out]}
 
     return map_texts(docs, fn, {"fp": "bigint"}, key, text_col)
 
@@ -146,9 +147,13 @@ def allocate(cost: list[list[float]], total: int) -> list[int]:
     return best[total][1]
 
 
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _value(fp, group: list[int]):
-    """The group's bits of a fingerprint, packed into a long."""
-    return sum((F.shiftleft(F.shiftrightunsigned(fp, b).bitwiseAND(F.lit(1).cast("long")), i) for i, b in enumerate(group)), F.lit(0).cast("long"))
+    """The group's bits of a fingerprint, in their places (all other bits zero)."""
+    return fp.bitwiseAND(F.lit(_long(sum(1 << b for b in group))))
 
 
 def thresholds(nodes: DataFrame, n: int, both: np.ndarray, groups: list[list[int]], k: int) -> list[int]:
@@ -173,12 +178,9 @@ def thresholds(nodes: DataFrame, n: int, both: np.ndarray, groups: list[list[int
     return allocate(cost, k - len(groups) + 1)
 
 
-def _masks(group_size: int, radius: int) -> list[int]:
-    out, layer = [0], [0]
-    for _ in range(radius):
-        layer = sorted({m | 1 << b for m in layer for b in range(group_size) if not m >> b & 1})
-        out += layer
-    return out
+def _masks(group: list[int], radius: int) -> list[int]:
+    """All changes of up to ``radius`` of the group's bits."""
+    return [_long(sum(1 << b for b in bits)) for r in range(radius + 1) for bits in combinations(group, r)]
 
 
 # -- probing and verifying -------------------------------------------------------------
@@ -247,10 +249,13 @@ def fingerprint_links(nodes: DataFrame, k: int = 3, block: int = 256, partitions
     m = partitions or partition_count(max(n, 1), k)
     groups = group_bits(n, both, m)
     radius = thresholds(nodes, n, both, groups, k)
-    fp = F.col("fp")
-    filed = [F.struct(F.lit(i).alias("part"), _value(fp, g).bitwiseXOR(F.lit(mask).cast("long")).alias("v"))
-             for i, (g, t) in enumerate(zip(groups, radius)) if t >= 0 for mask in _masks(len(g), t)]
-    entries = nodes.select("fp", F.explode(F.array(*filed)).alias("x")).select("fp", "x.part", "x.v")
+
+    def filed(part: int, group: list[int], t: int):
+        return F.transform(F.array(*(F.lit(x) for x in _masks(group, t))),
+                           lambda mask: F.struct(F.lit(part).alias("part"), _value(F.col("fp"), group).bitwiseXOR(mask).alias("v")))
+
+    used = [filed(i, g, t) for i, (g, t) in enumerate(zip(groups, radius)) if t >= 0]
+    entries = nodes.select("fp", F.explode(F.concat(*used)).alias("x")).select("fp", "x.part", "x.v")
     # values shared by many entries are cut into blocks; there are at most entries / block of
     # them, and they are broadcast only if there are few (otherwise Spark picks the join)
     hot = stage(entries.groupBy("part", "v").count().where(F.col("count") > block), "hot-values")
@@ -269,7 +274,8 @@ def fingerprint_links(nodes: DataFrame, k: int = 3, block: int = 256, partitions
 # -- connected components --------------------------------------------------------------
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node with an edge; root is the smallest node of its component.
+    """(node, root) for every node with an edge but the roots themselves; root is the
+    smallest node of its component.
 
     Alternating star contractions: first every node sends its larger neighbours to its
     smallest one, then the smaller. Each half round is a partial-min aggregate and a join of
@@ -332,11 +338,12 @@ def keep_one(docs: DataFrame, width: int = 3, k: int = 3, key: str = "doc_id", t
     first = keyed.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("fp").alias("f"))).alias("x"))
     reps = stage(first.select("x.k", "x.f"), "representatives")
     twice = stage(keyed.groupBy(F.col(key).alias("k")).count().where("count > 1").select("k"), "repeated-keys")
-    single = docs.join(reps.join(twice, reps.k.eqNullSafe(twice.k), "left_anti"), docs[key].eqNullSafe(F.col("k")), "left_semi")
+    once = reps.join(twice, reps.k.eqNullSafe(twice.k), "left_anti").select(F.col("k").alias("once_key"))
+    single = docs.join(once, docs[key].eqNullSafe(once["once_key"]), "left_semi")
     if twice.isEmpty():
         return single
     cols = docs.columns
-    many = docs.join(twice, docs[key].eqNullSafe(F.col("k")), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"))
+    many = docs.join(twice, docs[key].eqNullSafe(twice["k"]), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"))
     hashed = fingerprints(many.select("row", F.col(f"row.`{text_col}`").alias("t")), width, "row", "t")
     row_key = F.col(f"row.`{key}`")
     of_reps = hashed.join(reps, row_key.eqNullSafe(F.col("k")) & (F.col("fp") == F.col("f")), "left_semi")
