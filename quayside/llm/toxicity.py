@@ -125,7 +125,16 @@ class KernelSvm:
         return out
 
     def margins(self, words: list[str]) -> np.ndarray:
-        return np.concatenate([self.kernel(words[i:i + 2048]) @ self.weights + self.bias for i in range(0, len(words), 2048)] or [np.zeros(0)])
+        """Scores of words: the weighted sum of their kernel values. The sum over the landmarks
+        is taken once per subsequence, not once per word."""
+        per_code = np.append(self.table[:-1] @ self.weights, 0.0)
+        out = []
+        for i in range(0, len(words), 4096):
+            n = len(words[i:i + 4096])
+            r, c, w = subsequences(words[i:i + 4096])
+            norm = np.sqrt(np.maximum(np.bincount(r, w * w, n), 1e-300))
+            out.append(np.bincount(r, w * per_code[self.place[c]], n) / norm + self.bias)
+        return np.concatenate(out or [np.zeros(0)])
 
     def score_texts(self, texts: list[str], max_kept: int = 1_000_000) -> list[float]:
         """Scores in 0 to 1; margins of seen tokens are remembered up to a bound."""
@@ -300,7 +309,7 @@ def held_out(key: str):
 
 
 def labelled_bags(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                  max_toxic: int = 1_500, max_clean: int = 2_500, max_words: int = 2_000_000) -> tuple[list[set[str]], list[set[str]]]:
+                  max_toxic: int = 1_000, max_clean: int = 1_500, max_words: int = 1_200_000) -> tuple[list[set[str]], list[set[str]]]:
     """Word sets of labelled texts that are not held out: at most ``max_toxic`` toxic and
     ``max_clean`` clean ones (those with the smallest key hashes), and at most about
     ``max_words`` words. A key labelled twice is toxic if any label says so; null labels do
