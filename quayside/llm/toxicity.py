@@ -158,10 +158,12 @@ class KernelSvm:
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
     def text_features(self, margins: list[float]) -> list[float]:
-        """Of a text: its three largest margins (the bias fills up), the logarithm of its
-        number of distinct words (under 50 count as 50), and one."""
-        top = [max(-1.5, min(1.5, m)) for m in heapq.nlargest(3, margins)]
-        return [*top, *[max(-1.5, self.bias)] * (3 - len(top)), math.log(max(len(margins), 50)), 1.0]
+        """Of a text: how far its three worst words come over -0.5, the first of these also
+        times the logarithm of its number of distinct words (a long text has more chances
+        for one odd word), and one."""
+        top = [max(0.0, min(2.0, m + 0.5)) for m in heapq.nlargest(3, margins)]
+        top += [0.0] * (3 - len(top))
+        return [*top, top[0] * math.log(max(len(margins), 1)) / 5, 1.0]
 
 
 # -- training ----------------------------------------------------------------------------
