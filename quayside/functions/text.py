@@ -5,6 +5,8 @@ Whole texts are processed; no expression looks at a prefix only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def replace_first(c, pattern: str, replacement: str, ignore_case: bool = True) -
     ``replacement``). The leading reluctant group pins the rewrite to the first match."""
     flags = "(?s)" + ("(?i)" if ignore_case else "")
     shifted = _shift_groups(replacement)
-    return F.regexp_replace(_c(c), f"{flags}^(.*?){pattern}", f"$1{shifted}")
+    return F.regexp_replace(_c(c), f"{flags}^(.*?)(?:{_shift_back_references(pattern)})", f"$1{shifted}")
 
 
 def replace_within(c, outer: str, inner: str, replacement: str, ignore_case: bool = False) -> Column:
@@ -75,6 +77,11 @@ def _java_quote(s: str) -> str:
     return "".join("\\" + ch if ch in r".$|()[]{}^?*+\\" else ch for ch in s)
 
 
+def _shift_back_references(pattern: str) -> str:
+    """Renumber ``\\n`` in a pattern by one; an escaped backslash is no reference."""
+    return re.sub(r"\\(\\|[1-9][0-9]*|.)", lambda m: f"\\{int(m[1]) + 1}" if m[1].isdigit() else m[0], pattern)
+
+
 def _shift_groups(rep: str) -> str:
     """Renumber ``$n`` references by one (group 1 is the text before the first match)."""
     out, i = [], 0

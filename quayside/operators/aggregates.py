@@ -115,10 +115,12 @@ def sessionize(df: DataFrame, user_col: str, ts_col: str, id_col: str, gap_secon
     summ = summ.withColumn("_born", F.col("_n") - (1 - F.col("_starts")))
     summ = summ.withColumn("_base", F.coalesce(F.sum("_born").over(w_u.rowsBetween(Window.unboundedPreceding, -1)),
                                                F.lit(0)))
-    summ = summ.select(user_col, "_b", (F.col("_base") - (1 - F.col("_starts"))).alias("_offset"))
-    out = rows.join(summ, on=[user_col, "_b"], how="inner")
+    summ = summ.select(F.col(user_col).alias("_user"), F.col("_b").alias("_bucket"),
+                       (F.col("_base") - (1 - F.col("_starts"))).alias("_offset"))
+    # null-safe: events without a user form sessions of their own
+    out = rows.join(summ, rows[user_col].eqNullSafe(F.col("_user")) & (F.col("_b") == F.col("_bucket")))
     return out.withColumn(out_col, (F.col("_offset") + F.col("_local")).cast("bigint")) \
-              .drop("_b", "_new", "_local", "_offset")
+              .drop("_b", "_new", "_local", "_offset", "_user", "_bucket")
 
 
 def session_facts(events: DataFrame, user_col: str = "user_id", session_col: str = "session_no",

@@ -20,10 +20,12 @@ from ..functions.scalar import year_month
 from ..schemas import TABLES
 from ..session import stage
 from .decode import TRADE_COLUMNS, split_trade_items, trade_items
-from .write import VersionedTable, advance_marks, ensure_table, high_water_marks, insert_ignore, write_metrics
+from .write import (VersionedTable, advance_marks, high_water_marks, insert_ignore, read_or_empty,
+                    write_batch_partition, write_metrics)
 
 TRADE_KEY = ["symbol", "agg_trade_id"]
 STATE_SCHEMA = TABLES["crypto.ingest_state"].ddl
+METRICS_DDL = "symbol string, attempted bigint, inserted bigint, stream_id string, batch_id int"
 
 
 @dataclass
@@ -38,7 +40,7 @@ class TradeStore:
 
     @property
     def rejects_path(self) -> str:
-        return f"{self.root}/rejects"
+        return f"{self.root}/agg_trades_rejects"
 
     @property
     def metrics_path(self) -> str:
@@ -49,11 +51,11 @@ class TradeStore:
         return VersionedTable(self.spark, f"{self.root}/ingest_state")
 
     def trades(self) -> DataFrame:
-        """The stored trades, read with the table schema (the table is created empty on
-        first use, so there is never a missing path to probe)."""
-        ddl = TABLES["crypto.agg_trades"].ddl
-        ensure_table(self.spark, self.trades_path, ddl, ("ym",))
-        return self.spark.read.schema(ddl).parquet(self.trades_path)
+        """The stored trades, read with the table schema; no rows before the first batch."""
+        return read_or_empty(self.spark, self.trades_path, TABLES["crypto.agg_trades"].ddl)
+
+    def metrics(self) -> DataFrame:
+        return read_or_empty(self.spark, self.metrics_path, METRICS_DDL)
 
     def marks(self) -> DataFrame:
         return self.state.read(STATE_SCHEMA)
@@ -64,14 +66,17 @@ class RejectedBatch(ValueError):
 
 
 def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int = 0,
-                       monotone: bool = False, strict_batch: bool = False) -> dict:
+                       monotone: bool = False, strict_batch: bool = False, stream_id: str = "batch") -> dict:
     """Process one batch of trade-page responses. Returns the observed totals.
 
     The pages are decoded once: the typed items (good and quarantined) are staged as a
     Parquet table under the shared checkpoint folder and every later step reads that
     copy. Marks advance over quarantined trades too, so a page whose rows are all invalid
     is not fetched again for ever (SURVEY Q4). With ``strict_batch`` one bad trade aborts the
-    whole batch before anything is written, as the reference's single transaction does."""
+    whole batch before anything is written, as the reference's single transaction does.
+
+    Quarantined rows and write counts are stored per (``stream_id``, ``batch_id``): a replay
+    replaces the former by the same rows and keeps the counts of the first run."""
     items, bad_pages = trade_items(responses)
     items = stage(items.withColumn("ym", year_month(F.col("trade_time")))
                   .withColumn("_ord", F.struct("fetched_at", "page_pos")), "trade-items")
@@ -79,18 +84,21 @@ def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int =
         raise RejectedBatch(f"batch {batch_id}: a trade failed to decode; nothing written")
     dec = split_trade_items(items, bad_pages)
     batch = items.filter(F.col("_why").isNull()).select(*TRADE_COLUMNS, "ym", "_ord")
-    res = insert_ignore(store.trades(), batch, TRADE_KEY, "_ord", group_col="symbol", prune_col="ym",
-                        range_col="agg_trade_id")
+    res = insert_ignore(store.trades(), batch, TRADE_KEY, "_ord", group_col="symbol", range_col="agg_trade_id")
     new = res.inserted.drop("_ord", "fetched_at", "page_pos").withColumn("inserted_at", F.localtimestamp())
     staged = stage(new, "trade-inserts")            # materialized before the target changes
     # K12 from the batch and the staged rows: stable once the target has grown
-    metrics = write_metrics(batch, staged, "symbol").withColumn("batch_id", F.lit(batch_id))
+    metrics = write_metrics(batch, staged, "symbol")
     staged.write.mode("append").partitionBy("ym").parquet(store.trades_path)
-    dec.rejects.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(store.rejects_path)
-    totals = Observation(f"trade-batch-{batch_id}")   # K12 totals seen by the metrics write itself
-    metrics.observe(totals, F.sum("attempted").alias("attempted"), F.sum("inserted").alias("inserted")) \
-           .write.mode("append").parquet(store.metrics_path)
-    tot = totals.get          # collected at once: the observation is finished before the next query
+    write_batch_partition(dec.rejects, store.rejects_path, batch_id, stream_id)
+    known = store.metrics().filter((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id))
+    if known.isEmpty():
+        totals = Observation(f"trade-batch-{batch_id}")   # K12 totals seen by the metrics write itself
+        seen = metrics.observe(totals, F.sum("attempted").alias("attempted"), F.sum("inserted").alias("inserted"))
+        write_batch_partition(seen, store.metrics_path, batch_id, stream_id)
+        tot = totals.get      # collected at once: the observation is finished before the next query
+    else:                     # a replay: the first run's counts stand
+        tot = {"attempted": metrics.agg(F.sum("attempted")).first()[0], "inserted": 0}
     marks = high_water_marks(items.select("symbol", "agg_trade_id", "trade_time"))
     state = store.state
     state.commit(advance_marks(state.read(STATE_SCHEMA), marks, monotone=monotone))

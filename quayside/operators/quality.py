@@ -19,7 +19,7 @@ def include_exclude(df: DataFrame, col: str, include: str | None, exclude: str |
     if inc:
         out = out.filter(F.col(col).isin(inc))
     if exc:
-        out = out.filter(~F.col(col).isin(exc))
+        out = out.filter(F.col(col).isNull() | ~F.col(col).isin(exc))
     return out
 
 

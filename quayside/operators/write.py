@@ -12,8 +12,11 @@ insert-if-absent, version commits and per-batch partition overwrites. Plain appe
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,12 +74,14 @@ def insert_ignore(target: DataFrame | None, batch: DataFrame, key: list[str], or
     """``ON CONFLICT DO NOTHING``: an existing row wins, then the first duplicate of the
     batch.
 
-    The target is probed only where the batch can collide: ``prune_col`` (e.g. ``ym``)
-    keeps the partitions the batch touches, and ``range_col`` (a key column, e.g. the
-    trade id) keeps rows inside the batch's [min, max], which row-group statistics of the
-    sorted target turn into skipped row groups. Both bounds come from one single-row
-    aggregate of the batch (a handful of months and two numbers), so the cost of an insert
-    follows the batch, not the table."""
+    The target is probed only where the batch can collide. Both ways to narrow it must be
+    key columns, because a stored row with the same key may differ in every other column
+    (a month derived from the time, say): ``prune_col`` keeps the partitions the batch
+    touches, ``range_col`` (e.g. the trade id) keeps rows inside the batch's [min, max],
+    which row-group statistics turn into skipped row groups."""
+    for c in (prune_col, range_col):
+        if c and c not in key:
+            raise ValueError(f"{c} is no key column: a stored key could be missed")
     first = keep_first(batch, key, ord_col)
     if target is not None:
         probe = target
@@ -142,11 +147,26 @@ def ensure_table(spark: SparkSession, path: str, schema, partition_by: tuple[str
     w.parquet(path)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table, or no rows if its folder does not exist yet. Reading never writes."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+class CommitConflict(RuntimeError):
+    """Another writer committed the same version of a table."""
+
+
 class VersionedTable:
-    """A table whose rewrites go to ``root/v=NNNNNN``. A version becomes current when its
-    row lands in the commit log ``root/_log`` (a small Parquet table), which happens only
+    """A table whose rewrites go to new folders of their own. A version becomes current when
+    its row lands in the commit log ``root/_log`` (a small Parquet table), which happens only
     after its data files are complete: a rewrite that dies half-way leaves the previous
-    version current, and its folder is overwritten by the next attempt."""
+    version current. A version counts for the first row of the log that names it; a writer
+    whose row is not that one gets :class:`CommitConflict` and its data never count."""
 
     LOG_DDL = "version int, path string, committed_at timestamp_ntz"
 
@@ -155,9 +175,7 @@ class VersionedTable:
         self._known: int | None = None   # version this object committed or last saw
 
     def _log(self) -> DataFrame:
-        path = f"{self.root}/_log"
-        ensure_table(self.spark, path, self.LOG_DDL)
-        return self.spark.read.schema(self.LOG_DDL).parquet(path)
+        return read_or_empty(self.spark, f"{self.root}/_log", self.LOG_DDL)
 
     def versions(self) -> list[int]:
         return sorted(r[0] for r in self._log().select("version").collect())
@@ -172,7 +190,11 @@ class VersionedTable:
 
     def current_path(self) -> str | None:
         v = self.current_version()
-        return f"{self.root}/v={v:06d}" if v is not None else None
+        return self._path_of(v) if v is not None else None
+
+    def _path_of(self, version: int) -> str:
+        first = F.min_by("path", F.struct("committed_at", "path"))
+        return self._log().filter(F.col("version") == version).agg(first).first()[0]
 
     def read(self, schema=None) -> DataFrame | None:
         path = self.current_path()
@@ -181,16 +203,28 @@ class VersionedTable:
         return self.spark.read.parquet(path)
 
     def commit(self, df: DataFrame, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> str:
-        v = self.current_version()
-        n = (v + 1) if v is not None else 1
-        path = f"{self.root}/v={n:06d}"
+        """Write the next version after the one this object last read (or committed).
+
+        The log is read again before and after: if another writer took the version in
+        between, the rewrite would lose that writer's rows, so it fails instead."""
+        seen = self.current_version()
+        n = (seen or 0) + 1
+        self._check_free(n)
+        path = f"{self.root}/v={n:06d}-{uuid.uuid4().hex[:12]}"
         write_layout(df, path, partition_by=partition_by, sort_by=sort_by, mode="overwrite")
+        self._check_free(n)
         entry = self.spark.createDataFrame([(n, path)], "version int, path string") \
                           .withColumn("committed_at", F.localtimestamp())
         entry.coalesce(1).write.mode("append").parquet(f"{self.root}/_log")   # the commit point
+        if self._path_of(n) != path:
+            raise CommitConflict(f"version {n} of {self.root} was committed by another writer")
         self._known = n
         return path
 
+    def _check_free(self, version: int) -> None:
+        if (self._log().agg(F.max("version")).first()[0] or 0) >= version:
+            raise CommitConflict(f"version {version} of {self.root} exists: read the table again")
+
 
 # --------------------------------------------------------------------------- K14 / K15 layout
 
@@ -238,7 +272,10 @@ def write_shards(df: DataFrame, root: str, key: list[str], n_shards: int) -> lis
     retried task writes the same rows to the same shard."""
     shard = F.pmod(F.xxhash64(*key), F.lit(n_shards))
     df.withColumn("shard", shard).write.mode("overwrite").partitionBy("shard").parquet(root)
-    return [f"{root}/shard={i}" for i in range(n_shards)]
+    paths = [f"{root}/shard={i}" for i in range(n_shards)]
+    for p in paths:   # a shard that got no row must still be readable
+        ensure_table(df.sparkSession, p, df.schema)
+    return paths
 
 
 # --------------------------------------------------------------------------- K13 bootstrap
@@ -293,19 +330,27 @@ def observed_append(df: DataFrame, path: str, name: str, partition_by: tuple[str
 
 # --------------------------------------------------------------------------- per-batch writes
 
-def write_batch_partition(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
-    """Idempotent append for streaming micro-batches: rows land under ``batch_id=N`` and a
-    re-run of batch N (at-least-once replay after a failure) replaces exactly that
-    partition instead of appending a second copy."""
-    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", *partition_by).parquet(path))
+def stream_key(checkpoint: str) -> str:
+    """Name of a stream's rows in a table: a hash of its checkpoint path. Batch numbers start
+    again with a new checkpoint, so a batch is only known by both."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def write_batch_partition(df: DataFrame, path: str, batch_id: int, stream_id: str,
+                          partition_by: tuple[str, ...] = ()) -> None:
+    """Idempotent append for streaming micro-batches: rows land under
+    ``stream_id=S/batch_id=N``. A re-run of batch N of the same stream (at-least-once replay
+    after a failure) replaces exactly that partition; other streams, and the same stream
+    started on a new checkpoint, never touch it."""
+    (df.withColumn("stream_id", F.lit(stream_id)).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "batch_id", *partition_by).parquet(path))
 
 
-def write_header_detail(headers: DataFrame, levels: DataFrame, root: str, batch_id: int) -> None:
+def write_header_detail(headers: DataFrame, levels: DataFrame, root: str, batch_id: int, stream_id: str) -> None:
     """Headers and their levels from one decoded input. Both carry the hashed
     ``snapshot_id``; headers are written even when they have no levels."""
-    write_batch_partition(headers, f"{root}/orderbook_snapshots", batch_id)
-    write_batch_partition(levels, f"{root}/orderbook_levels", batch_id)
+    write_batch_partition(headers, f"{root}/orderbook_snapshots", batch_id, stream_id)
+    write_batch_partition(levels, f"{root}/orderbook_levels", batch_id, stream_id)
 
 
 # --------------------------------------------------------------------------- bucketed tables

@@ -206,7 +206,7 @@ def stream_books(spark: SparkSession, sf: str) -> DataFrame:
     q = start_book_stream(root, response_stream(spark, src, max_files_per_trigger=8), ck,
                           trigger={"availableNow": True})
     run_available(q)
-    lv = spark.read.parquet(f"{root}/orderbook_levels").drop("batch_id")
+    lv = spark.read.parquet(f"{root}/orderbook_levels").drop("stream_id", "batch_id")
     return lv.select("symbol", "last_update_id", "side", "level_index", "price", "quantity")
 
 
@@ -323,9 +323,9 @@ def stream_json_sink(spark: SparkSession, sf: str) -> DataFrame:
     src = _message_dir(spark, sf, "sink-src")
     out, ck = scratch_dir(spark, "sink-out"), scratch_dir(spark, "sink-ck")
     for _ in range(2):
-        q, _qq = events_to_json_files(file_messages(spark, src, max_files_per_trigger=2), out, ck,
-                                      trigger={"availableNow": True})
-        run_available(q)
+        for q in events_to_json_files(file_messages(spark, src, max_files_per_trigger=2), out, ck, f"{out}-bad",
+                                      trigger={"availableNow": True}):
+            run_available(q)
     return read_json(spark, out, EVENT_MESSAGE_DDL).select(*EVENT_MESSAGE_FIELDS)
 
 
@@ -347,8 +347,8 @@ def lake_events_by_type(spark: SparkSession, sf: str) -> DataFrame:
     create-or-replace lake table (K03) -> grouped count ordered by type (A02/O01)."""
     src = _message_dir(spark, sf, "lake-msgs")
     out, ck = scratch_dir(spark, "lake-raw"), scratch_dir(spark, "lake-raw-ck")
-    q, _ = events_to_json_files(file_messages(spark, src), out, ck, trigger={"availableNow": True})
-    run_available(q)
+    for q in events_to_json_files(file_messages(spark, src), out, ck, f"{out}-bad", trigger={"availableNow": True}):
+        run_available(q)
     root = scratch_dir(spark, "lake-db")
     db = "q" + root.rsplit("-", 1)[-1] + "_lake"
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{root}/db'")
@@ -432,7 +432,7 @@ def insert_ignore_trades(spark: SparkSession, sf: str) -> DataFrame:
                  sort_by=("symbol", "trade_time"))
     target = spark.read.parquet(root)
     batch = add_month(_trade_batch(trades), "trade_time")
-    res = insert_ignore(target, batch, ["symbol", "agg_trade_id"], "_ord", prune_col="ym", range_col="agg_trade_id")
+    res = insert_ignore(target, batch, ["symbol", "agg_trade_id"], "_ord", range_col="agg_trade_id")
     res.inserted.drop("_ord").write.mode("append").partitionBy("ym").parquet(root)
     return spark.read.parquet(root).select(*TRADE_OUT)
 
@@ -444,8 +444,7 @@ def write_metrics(spark: SparkSession, sf: str) -> DataFrame:
     write_layout(add_month(_stored_trades(trades), "trade_time"), root, partition_by=("ym",),
                  sort_by=("symbol", "trade_time"))
     batch = add_month(_trade_batch(trades), "trade_time")
-    res = insert_ignore(spark.read.parquet(root), batch, ["symbol", "agg_trade_id"], "_ord", prune_col="ym",
-                        range_col="agg_trade_id")
+    res = insert_ignore(spark.read.parquet(root), batch, ["symbol", "agg_trade_id"], "_ord", range_col="agg_trade_id")
     return res.metrics
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.decode import decode_order_book, decode_ticker
-from ..operators.write import write_batch_partition, write_header_detail
+from ..operators.write import stream_key, write_batch_partition, write_header_detail
 from .trades import POLL_SECONDS
 
 
@@ -18,12 +18,14 @@ def _start(responses: DataFrame, per_batch, checkpoint: str, trigger: dict | Non
 def start_book_stream(root: str, responses: DataFrame, checkpoint: str, trigger: dict | None = None):
     """Book responses -> snapshot headers + levels (+ quarantine), every 5 s by default.
     Each micro-batch is decoded once (persisted) and written idempotently per batch id."""
+    stream_id = stream_key(checkpoint)
+
     def per_batch(df: DataFrame, batch_id: int) -> None:
         df = df.persist()
         try:
             book = decode_order_book(df)
-            write_header_detail(book.headers, book.levels, root, batch_id)
-            write_batch_partition(book.rejects, f"{root}/rejects", batch_id)
+            write_header_detail(book.headers, book.levels, root, batch_id, stream_id)
+            write_batch_partition(book.rejects, f"{root}/orderbook_rejects", batch_id, stream_id)
         finally:
             df.unpersist()
     return _start(responses, per_batch, checkpoint, trigger, POLL_SECONDS["depth"])
@@ -31,12 +33,14 @@ def start_book_stream(root: str, responses: DataFrame, checkpoint: str, trigger:
 
 def start_ticker_stream(root: str, responses: DataFrame, checkpoint: str, trigger: dict | None = None):
     """Ticker responses -> plain append of the 21-column rows (K11), every 30 s by default."""
+    stream_id = stream_key(checkpoint)
+
     def per_batch(df: DataFrame, batch_id: int) -> None:
         df = df.persist()
         try:
             t = decode_ticker(df)
-            write_batch_partition(t.good, f"{root}/ticker_24hr", batch_id)
-            write_batch_partition(t.rejects, f"{root}/rejects", batch_id)
+            write_batch_partition(t.good, f"{root}/ticker_24hr", batch_id, stream_id)
+            write_batch_partition(t.rejects, f"{root}/ticker_rejects", batch_id, stream_id)
         finally:
             df.unpersist()
     return _start(responses, per_batch, checkpoint, trigger, POLL_SECONDS["ticker24hr"])

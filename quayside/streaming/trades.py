@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ingest import TradeStore, ingest_trade_pages
+from ..operators.write import stream_key
 from ..sources.responses import stream_responses
 
 POLL_SECONDS = {"aggTrades": 5, "depth": 5, "ticker24hr": 30}  # fixed values: reference cadence
@@ -23,28 +24,24 @@ def response_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
     return stream_responses(spark, path, "json", max_files_per_trigger)
 
 
-def drop_repeated_pages(responses: DataFrame, horizon: str) -> DataFrame:
-    """T05 with a bounded horizon: a page seen again (same endpoint, symbol and body) within
-    ``horizon`` of event time is dropped in the stream, before any decoding. State holds
-    one 32-byte hash per page for the horizon only. The watermark needs a ``timestamp``
-    (not ``timestamp_ntz``), so the wall time is cast at the edge; only differences of
-    event time matter to it. Exactness for all time still comes from insert-if-absent
-    in the batch job."""
-    return (responses.withColumn("_event_time", F.col("fetched_at").cast("timestamp"))
-            .withColumn("_page_hash", F.sha2(F.concat_ws("\u0001", "endpoint", "symbol", "body"), 256))
-            .withWatermark("_event_time", horizon)
-            .dropDuplicatesWithinWatermark(["_page_hash"])
-            .drop("_event_time", "_page_hash"))
+def drop_repeated_pages(responses: DataFrame) -> DataFrame:
+    """T05 inside one micro-batch: the same page (endpoint, symbol, status and body) is decoded
+    once, at its first fetch. Pages of earlier batches are not remembered: insert-if-absent
+    ignores their trades, however late a page comes."""
+    page = F.sha2(F.concat_ws("\u0001", "endpoint", "symbol", F.col("status").cast("string"), "body"), 256)
+    cols = responses.columns
+    return (responses.groupBy(page.alias("_page")).agg(F.min_by(F.struct(*cols), "fetched_at").alias("_row"))
+            .select("_row.*"))
 
 
 def start_trade_stream(store: TradeStore, responses: DataFrame, checkpoint: str, trigger: dict | None = None,
-                       monotone: bool = False, dedupe_horizon: str | None = None, strict_batch: bool = False):
-    """One query for all symbols; default trigger is the reference's 5-second poll.
-    ``dedupe_horizon`` (e.g. ``'1 hour'``) drops repeated pages in the stream first."""
+                       monotone: bool = False, strict_batch: bool = False):
+    """One query for all symbols; default trigger is the reference's 5-second poll."""
+    stream_id = stream_key(checkpoint)
+
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        ingest_trade_pages(store, df, batch_id=batch_id, monotone=monotone, strict_batch=strict_batch)
+        ingest_trade_pages(store, drop_repeated_pages(df), batch_id=batch_id, monotone=monotone,
+                           strict_batch=strict_batch, stream_id=stream_id)
 
-    if dedupe_horizon:
-        responses = drop_repeated_pages(responses, dedupe_horizon)
     return (responses.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": f"{POLL_SECONDS['aggTrades']} seconds"})).start())

@@ -50,3 +50,11 @@ def test_replace_first_and_within(spark):
                   replace_within(F.col("s"), r'href="[^"]*"', "example", "E").alias("w")).first()
     assert r.f.startswith("<p id=1>a</p><p>b</p>")
     assert r.w.endswith('href="x.E.com/E" mid example href="y"')
+
+
+def test_replace_first_with_alternatives_and_back_references(spark):
+    from quayside.functions.text import replace_first
+    from pyspark.sql import functions as F
+    r = spark.range(1).select(replace_first(F.lit("xbxb"), "a|b", "Z").alias("a"),
+                              replace_first(F.lit("abccd"), r"(.)\1", "<$1>").alias("b")).first()
+    assert (r.a, r.b) == ("xZxb", "ab<c>d")

@@ -44,7 +44,7 @@ def test_ticker_stream_appends_and_rejects(spark):
     run_available(q)
     good = spark.read.parquet(f"{root}/ticker_24hr")
     assert good.filter("symbol = 'SIGNUP'").count() == 0 and good.count() == 4
-    assert rows(spark.read.parquet(f"{root}/rejects"), "symbol", "reason") == [("SIGNUP", "empty_last_price_or_volume")]
+    assert rows(spark.read.parquet(f"{root}/ticker_rejects"), "symbol", "reason") == [("SIGNUP", "empty_last_price_or_volume")]
 
 
 def test_trade_stream_drops_repeated_pages_within_horizon(spark):
@@ -56,8 +56,7 @@ def test_trade_stream_drops_repeated_pages_within_horizon(spark):
     pages = si.trade_pages(spark, SF_SMALL).drop("page_no")
     pages.write.json(f"{src}/a")
     pages.write.json(f"{src}/b")            # every page delivered twice
-    q = start_trade_stream(store, response_stream(spark, f"{src}/*"), ck, trigger={"availableNow": True},
-                           dedupe_horizon="1 hour")
+    q = start_trade_stream(store, response_stream(spark, f"{src}/*"), ck, trigger={"availableNow": True})
     run_available(q)
     m = spark.read.parquet(store.metrics_path).agg(F.sum("attempted"), F.sum("inserted")).first()
     good = store.trades().count()
