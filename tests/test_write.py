@@ -125,6 +125,8 @@ def test_insert_ignore_probe_is_bounded_by_the_batch(spark):
     res = insert_ignore(target, batch, ["symbol", "agg_trade_id"], "ord", range_col="agg_trade_id")
     assert rows(res.inserted, "agg_trade_id") == [(100001,)]
     plan = res.inserted._jdf.queryExecution().executedPlan().toString()
+    # the month is no key column, so only the id range may narrow the probe
+    assert "GreaterThanOrEqual(agg_trade_id,99998)" in plan
 
 
 def test_upsert_partitions_rewrites_only_touched_partitions(spark):
