@@ -37,13 +37,42 @@ def iso_text(c) -> Column:
     ).otherwise(F.concat(whole, F.lit("."), F.date_format(c, "SSSSSS")))
 
 
-def exact_decimal(text, precision: int = 18, scale: int = 8) -> Column:
+def exact_decimal(text, precision: int = 38, scale: int = 18) -> Column:
     """exact decimal from text. NULL when the text is no number or does not
-    fit ``decimal(precision, scale)`` without loss (callers quarantine NULLs)."""
+    fit ``decimal(precision, scale)`` without loss (callers quarantine NULLs).
+
+    A cast rounds digits beyond the scale away, so the decimals written are counted: those
+    of the mantissa without closing zeros, less the exponent. A short text without an exponent
+    cannot have too many, and is not searched."""
     t = _c(text)
-    wide = t.try_cast("decimal(38,18)")
-    narrow = wide.try_cast(f"decimal({precision},{scale})")
-    return F.when(narrow.isNotNull() & (narrow == wide), narrow)
+    plain = ~F.lower(t).contains("e")
+    point = F.when(t.contains("."), F.length(F.rtrim(F.trim(F.substring_index(t, ".", -1)), F.lit("0")))).otherwise(0)
+    mantissa = F.length(F.rtrim(F.regexp_extract(t, r"\.([0-9]*)", 1), F.lit("0")))
+    exponent = F.coalesce(F.regexp_extract(t, r"[eE]([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
+    fits = (plain & ((F.length(t) <= scale + 1) | (point <= scale))) | (~plain & (mantissa - exponent <= scale))
+    return F.when(fits, t.try_cast(f"decimal({precision},{scale})"))
+
+
+def exact_product(a, b) -> Column:
+    """``a * b`` of two ``decimal(38,18)`` as ``decimal(38,18)`` without loss, else NULL.
+
+    The type of a plain product keeps 6 decimals only. A factor with s decimals in 18 digits
+    times one with 18 - s decimals in 19 digits is exact in ``decimal(38,18)``; the first s
+    that holds both factors is taken (8 first, the decimals of most prices)."""
+    a, b = _c(a), _c(b)
+    tries = []
+    for s in sorted(range(19), key=lambda x: abs(x - 8)):
+        x, y = a.try_cast(f"decimal(18,{s})"), b.try_cast(f"decimal(19,{18 - s})")
+        tries.append(F.when((x == a) & (y == b), (x * y).cast("decimal(38,18)")))
+    return F.coalesce(*tries)
+
+
+def exact_difference(a, b) -> Column:
+    """``a - b`` of two ``decimal(38,18)`` as ``decimal(38,18)``; exact below 1e19 each, where
+    the plain difference rounds to 17 decimals (that is the result beyond)."""
+    a, b = _c(a), _c(b)
+    return F.coalesce(a.try_cast("decimal(37,18)") - b.try_cast("decimal(37,18)"),
+                      (a - b).try_cast("decimal(38,18)"))
 
 
 def year_month(c) -> Column:

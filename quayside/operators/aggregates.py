@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ts_to_millis
+from ..functions.scalar import exact_difference, exact_product, ts_to_millis
+from ..session import SMALL_SIDE_ROWS, stage
 
 
 def _c(c) -> Column:
@@ -152,29 +153,42 @@ def session_facts(events: DataFrame, user_col: str = "user_id", session_col: str
 def ticker_from_trades(trades: DataFrame, window_hours: int = 24, since=None) -> DataFrame:
     """A10: 24-hour statistics per symbol over (max time - 24 h, max time].
 
-    The per-symbol end time is one row per symbol (AQE broadcasts it at run time when it
-    is small); the statistics are one partial/final aggregate. ``since`` (optional) is a
+    The end time per symbol is written first (one row per symbol) and broadcast if its counted
+    rows allow, so that trades are not dealt by symbol; the earliest window start filters
+    the second scan. The statistics are one partial/final aggregate. ``since`` (optional) is a
     lower bound on trade time known to lie before every symbol's window, e.g. now - 48 h
-    on a live table: it reaches the scan as a partition / row-group filter, so years of
-    history are not read. Without it every trade is read."""
+    on a live table: it also bounds the scan for the end times.
+
+    Prices and quantities are ``decimal(38,18)``. ``quote_volume_exact`` tells whether every
+    product was exact; one that needs more digits is rounded to 6 decimals, and a sum beyond
+    the type is NULL."""
     if since is not None:
         trades = trades.filter(F.col("trade_time") >= F.lit(since).cast("timestamp_ntz"))
-    end = trades.groupBy("symbol").agg(F.max("trade_time").alias("_end"))
+    end = stage(trades.groupBy("symbol").agg(F.max("trade_time").alias("_end")), "ticker-ends")
+    size = end.agg(F.count(F.lit(1)).alias("n"), F.min("_end").alias("first")).first()
+    if size["first"] is not None:
+        first = F.timestamp_add("HOUR", F.lit(-window_hours), F.lit(size["first"]).cast("timestamp_ntz"))
+        trades = trades.filter(F.col("trade_time") > first)
+    if size["n"] <= SMALL_SIDE_ROWS:
+        end = F.broadcast(end)
     start = F.timestamp_add("HOUR", F.lit(-window_hours), F.col("_end"))
     w = trades.join(end, "symbol").filter(F.col("trade_time") > start)
     order = F.struct("trade_time", "agg_trade_id")
-    pq = F.col("price") * F.col("quantity")   # decimal(18,8) x decimal(18,8) -> decimal(37,16), exact
+    exact = exact_product("price", "quantity")
+    rounded = F.try_multiply(F.col("price"), F.col("quantity")).try_cast("decimal(38,18)")
+    w = w.withColumns({"_exact": exact, "_rounded": rounded})
     a = w.groupBy("symbol").agg(
         F.min_by("price", order).alias("open_price"), F.max_by("price", order).alias("last_price"),
         F.max_by("quantity", order).alias("last_qty"),
         F.max("price").alias("high_price"), F.min("price").alias("low_price"),
-        F.sum("quantity").cast("decimal(38,8)").alias("volume"), F.sum(pq).alias("quote_volume"),
+        F.try_sum("quantity").alias("volume"), F.try_sum(F.coalesce("_exact", "_rounded")).alias("quote_volume"),
+        F.bool_and(F.col("_exact").isNotNull()).alias("_all_exact"),
         F.min("trade_time").alias("open_time"), F.max("trade_time").alias("close_time"),
         F.min_by("agg_trade_id", order).alias("first_trade_id"),
         F.max_by("agg_trade_id", order).alias("last_trade_id"),
         F.sum(F.col("last_trade_id") - F.col("first_trade_id") + 1).alias("trade_count"),
         F.count(F.lit(1)).alias("agg_trade_rows"))
-    change = F.col("last_price") - F.col("open_price")
+    change = exact_difference("last_price", "open_price")
     return a.select(
         "symbol", change.alias("price_change"),
         F.round(F.lit(100.0) * change.cast("double") / F.col("open_price").cast("double"), 3)
@@ -182,7 +196,8 @@ def ticker_from_trades(trades: DataFrame, window_hours: int = 24, since=None) ->
         F.round(F.col("quote_volume").cast("double") / F.col("volume").cast("double"), 6).alias("weighted_avg"),
         "last_price", "last_qty", "open_price", "high_price", "low_price", "volume", "quote_volume",
         "open_time", "close_time", "first_trade_id", "last_trade_id",
-        F.col("trade_count").cast("bigint").alias("trade_count"), "agg_trade_rows")
+        F.col("trade_count").cast("bigint").alias("trade_count"), "agg_trade_rows",
+        (F.col("_all_exact") & F.col("quote_volume").isNotNull()).alias("quote_volume_exact"))
 
 
 # --------------------------------------------------------------------------- W01 stock

@@ -9,8 +9,8 @@ persist or checkpoint the input first.
 Strictness (the reference's decoder rejects a whole body on any type mismatch):
 a body is accepted only if (a) its first non-blank character opens the expected
 JSON container, (b) it parses, and (c) every known key has the expected JSON type,
-JSON null, or is absent. (c) reads the merged type of every key from
-``schema_of_variant``. Go's case-insensitive key fallback is not reproduced.
+JSON null, or is absent, where it is expected (a nested key of the same name does not
+count). Go's case-insensitive key fallback is not reproduced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from ..functions.scalar import (exact_decimal, millis_to_ts, non_empty, utf8_pre
                                zero_if_null)
 from ..schemas import EVENT_MESSAGE_FIELDS
 
-RAW_PREFIX_BYTES = 500  # fixed value: bytes of a rejected body kept for inspection
+RAW_PREFIX_BYTES = 500  # fixed value: bytes of a rejected body shown for inspection
+PARSER_LIMIT_BYTES = 16 << 20   # Spark's variants hold less than 16 MiB
 
 
 class Decoded(NamedTuple):
@@ -35,50 +36,92 @@ class Decoded(NamedTuple):
 
 # --------------------------------------------------------------------------- strict check
 
-def _type_ok(sv: Column, key: str, types: tuple[str, ...]) -> Column:
-    """A type ending in ``<`` is a prefix (any element type); others must match whole."""
-    k = re.escape(key)
-    alts = "|".join(re.escape(t) if t.endswith("<") else re.escape(t) + "(?:, |>)" for t in types + ("VOID",))
-    present = sv.rlike(f"(?:<|, ){k}: ")
-    ok = sv.rlike(f"(?:<|, ){k}: (?:{alts})")
-    return ~present | ok
-
-
-def body_violation(body: Column, top: str, fields: dict[str, tuple[str, ...]]) -> Column:
-    """NULL when the body passes the strict check, else the reason.
-
-    The parsed shape is bound once through a one-element ``transform`` (a lambda
-    variable), so the body is parsed a single time however many keys are checked;
-    a plain shared column would be inlined into every test by the optimizer."""
+def _type_ok(holder: Column, key: str, types: tuple[str, ...]) -> Column:
+    """The type found at ``$.key`` itself, so that a nested key of the same name does not
+    count. A type ending in ``<`` is a prefix (any element type); others must match whole."""
+    found = F.schema_of_variant(F.try_variant_get(holder, f"$.{key}", "variant"))
+    ok = found.isNull() | found.isin("VOID", *[t for t in types if not t.endswith("<")])
+    for t in types:
+        if t.endswith("<"):
+            ok = ok | found.startswith(t)
+    return ok
+
+
+def _fields_ok(holder: Column, fields: dict[str, tuple[str, ...]]) -> Column:
+    """A JSON null, or an object whose known keys all have an expected type."""
+    kind = F.schema_of_variant(holder)
+    ok = kind.startswith("OBJECT<")
+    for key, types in fields.items():
+        ok = ok & _type_ok(holder, key, types)
+    return kind.isNull() | (kind == "VOID") | ok
+
+
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _surely_ok(shape: Column, fields: dict, list_path: str | None, item_fields: dict | None) -> Column:
+    """A quick sufficient test on the merged type of the whole body: no key of these names has a
+    wrong type at any depth, and the list holds only objects or nulls."""
+    ok = F.lit(True)
+    for key, types in {**fields, **(item_fields or {})}.items():
+        alts = "|".join(re.escape(t) if t.endswith("<") else re.escape(t) + "(?:, |>)" for t in (*types, "VOID"))
+        ok = ok & ~shape.rlike(f"(?:<|, ){re.escape(key)}: (?!{alts})")
+    if list_path:
+        at = "^" if list_path == "$" else f"(?:<|, ){re.escape(list_path[2:])}: "
+        ok = ok & shape.rlike(at + "ARRAY<(?:OBJECT<|VOID>)")
+    else:
+        ok = ok & shape.startswith("OBJECT<")
+    return ok
+
+
+def body_violation(body: Column, top: str, fields: dict[str, tuple[str, ...]], list_path: str | None = None,
+                   item_fields: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """NULL when the body passes the strict check, else the reason. ``fields`` are keys of the
+    body itself, ``item_fields`` those of every element of the list at ``list_path``.
+
+    The parsed body is bound once through a one-element ``transform`` (a lambda
+    variable), so it is parsed a single time however many keys are checked; a plain
+    shared column would be inlined into every test by the optimizer. Bodies that the quick
+    test on the merged type does not settle are read key by key. A body that does not
+    parse and is longer than the parser's limit has its own reason: it may be valid."""
     first = F.regexp_extract(body, r"(?s)^\s*(.)", 1)
 
-    def judge(sv: Column) -> Column:
-        type_ok = F.lit(True)
-        for key, types in fields.items():
-            type_ok = type_ok & _type_ok(sv, key, types)
-        return F.when(sv.isNull(), F.lit("malformed_json")).when(~type_ok, F.lit("json_type_mismatch"))
-
-    shape = F.element_at(F.transform(F.array(F.schema_of_variant(F.try_parse_json(body))), judge), 1)
+    def exact(v: Column) -> Column:
+        ok = _fields_ok(v, fields) if fields else F.lit(True)
+        if list_path:
+            items = F.coalesce(F.try_variant_get(v, list_path, "array<variant>"), F.array().cast("array<variant>"))
+            ok = ok & F.forall(items, lambda e: _fields_ok(e, item_fields))
+        return ok
+
+    def judge(v: Column) -> Column:
+        ok = _bind(F.schema_of_variant(v), lambda shape: F.when(
+            _surely_ok(shape, fields, list_path, item_fields), F.lit(True)).otherwise(exact(v)))
+        return (F.when(v.isNull() & (F.octet_length(F.encode(body, "UTF-8")) >= PARSER_LIMIT_BYTES),
+                       F.lit("body_over_parser_limit"))
+                .when(v.isNull(), F.lit("malformed_json")).when(~ok, F.lit("json_type_mismatch")))
+
+    why = _bind(F.try_parse_json(body), judge)
     return (F.when(body.isNull() | (F.trim(body) == ""), F.lit("empty_body"))
             .when(first != top, F.lit("unexpected_json_container"))
-            .otherwise(shape))
+            .otherwise(why))
 
 
-def _reject_rows(df: DataFrame, reason: Column, item: Column, raw: Column, raw_bytes: Column | None = None
-                 ) -> DataFrame:
+def _reject_rows(df: DataFrame, reason: Column, item: Column, raw: Column) -> DataFrame:
+    """Quarantine rows: the prefix kept for inspection and the whole text to decode again."""
     return df.select(
         F.col("endpoint"), F.col("symbol"), reason.alias("reason"), item.cast("string").alias("item"),
-        raw.alias("raw_prefix"),
-        (raw_bytes if raw_bytes is not None else F.octet_length(F.encode(raw, "UTF-8"))).cast("int").alias("raw_bytes"),
-        F.col("fetched_at"))
+        utf8_prefix_text(raw, RAW_PREFIX_BYTES).alias("raw_prefix"),
+        F.octet_length(utf8_prefix_bytes(raw, RAW_PREFIX_BYTES)).cast("int").alias("raw_bytes"),
+        raw.alias("raw_text"), F.col("fetched_at"))
 
 
-def _split_bodies(responses: DataFrame, endpoint: str, top: str, fields: dict) -> tuple[DataFrame, DataFrame]:
+def _split_bodies(responses: DataFrame, endpoint: str, top: str, fields: dict, list_path: str | None = None,
+                  item_fields: dict | None = None) -> tuple[DataFrame, DataFrame]:
     r = responses.filter((F.col("endpoint") == endpoint) & (F.col("status") == 200))
-    r = r.withColumn("_why", body_violation(F.col("body"), top, fields))
-    bad = _reject_rows(r.filter(F.col("_why").isNotNull()), F.col("_why"), F.lit(None),
-                       utf8_prefix_text(F.col("body"), RAW_PREFIX_BYTES),
-                       F.octet_length(utf8_prefix_bytes(F.col("body"), RAW_PREFIX_BYTES)))
+    r = r.withColumn("_why", body_violation(F.col("body"), top, fields, list_path, item_fields))
+    bad = _reject_rows(r.filter(F.col("_why").isNotNull()), F.col("_why"), F.lit(None), F.col("body"))
     return r.filter(F.col("_why").isNull()).drop("_why"), bad
 
 
@@ -94,7 +137,7 @@ TRADE_COLUMNS = ["symbol", "agg_trade_id", "price", "quantity", "first_trade_id"
 def trade_items(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """D02 core: every trade element of every accepted page, typed, with ``_why`` = NULL
     for a good row or the reason it is quarantined; plus the rejected pages."""
-    ok, bad = _split_bodies(responses, "aggTrades", "[", TRADE_FIELDS)
+    ok, bad = _split_bodies(responses, "aggTrades", "[", {}, "$", TRADE_FIELDS)
     items = ok.select("endpoint", "symbol", "fetched_at",
                       F.posexplode(F.from_json("body", TRADE_JSON)).alias("page_pos", "t"))
     flat = items.select("endpoint", "symbol", "fetched_at", "page_pos", "t.*").toDF(
@@ -129,7 +172,7 @@ def decode_agg_trades(responses: DataFrame) -> Decoded:
 
 # --------------------------------------------------------------------------- D01 symbols
 
-SYMBOL_FIELDS = {"symbols": ("ARRAY<",), "symbol": ("STRING",), "status": ("STRING",),
+SYMBOL_FIELDS = {"symbol": ("STRING",), "status": ("STRING",),
                  "baseAsset": ("STRING",), "quoteAsset": ("STRING",),
                  "baseAssetPrecision": ("BIGINT",), "quotePrecision": ("BIGINT",)}
 SYMBOL_JSON = ("struct<symbols:array<struct<symbol:string,status:string,baseAsset:string,quoteAsset:string,"
@@ -139,7 +182,7 @@ SYMBOL_JSON = ("struct<symbols:array<struct<symbol:string,status:string,baseAsse
 def decode_symbols(responses: DataFrame) -> Decoded:
     """Exchange info -> one row per listed symbol; empty symbol or status is dropped.
     ``ord`` = (fetched_at, position) orders rows for keep-last upserts."""
-    ok, bad = _split_bodies(responses, "exchangeInfo", "{", SYMBOL_FIELDS)
+    ok, bad = _split_bodies(responses, "exchangeInfo", "{", {"symbols": ("ARRAY<",)}, "$.symbols", SYMBOL_FIELDS)
     items = ok.select("endpoint", "symbol", "fetched_at",
                       F.posexplode(F.from_json("body", SYMBOL_JSON)["symbols"]).alias("pos", "s"))
     flat = items.select(
@@ -178,17 +221,22 @@ def snapshot_id(symbol: Column, last_update_id: Column, fetched_at: Column) -> C
     return F.xxhash64(symbol, last_update_id, fetched_at)
 
 
-def _usable_levels(arr: Column, depth: Column) -> Column:
-    """D03 + W02: drop entries with < 2 parts or an empty part (extra parts ignored),
-    then keep the first ``depth``; positions are assigned after the drop."""
-    kept = F.filter(arr, lambda e: (F.coalesce(F.size(e), F.lit(-1)) >= 2)
-                    & non_empty(F.try_element_at(e, F.lit(1))) & non_empty(F.try_element_at(e, F.lit(2))))
-    return F.when(depth.isNull() | (depth <= 0), kept).otherwise(F.slice(kept, 1, depth))
+def _usable(e: Column) -> Column:
+    """An entry has two parts that are not empty (extra parts are ignored)."""
+    return ((F.coalesce(F.size(e), F.lit(-1)) >= 2) & non_empty(F.try_element_at(e, F.lit(1)))
+            & non_empty(F.try_element_at(e, F.lit(2))))
+
+
+def cut_levels(levels: DataFrame, depth: int) -> DataFrame:
+    """The best ``depth`` levels of each side, cut when read; the stored book keeps all."""
+    return levels.filter(F.col("level_index") < depth)
 
 
 def decode_order_book(responses: DataFrame) -> DecodedBook:
     """K10 header/detail from one decoded input: one header per response (kept even with
-    0 levels) and its levels, both carrying the hashed ``snapshot_id``."""
+    0 levels) and all its usable levels, both carrying the hashed ``snapshot_id``. Level
+    indexes are assigned after the drop of unusable entries, which go to the quarantine
+    with their position in the body."""
     ok, bad = _split_bodies(responses, "depth", "{", BOOK_FIELDS)
     book = ok.select("endpoint", "symbol", "depth", "fetched_at", F.from_json("body", BOOK_JSON).alias("b"))
     book = book.select(
@@ -198,13 +246,16 @@ def decode_order_book(responses: DataFrame) -> DecodedBook:
     book = book.withColumn("snapshot_id", snapshot_id(F.col("symbol"), F.col("last_update_id"), F.col("fetched_at")))
     headers = book.select("snapshot_id", "symbol", "last_update_id", F.col("depth").alias("depth_level"),
                           F.col("fetched_at").alias("snapshot_time"))
-    sides = F.array(
-        F.struct(F.lit("bid").alias("side"), _usable_levels(F.col("bids"), F.col("depth")).alias("lv")),
-        F.struct(F.lit("ask").alias("side"), _usable_levels(F.col("asks"), F.col("depth")).alias("lv")))
+    sides = F.array(F.struct(F.lit("bid").alias("side"), F.col("bids").alias("entries")),
+                    F.struct(F.lit("ask").alias("side"), F.col("asks").alias("entries")))
     per_side = book.select("endpoint", "snapshot_id", "symbol", "last_update_id", "fetched_at",
                            F.inline(sides))
     lv = per_side.select("endpoint", "snapshot_id", "symbol", "last_update_id", "fetched_at", "side",
-                         F.posexplode("lv").alias("level_index", "e"))
+                         F.posexplode(F.filter("entries", _usable)).alias("level_index", "e"))
+    unusable = per_side.select("endpoint", "symbol", "last_update_id", "fetched_at", "side",
+                               F.posexplode("entries").alias("pos", "e")).filter(~_usable(F.col("e")))
+    entry_bad = _reject_rows(unusable, F.lit("unusable_level"), F.concat_ws(":", "last_update_id", "side", "pos"),
+                             F.coalesce(F.to_json("e"), F.lit("null")))
     lv = lv.select("endpoint", "snapshot_id", "symbol", "last_update_id", "fetched_at", "side",
                    F.col("level_index").cast("smallint").alias("level_index"),
                    F.col("e")[0].alias("p_text"), F.col("e")[1].alias("q_text"))
@@ -215,7 +266,7 @@ def decode_order_book(responses: DataFrame) -> DecodedBook:
     row_bad = _reject_rows(lv.filter(~parsed), F.lit("bad_decimal"),
                            F.concat_ws(":", "last_update_id", "side", "level_index"),
                            F.concat_ws("|", "p_text", "q_text"))
-    return DecodedBook(headers, levels, bad.unionByName(row_bad))
+    return DecodedBook(headers, levels, bad.unionByName(row_bad).unionByName(entry_bad))
 
 
 # --------------------------------------------------------------------------- D04 ticker
@@ -241,7 +292,7 @@ def decode_ticker(responses: DataFrame) -> Decoded:
     cols = [F.col(f"t.{k}").alias(f"{c}_text") for k, c in zip(TICKER_TEXT, TICKER_COLUMNS)]
     t = t.select("endpoint", "symbol", "fetched_at", *cols,
                  *[zero_if_null(F.col(f"t.{k}"), 0).alias(k) for k in TICKER_LONG])
-    t = t.select("*", *[exact_decimal(F.col(f"{c}_text"), 18, 8).alias(c) for c in TICKER_COLUMNS])
+    t = t.select("*", *[exact_decimal(F.col(f"{c}_text")).alias(c) for c in TICKER_COLUMNS])
     all_parsed = F.lit(True)
     for c in TICKER_COLUMNS:
         all_parsed = all_parsed & F.col(c).isNotNull()
@@ -290,5 +341,5 @@ def decode_events(df: DataFrame, value_col: str = "value") -> Decoded:
         F.col("_why").alias("reason"), F.col("event_id_text").alias("item"),
         utf8_prefix_text(F.col("_value"), RAW_PREFIX_BYTES).alias("raw_prefix"),
         F.octet_length(utf8_prefix_bytes(F.col("_value"), RAW_PREFIX_BYTES)).cast("int").alias("raw_bytes"),
-        F.lit(None).cast("timestamp_ntz").alias("fetched_at"))
+        F.col("_value").alias("raw_text"), F.lit(None).cast("timestamp_ntz").alias("fetched_at"))
     return Decoded(good, rejects)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import SMALL_SIDE_ROWS, stage
+
 PAGE_LIMIT = 1000  # fixed value: rows per trades page of the exchange API
 
 
@@ -23,15 +25,19 @@ def incremental_page(trades: DataFrame, state: DataFrame, limit: int = PAGE_LIMI
     a symbol without state gets its newest ``limit`` rows.
 
     Top-k in two exact levels, so a symbol holding a third of all rows never lands in one
-    task: first the top ``limit`` per (symbol, salt) with salt = hash(id) mod
-    ``salt_buckets``, then the top ``limit`` per symbol over at most
+    task: first the top ``limit`` per (symbol, salt), the salt being the scan's partition
+    number mod ``salt_buckets``, then the top ``limit`` per symbol over at most
     ``salt_buckets * limit`` survivors. Each ``row_number() <= limit`` is planned with a
-    partial group limit before its shuffle (WindowGroupLimit)."""
-    marks = state.filter(F.col("worker_type") == worker_type).select("symbol", "last_id")
+    partial group limit before its shuffle (WindowGroupLimit); as a scan task meets one salt
+    only, it sends at most ``limit`` rows per symbol. The marks are written first and
+    broadcast if their counted rows allow; beyond that the join deals the trades by symbol."""
+    marks = stage(state.filter(F.col("worker_type") == worker_type).select("symbol", "last_id"), "page-marks")
+    if marks.count() <= SMALL_SIDE_ROWS:
+        marks = F.broadcast(marks)
     j = trades.join(marks, on="symbol", how="left")
     j = j.filter(F.col("last_id").isNull() | (F.col("agg_trade_id") >= F.col("last_id") + 1))
     order = F.when(F.col("last_id").isNull(), -F.col("agg_trade_id")).otherwise(F.col("agg_trade_id"))
-    salted = j.withColumn("_salt", F.pmod(F.xxhash64("agg_trade_id"), F.lit(salt_buckets)))
+    salted = j.withColumn("_salt", F.spark_partition_id() % salt_buckets)
     w1 = Window.partitionBy("symbol", "_salt").orderBy(order)
     first = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= limit).drop("_r", "_salt")
     w2 = Window.partitionBy("symbol").orderBy(order)

@@ -15,22 +15,23 @@ from ..functions.sql_udf import register_factorial
 from ..functions.text import quote_join, replace_first, replace_within, split_clean
 from ..operators import aggregates as agg
 from ..operators import paging, quality, telemetry
-from ..operators.decode import decode_agg_trades, decode_order_book, decode_symbols, decode_ticker
+from ..operators.decode import cut_levels, decode_agg_trades, decode_order_book, decode_symbols, decode_ticker
 from ..operators.encode import event_messages
 from ..operators.ingest import TradeStore, ingest_trade_pages
 from ..operators.write import (VersionedTable, add_month, bootstrap, high_water_marks, insert_ignore,
                                month_filter, observed_append, replace_table, upsert, write_bucketed, write_layout,
                                write_shards,
                                write_table)
-from ..schemas import EVENT_MESSAGE_DDL, EVENT_MESSAGE_FIELDS, TABLES
+from ..schemas import EVENT_MESSAGE_DDL, EVENT_MESSAGE_FIELDS, PRICE, TABLES
 from ..session import scratch_dir
 from ..sources.tables import DRIVER_TABLES, read_json, read_shards, table
 from ..streaming.events import events_to_json_files, file_messages, run_available
-from ..streaming.market import start_book_stream
+from ..streaming.market import start_book_stream, start_ticker_stream
 from ..streaming.trades import response_stream, start_trade_stream
 from . import standins as si
 
-BOOK_DEPTH = 3          # requested book depth in the level queries (cuts books of 4 bids)
+BOOK_DEPTH = 20         # fixed value: requested book depth of the reference
+TOP_LEVELS = 3          # levels a side that the top-of-book query reads (cuts books of 4 bids)
 SESSION_GAP_S = 8 * 3600
 
 
@@ -171,9 +172,9 @@ def orderbook_headers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def orderbook_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Usable levels, indexes after the drop, cut to the requested depth."""
-    return _book(spark, sf, BOOK_DEPTH).levels.select("symbol", "last_update_id", "side", "level_index",
-                                                      "price", "quantity")
+    """Usable levels, indexes after the drop, the best ``TOP_LEVELS`` read of each side."""
+    return cut_levels(_book(spark, sf, BOOK_DEPTH).levels, TOP_LEVELS).select(
+        "symbol", "last_update_id", "side", "level_index", "price", "quantity")
 
 
 def _bucket_count(spark: SparkSession) -> int:
@@ -414,7 +415,7 @@ def _trade_batch(trades: DataFrame) -> DataFrame:
     price + 1 (all of which must be ignored)."""
     b = trades.filter(F.col("agg_trade_id") % 10 >= 3)
     first = b.withColumn("_ord", F.struct(F.lit(0).alias("pass"), F.col("agg_trade_id").alias("id")))
-    again = b.withColumn("price", (F.col("price") + 1).cast("decimal(18,8)")) \
+    again = b.withColumn("price", (F.col("price") + 1).cast(PRICE)) \
              .withColumn("_ord", F.struct(F.lit(1).alias("pass"), F.col("agg_trade_id").alias("id")))
     return first.unionByName(again)
 
@@ -486,7 +487,7 @@ def resume_after_replay(spark: SparkSession, sf: str) -> DataFrame:
     tr = store.trades()
     summary = tr.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"),
                                        F.count_distinct("agg_trade_id").alias("distinct_ids"),
-                                       F.sum("price").cast("decimal(38,8)").alias("sum_price"))
+                                       F.sum("price").alias("sum_price"))
     return summary.join(store.marks().select("symbol", "last_id", "last_timestamp"), "symbol", "left")
 
 
@@ -515,6 +516,14 @@ def ticker_append(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select(*TICKER_OUT)
 
 
+def stream_ticker(spark: SparkSession, sf: str) -> DataFrame:
+    """T04/K11 in a stream: ticker responses arrive as files; the stored rows are read back."""
+    src, ck, root = (scratch_dir(spark, n) for n in ("ticker-src", "ticker-ck", "ticker-store"))
+    si.ticker_responses(agg.ticker_from_trades(si.agg_trades(spark, sf))).write.json(src)
+    run_available(start_ticker_stream(root, response_stream(spark, src), ck, trigger={"availableNow": True}))
+    return spark.read.parquet(f"{root}/ticker_24hr").select(*TICKER_OUT)
+
+
 # --------------------------------------------------------------------------- model-implied
 
 def ticker_from_trades(spark: SparkSession, sf: str) -> DataFrame:
@@ -522,7 +531,7 @@ def ticker_from_trades(spark: SparkSession, sf: str) -> DataFrame:
     return agg.ticker_from_trades(si.agg_trades(spark, sf)).select(
         "symbol", "open_price", "last_price", "high_price", "low_price", "volume", "quote_volume",
         "weighted_avg", "price_change", "price_change_pct", "first_trade_id", "last_trade_id", "trade_count",
-        "open_time", "close_time", "agg_trade_rows")
+        "open_time", "close_time", "agg_trade_rows", "quote_volume_exact")
 
 
 def daily_rollup(spark: SparkSession, sf: str) -> DataFrame:

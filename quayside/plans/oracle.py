@@ -12,8 +12,10 @@ APP_EVENTS = f"""SELECT event_id, user_id, event_type,
 FROM events"""
 
 TRADES = """SELECT upper(event_type) AS symbol, event_id AS agg_trade_id,
-       CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(18,8)) AS price,
-       CAST(1 + user_id % 7 AS DECIMAL(18,8)) AS quantity,
+       CAST(CAST(value AS DECIMAL(18,2)) + CAST(event_id % 10 AS DECIMAL(2,0)) * 0.000000000001 AS DECIMAL(38,18))
+         AS price,
+       CAST(1 + user_id % 7 + CASE WHEN event_id % 1009 = 0 THEN 1000000000000 ELSE 0 END AS DECIMAL(38,18))
+         AS quantity,
        event_id * 3 AS first_trade_id, event_id * 3 + event_id % 3 AS last_trade_id,
        date_trunc('millisecond', ts) AS trade_time, user_id % 2 = 0 AS is_buyer_maker, true AS is_best_match
 FROM events"""
@@ -22,21 +24,22 @@ TRADE_COLS = ("symbol, agg_trade_id, price, quantity, first_trade_id, last_trade
               "is_buyer_maker, is_best_match")
 
 
-def _levels(depth: int) -> str:
+def _levels(depth: int | None = None) -> str:
+    cut = "" if depth is None else f" WHERE li < {depth}"
     return f"""SELECT * FROM (
   SELECT l_orderkey, side, l_extendedprice, l_quantity,
          row_number() OVER (PARTITION BY l_orderkey, side ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
                             l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS li
   FROM (SELECT *, CASE WHEN l_linenumber % 2 = 1 THEN 'bid' ELSE 'ask' END AS side FROM lineitem
         WHERE l_partkey % 50 NOT IN (0, 1))
-) WHERE li < {depth}"""
+){cut}"""
 
 
-def _levels_out(depth: int) -> str:
+def _levels_out(depth: int | None = None) -> str:
     return f"""SELECT 'SYM' || CAST(l_orderkey % 3 AS VARCHAR) AS symbol, l_orderkey * 10 AS last_update_id, side,
        CAST(li AS SMALLINT) AS level_index,
-       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(18,8)) AS price,
-       CAST(CAST(l_quantity AS DECIMAL(18,2)) AS DECIMAL(18,8)) AS quantity
+       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(38,18)) AS price,
+       CAST(CAST(l_quantity AS DECIMAL(18,2)) AS DECIMAL(38,18)) AS quantity
 FROM ({_levels(depth)})"""
 
 
@@ -49,7 +52,8 @@ a AS (
          arg_max(price, (trade_time, agg_trade_id)) AS last_price,
          arg_max(quantity, (trade_time, agg_trade_id)) AS last_qty,
          max(price) AS high_price, min(price) AS low_price,
-         sum(quantity) AS volume, sum(CAST(price AS DECIMAL(38,8)) * quantity) AS quote_volume,
+         sum(quantity) AS volume, CAST(sum(CAST(price AS DECIMAL(32,12)) * CAST(quantity AS DECIMAL(19,0))) AS DECIMAL(38,18))
+           AS quote_volume,
          min(trade_time) AS open_time, max(trade_time) AS close_time,
          arg_min(agg_trade_id, (trade_time, agg_trade_id)) AS first_trade_id,
          arg_max(agg_trade_id, (trade_time, agg_trade_id)) AS last_trade_id,
@@ -60,10 +64,11 @@ SELECT symbol, last_price - open_price AS price_change,
        round(100.0 * CAST(last_price - open_price AS DOUBLE) / CAST(open_price AS DOUBLE), 3) AS price_change_pct,
        round(CAST(quote_volume AS DOUBLE) / CAST(volume AS DOUBLE), 6) AS weighted_avg,
        last_price, last_qty, open_price, high_price, low_price, volume, quote_volume, open_time, close_time,
-       first_trade_id, last_trade_id, trade_count, agg_trade_rows
+       first_trade_id, last_trade_id, trade_count, agg_trade_rows, true AS quote_volume_exact
 FROM a"""
 
-D = "CAST({} AS DECIMAL(18,8))"
+# of the text: a decimal of a floating number would show its binary digits
+D = "CAST(CAST({} AS VARCHAR) AS DECIMAL(38,18))"
 DECODED_TICKER = f"""SELECT symbol, {D.format('price_change')} AS price_change,
        {D.format('price_change_pct')} AS price_change_pct, {D.format('weighted_avg')} AS weighted_avg,
        {D.format('last_price')} AS last_price, {D.format('last_qty')} AS last_qty,
@@ -157,31 +162,31 @@ FROM ({MOVEMENTS}) GROUP BY 1"""
 SQL["sharded_read_count"] = "SELECT count(*) AS row_count, CAST(sum(event_id) AS BIGINT) AS sum_event_id FROM events"
 
 SQL["side_counts"] = f"""SELECT count(*) FILTER (WHERE side = 'bid') AS bid_levels,
-       count(*) FILTER (WHERE side = 'ask') AS ask_levels FROM ({_levels(20)})"""
+       count(*) FILTER (WHERE side = 'ask') AS ask_levels FROM ({_levels()})"""
 
 SQL["distinct_symbols"] = """SELECT 'agg_trades' AS table_name, count(DISTINCT upper(event_type)) AS n_symbols FROM events
 UNION ALL SELECT 'orderbook_snapshots', count(DISTINCT l_orderkey % 3) FROM lineitem"""
 
 SQL["orderbook_headers"] = """SELECT DISTINCT 'SYM' || CAST(l_orderkey % 3 AS VARCHAR) AS symbol,
-       l_orderkey * 10 AS last_update_id, 3 AS depth_level FROM lineitem"""
+       l_orderkey * 10 AS last_update_id, 20 AS depth_level FROM lineitem"""
 
 SQL["orderbook_levels"] = _levels_out(3)
 
-SQL["book_with_header"] = f"""SELECT symbol, last_update_id, 3 AS depth_level, side, level_index, price, quantity
-FROM ({_levels_out(3)})"""
+SQL["book_with_header"] = f"""SELECT symbol, last_update_id, 20 AS depth_level, side, level_index, price, quantity
+FROM ({_levels_out()})"""
 
 SQL["quality_report"] = f"""WITH checks AS (
   SELECT 1 AS o, 'symbols' AS check_name,
          (SELECT count(*) FROM ({SYMBOLS_BASE}) WHERE status <> '') AS actual, 3 AS minimum
   UNION ALL SELECT 2, 'agg_trades', (SELECT count(*) FROM events WHERE event_id % 97 <> 0), 1
   UNION ALL SELECT 3, 'orderbook_snapshots', (SELECT count(DISTINCT l_orderkey) FROM lineitem), 1
-  UNION ALL SELECT 4, 'orderbook_levels', (SELECT count(*) FROM ({_levels(20)})), 1
+  UNION ALL SELECT 4, 'orderbook_levels', (SELECT count(*) FROM ({_levels()})), 1
   UNION ALL SELECT 5, 'ticker_24hr', (SELECT count(DISTINCT upper(event_type)) FROM events
                                        WHERE upper(event_type) <> 'SIGNUP'), 1
   UNION ALL SELECT 6, 'ingest_state', (SELECT count(DISTINCT upper(event_type)) FROM events
                                         WHERE event_id % 97 <> 0), 1
-  UNION ALL SELECT 7, 'bid_levels', (SELECT count(*) FROM ({_levels(20)}) WHERE side = 'bid'), 1
-  UNION ALL SELECT 8, 'ask_levels', (SELECT count(*) FROM ({_levels(20)}) WHERE side = 'ask'), 1
+  UNION ALL SELECT 7, 'bid_levels', (SELECT count(*) FROM ({_levels()}) WHERE side = 'bid'), 1
+  UNION ALL SELECT 8, 'ask_levels', (SELECT count(*) FROM ({_levels()}) WHERE side = 'ask'), 1
   UNION ALL SELECT 9, 'ticker_symbols', (SELECT count(DISTINCT upper(event_type)) FROM events
                                           WHERE upper(event_type) <> 'SIGNUP'), 3
 ), s AS (SELECT check_name, CAST(actual AS BIGINT) AS actual, CAST(minimum AS BIGINT) AS minimum,
@@ -203,7 +208,7 @@ UNION ALL SELECT 'app.events', 'unique:event_id', CAST(coalesce(sum(n - 1), 0) A
 UNION ALL SELECT 'crypto.agg_trades', 'not_null:price', CAST(0 AS BIGINT)
 UNION ALL SELECT 'crypto.agg_trades', 'unique:symbol,agg_trade_id', count(*) FROM events WHERE event_id % 10 >= 3
 UNION ALL SELECT 'crypto.orderbook_levels', 'allowed:side', CAST(0 AS BIGINT)
-UNION ALL SELECT 'crypto.orderbook_levels', 'orphan', count(*) FROM ({_levels(20)}) lv
+UNION ALL SELECT 'crypto.orderbook_levels', 'orphan', count(*) FROM ({_levels()}) lv
   JOIN (SELECT l_orderkey, max(l_shipdate) AS fetched_at FROM lineitem GROUP BY l_orderkey) b USING (l_orderkey)
   WHERE b.fetched_at >= TIMESTAMP '2001-06-01 00:00:00'"""
 
@@ -269,13 +274,15 @@ FROM ({TRADES}) GROUP BY symbol"""
 
 SQL["stream_trades"] = SQL["decode_agg_trades"]
 
-SQL["stream_books"] = SQL["orderbook_levels"]
+SQL["stream_books"] = _levels_out()
+
+SQL["stream_ticker"] = DECODED_TICKER
 
 SQL["ticker_append"] = f"SELECT * FROM ({DECODED_TICKER}) UNION ALL SELECT * FROM ({DECODED_TICKER})"
 
 SQL["ticker_from_trades"] = f"""SELECT symbol, open_price, last_price, high_price, low_price, volume, quote_volume,
        weighted_avg, price_change, price_change_pct, first_trade_id, last_trade_id, trade_count, open_time,
-       close_time, agg_trade_rows FROM ({TICKER})"""
+       close_time, agg_trade_rows, quote_volume_exact FROM ({TICKER})"""
 
 SQL["daily_rollup"] = """SELECT CAST(ts AS DATE) AS dt, 'value' AS metric_name, event_type AS dimension_key,
        count(*) AS total_count, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_sum,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cut_to_millis, ts_to_millis
+from ..schemas import PRICE
 from ..sources.tables import table
 
 
@@ -49,8 +50,10 @@ def agg_trades(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     return e.select(
         F.upper("event_type").alias("symbol"), F.col("event_id").alias("agg_trade_id"),
-        F.col("value").cast("decimal(18,2)").cast("decimal(18,8)").alias("price"),
-        (F.lit(1) + F.col("user_id") % 7).cast("decimal(18,8)").alias("quantity"),
+        (F.col("value").cast("decimal(18,2)") + (F.col("event_id") % 10).cast("decimal(2,0)")
+         * F.lit("0.000000000001").cast("decimal(12,12)")).cast(PRICE).alias("price"),
+        (F.lit(1) + F.col("user_id") % 7 + F.when(F.col("event_id") % 1009 == 0, 10 ** 12).otherwise(0))
+        .cast(PRICE).alias("quantity"),
         (F.col("event_id") * 3).alias("first_trade_id"),
         (F.col("event_id") * 3 + F.col("event_id") % 3).alias("last_trade_id"),
         cut_to_millis(F.col("ts")).alias("trade_time"),

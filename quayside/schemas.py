@@ -1,8 +1,7 @@
 """Table definitions: one dict drives bootstrap DDL, validation and write layout.
 
 Instants are stored as UTC wall time in ``timestamp_ntz`` columns. Prices and
-quantities are exact decimals: ``decimal(18,8)`` holds every exchange price, and a
-product of two of them stays exact in ``decimal(37,16)``.
+quantities are exact decimals of the widest type, ``decimal(38,18)``.
 """
 
 from __future__ import annotations
@@ -11,8 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-PRICE = "decimal(18,8)"
-PRICE_T = T.DecimalType(18, 8)
+PRICE = "decimal(38,18)"
 
 
 @dataclass(frozen=True)
@@ -115,4 +113,4 @@ RESPONSE_DDL = ("endpoint string, symbol string, depth int, status int, retry_af
 
 # Quarantine rows written by every decoder.
 REJECT_DDL = ("endpoint string, symbol string, reason string, item string, raw_prefix string, raw_bytes int, "
-              "fetched_at timestamp_ntz")
+              "raw_text string, fetched_at timestamp_ntz")

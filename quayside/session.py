@@ -75,6 +75,9 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+SMALL_SIDE_ROWS = 200_000   # a staged one-row-per-key side of up to so many counted rows is broadcast
+
+
 def stage(df, name: str):
     """Cut lineage by writing a Parquet table into the shared checkpoint folder and reading
     it back: one columnar write, later reads prune columns, and a lost executor re-reads

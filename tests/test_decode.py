@@ -2,8 +2,11 @@ import datetime as dt
 import json
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from conftest import rows
-from quayside.operators.decode import decode_agg_trades, decode_events, decode_order_book, decode_symbols, decode_ticker
+from quayside.operators.decode import (cut_levels, decode_agg_trades, decode_events, decode_order_book, decode_symbols,
+                                        decode_ticker)
 from quayside.schemas import RESPONSE_DDL
 
 
@@ -35,7 +38,7 @@ def test_trades_missing_fields_are_zero_values(spark):
 
 
 def test_trades_empty_price_dropped_bad_decimal_quarantined(spark):
-    body = json.dumps([trade(1, p=""), trade(2, q=None), trade(3, p="abc"), trade(4, p="0.123456789"), trade(5)])
+    body = json.dumps([trade(1, p=""), trade(2, q=None), trade(3, p="abc"), trade(4, p="0.1234567890123456789"), trade(5)])
     d = decode_agg_trades(responses(spark, [("aggTrades", "X", None, body)]))
     assert rows(d.good, "agg_trade_id") == [(5,)]
     assert rows(d.rejects, "item", "reason") == [("1", "empty_price_or_quantity"), ("2", "empty_price_or_quantity"),
@@ -65,6 +68,7 @@ def test_reject_keeps_first_500_bytes(spark):
     d = decode_agg_trades(responses(spark, [("aggTrades", "X", None, body)]))
     r = d.rejects.first()
     assert r.raw_bytes == 500 and r.raw_prefix.startswith("<éé")
+    assert r.raw_text == body      # the whole body stays, so it can be decoded again
 
 
 def test_book_levels_drop_compact_and_depth(spark):
@@ -73,8 +77,12 @@ def test_book_levels_drop_compact_and_depth(spark):
                        "asks": []})
     b = decode_order_book(responses(spark, [("depth", "S", 3, body), ("depth", "E", 5,
                                              json.dumps({"lastUpdateId": 1, "bids": [], "asks": []}))]))
+    # every usable level is stored, however deep; the cut is made when reading
     assert rows(b.levels, "side", "level_index", "price") == [
-        ("bid", 0, Decimal("10.00000000")), ("bid", 1, Decimal("8.00000000")), ("bid", 2, Decimal("7.00000000"))]
+        ("bid", 0, Decimal(10)), ("bid", 1, Decimal(8)), ("bid", 2, Decimal(7)), ("bid", 3, Decimal(6))]
+    assert rows(cut_levels(b.levels, 3), "level_index") == [(0,), (1,), (2,)]
+    assert rows(b.rejects, "reason", "item", "raw_text") == [
+        ("unusable_level", "77:bid:1", '["9"]'), ("unusable_level", "77:bid:2", '["","2"]')]
     # header kept even without levels; one header per response
     assert rows(b.headers, "symbol", "last_update_id", "depth_level") == [("E", 1, 5), ("S", 77, 3)]
     ids = {r.snapshot_id for r in b.headers.collect()}
@@ -129,16 +137,17 @@ def test_event_messages_decode_and_quarantine(spark):
 
 def test_full_books_give_snapshots_times_two_times_depth_levels(spark):
     depth = 20
-    side = [[f"{100 + i}.5", "1"] for i in range(25)]          # deeper than requested: cut to depth
+    side = [[f"{100 + i}.5", "1"] for i in range(25)]          # deeper than requested
     items = [("depth", f"S{k}", depth, json.dumps({"lastUpdateId": k, "bids": side, "asks": side})) for k in range(24)]
     b = decode_order_book(responses(spark, items))
-    assert b.headers.count() == 24 and b.levels.count() == 24 * 2 * depth   # 960, as in the recorded run
+    assert b.headers.count() == 24 and b.levels.count() == 24 * 2 * 25
+    assert cut_levels(b.levels, depth).count() == 24 * 2 * depth   # 960, as in the recorded run
 
 
 def test_prices_stay_exact_decimals(spark):
     body = json.dumps([trade(1, p="0.10000000", q="123456789.12345678"), trade(2, p="0.3", q="0.1")])
     g = decode_agg_trades(responses(spark, [("aggTrades", "X", None, body)])).good
-    assert g.schema["price"].dataType.simpleString() == "decimal(18,8)"
+    assert g.schema["price"].dataType.simpleString() == "decimal(38,18)"
     got = rows(g, "agg_trade_id", "price", "quantity")
     assert got == [(1, Decimal("0.10000000"), Decimal("123456789.12345678")),
                    (2, Decimal("0.30000000"), Decimal("0.10000000"))]
@@ -155,3 +164,37 @@ def test_recorded_responses_round_trip_through_files(spark):
     back = read_responses(spark, path)
     assert back.count() == si.trade_pages(spark, "/root/testdata/sf0.001").count()
     assert decode_agg_trades(back).good.count() == decode_agg_trades(si.trade_pages(spark, "/root/testdata/sf0.001")).good.count()
+
+
+def test_wide_numbers_are_kept_and_lossy_ones_quarantined(spark):
+    texts = ["12345678901.5", "1000000000000.00", "0.0000000012", "0.000000000001", "1e-18", "1E3", " 7.50 ",
+             "0.100000000000000000000000", "0.1234567890123456789", "1e-19", "1" * 21, "x", "-0.5"]
+    body = json.dumps([trade(i, p=t, q="1") for i, t in enumerate(texts)])
+    d = decode_agg_trades(responses(spark, [("aggTrades", "X", None, body)]))
+    got = dict(rows(d.good, "agg_trade_id", "price"))
+    lossy = {8, 9, 10, 11}
+    assert got == {i: Decimal(t.strip()) for i, t in enumerate(texts) if i not in lossy}
+    assert rows(d.rejects, "item", "reason") == sorted((str(i), "bad_decimal") for i in lossy)
+
+
+def test_ticker_keeps_large_volumes(spark):
+    d = decode_ticker(responses(spark, [("ticker24hr", "BIG", None, _ticker_body(volume="15000000000.000000000001"))]))
+    assert rows(d.good, "symbol", "volume") == [("BIG", Decimal("15000000000.000000000001"))]
+
+
+def test_nested_key_of_the_same_name_does_not_count(spark):
+    wrong = json.dumps({"lastUpdateId": "x", "bids": [], "asks": [], "meta": {"lastUpdateId": 5}})
+    right = json.dumps({"lastUpdateId": 5, "bids": [], "asks": [], "meta": {"lastUpdateId": "x"}})
+    b = decode_order_book(responses(spark, [("depth", "W", 5, wrong), ("depth", "R", 5, right)]))
+    assert rows(b.headers, "symbol") == [("R",)] and rows(b.rejects, "symbol", "reason") == [("W", "json_type_mismatch")]
+    page = json.dumps([dict(trade(1), more={"a": "x"}), trade(2)])
+    mixed = json.dumps([trade(3), 5])
+    d = decode_agg_trades(responses(spark, [("aggTrades", "G", None, page), ("aggTrades", "M", None, mixed)]))
+    assert rows(d.good, "agg_trade_id") == [(1,), (2,)] and rows(d.rejects, "symbol") == [("M",)]
+
+
+def test_body_over_the_parser_limit_is_named_and_kept(spark):
+    body = json.dumps({"lastUpdateId": 1, "bids": [["1", "2"]], "asks": [], "pad": "x" * (20 << 20)})
+    b = decode_order_book(responses(spark, [("depth", "L", 5, body)]))
+    assert b.headers.count() == 0
+    assert rows(b.rejects.select("reason", F.length("raw_text"))) == [("body_over_parser_limit", len(body))]

@@ -25,9 +25,9 @@ def test_millis_round_trip_and_month(spark):
 
 
 def test_exact_decimal_rejects_loss(spark):
-    got = one(spark, exact_decimal(F.col("s")), [("1.5",), ("0.000000001",), ("x",), ("",), ("12345678901",)],
+    got = one(spark, exact_decimal(F.col("s")), [("1.5",), ("0.0000000000000000001",), ("x",), ("",), ("123456789012345678901",)],
               "s string")
-    assert [str(v) if v is not None else None for v in got] == ["1.50000000", None, None, None, None]
+    assert [str(v) if v is not None else None for v in got] == ["1.500000000000000000", None, None, None, None]
 
 
 def test_factorial_udf(spark):
@@ -58,3 +58,31 @@ def test_replace_first_with_alternatives_and_back_references(spark):
     r = spark.range(1).select(replace_first(F.lit("xbxb"), "a|b", "Z").alias("a"),
                               replace_first(F.lit("abccd"), r"(.)\1", "<$1>").alias("b")).first()
     assert (r.a, r.b) == ("xZxb", "ab<c>d")
+
+
+def test_exact_product_against_python_decimals(spark):
+    import random
+    from decimal import Decimal, getcontext
+
+    from quayside.functions.scalar import exact_difference, exact_product
+    getcontext().prec = 90
+    rnd = random.Random(3)
+    pairs = []
+    for _ in range(400):
+        a, b = (Decimal(rnd.randrange(10 ** rnd.randrange(1, 19))).scaleb(-rnd.randrange(0, 13)) for _ in range(2))
+        pairs.append((a, b))
+    pairs += [(Decimal("0.000000001234"), Decimal("1000000000000")), (Decimal("1e-18"), Decimal("1e-18")), (None, Decimal(1))]
+    df = spark.createDataFrame(pairs, "a decimal(38,18), b decimal(38,18)")
+    found = 0
+    for r in df.select("a", "b", exact_product("a", "b").alias("p"), exact_difference("a", "b").alias("d")).collect():
+        if r.a is None:
+            assert r.p is None and r.d is None
+            continue
+        true = r.a * r.b
+        if r.p is not None:
+            found += 1
+            assert r.p == true
+        elif true.normalize().as_tuple().exponent >= -18:     # NULL only where factors need too many digits
+            assert len(r.a.normalize().as_tuple().digits) + len(r.b.normalize().as_tuple().digits) > 18
+        assert r.d == r.a - r.b
+    assert found > 100 and found < 402

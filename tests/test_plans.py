@@ -43,3 +43,20 @@ def test_bucketed_book_join_has_no_shuffle_when_not_broadcast(spark):
         assert "SortMergeJoin" in p and "Exchange hashpartitioning" not in p
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("name", ["incremental_page", "ticker_from_trades"])
+def test_trades_are_not_dealt_by_symbol_before_they_are_reduced(spark, name):
+    """Without automatic broadcasts too: the staged small side is broadcast by its counted rows."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan_of(entry.queries()[name](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    # what lies under the join, down to the scans, is not shuffled
+    below = p[p.index("BroadcastHashJoin"):]
+    assert "hashpartitioning(symbol" not in below
+    if name == "incremental_page":
+        assert "hashpartitioning(symbol" in p and "_salt" in p and p.count("WindowGroupLimit") == 4
