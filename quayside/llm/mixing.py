@@ -6,7 +6,7 @@ source's target says how far along its line the mix reads; beyond the end the li
 again (the second copy), so a target of up to two times the source is met to the word, and
 only the document at the stop is cut.
 
-The blocks the mix reads are then dealt to output shards. The exact block quotas of all
+The blocks the mix reads are dealt to output shards. The exact block quotas of all
 sources are split down a binary tree: a node draws how many blocks of each source go left
 from the multivariate hypergeometric distribution, the rest goes right, until every shard
 has its own quotas. Each shard reads the next blocks of each source's line that belong to
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from quayside.llm.common import clean_text, documents
-from quayside.session import stage
+from quayside.session import scratch_dir, stage
 
 WEIGHTS = (5, 2, 1)
 
@@ -118,10 +118,25 @@ def _bounded(df: DataFrame, most: int = 20_000) -> DataFrame:
 
 
 class Mix:
-    """What a mix takes: ``sources`` (one row per source) and ``rows`` (one per document)."""
+    """What a mix takes: ``sources`` (one row per source), ``draws`` (one per document and
+    copy) and ``rows`` (one per document)."""
 
-    def __init__(self, rows: DataFrame, sources: DataFrame, draws: DataFrame):
-        self.rows, self.sources, self.draws = rows, sources, draws
+    def __init__(self, laid: DataFrame, sources: DataFrame, draws: DataFrame):
+        self.laid, self.sources, self.draws = laid, sources, draws
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.rows_of(self.draws)
+
+    def rows_of(self, draws: DataFrame) -> DataFrame:
+        """Every document with what the given draws take of it. A row that holds words is told
+        by its source and the place of its first word; rows without words are never drawn."""
+        d = (draws.groupBy(F.col("rank").alias("d_rank"), F.col("start").alias("d_start"), F.col("size").alias("d_size"))
+             .agg(F.sum("words").alias("d_taken"), F.sort_array(F.collect_list(F.struct("copy", "shard"))).getField("shard").alias("d_shards")))
+        same = (F.col("rank") == F.col("d_rank")) & (F.col("start") == F.col("d_start")) & (F.col("size") == F.col("d_size"))
+        rest = [c for c in self.laid.columns if c not in ("rank", "start")]
+        return self.laid.join(d, same, "left").select(*rest, F.coalesce("d_taken", F.lit(0)).cast("long").alias("taken"),
+                                                      F.coalesce("d_shards", F.array().cast("array<int>")).alias("shards"))
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -130,12 +145,12 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text_col: str = "text", so
     """Mix the sources to targets.
 
     Sources rank by code point, null last, and weigh ``weights`` in turn. They share ``share``
-    times all words; no target is above ``most`` times its source. ``rows`` has the key,
-    size, source_size, target (of its source) and taken (words the mix takes of the
-    document, repeats counted; at most ``most`` times its size). ``draws`` has a row per
-    (document, copy) the mix takes: key, copy, shard, place (order inside the shard), words
-    (all of the document but for the last of each source), size and ``row``, the columns
-    named in ``carry``.
+    times all words; no target is above ``most`` times its source. ``draws`` has a row per
+    (document, copy) the mix takes: key, rank (of its source), start (place of its first
+    word), copy, shard, place (order inside the shard), words (all of the document but for
+    the last of each source), size and ``row``, the columns named in ``carry``. ``rows`` has
+    the key, size, source_size, target (of its source), taken (the words of the document's
+    draws; at most ``most`` times its size) and shards (the shard of each copy drawn).
 
     Null and wordless texts have size 0 and are never taken. Repeated rows are rows of their
     own. Sources without words have target 0. An empty table gives empty results. One row
@@ -170,32 +185,42 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text_col: str = "text", so
                                  "c_rank int, ends array<bigint>, quota array<bigint>")
     placed = rows.join(s, rows.source.eqNullSafe(F.col("s_source")))
     per_copy = [F.greatest(F.lit(0), F.least(F.col("size"), reach[c] - F.col("start"))) for c in range(most)]
-    out = placed.select(F.col("k").alias(key), "size", "source_size", "target", sum(per_copy, F.lit(0)).cast("long").alias("taken"))
+    laid = placed.select(F.col("k").alias(key), "size", "source_size", "target", "rank", "start")
     copies = F.explode(F.array(*(F.struct(F.lit(c).alias("copy"), per_copy[c].alias("words")) for c in range(most))))
-    taken = (placed.select("k", "h", "rank", "position", "size", "row", copies.alias("c")).where("c.words > 0")
-             .select("k", "h", "rank", "position", "size", "row", "c.copy", "c.words"))
+    taken = (placed.select("k", "h", "rank", "start", "position", "size", "row", copies.alias("c")).where("c.words > 0")
+             .select("k", "h", "rank", "start", "position", "size", "row", "c.copy", "c.words"))
     cuts = F.broadcast(cuts) if len(found) * shards <= 2_000_000 else cuts
     turn = F.col("position") + F.when(F.col("copy") == 0, F.lit(0)).otherwise(F.expr("aggregate(slice(quota, 1, copy), 0L, (a, x) -> a + x)"))
     shard = F.expr("size(filter(ends, e -> e <= turn))")
     draws = (taken.join(cuts, F.col("rank") == F.col("c_rank")).withColumn("turn", turn)
              .withColumn("shard", F.least(shard, F.lit(shards - 1)))
-             .select(F.col("k").alias(key), "copy", "shard", F.xxhash64(F.lit(seed + 1), "h", "copy").alias("place"), "words", "size", "row"))
-    return Mix(out, sources, draws)
+             .select(F.col("k").alias(key), "rank", "start", "copy", "shard", F.xxhash64(F.lit(seed + 1), "h", "copy").alias("place"), "words", "size", "row"))
+    return Mix(laid, sources, draws)
+
+
+def deal(draws: DataFrame) -> DataFrame:
+    """The draws dealt to their shards: shard after shard, each shuffled by ``place``."""
+    return draws.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as whole rows of ``docs``: a row per (document, copy) that the mix takes; the
-    document at a source's stop comes whole if the mix takes at least half of it, else not."""
+    """The mix as whole rows of ``docs``: a row per (document, copy) that the mix takes,
+    dealt to the shards and shuffled inside them (part files in order hold shard after
+    shard). The document at a source's stop comes whole if the mix takes at least half of
+    it, else not."""
     mix = mix_sources(docs, carry=tuple(docs.columns), **options)
-    return mix.draws.where(F.col("words") * 2 >= F.col("size")).select("row.*")
+    return deal(mix.draws.where(F.col("words") * 2 >= F.col("size"))).select("row.*")
 
 
 def write_shards(mix: Mix, path: str) -> None:
     """The draws of a mix in one folder per shard, shuffled inside the shard by ``place``."""
-    (mix.draws.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
-     .write.partitionBy("shard").parquet(path))
+    deal(mix.draws).write.partitionBy("shard").parquet(path)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to weights 5, 2, 1 over 150 % of all words."""
-    return mix_sources(documents(spark, sf_dir)).rows
+    """All documents mixed to weights 5, 2, 1 over 150 % of all words: the draws are written
+    to 16 shards, and the result is what the shards hold of every document."""
+    mix = mix_sources(documents(spark, sf_dir))
+    path = scratch_dir(spark, "shards")
+    write_shards(mix, path)
+    return mix.rows_of(spark.read.schema(mix.draws.schema).parquet(path))

@@ -139,6 +139,26 @@ def test_mixing_on_edge_rows(edge, none):
     assert mixing.mixed_documents(edge).columns == edge.columns
 
 
+def test_mixing_queries_deal_the_draws_to_shards(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    draws = mixing.mix_sources(docs, carry=tuple(docs.columns)).draws.collect()
+    rows = {r.doc_id: r for r in mixing.op2_mixing(spark, SF).collect()}
+    assert len(rows) == docs.count()
+    shards = collections.defaultdict(list)
+    for r in sorted(draws, key=lambda r: r.copy):
+        shards[r.doc_id].append(r.shard)
+    assert {k: r.shards for k, r in rows.items()} == {k: shards[k] for k in rows} and len({s for r in rows.values() for s in r.shards}) > 1
+    whole = sorted((r for r in draws if 2 * r.words >= r.size), key=lambda r: (r.shard, r.place))
+    assert [r.doc_id for r in mixing.mixed_documents(docs).collect()] == [r.doc_id for r in whole]
+    # the tree's shards make the result: without one shard's draws its words are missing
+    write = mixing.write_shards
+    monkeypatch.setattr(mixing, "write_shards", lambda mix, path: write(mixing.Mix(mix.laid, mix.sources, mix.draws.where("shard <> 3")), path))
+    want = collections.Counter()
+    for r in draws:
+        want[r.doc_id] += r.words * (r.shard != 3)
+    assert {r.doc_id: r.taken for r in mixing.op2_mixing(spark, SF).collect()} == {k: want[k] for k in rows}
+
+
 # -- 3: SimHash --------------------------------------------------------------------------
 
 def brute_fingerprint(t):
