@@ -237,10 +237,11 @@ def disguised(word: str, rng: np.random.Generator) -> str:
     return "".join(letters)
 
 
-def train(toxic: list[set[str]], clean: list[set[str]], seed: int = 11, landmarks_per_group: int = 3,
-          max_negatives: int = 20_000) -> KernelSvm | None:
+def train(toxic: list[set[str]], clean: list[set[str]], base_rate: float | None = None, seed: int = 11,
+          landmarks_per_group: int = 3, max_negatives: int = 20_000) -> KernelSvm | None:
     """The model from the word sets of labelled texts, or None if the toxic texts have
-    nothing in common that clean ones lack."""
+    nothing in common that clean ones lack. ``base_rate`` is the share of toxic texts among
+    all that the sample stands for (None: the share in the sample)."""
     rng = np.random.default_rng(seed)
     blamed = telling_groups(toxic, clean) if toxic and clean else {}
     if not blamed:
@@ -266,7 +267,7 @@ def train(toxic: list[set[str]], clean: list[set[str]], seed: int = 11, landmark
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     beta, svm.bias = _linear_svm(np.concatenate(parts), y)
     svm.weights = white @ beta
-    _calibrate(svm, toxic, clean)
+    _calibrate(svm, toxic, clean, base_rate)
     return svm
 
 
@@ -287,8 +288,9 @@ def _linear_svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-5, rounds: int = 6
     return w[:-1], float(w[-1])
 
 
-def _calibrate(svm: KernelSvm, toxic: list[set[str]], clean: list[set[str]]) -> None:
-    """Logistic fit of text labels on the text features, by damped Newton steps."""
+def _calibrate(svm: KernelSvm, toxic: list[set[str]], clean: list[set[str]], base_rate: float | None = None) -> None:
+    """Logistic fit of text labels on the text features, by damped Newton steps; the texts of
+    either label weigh so much that their shares are those of all labelled texts."""
     bags = [*toxic, *clean]
     words = sorted({w for b in bags for w in b})
     flat = [(i, v) for i, w in enumerate(words) for v in windows_of(w) if len(v) >= 3]
@@ -297,11 +299,14 @@ def _calibrate(svm: KernelSvm, toxic: list[set[str]], clean: list[set[str]]) ->
     of = dict(zip(words, m.tolist()))
     d = np.array([svm.text_features([of[w] for w in b]) for b in bags])
     y = np.concatenate([np.full(len(toxic), (len(toxic) + 1) / (len(toxic) + 2)), np.full(len(clean), 1 / (len(clean) + 2))])
+    share = len(toxic) / len(bags)
+    rate = share if base_rate is None else base_rate
+    weight = np.concatenate([np.full(len(toxic), rate / share), np.full(len(clean), (1 - rate) / (1 - share))])
     w = np.zeros(5)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        h = d.T @ (d * (p * (1 - p))[:, None]) + 0.05 * np.eye(5)
-        w = w - np.clip(np.linalg.solve(h, d.T @ (p - y) + 0.05 * w), -1, 1)
+        h = d.T @ (d * (weight * p * (1 - p))[:, None]) + 0.05 * np.eye(5)
+        w = w - np.clip(np.linalg.solve(h, d.T @ (weight * (p - y)) + 0.05 * w), -1, 1)
     svm.text_weights = w
 
 
@@ -311,12 +316,14 @@ def held_out(key: str):
 
 
 def labelled_bags(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                  max_toxic: int = 1_000, max_clean: int = 1_500, max_words: int = 1_200_000) -> tuple[list[set[str]], list[set[str]]]:
-    """Word sets of labelled texts that are not held out: at most ``max_toxic`` toxic and
-    ``max_clean`` clean ones (those with the smallest key hashes), and at most about
+                  max_toxic: int = 1_000, max_clean: int = 1_500, max_words: int = 1_200_000) -> tuple[list[set[str]], list[set[str]], float]:
+    """Word sets of toxic and of clean labelled texts, and the share of toxic ones among all
+    labels that are not held out (counted in full, whatever the sample). The texts are not
+    held out either: at most ``max_toxic`` toxic and ``max_clean`` clean ones (those with the smallest key hashes), and at most about
     ``max_words`` words. A key labelled twice is toxic if any label says so; null labels do
     not count."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     chosen = None
     for y, most in ((1, max_toxic), (0, max_clean)):
         part = marks.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most)
@@ -331,7 +338,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_
         if left < 0:
             break
         (toxic if r.y else clean).append(words)
-    return toxic, clean
+    return toxic, clean, counts.get(1, 0) / max(counts.get(0, 0) + counts.get(1, 0), 1)
 
 
 def toxicity_scores(docs: DataFrame, model: KernelSvm | None, base_rate: float = 0.0, key: str = "doc_id", text_col: str = "text",
@@ -352,7 +359,6 @@ def toxicity_scores(docs: DataFrame, model: KernelSvm | None, base_rate: float =
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole document text, learnt from labels that are not held out."""
     docs = documents(spark, sf_dir)
-    toxic, clean = labelled_bags(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    model = train(toxic, clean)
-    scored = toxicity_scores(docs, model, len(toxic) / max(len(toxic) + len(clean), 1))
+    toxic, clean, base_rate = labelled_bags(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity_scores(docs, train(toxic, clean, base_rate), base_rate)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")

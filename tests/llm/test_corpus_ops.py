@@ -396,6 +396,22 @@ def test_toxicity_on_edge_rows(edge, none, toxic_model):
     assert toxicity.train([], []) is None and toxicity.toxicity_scores(none, toxic_model[2]).count() == 0
 
 
+def test_toxicity_scores_keep_the_base_rate_of_all_labels(spark):
+    docs = spark.createDataFrame([(i, f"plain text {i}") for i in range(400)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    used = [r.toxic for r in labels.where(~toxicity.held_out("doc_id")).collect()]
+    toxic, clean, rate = toxicity.labelled_bags(docs, labels, max_toxic=20, max_clean=30)
+    assert (len(toxic), len(clean), rate) == (20, 30, sum(used) / len(used))
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(400)]
+    bags = [set(rnd.sample(words, 20)) for _ in range(500)]
+    toxic, clean = [b | ({"idiot"} if i % 3 else set()) for i, b in enumerate(bags[:200])], bags[200:]
+    for rate in (0.1, 0.4):
+        model = toxicity.train(toxic, clean, rate)
+        p = [np.mean(model.score_texts([" ".join(sorted(b)) for b in part])) for part in (toxic, clean)]
+        assert abs(rate * p[0] + (1 - rate) * p[1] - rate) < 0.03
+
+
 # -- 9: sharding -------------------------------------------------------------------------
 
 def test_lookup_table_is_even_and_moves_little():
