@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import warnings
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -316,11 +317,12 @@ def held_out(key: str):
 
 
 def labelled_bags(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                  max_toxic: int = 1_000, max_clean: int = 1_500, max_words: int = 1_200_000) -> tuple[list[set[str]], list[set[str]], float]:
+                  max_toxic: int = 1_500, max_clean: int = 2_500, max_words: int = 2_000_000) -> tuple[list[set[str]], list[set[str]], float]:
     """Word sets of toxic and of clean labelled texts, and the share of toxic ones among all
     labels that are not held out (counted in full, whatever the sample). The texts are not
     held out either: at most ``max_toxic`` toxic and ``max_clean`` clean ones (those with the smallest key hashes), and at most about
-    ``max_words`` words. A key labelled twice is toxic if any label says so; null labels do
+    ``max_words`` words: they are taken in hash order, and only a text that does not fit any
+    more is left out (with a warning). A key labelled twice is toxic if any label says so; null labels do
     not count."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
@@ -331,13 +333,16 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_
     one = docs.select(F.col(key).alias("k"), clean_text(text_col).alias("t")).join(F.broadcast(chosen), "k")  # bounded above
     bags = map_texts(one, lambda ts: {"words": [" ".join(sorted({w for t in tokens_of(x) if (w := normalize(t))})) for x in ts]}, {"words": "string"}, "k", "t")
     rows = bags.join(F.broadcast(chosen), "k").select("k", "y", "words")
-    toxic, clean, left, seen = [], [], max_words, {}
-    for r in rows.orderBy("k", "words").toLocalIterator():
+    toxic, clean, left, seen, skipped = [], [], max_words, {}, 0
+    for r in rows.orderBy(F.xxhash64("k"), "k", "words").toLocalIterator():
         words = {seen.setdefault(w, w) for w in r.words.split(" ") if w}
+        if len(words) > left:
+            skipped += 1
+            continue
         left -= len(words)
-        if left < 0:
-            break
         (toxic if r.y else clean).append(words)
+    if skipped:
+        warnings.warn(f"{skipped} labelled texts left out of training: more than {max_words} words (max_words)")
     return toxic, clean, counts.get(1, 0) / max(counts.get(0, 0) + counts.get(1, 0), 1)
 
 

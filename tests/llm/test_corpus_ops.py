@@ -412,6 +412,20 @@ def test_toxicity_scores_keep_the_base_rate_of_all_labels(spark):
         assert abs(rate * p[0] + (1 - rate) * p[1] - rate) < 0.03
 
 
+def test_toxicity_sample_leaves_out_only_what_does_not_fit(spark):
+    import inspect
+    most = inspect.signature(toxicity.labelled_bags).parameters
+    assert [most[f"max_{c}"].default for c in ("toxic", "clean", "words")] == [1_500, 2_500, 2_000_000]
+    letters = ["".join(p) for p in __import__("itertools").product("abcdefg", repeat=3)]
+    docs = spark.createDataFrame([(0, " ".join(letters))] + [(i, "two words") for i in range(1, 60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    used = {r.doc_id for r in docs.where(~toxicity.held_out("doc_id")).collect()}
+    assert 0 in used
+    with pytest.warns(UserWarning, match="1 labelled texts left out"):
+        toxic, clean, _ = toxicity.labelled_bags(docs, labels, max_words=200)
+    assert len(toxic) + len(clean) == len(used) - 1
+
+
 # -- 9: sharding -------------------------------------------------------------------------
 
 def test_lookup_table_is_even_and_moves_little():
