@@ -296,6 +296,24 @@ def test_network_finds_new_secrets_and_leaves_words_alone(spark):
     assert sum(bool(a) for _, a in secrets.scan_texts(clean, net)) <= 0.01 * len(clean)
 
 
+def test_network_sees_every_part_of_every_candidate():
+    for t, want in (("pwd=Sup3rSecretX", "Sup3rSecretX"), ("auth: qwertyuiopasdfghjkl", "qwertyuiopasdfghjkl"), ("Bearer " + "abcdeFGHIJ" * 3, "abcdeFGHIJ" * 3)):
+        assert want in [t[s:e] for s, e in secrets.find_candidates(t, [])]
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEX"
+    t = "x " + "some/path/" * 9 + key + "/other/place" * 9 + " y"
+
+    class Net:
+        threshold = 0.5
+
+        def scores(self, x):
+            part = secrets.featurize([("", "K7MDENG", "")])[0][secrets.LEFT:secrets.LEFT + 7]
+            return np.array([float(any((r[i:i + 7] == part).all() for i in range(len(r) - 6))) for r in x])
+    ((_, added),) = secrets.scan_texts([t], Net())
+    assert [t[s:e] for _, s, e in added] == [t[2:-2]]
+    seen = secrets.windows_of(t, 2, len(t) - 2)
+    assert seen[0][1] == t[2:42] and seen[-1][1] == t[-42:-2] and all(len(b) == secrets.BODY for _, b, _ in seen)
+
+
 def test_secrets_on_edge_rows(edge, none):
     rows = secrets.secret_spans(edge, None).collect()
     assert len(rows) == len(EDGE) and not any(r.spans for r in rows)
