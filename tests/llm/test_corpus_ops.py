@@ -314,6 +314,14 @@ def test_network_sees_every_part_of_every_candidate():
     assert seen[0][1] == t[2:42] and seen[-1][1] == t[-42:-2] and all(len(b) == secrets.BODY for _, b, _ in seen)
 
 
+def test_rare_findings_of_all_documents_train_the_network(spark):
+    text = F.when(F.col("id") % 4000 == 0, F.concat(F.lit('token = "Zx9'), F.md5(F.col("id").cast("string")), F.lit('"'))).otherwise("plain words")
+    found = secrets.gather_findings(spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text")))
+    assert sum(y for *_, y in found) == 8
+    with pytest.warns(UserWarning, match="too few labelled findings"):
+        assert secrets.train([]) is None
+
+
 def test_secrets_on_edge_rows(edge, none):
     rows = secrets.secret_spans(edge, None).collect()
     assert len(rows) == len(EDGE) and not any(r.spans for r in rows)
