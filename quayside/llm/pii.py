@@ -154,35 +154,43 @@ def look_alikes(tape: Tape) -> Tape:
 
 _NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _GAP = r"[\x20\t,.\-]{1,3}"
-_SPELLED = re.compile(rf"(?<!\w)(?:plus{_GAP})?(?:(?:{_NUMBER}|[0-9])(?!\w){_GAP}){{6,30}}(?:{_NUMBER}|[0-9])(?!\w)", re.I)
-_ONE = re.compile(rf"(?<!\w)(?:plus|{_NUMBER}|[0-9])(?!\w)", re.I)
+_DOT = rf"(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:{'|'.join(DOT_WORDS)}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|\s{{1,3}}(?:{'|'.join(DOT_WORDS)})\s{{1,3}})"
+_ITEM = rf"(?:{_NUMBER}|[0-9]++)(?!\w)"
+_SPELLED = re.compile(rf"(?<!\w)(?:plus{_GAP})?{_ITEM}(?:(?:{_DOT}|{_GAP}){_ITEM})+", re.I)
+_DOT_RE = re.compile(_DOT, re.I)
+_BRACKET_DOT = re.compile(r"[\[({<]\s{0,3}\.")
+_ONE = re.compile(rf"(?<!\w)(?:plus|{_NUMBER}|[0-9]+)(?!\w)", re.I)
 _SURE = ("three", "five", "seven", "eight", "four", "nine", "six", "two", "zero", "sieben", "acht", "fünf", "drei",
          "vier", "neun", "zwei", "sechs", "cinq", "quatre", "huit", "sept", "deux", "trois", "siete", "ocho", "cinco",
          "cuatro", "nueve", "tres", "dos", "one", "eins", "uno")
 
 
 def spelled_digits(tape: Tape, low: str) -> Tape:
-    """Seven or more digit words in a row become their digits, the gaps between them go."""
-    if not any(w in low for w in _SURE):
+    """Digit words and digit groups in a row become their digits, the gaps between them go;
+    written dots between them become dots. Runs of digits alone keep their gaps."""
+    if not any(w in low for w in (*_SURE, *DOT_WORDS)) and not _BRACKET_DOT.search(low):
         return tape
     edits = []
     for m in _SPELLED.finditer(tape.text):
-        if not any(c.isalpha() for c in m.group()):
-            continue
+        found = list(_ONE.finditer(tape.text, m.start(), m.end()))
+        spelled = any(w.group()[0].isalpha() for w in found)
         at = m.start()
-        for w in _ONE.finditer(tape.text, m.start(), m.end()):
+        for w in found:
             if w.start() > at:
-                edits.append((at, w.start(), ""))
+                if _DOT_RE.fullmatch(tape.text, at, w.start()):
+                    edits.append((at, w.start(), "."))
+                elif spelled:
+                    edits.append((at, w.start(), ""))
             word = w.group().lower()
-            edits.append((w.start(), w.end(), "+" if word == "plus" else DIGIT_WORDS.get(word, word)))
+            if word[0].isalpha():
+                edits.append((w.start(), w.end(), "+" if word == "plus" else DIGIT_WORDS[word]))
             at = w.end()
     return tape.rewrite(edits) if edits else tape
 
 
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 _AT = rf"(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:{'|'.join(AT_WORDS)}|@|a)\s{{0,3}}[\])}}>]\s{{0,3}}|\s{{1,3}}(?:{'|'.join(AT_WORDS)})\s{{1,3}}|\s{{0,3}}@\s{{0,3}})"
-_DOT = rf"(?:\s{{0,3}}[\[({{<]\s{{0,3}}(?:{'|'.join(DOT_WORDS)}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}|\s{{1,3}}(?:{'|'.join(DOT_WORDS)})\s{{1,3}})"
-_AT_RE, _DOT_RE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+_AT_RE = re.compile(_AT, re.I)
 # what follows a disguised at sign: labels parted by real or written dots
 _AFTER_AT = re.compile(rf"{_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{1,8}}", re.I)
 

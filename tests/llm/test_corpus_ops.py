@@ -507,6 +507,16 @@ def test_pii_disguises_map_back_to_the_source(text, span, kind):
     assert [(k, text[s:e]) for k, s, e in spans] == [(kind, span)]
 
 
+@pytest.mark.parametrize("span, kind", [
+    ("192[.]168[.]1[.]1", "ip"), ("10 dot 0 dot 0 dot 1", "ip"), ("one zero dot zero dot zero dot one", "ip"),
+    ("one nine two (dot) 168 (dot) 1 (dot) one", "ip"), ("+1 four one five 555 2671", "phone"), ("4111 1111 1111 one one one one", "card"),
+])
+def test_pii_written_dots_and_mixed_runs(span, kind):
+    text = f"see {span} now"
+    assert [(k, text[s:e]) for k, s, e in pii.find_all(text)[1]] == [(kind, span)]
+    assert pii.find_all("256 dot 1 dot 1 dot 1, one of 2 or three 555 4")[1] == []
+
+
 def test_pii_leaves_plain_texts_alone(texts):
     for t in texts:
         base, spans = pii.find_all(t)
