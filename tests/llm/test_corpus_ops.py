@@ -314,6 +314,16 @@ def test_network_sees_every_part_of_every_candidate():
     assert seen[0][1] == t[2:42] and seen[-1][1] == t[-42:-2] and all(len(b) == secrets.BODY for _, b, _ in seen)
 
 
+def test_threshold_keeps_the_recall_where_scores_are_low():
+    net = secrets.CharCnn.fresh(np.random.default_rng(1))
+    logits = np.random.default_rng(2).normal(0, 1, 400)
+    y = np.arange(400) % 10 == 0
+    net.logits = lambda x: logits[x]
+    with pytest.warns(UserWarning, match="precision on held-out findings"):
+        net.calibrate(np.arange(400), y.astype(float), 0.98)
+    assert (net.scores(np.flatnonzero(y)) >= net.threshold).mean() >= 0.98
+
+
 def test_rare_findings_of_all_documents_train_the_network(spark):
     text = F.when(F.col("id") % 4000 == 0, F.concat(F.lit('token = "Zx9'), F.md5(F.col("id").cast("string")), F.lit('"'))).otherwise("plain words")
     found = secrets.gather_findings(spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text")))
