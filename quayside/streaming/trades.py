@@ -30,7 +30,8 @@ def drop_repeated_pages(responses: DataFrame) -> DataFrame:
     ignores their trades, however late a page comes."""
     page = F.sha2(F.concat_ws("\u0001", "endpoint", "symbol", F.col("status").cast("string"), "body"), 256)
     cols = responses.columns
-    return (responses.groupBy(page.alias("_page")).agg(F.min_by(F.struct(*cols), "fetched_at").alias("_row"))
+    first = F.struct(F.col("fetched_at").isNull(), "fetched_at")  # never null: a page without a fetch time stays, too
+    return (responses.groupBy(page.alias("_page")).agg(F.min_by(F.struct(*cols), first).alias("_row"))
             .select("_row.*"))
 
 

@@ -62,3 +62,11 @@ def test_trade_stream_drops_repeated_pages_within_horizon(spark):
     good = store.trades().count()
     assert m[0] == m[1] == good                    # duplicates never reached the batch job
     assert good == si.agg_trades(spark, SF_SMALL).filter("agg_trade_id % 97 <> 0").count()
+
+
+def test_repeated_pages_without_a_fetch_time_are_kept(spark):
+    from quayside.streaming.trades import drop_repeated_pages
+
+    df = spark.createDataFrame([("e", "A", 200, "x", None), ("e", "A", 200, "x", None), ("e", "B", 200, "y", None), ("e", "B", 200, "y", 5)],
+                               "endpoint string, symbol string, status int, body string, fetched_at long")
+    assert sorted(tuple(r) for r in drop_repeated_pages(df).collect()) == [("e", "A", 200, "x", None), ("e", "B", 200, "y", 5)]
