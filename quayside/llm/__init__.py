@@ -1,5 +1,6 @@
 """Operators for building training corpora: tokenising, mixing, near-duplicates, search,
-secrets, personal data, quality, toxicity and sharding.
+secrets, personal data, quality, toxicity, sharding, shared conversation prefixes, web
+archives and whitened embeddings.
 
 Nothing else in the library imports this package; the driver entry adds its queries when
 the package is there. Conventions shared by all operators:

@@ -3,7 +3,8 @@ express."""
 
 from __future__ import annotations
 
-from quayside.llm import bpe, mixing, pii, quality, secrets, sharding, simhash, token_counts, topk, toxicity
+from quayside.llm import (bpe, mixing, pii, prefix_trie, quality, secrets, sharding, simhash, token_counts, topk, toxicity, warc,
+                          whitening)
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +17,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_sharding": sharding.op9_sharding,
     "op10_pii": pii.op10_pii,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_warc": warc.op12_warc,
+    "op13_whitening": whitening.op13_whitening,
 }
 
-SQL = {"op4_topk": topk.SQL}
+SQL = {"op4_topk": topk.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_warc": warc.SQL}
