@@ -7,8 +7,8 @@ payloads themselves are shuffled once, already reduced to one per digest inside
 task. Records are plain columns up to the text writer, which ends each one with the blank
 lines that the format asks for.
 
-Reading. A gzip archive is read by one task as a stream of CRLF lines, which a small
-reader joins to records by their declared lengths, so memory is bounded by one record, not
+Reading. A gzip archive is read by one task as a stream of pieces between blank lines, which
+a small reader joins to records by their declared lengths, so memory is bounded by one record, not
 by one archive. Records then meet through their ``WARC-Concurrent-To`` and
 ``WARC-Refers-To`` identifiers in joins, and every capture becomes one nested row.
 """
@@ -139,52 +139,48 @@ def _parse(head: list[bytes], block: bytes, keep: bool) -> tuple:
             payload if keep else None)
 
 
-def _records(lines: Iterator[tuple[int, bytes]], keep: bool) -> Iterator[tuple]:
-    """Records of a stream of (archive, line without its CRLF). A record that its archive
-    ends before its declared length is left out, as is what stands between records."""
-    head: list[bytes] = []
-    body: list[bytes] = []
-    want = have = -1
-    archive = None
-    for name, line in lines:
+def _records(pieces: Iterator[tuple[int, bytes]], keep: bool) -> Iterator[tuple]:
+    """Records of a stream of (archive, bytes up to the next CRLF CRLF). A record that its
+    archive ends before its declared length is left out, as is what stands between records."""
+    archive, buf, head, want = None, bytearray(), [], -1
+    for name, piece in pieces:
         if name != archive:
-            archive, head, body, want = name, [], [], -1
-        if want < 0:
-            if not head:
-                if line.startswith(b"WARC/1."):
-                    head = [line]
-                continue
-            if line:
-                head.append(line)
-                continue
-            length = [x.partition(b":")[2].strip() for x in head if x[:15].lower() == b"content-length:"]
-            want, have, body = int(length[0]) if length and length[0].isdigit() else 0, 0, []
-            if want == 0:
-                yield _parse(head, b"", keep)
-                head, want = [], -1
-            continue
-        body.append(line)
-        have += len(line)
-        if have >= want:  # the line's own CRLF lies behind the block
-            yield _parse(head, b"\r\n".join(body)[:want], keep)
-            head, body, want = [], [], -1
+            archive, buf, want = name, bytearray(piece), -1
         else:
-            have += 2
-            if have >= want:
-                yield _parse(head, b"\r\n".join([*body, b""])[:want], keep)
-                head, body, want = [], [], -1
+            buf += _EOL.encode() * 2
+            buf += piece
+        while True:
+            if want < 0:  # between records; a header is whole when something follows it
+                at, end = 0, buf.find(b"\r\n\r\n")
+                if not buf.startswith(b"WARC/1."):
+                    at = buf.find(b"WARC/1.")
+                    if at < 0:
+                        del buf[:max(0, len(buf) - 7)]
+                        break
+                    end = buf.find(b"\r\n\r\n", at)
+                if end < 0:
+                    break
+                head = bytes(buf[at:end]).split(b"\r\n")
+                length = [x.partition(b":")[2].strip() for x in head if x[:15].lower() == b"content-length:"]
+                want = int(length[0]) if length and length[0].isdigit() else 0
+                del buf[:end + 4]
+            if len(buf) < want:
+                break
+            yield _parse(head, bytes(buf[:want]), keep)
+            del buf[:want]
+            want = -1
 
 
 def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Every record of the gzip archives at ``path``, per record or per file compressed.
 
-    A task streams its archives line by line; a gzip file is never split, so records are
-    whole. ``payload_bytes`` and ``payload_digest`` (bare base32 SHA-1) are counted on the
+    A task streams its archives piece by piece, cut at blank lines; a gzip file is never
+    split, so records are whole. ``payload_bytes`` and ``payload_digest`` (bare base32 SHA-1) are counted on the
     payload read; ``declared_digest`` is the header's. With ``payload=False`` the payload
     column is null and stays in the worker. A record cut off by the end of its archive is
     left out, and so is anything that is not a record.
     """
-    lines = (spark.read.option("lineSep", _EOL).text(path)
+    lines = (spark.read.option("lineSep", _EOL * 2).text(path)
              .select(F.xxhash64(F.input_file_name()).alias("f"), F.col("value").cast("binary").alias("v")))
     schema = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in RECORD])
 
@@ -252,7 +248,8 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     assembled: one row per page."""
     path = scratch_dir(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    captures = resolve_revisits(assemble(read_records(spark, f"{path}/records", payload=False)))
+    records = stage(read_records(spark, f"{path}/records", payload=False), "records")  # the archives are read once
+    captures = resolve_revisits(stage(assemble(records), "transactions"))
     return captures.select(F.col("key").alias("page_id"), F.col("of.payload_bytes").alias("payload_bytes"), F.col("of.payload_digest").alias("payload_digest"),
                            F.col("capture.record_type").alias("record_type"),
                            F.when(F.col("capture.record_type") == "revisit", F.col("of.key")).alias("refers_to"))
