@@ -18,6 +18,7 @@ import hashlib
 import json
 import os
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm.common import documents, map_texts, tokenizer_path
-from quayside.llm.token_counts import _ODD, _PIECE
+from quayside.llm.token_counts import _PIECE
 
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,7 +83,8 @@ class TrieBpe:
                 tails.setdefault(b[-2:], set()).add(len(b))
         # lengths of the tokens that end with these two bytes, longest first
         self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
-        self.kept: dict[str, bytes] = {}
+        self.byte_token = [vocab[bytes([b])] for b in range(256)]
+        self.pieces, self.words, self._table = _Numbered(), {}, None
         self._special_at = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._pattern = regex.compile(PATTERN)
 
@@ -131,54 +133,41 @@ class TrieBpe:
     # -- the trie ----------------------------------------------------------------------
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Encodings of distinct words, in the order given."""
+        """Encodings of distinct words, in the order given.
+
+        Sorted words visit the nodes of their trie depth first, so the branch down to a word
+        is the common prefix with the word before it and what the word adds; only the
+        added nodes are worked out, from the last tokens of the branch.
+        """
         order = sorted(range(len(words)), key=words.__getitem__)
-        child: dict[int, int] = {}
-        depth, byte, ends = [0], [0], {}
-        for w in order:  # sorted words number the nodes in depth-first order
-            node = 0
-            for d, b in enumerate(words[w], 1):
-                nxt = child.get(node << 8 | b)
-                if nxt is None:
-                    nxt = child[node << 8 | b] = len(depth)
-                    depth.append(d)
-                    byte.append(b)
-                node = nxt
-            ends[node] = w
-        del child
         out: list[list[int]] = [[] for _ in words]
-        path, last, size = bytearray(), [0], [0]  # the branch: bytes; last token and its length by depth
-        vocab, tails, fits, pairs = self.vocab, self.tails, self.fits, self.pairs
-        for node in range(1, len(depth)):
-            d = depth[node]
-            del path[d - 1:], last[d:], size[d:]
-            path.append(byte[node])
-            found = None
-            if d > 1:
-                for n in tails.get(bytes(path[-2:]), ()):
+        last, size = [0], [0]  # the branch: last token and its length by depth
+        vocab, tails, fits, pairs, single = self.vocab, self.tails, self.fits, self.pairs, self.byte_token
+        for w, shared in zip(order, shared_prefixes([words[i] for i in order])):
+            word = words[w]
+            del last[shared + 1:], size[shared + 1:]
+            for d in range(shared + 1, len(word) + 1):
+                for n in tails.get(word[d - 2:d], ()) if d > 1 else ():
                     if n < d:
-                        t = vocab.get(bytes(path[d - n:]))
+                        t = vocab.get(word[d - n:d])
                         if t is not None:
-                            a = last[d - n]
-                            ok = pairs.get(a << 20 | t)
-                            if ok or ok is None and fits(a, t):
-                                found = t
+                            key = last[d - n] << 20 | t
+                            ok = pairs.get(key)
+                            if ok or ok is None and fits(last[d - n], t):
                                 break
                     elif n == d:
-                        found = vocab.get(bytes(path))
-                        if found is not None:
+                        t = vocab.get(word[:d])
+                        if t is not None:
                             break
-            if found is None:
-                found, n = vocab[bytes(path[-1:])], 1
-            last.append(found)
-            size.append(n)
-            w = ends.get(node)
-            if w is not None:
-                ids = out[w]
-                while d:
-                    ids.append(last[d])
-                    d -= size[d]
-                ids.reverse()
+                else:
+                    t, n = single[word[d - 1]], 1
+                last.append(t)
+                size.append(n)
+            ids, d = out[w], len(word)
+            while d:
+                ids.append(last[d])
+                d -= size[d]
+            ids.reverse()
         return out
 
     # -- texts -------------------------------------------------------------------------
@@ -192,35 +181,112 @@ class TrieBpe:
                 at = m.end()
         yield piece[at:], None
 
+    def _words_of(self, piece: str) -> list:
+        """Words and special ids of a piece; most pieces are one word of letters."""
+        if piece.isalpha() or piece[:1] == " " and piece[1:].isalpha():
+            return [piece]
+        if any(x in piece for x in self.special):
+            out: list = []
+            for run, special in self._segments(piece):
+                out += self._pattern.findall(run)
+                if special is not None:
+                    out.append(special)
+            return out
+        return self._pattern.findall(piece)
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        kept = self.kept
-        cut = [[t] if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        new = list({p for ps in cut for p in ps if p not in kept})
-        plans = []
-        index: dict[str, int] = {}
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Texts become numbers of pieces first, so that the new pieces, and of these the new
+        words, of the whole batch meet in one trie."""
+        kept = self.pieces
+        if len(kept.coded) > self.max_pieces:
+            kept.clear()
+            kept.coded, kept.new = [], []
+        number = kept.__getitem__
+        cut = [array("I", map(number, _PIECE.findall(t))) for t in texts]
+        new, kept.new = kept.new, []
+        if len(self.words) > self.max_pieces:
+            self.words.clear()
+        plans, index, words = [], {}, self.words
         for p in new:
-            plan = []
-            for run, special in self._segments(p):
-                plan += [index.setdefault(w, len(index)) for w in self._pattern.findall(run)]
-                if special is not None:
-                    plan.append(-1 - special)
+            plan = self._words_of(p)
             plans.append(plan)
-        coded = [struct.pack(f"<{len(ids)}I", *ids) for ids in self.encode_words([w.encode("utf-8") for w in index])]
-        found = {p: b"".join([coded[i] if i >= 0 else struct.pack("<I", -1 - i) for i in plan]) for p, plan in zip(new, plans)}
-        if len(kept) + len(found) > self.max_pieces:
-            found.update((p, kept[p]) for ps in cut for p in ps if p in kept)
-            kept.clear()
-        kept.update(found)
-        out = [b"".join(map(kept.__getitem__, ps)) for ps in cut]
-        for p in found:
+            for w in plan:
+                if w.__class__ is str and w not in words:
+                    index[w] = None
+        for w, ids in zip(index, self.encode_words([w.encode("utf-8") for w in index])):
+            words[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for p, plan in zip(new, plans):
+            kept.coded[kept[p]] = words[plan[0]] if len(plan) == 1 and plan[0].__class__ is str else b"".join(
+                [words[w] if w.__class__ is str else struct.pack("<I", w) for w in plan])
+        out = [b"".join(map(kept.coded.__getitem__, ps)) for ps in cut]
+        for p in new:  # a number is never given twice, so a forgotten long piece leaves an empty place
             if len(p) > self.longest_kept:
-                kept.pop(p, None)
+                kept.coded[kept.pop(p)] = b""
+        for w in index:
+            if len(w) > self.longest_kept:
+                del words[w]
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """Text of the ids; bytes that are not UTF-8 become replacement characters."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def decode(self, ids: bytes, step: int = 1 << 18) -> str:
+        """Text of the ids; bytes that are not UTF-8 become replacement characters.
+
+        One gather per ``step`` tokens: each token's bytes lie in a row in one table."""
+        if self._table is None:
+            size = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
+            ends = np.cumsum(size)
+            self._table = (np.frombuffer(b"".join([self.bytes_of.get(i, b"") for i in range(len(size))]), np.uint8), ends - size, np.array(size))
+        table, starts, sizes = self._table
+        out = []
+        tokens = np.frombuffer(ids, "<u4")
+        for at in range(0, len(tokens), step):
+            part = tokens[at:at + step]
+            size = sizes[part]
+            ends = np.cumsum(size)
+            out.append(table[np.repeat(starts[part] - ends + size, size) + np.arange(ends[-1])].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
+
+
+class _Numbered(dict):
+    """Pieces to numbers; a new piece gets the next one. ``coded`` holds the encoding of each."""
+
+    def __init__(self):
+        super().__init__()
+        self.coded: list[bytes] = []
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self.coded)
+        self.coded.append(b"")
+        self.new.append(piece)
+        return n
+
+
+def shared_prefixes(words: list[bytes], wide: int = 24) -> list[int]:
+    """Length of the common prefix of each of the sorted words with the word before it."""
+    n = len(words)
+    if not n:
+        return []
+    cells = np.frombuffer(b"".join([w[:wide].ljust(wide, b"\0") for w in words]), np.uint8).reshape(n, wide)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    same = cells[1:] == cells[:-1]
+    first = np.where(same.all(1), wide, same.argmin(1))
+    out = [0, *np.minimum(first, np.minimum(lengths[1:], lengths[:-1])).tolist()]
+    for i in np.flatnonzero(np.array(out) >= wide).tolist():
+        out[i] = _common(words[i - 1], words[i])
+    return out
+
+
+def _common(a: bytes, b: bytes) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[:mid] == b[:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
 
 
 @lru_cache(maxsize=2)

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm.common import documents, map_texts, tokenizer_path
 
+# Fixed value: the characters with the Unicode property White_Space, which the vocabularies'
+# patterns mean by \s (Python's own \s has U+001C to U+001F as well).
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # a piece: white space and the run of other characters behind it
-_PIECE = re.compile(r"\s*\S+|\s+")
-# White space for Python's ``\s`` only: the boundary rule does not hold beside these.
-_ODD = re.compile("[\x1c-\x1f]")
+_PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 class PieceCounter:
@@ -74,7 +75,7 @@ class PieceCounter:
         if not self.cut:
             return self.encode_lengths(texts)
         kept = self.kept
-        cut = [[t] if _ODD.search(t) else _PIECE.findall(t) for t in texts]
+        cut = [_PIECE.findall(t) for t in texts]
         new = list({p for ps in cut for p in ps if p not in kept})
         found = dict(zip(new, self.encode_lengths(new)))
         if len(kept) + len(found) > self.max_pieces:

@@ -3,6 +3,7 @@ behaviour on nulls, empty texts, repeats, empty tables and extra columns."""
 
 import collections
 import hashlib
+import os
 import random
 import re
 import struct
@@ -567,3 +568,19 @@ def test_pipeline_takes_empty_and_edge_tables(spark, edge, none):
         for _, fn in corpus_pipeline.STAGES:
             cur = fn(spark, cur, SF)
             cur.count()
+
+
+def test_long_text_with_separator_controls_is_cut(library):
+    """One U+001C to U+001F must not make a text of any length one piece."""
+    text = ("some words \x1c and\x1dmore \x1e\x1f \x85 x\xa0y z " * 30_000)[:-1]
+    assert max(map(len, token_counts._PIECE.findall(text))) < 20
+    want = library.encode(text, add_special_tokens=False).ids
+    assert bpe.TrieBpe(tokenizer_path("byte_bpe_50k.json")).encode_batch([text]) == [struct.pack(f"<{len(want)}I", *want)]
+    assert token_counts.PieceCounter(tokenizer_path("byte_bpe_50k.json")).count([text]) == [len(want)]
+
+
+def test_shared_prefixes():
+    rnd = random.Random(2)
+    words = sorted({bytes(rnd.choice(b"ab\0") for _ in range(rnd.randint(1, 60))) for _ in range(3000)} | {b"a" * n for n in range(1, 90)})
+    assert bpe.shared_prefixes(words) == [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(words, words[1:])]
+    assert bpe.shared_prefixes([]) == [] and bpe.shared_prefixes([b"x"]) == [0]
