@@ -44,7 +44,7 @@ def byte_alphabet() -> dict[str, int]:
 class TrieBpe:
     """Encoder and decoder for a byte-level BPE vocabulary file (``tokenizers`` JSON)."""
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000, max_pairs: int = 4_000_000, longest_kept: int = 64):
+    def __init__(self, path: str, max_pieces: int = 400_000, max_pairs: int = 1_000_000, longest_kept: int = 64):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}

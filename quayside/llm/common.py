@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from quayside.session import stage
 
 # White space of the word rule ``[^\x20\x09-\x0D]+`` used across the corpus operators.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,15 +50,15 @@ def map_texts(docs: DataFrame, fn: Callable[[list[str]], dict[str, list]], schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [b.decode("utf-8", "replace") for b in batch.column(1).to_pylist()]
             got: dict[str, list] = {c: [] for c in names}
+            sizes = pc.binary_length(batch.column(1)).to_pylist()
             at = 0
-            while at < len(texts):
-                end, size = at + 1, len(texts[at])
-                while end < len(texts) and size + len(texts[end]) <= batch_bytes:
-                    size += len(texts[end])
+            while at < len(sizes):
+                end, size = at + 1, sizes[at]
+                while end < len(sizes) and size + sizes[end] <= batch_bytes:
+                    size += sizes[end]
                     end += 1
-                part = fn(texts[at:end])
+                part = fn([b.decode("utf-8", "replace") for b in batch.column(1).slice(at, end - at).to_pylist()])
                 for c in names:
                     got[c].extend(part[c])
                 at = end
@@ -63,3 +66,58 @@ def map_texts(docs: DataFrame, fn: Callable[[list[str]], dict[str, list]], schem
                 [batch.column(0), *(pa.array(got[c], _ARROW[schema[c]]) for c in names)], [key, *names])
 
     return src.mapInArrow(run, out_schema)
+
+
+def word_count(text):
+    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text column without nulls."""
+    return F.size(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")).cast("long")
+
+
+# -- order and running totals without a hot task -------------------------------------------
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """The rows with ``at`` (a unique number in the order of keys and ``order``), ``place``
+    (rank in the key's group, from 0) and ``next_at`` (``at`` of the group's next row).
+
+    Rows are range-partitioned, so a group of any size is spread over tasks; rows that are
+    equal in everything are told apart by their input position. The result is staged.
+    """
+    by = [*map(F.col, keys), *order, F.col("_tie")]
+    rows = stage(df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+                 .withColumn("at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("at", 33)
+    runs = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), part.alias("_part")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    w = Window.partitionBy(*(f"_{k}" for k in keys)).orderBy("_part")
+    runs = runs.withColumns({"before": F.coalesce(F.sum(F.col("last") - F.col("first") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+                             "follow": F.lead("first").over(w)})
+    same = part == F.col("_part")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return rows.join(runs, same).select(*rows.columns, (F.col("at") - F.col("first") + F.col("before")).alias("place"),
+                                        F.when(F.col("at") < F.col("last"), F.col("at") + 1).otherwise(F.col("follow")).alias("next_at"))
+
+
+def running(df: DataFrame, keys: list[str], pos: str, totals: dict[str, str], last: int, fold: str = "sum", width: int = 4096) -> DataFrame:
+    """The rows with the inclusive running total of each column (new name to column) along
+    the dense position ``pos`` (0 to at most ``last``) of each group.
+
+    Blocks of ``width`` positions are totalled alone, and block totals run the same way one
+    level up, so no window holds more than ``width`` rows. ``fold``: sum or bit_xor.
+    """
+    f = {"sum": F.sum, "bit_xor": F.bit_xor}[fold]
+    plus = (lambda a, b: a + b) if fold == "sum" else (lambda a, b: a.bitwiseXOR(b))
+    block = F.floor(F.col(pos) / F.lit(width)).cast("long")
+    rows = df.withColumn("_block", block)
+    w = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumns({n: f(c).over(w) for n, c in totals.items()})
+    if last < width:
+        return inside.drop("_block")
+    blocks = rows.groupBy(*keys, F.col("_block").alias("_pos")).agg(*(f(c).alias(c) for c in totals.values()))
+    above = running(blocks, keys, "_pos", {f"_run_{n}": c for n, c in totals.items()}, last // width, fold, width)
+    before = above.select(*(F.col(k).alias(f"_{k}") for k in keys), (F.col("_pos") + 1).alias("_after"), *(f"_run_{n}" for n in totals))
+    same = F.col("_block") == F.col("_after")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    out = inside.join(before, same, "left")
+    return out.select(*df.columns, *(plus(F.col(n), F.coalesce(F.col(f"_run_{n}"), F.lit(0))).alias(n) for n in totals))

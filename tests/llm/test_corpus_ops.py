@@ -584,3 +584,77 @@ def test_shared_prefixes():
     words = sorted({bytes(rnd.choice(b"ab\0") for _ in range(rnd.randint(1, 60))) for _ in range(3000)} | {b"a" * n for n in range(1, 90)})
     assert bpe.shared_prefixes(words) == [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(words, words[1:])]
     assert bpe.shared_prefixes([]) == [] and bpe.shared_prefixes([b"x"]) == [0]
+
+
+def brute_mix(docs, block_docs=64, seed=17, shards=16):
+    """(doc_id -> (taken, shards)) by laying every source out in one list."""
+    from xxhash import xxh64_intdigest as xx
+    first = xx(struct.pack("<i", seed), 42)
+    by = collections.defaultdict(list)
+    for d in docs:
+        h = xx((d.text or "").encode(), xx(str(d.doc_id).encode(), first))
+        by[d.source].append((h, len(WORD.findall(d.text or "")), d.doc_id))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for _, n, _ in by[s]) for s in names]
+    targets = mixing.mix_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], Fraction(3, 2), 2)
+    out, reads = {d.doc_id: [0, []] for d in docs}, []
+    for s, total, target in zip(names, sizes, targets):
+        blocks = collections.defaultdict(list)
+        n = -(-len(by[s]) // block_docs)
+        for h, size, k in by[s]:
+            if size:
+                blocks[int((h >> 11) / 2 ** 53 * n)].append((h - (h >> 63 << 64), size, k))
+        left, turns = int(target + Fraction(1, 2)), []
+        while left and total:
+            for b in sorted(blocks):
+                if left:
+                    turns.append([])
+                    for _, size, k in sorted(blocks[b]):
+                        if left:
+                            turns[-1].append((k, min(size, left)))
+                            left -= min(size, left)
+        reads.append(turns)
+    ends = np.cumsum(mixing.split_quotas([len(t) for t in reads], shards, seed), 0)
+    for i, turns in enumerate(reads):
+        for t, docs_read in enumerate(turns):
+            for k, words in docs_read:
+                out[k][0] += words
+                out[k][1].append(int((ends[:, i] <= t).sum()))
+    return out
+
+
+def test_mixing_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r.doc_id: [r.taken, list(r.shards)] for r in mixing.op2_mixing(spark, SF).collect()}
+    assert got == brute_mix(docs)
+
+
+def test_mixing_spreads_equal_rows_and_leaves_wordless_ones_out(spark):
+    kind = "doc_id long, text string, source string"
+    rows = [(None, None, "a")] * 5000 + [(7, "one two", "a")] * 5000 + [(i, "x " * (i % 9), "ab"[i % 2]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, kind)
+    mix = mixing.mix_sources(docs)
+    got = mix.rows.collect()
+    assert len(got) == len(rows)
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        assert r.taken <= 2 * r.size
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
+    equal = [d for d in mix.draws.collect() if d.doc_id == 7 and d.size == 2]
+    assert len({d.shard for d in equal}) > 4 and len({d.place for d in equal}) == len(equal)
+    again = mixing.mix_sources(docs.repartition(5)).rows
+    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+    whole = mixing.mixed_documents(docs).groupBy("doc_id", "text").count().collect()
+    assert sum(r["count"] for r in whole) == sum(1 for d in mix.draws.collect() if d.words * 2 >= d.size)
+    assert mixing.Mix(mix.laid, mix.sources, mix.draws, 16, 10 ** 8).deal().rdd.getNumPartitions() == 16 * 2
+
+
+def test_mixing_shuffles_whole_rows_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    df = mixing.mixed_documents(docs)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    wide = [x for x in plan.split("\n") if "Exchange" in x and "Broadcast" not in x and "Reused" not in x]
+    # one exchange deals the rows; the other one sums the rows of the last blocks
+    assert len(wide) == 2 and sum("REPARTITION_BY_NUM" in x for x in wide) == 1, wide
