@@ -3,7 +3,7 @@ partitioned and sharded layouts, versioned tables and idempotent bootstrap.
 
 Parquet tables in the session catalog have no MERGE and cannot be overwritten while
 being read, so a rewrite (upsert) produces a *new version folder*; readers follow the
-newest committed version. Appends (insert-if-absent, plain append) write new files
+newest version of the commit log. Appends (insert-if-absent, plain append) write new files
 only. Task retries never duplicate rows (Spark's commit protocol publishes a task's
 files once). The writes the ingestion and streaming jobs repeat are idempotent:
 insert-if-absent, version commits and per-batch partition overwrites. Plain append
@@ -13,7 +13,6 @@ insert-if-absent, version commits and per-batch partition overwrites. Plain appe
 from __future__ import annotations
 
 import hashlib
-import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import year_month
 from ..schemas import TABLES, TableSpec
+from .commit_log import CommitConflict, CommitLog, Snapshot  # noqa: F401
 
 
 # --------------------------------------------------------------------------- keep first / last
@@ -157,44 +157,34 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-class CommitConflict(RuntimeError):
-    """Another writer committed the same version of a table."""
-
-
 class VersionedTable:
     """A table whose rewrites go to new folders of their own. A version becomes current when
-    its row lands in the commit log ``root/_log`` (a small Parquet table), which happens only
-    after its data files are complete: a rewrite that dies half-way leaves the previous
-    version current. A version counts for the first row of the log that names it; a writer
-    whose row is not that one gets :class:`CommitConflict` and its data never count."""
-
-    LOG_DDL = "version int, path string, committed_at timestamp_ntz"
+    its file lands in the commit log, which happens only after its data files are complete:
+    a rewrite that dies half-way leaves the previous version current. The file is put only
+    if absent, so a committed version is never displaced; the writer that comes second gets
+    :class:`CommitConflict` and its data never count."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._known: int | None = None   # version this object committed or last saw
-
-    def _log(self) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.root}/_log", self.LOG_DDL)
+        self.spark, self.log = spark, CommitLog(spark, root)
+        self.root = self.log.root
+        self._known: Snapshot | None = None   # version this object committed or last saw
 
     def versions(self) -> list[int]:
-        return sorted(r[0] for r in self._log().select("version").collect())
+        return self.log.versions()
+
+    def _seen(self, refresh: bool = False) -> Snapshot:
+        if self._known is None or refresh:
+            self._known = self.log.snapshot()
+        return self._known
 
     def current_version(self, refresh: bool = False) -> int | None:
         """Newest committed version. The log is read once per object; later calls reuse the
         number this object committed or saw (``refresh=True`` re-reads it, for tables that
         another writer may have advanced meanwhile)."""
-        if self._known is None or refresh:
-            self._known = self._log().agg(F.max("version")).first()[0]
-        return self._known
+        return self._seen(refresh).version or None
 
     def current_path(self) -> str | None:
-        v = self.current_version()
-        return self._path_of(v) if v is not None else None
-
-    def _path_of(self, version: int) -> str:
-        first = F.min_by("path", F.struct("committed_at", "path"))
-        return self._log().filter(F.col("version") == version).agg(first).first()[0]
+        return self._seen().slots("data").get("current")
 
     def read(self, schema=None) -> DataFrame | None:
         path = self.current_path()
@@ -203,28 +193,16 @@ class VersionedTable:
         return self.spark.read.parquet(path)
 
     def commit(self, df: DataFrame, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> str:
-        """Write the next version after the one this object last read (or committed).
-
-        The log is read again before and after: if another writer took the version in
-        between, the rewrite would lose that writer's rows, so it fails instead."""
-        seen = self.current_version()
-        n = (seen or 0) + 1
-        self._check_free(n)
-        path = f"{self.root}/v={n:06d}-{uuid.uuid4().hex[:12]}"
-        write_layout(df, path, partition_by=partition_by, sort_by=sort_by, mode="overwrite")
-        self._check_free(n)
-        entry = self.spark.createDataFrame([(n, path)], "version int, path string") \
-                          .withColumn("committed_at", F.localtimestamp())
-        entry.coalesce(1).write.mode("append").parquet(f"{self.root}/_log")   # the commit point
-        if self._path_of(n) != path:
-            raise CommitConflict(f"version {n} of {self.root} was committed by another writer")
-        self._known = n
+        """Write the next version after the one this object last read (or committed). If
+        another writer took that version, the rewrite would lose its rows, so it fails."""
+        seen = self._seen()
+        if self.log.snapshot().version != seen.version:
+            raise CommitConflict(f"version {seen.version + 1} of {self.root} exists: read the table again")
+        _, path = self.log.new_folder("data")
+        write_layout(df, path, partition_by=partition_by, sort_by=sort_by)
+        self._known = self.log.commit(seen, replace={"data": {"current": path}})
         return path
 
-    def _check_free(self, version: int) -> None:
-        if (self._log().agg(F.max("version")).first()[0] or 0) >= version:
-            raise CommitConflict(f"version {version} of {self.root} exists: read the table again")
-
 
 # --------------------------------------------------------------------------- K14 / K15 layout
 
@@ -243,7 +221,8 @@ def write_layout(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), s
     filters are written for the columns in ``bloom`` (value = expected distinct count)."""
     order = [*partition_by, *sort_by]
     out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    w = out.write.mode(mode).format(fmt)
+    # a full overwrite replaces all partitions, whatever the session's overwrite mode is
+    w = out.write.mode(mode).format(fmt).option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     for col, ndv in (bloom or {}).items():
@@ -271,7 +250,8 @@ def write_shards(df: DataFrame, root: str, key: list[str], n_shards: int) -> lis
     """Every row to shard ``pmod(xxhash64(key), n)``. A hash rather than ``rand()`` so a
     retried task writes the same rows to the same shard."""
     shard = F.pmod(F.xxhash64(*key), F.lit(n_shards))
-    df.withColumn("shard", shard).write.mode("overwrite").partitionBy("shard").parquet(root)
+    (df.withColumn("shard", shard).write.mode("overwrite").option("partitionOverwriteMode", "static")
+       .partitionBy("shard").parquet(root))
     paths = [f"{root}/shard={i}" for i in range(n_shards)]
     for p in paths:   # a shard that got no row must still be readable
         ensure_table(df.sparkSession, p, df.schema)

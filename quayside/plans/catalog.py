@@ -424,18 +424,32 @@ def _stored_trades(trades: DataFrame) -> DataFrame:
     return trades.filter(F.col("agg_trade_id") % 10 < 5)
 
 
+def _packed_store(spark: SparkSession, sf: str, name: str) -> TradeStore:
+    """A store that got the trades in three commits and was compacted by (symbol, time)."""
+    store = TradeStore(spark, scratch_dir(spark, name))
+    trades = add_month(si.agg_trades(spark, sf), "trade_time").withColumn("_ord", F.lit(0))
+    for k in range(3):
+        store.insert(trades.filter(F.col("agg_trade_id") % 3 == k), "_ord", store.log.snapshot(), batch_id=k)
+    store.compact()
+    return store
+
+
+def trade_range_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """K16/K14 on a market table: three symbols over four days of the compacted trade store;
+    the month prunes folders, sorted files prune by symbol and time."""
+    trades = _packed_store(spark, sf, "packed").trades()
+    return (trades.filter(month_filter("trade_time", "2024-01-10 00:00:00", "2024-01-13 23:59:59"))
+            .filter(F.col("symbol").isin("CLICK", "PURCHASE", "VIEW")).select(*TRADE_OUT))
+
+
 def insert_ignore_trades(spark: SparkSession, sf: str) -> DataFrame:
     """Stored trades + a batch overlapping them with duplicates: every trade ends
-    up once, at its first (original) price."""
-    root = scratch_dir(spark, "trades")
+    up once, at its first (original) price. The key index tells stored from new keys."""
+    store = TradeStore(spark, scratch_dir(spark, "trades"))
     trades = si.agg_trades(spark, sf)
-    write_layout(add_month(_stored_trades(trades), "trade_time"), root, partition_by=("ym",),
-                 sort_by=("symbol", "trade_time"))
-    target = spark.read.parquet(root)
-    batch = add_month(_trade_batch(trades), "trade_time")
-    res = insert_ignore(target, batch, ["symbol", "agg_trade_id"], "_ord", range_col="agg_trade_id")
-    res.inserted.drop("_ord").write.mode("append").partitionBy("ym").parquet(root)
-    return spark.read.parquet(root).select(*TRADE_OUT)
+    store.insert(add_month(_stored_trades(trades), "trade_time").withColumn("_ord", F.lit(0)), "_ord", store.log.snapshot())
+    store.insert(add_month(_trade_batch(trades), "trade_time"), "_ord", store.log.snapshot(), batch_id=1)
+    return store.trades().select(*TRADE_OUT)
 
 
 def write_metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -243,6 +243,10 @@ FROM ({SYMBOLS_BASE}) WHERE status <> '' OR n_nationkey % 2 = 0"""
 
 SQL["insert_ignore_trades"] = f"SELECT {TRADE_COLS} FROM ({TRADES})"
 
+SQL["trade_range_scan"] = f"""SELECT {TRADE_COLS} FROM ({TRADES})
+WHERE symbol IN ('CLICK', 'PURCHASE', 'VIEW')
+  AND trade_time BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-13 23:59:59'"""
+
 SQL["write_metrics"] = """SELECT upper(event_type) AS symbol, 2 * count(*) FILTER (WHERE event_id % 10 >= 3) AS attempted,
        count(*) FILTER (WHERE event_id % 10 >= 5) AS inserted FROM events GROUP BY 1"""
 
