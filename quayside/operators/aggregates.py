@@ -97,7 +97,10 @@ def sessionize(df: DataFrame, user_col: str, ts_col: str, id_col: str, gap_secon
     Scales with a hot user: rows are sessionized inside (user, time bucket) groups in
     parallel; a small per-(user, bucket) summary is then stitched per user (a session
     continues across a bucket edge iff the gap across the edge is small enough), and
-    the offsets are joined back. No task ever holds all events of one user."""
+    the offsets are joined back. No task ever holds all events of one user.
+
+    An event without a time cannot be placed: each is a session of its own, numbered before
+    the user's others. Events without a user form the sessions of a null user."""
     gap_us = F.lit(gap_seconds * 1_000_000)
     ts = F.col(ts_col)
     rows = df.withColumn("_b", F.floor(ts_to_millis(ts) / F.lit(bucket_seconds * 1000)))
@@ -119,7 +122,7 @@ def sessionize(df: DataFrame, user_col: str, ts_col: str, id_col: str, gap_secon
     summ = summ.select(F.col(user_col).alias("_user"), F.col("_b").alias("_bucket"),
                        (F.col("_base") - (1 - F.col("_starts"))).alias("_offset"))
     # null-safe: events without a user form sessions of their own
-    out = rows.join(summ, rows[user_col].eqNullSafe(F.col("_user")) & (F.col("_b") == F.col("_bucket")))
+    out = rows.join(summ, rows[user_col].eqNullSafe(F.col("_user")) & F.col("_b").eqNullSafe(F.col("_bucket")))
     return out.withColumn(out_col, (F.col("_offset") + F.col("_local")).cast("bigint")) \
               .drop("_b", "_new", "_local", "_offset", "_user", "_bucket")
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import (exact_decimal, millis_to_ts, non_empty, utf8_prefix_bytes, utf8_prefix_text,
                                zero_if_null)
 from ..schemas import EVENT_MESSAGE_FIELDS
+from ..session import stage
 
 RAW_PREFIX_BYTES = 500  # fixed value: bytes of a rejected body shown for inspection
 PARSER_LIMIT_BYTES = 16 << 20   # Spark's variants hold less than 16 MiB
@@ -109,7 +110,8 @@ def body_violation(body: Column, top: str, fields: dict[str, tuple[str, ...]], l
 
 
 def _reject_rows(df: DataFrame, reason: Column, item: Column, raw: Column) -> DataFrame:
-    """Quarantine rows: the prefix kept for inspection and the whole text to decode again."""
+    """Quarantine rows: the prefix kept for inspection and the whole text (the body, or the
+    element as JSON) to decode again."""
     return df.select(
         F.col("endpoint"), F.col("symbol"), reason.alias("reason"), item.cast("string").alias("item"),
         utf8_prefix_text(raw, RAW_PREFIX_BYTES).alias("raw_prefix"),
@@ -117,10 +119,17 @@ def _reject_rows(df: DataFrame, reason: Column, item: Column, raw: Column) -> Da
         raw.alias("raw_text"), F.col("fetched_at"))
 
 
+def _as_json(element: Column) -> Column:
+    """The element with all its known keys, nulls too."""
+    return F.to_json(element, {"ignoreNullFields": "false"})
+
+
 def _split_bodies(responses: DataFrame, endpoint: str, top: str, fields: dict, list_path: str | None = None,
                   item_fields: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    r = responses.filter((F.col("endpoint") == endpoint) & (F.col("status") == 200))
-    r = r.withColumn("_why", body_violation(F.col("body"), top, fields, list_path, item_fields))
+    r = responses.filter(F.col("endpoint") == endpoint)
+    answered = F.coalesce(F.col("status") == 200, F.lit(False))
+    r = r.withColumn("_why", F.when(~answered, F.lit("status_not_ok")).otherwise(
+        body_violation(F.col("body"), top, fields, list_path, item_fields)))
     bad = _reject_rows(r.filter(F.col("_why").isNotNull()), F.col("_why"), F.lit(None), F.col("body"))
     return r.filter(F.col("_why").isNull()).drop("_why"), bad
 
@@ -140,10 +149,10 @@ def trade_items(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok, bad = _split_bodies(responses, "aggTrades", "[", {}, "$", TRADE_FIELDS)
     items = ok.select("endpoint", "symbol", "fetched_at",
                       F.posexplode(F.from_json("body", TRADE_JSON)).alias("page_pos", "t"))
-    flat = items.select("endpoint", "symbol", "fetched_at", "page_pos", "t.*").toDF(
-        "endpoint", "symbol", "fetched_at", "page_pos", "a", "p", "q", "f", "l", "T", "buyer", "best")
+    flat = items.select("endpoint", "symbol", "fetched_at", "page_pos", F.col("t").alias("element"), "t.*").toDF(
+        "endpoint", "symbol", "fetched_at", "page_pos", "element", "a", "p", "q", "f", "l", "T", "buyer", "best")
     flat = flat.select(
-        "endpoint", "symbol", "fetched_at", "page_pos", "p", "q",
+        "endpoint", "symbol", "fetched_at", "page_pos", "p", "q", "element",
         zero_if_null(F.col("a"), 0).alias("agg_trade_id"),
         exact_decimal(F.col("p")).alias("price"),
         exact_decimal(F.col("q")).alias("quantity"),
@@ -154,13 +163,13 @@ def trade_items(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
         zero_if_null(F.col("best"), False).alias("is_best_match"))
     why = (F.when(~(non_empty("p") & non_empty("q")), F.lit("empty_price_or_quantity"))
            .when(F.col("price").isNull() | F.col("quantity").isNull(), F.lit("bad_decimal")))
-    return flat.withColumn("_why", why), bad
+    flat = flat.withColumn("_why", why)
+    return flat.withColumn("raw", F.when(F.col("_why").isNotNull(), _as_json(F.col("element")))).drop("element", "p", "q"), bad
 
 
 def split_trade_items(items: DataFrame, bad_pages: DataFrame) -> Decoded:
     good = items.filter(F.col("_why").isNull()).select(*TRADE_COLUMNS)
-    row_bad = _reject_rows(items.filter(F.col("_why").isNotNull()), F.col("_why"), F.col("agg_trade_id"),
-                           F.concat_ws("|", F.coalesce("p", F.lit("")), F.coalesce("q", F.lit(""))))
+    row_bad = _reject_rows(items.filter(F.col("_why").isNotNull()), F.col("_why"), F.col("agg_trade_id"), F.col("raw"))
     return Decoded(good, bad_pages.unionByName(row_bad))
 
 
@@ -176,28 +185,31 @@ SYMBOL_FIELDS = {"symbol": ("STRING",), "status": ("STRING",),
                  "baseAsset": ("STRING",), "quoteAsset": ("STRING",),
                  "baseAssetPrecision": ("BIGINT",), "quotePrecision": ("BIGINT",)}
 SYMBOL_JSON = ("struct<symbols:array<struct<symbol:string,status:string,baseAsset:string,quoteAsset:string,"
-               "baseAssetPrecision:int,quotePrecision:int>>>")
+               "baseAssetPrecision:bigint,quotePrecision:bigint>>>")
 
 
 def decode_symbols(responses: DataFrame) -> Decoded:
-    """Exchange info -> one row per listed symbol; empty symbol or status is dropped.
+    """Exchange info -> one row per listed symbol; an empty symbol or status (P07) and a
+    precision beyond the column's range go to the quarantine.
     ``ord`` = (fetched_at, position) orders rows for keep-last upserts."""
     ok, bad = _split_bodies(responses, "exchangeInfo", "{", {"symbols": ("ARRAY<",)}, "$.symbols", SYMBOL_FIELDS)
     items = ok.select("endpoint", "symbol", "fetched_at",
                       F.posexplode(F.from_json("body", SYMBOL_JSON)["symbols"]).alias("pos", "s"))
     flat = items.select(
-        "endpoint", "fetched_at", "pos",
+        "endpoint", "fetched_at", "pos", "s",
         F.col("s.symbol").alias("sym"), F.col("s.status").alias("status"),
         zero_if_null(F.col("s.baseAsset"), "").alias("base_asset"),
         zero_if_null(F.col("s.quoteAsset"), "").alias("quote_asset"),
         zero_if_null(F.col("s.baseAssetPrecision"), 0).alias("base_precision"),
         zero_if_null(F.col("s.quotePrecision"), 0).alias("quote_precision"))
-    keep = non_empty("sym") & non_empty("status")
-    good = flat.filter(keep).select(
-        F.col("sym").alias("symbol"), "status", "base_asset", "quote_asset", "base_precision", "quote_precision",
-        "fetched_at", F.struct("fetched_at", "pos").alias("ord"))
-    row_bad = _reject_rows(flat.filter(~keep).withColumnRenamed("sym", "symbol"),
-                           F.lit("empty_symbol_or_status"), F.col("symbol"), F.col("status"))
+    fits = lambda c: F.col(c).between(-(1 << 31), (1 << 31) - 1)
+    flat = flat.withColumn("_why", F.when(~(non_empty("sym") & non_empty("status")), F.lit("empty_symbol_or_status"))
+                           .when(~(fits("base_precision") & fits("quote_precision")), F.lit("number_out_of_range")))
+    good = flat.filter(F.col("_why").isNull()).select(
+        F.col("sym").alias("symbol"), "status", "base_asset", "quote_asset", F.col("base_precision").cast("int"),
+        F.col("quote_precision").cast("int"), "fetched_at", F.struct("fetched_at", "pos").alias("ord"))
+    row_bad = _reject_rows(flat.filter(F.col("_why").isNotNull()).withColumnRenamed("sym", "symbol"),
+                           F.col("_why"), F.col("symbol"), _as_json(F.col("s")))
     return Decoded(good, bad.unionByName(row_bad))
 
 
@@ -215,10 +227,20 @@ class DecodedBook(NamedTuple):
     rejects: DataFrame
 
 
-def snapshot_id(symbol: Column, last_update_id: Column, fetched_at: Column) -> Column:
-    """K10 surrogate key: a hash of the natural key, computed where the row is (no
-    global counter, no single-partition window, same value on a task retry)."""
-    return F.xxhash64(symbol, last_update_id, fetched_at)
+MAX_LEVEL_INDEX = (1 << 15) - 1   # of a smallint column
+
+
+def numbered_responses(responses: DataFrame, name: str = "responses") -> DataFrame:
+    """The responses staged with ``response_no``, their position. A poll that is recorded twice is
+    then two snapshots, and headers and levels agree on their ids whenever they are read."""
+    return stage(responses.withColumn("response_no", F.monotonically_increasing_id()), name)
+
+
+def snapshot_id(symbol: Column, last_update_id: Column, fetched_at: Column, depth: Column, response_no: Column) -> Column:
+    """K10 surrogate key: a hash of the natural key and the response's position, computed
+    where the row is (no global counter, no single-partition window, same value on a task
+    retry). That no two headers share one is a rule of the constraint report."""
+    return F.xxhash64(symbol, last_update_id, fetched_at, depth, response_no)
 
 
 def _usable(e: Column) -> Column:
@@ -236,14 +258,17 @@ def decode_order_book(responses: DataFrame) -> DecodedBook:
     """K10 header/detail from one decoded input: one header per response (kept even with
     0 levels) and all its usable levels, both carrying the hashed ``snapshot_id``. Level
     indexes are assigned after the drop of unusable entries, which go to the quarantine
-    with their position in the body."""
+    with their position in the body. Responses of :func:`numbered_responses` give every
+    response an id of its own; without numbers a poll recorded twice shares one."""
     ok, bad = _split_bodies(responses, "depth", "{", BOOK_FIELDS)
-    book = ok.select("endpoint", "symbol", "depth", "fetched_at", F.from_json("body", BOOK_JSON).alias("b"))
+    no = F.col("response_no") if "response_no" in responses.columns else F.lit(0).cast("bigint")
+    book = ok.select("endpoint", "symbol", "depth", "fetched_at", no.alias("response_no"), F.from_json("body", BOOK_JSON).alias("b"))
     book = book.select(
-        "endpoint", "symbol", "depth", "fetched_at",
+        "endpoint", "symbol", "depth", "fetched_at", "response_no",
         zero_if_null(F.col("b.lastUpdateId"), 0).alias("last_update_id"),
         F.col("b.bids").alias("bids"), F.col("b.asks").alias("asks"))
-    book = book.withColumn("snapshot_id", snapshot_id(F.col("symbol"), F.col("last_update_id"), F.col("fetched_at")))
+    book = book.withColumn("snapshot_id", snapshot_id(
+        F.col("symbol"), F.col("last_update_id"), F.col("fetched_at"), F.col("depth"), F.col("response_no")))
     headers = book.select("snapshot_id", "symbol", "last_update_id", F.col("depth").alias("depth_level"),
                           F.col("fetched_at").alias("snapshot_time"))
     sides = F.array(F.struct(F.lit("bid").alias("side"), F.col("bids").alias("entries")),
@@ -257,15 +282,14 @@ def decode_order_book(responses: DataFrame) -> DecodedBook:
     entry_bad = _reject_rows(unusable, F.lit("unusable_level"), F.concat_ws(":", "last_update_id", "side", "pos"),
                              F.coalesce(F.to_json("e"), F.lit("null")))
     lv = lv.select("endpoint", "snapshot_id", "symbol", "last_update_id", "fetched_at", "side",
-                   F.col("level_index").cast("smallint").alias("level_index"),
-                   F.col("e")[0].alias("p_text"), F.col("e")[1].alias("q_text"))
-    lv = lv.withColumn("price", exact_decimal(F.col("p_text"))).withColumn("quantity", exact_decimal(F.col("q_text")))
-    parsed = F.col("price").isNotNull() & F.col("quantity").isNotNull()
-    levels = lv.filter(parsed).select("snapshot_id", "symbol", "last_update_id", "side", "level_index",
-                                      "price", "quantity")
-    row_bad = _reject_rows(lv.filter(~parsed), F.lit("bad_decimal"),
-                           F.concat_ws(":", "last_update_id", "side", "level_index"),
-                           F.concat_ws("|", "p_text", "q_text"))
+                   "level_index", "e", exact_decimal(F.col("e")[0]).alias("price"), exact_decimal(F.col("e")[1]).alias("quantity"))
+    why = (F.when(F.col("price").isNull() | F.col("quantity").isNull(), F.lit("bad_decimal"))
+           .when(F.col("level_index") > MAX_LEVEL_INDEX, F.lit("number_out_of_range")))
+    lv = lv.withColumn("_why", why)
+    levels = lv.filter(F.col("_why").isNull()).select("snapshot_id", "symbol", "last_update_id", "side",
+                                                      F.col("level_index").try_cast("smallint").alias("level_index"), "price", "quantity")
+    row_bad = _reject_rows(lv.filter(F.col("_why").isNotNull()), F.col("_why"),
+                           F.concat_ws(":", "last_update_id", "side", "level_index"), _as_json(F.col("e")))
     return DecodedBook(headers, levels, bad.unionByName(row_bad).unionByName(entry_bad))
 
 
@@ -285,12 +309,16 @@ TICKER_FIELDS = {"symbol": ("STRING",), **{k: ("STRING",) for k in TICKER_TEXT},
 
 
 def decode_ticker(responses: DataFrame) -> Decoded:
-    """Ticker -> one 21-column row. The reference rejects the row when last price or
-    volume is empty; here every one of the 15 numbers must also parse exactly (Q8)."""
+    """Ticker -> one row of 21 columns and the time of the fetch, for responses of
+    :func:`numbered_responses` with an ``id`` of its own, as the table has it (K11). The
+    reference rejects the row when last price or volume is empty; here every one of the 15
+    numbers must also parse exactly (Q8)."""
     ok, bad = _split_bodies(responses, "ticker24hr", "{", TICKER_FIELDS)
-    t = ok.select("endpoint", "symbol", "fetched_at", F.from_json("body", TICKER_JSON).alias("t"))
+    numbered = "response_no" in responses.columns
+    no = F.col("response_no") if numbered else F.lit(0).cast("bigint")
+    t = ok.select("endpoint", "symbol", "fetched_at", no.alias("response_no"), F.from_json("body", TICKER_JSON).alias("t"))
     cols = [F.col(f"t.{k}").alias(f"{c}_text") for k, c in zip(TICKER_TEXT, TICKER_COLUMNS)]
-    t = t.select("endpoint", "symbol", "fetched_at", *cols,
+    t = t.select("endpoint", "symbol", "fetched_at", "response_no", F.col("t").alias("element"), *cols,
                  *[zero_if_null(F.col(f"t.{k}"), 0).alias(k) for k in TICKER_LONG])
     t = t.select("*", *[exact_decimal(F.col(f"{c}_text")).alias(c) for c in TICKER_COLUMNS])
     all_parsed = F.lit(True)
@@ -300,18 +328,18 @@ def decode_ticker(responses: DataFrame) -> Decoded:
            .when(~all_parsed, F.lit("bad_decimal")))
     t = t.withColumn("_why", why)
     good = t.filter(F.col("_why").isNull()).select(
-        "symbol", *TICKER_COLUMNS,
+        *([F.xxhash64("symbol", "fetched_at", "closeTime", "response_no").alias("id")] if numbered else []), "symbol", *TICKER_COLUMNS,
         millis_to_ts(F.col("openTime")).alias("open_time"), millis_to_ts(F.col("closeTime")).alias("close_time"),
         F.col("firstId").alias("first_trade_id"), F.col("lastId").alias("last_trade_id"),
         F.col("count").alias("trade_count"), "fetched_at")
-    row_bad = _reject_rows(t.filter(F.col("_why").isNotNull()), F.col("_why"), F.col("symbol"),
-                           F.concat_ws("|", "last_price_text", "volume_text"))
+    row_bad = _reject_rows(t.filter(F.col("_why").isNotNull()), F.col("_why"), F.col("symbol"), _as_json(F.col("element")))
     return Decoded(good, bad.unionByName(row_bad))
 
 
 # --------------------------------------------------------------------------- D06 events
 
-EVENT_TEXT_JSON = "struct<" + ",".join(f"{f}:string" for f in EVENT_MESSAGE_FIELDS) + ">"
+# the last field is set for a text that is no whole JSON value, of which Spark fills what it read
+EVENT_TEXT_JSON = "struct<" + ",".join(f"{f}:string" for f in EVENT_MESSAGE_FIELDS) + ",_broken:string>"
 
 
 def decode_events(df: DataFrame, value_col: str = "value") -> Decoded:
@@ -319,9 +347,9 @@ def decode_events(df: DataFrame, value_col: str = "value") -> Decoded:
     the 5 typed columns. Fields are read as text and cast with ``try_cast``: a value
     that does not cast sends the message to the quarantine instead of becoming NULL."""
     v = F.col(value_col).cast("string")
-    m = df.select(v.alias("_value"), F.from_json(v, EVENT_TEXT_JSON).alias("m"))
+    m = df.select(v.alias("_value"), F.from_json(v, EVENT_TEXT_JSON, {"columnNameOfCorruptRecord": "_broken"}).alias("m"))
     m = m.select("_value", *[F.col(f"m.{f}").alias(f"{f}_text") for f in EVENT_MESSAGE_FIELDS],
-                 F.col("m").isNull().alias("_unparsed"))
+                 (F.col("m").isNull() | F.col("m._broken").isNotNull()).alias("_unparsed"))
     typed = m.select(
         "*",
         F.col("event_id_text").try_cast("int").alias("event_id"),

@@ -48,7 +48,7 @@ def validate(df: DataFrame, table: str, not_null=(), max_length: dict | None = N
                      .select(F.lit(f"unique:{','.join(key)}").alias("rule"), "violations"))
     if parent is not None:
         # rows whose foreign key has no parent row (same column names on both sides)
-        orphans = df.join(parent.select(*foreign_key).distinct(), on=list(foreign_key), how="left_anti")
+        orphans = df.join(parent.select(*foreign_key), on=list(foreign_key), how="left_anti")
         parts.append(orphans.agg(F.count(F.lit(1)).alias("violations"))
                      .select(F.lit("orphan").alias("rule"), "violations"))
     out = reduce(DataFrame.unionByName, parts)
@@ -78,9 +78,10 @@ def _first(acc, cond, name):
     return F.when(cond, F.lit(name)) if acc is None else acc.when(cond, F.lit(name))
 
 
-def validate_spec(df: DataFrame, spec: TableSpec) -> DataFrame:
+def validate_spec(df: DataFrame, spec: TableSpec, parent: DataFrame | None = None, foreign_key=()) -> DataFrame:
+    """Every rule that a table's definition states, and the foreign key if a parent is given."""
     return validate(df, spec.qualified, not_null=spec.not_null, max_length=spec.max_length,
-                    allowed=spec.allowed, key=spec.key)
+                    allowed=spec.allowed, key=spec.key, parent=parent, foreign_key=foreign_key)
 
 
 def threshold_report(checks: list[tuple[str, DataFrame, str, int]]) -> DataFrame:

@@ -8,6 +8,8 @@ the read-back result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from ..functions.sql_udf import register_factorial
 from ..functions.text import quote_join, replace_first, replace_within, split_clean
 from ..operators import aggregates as agg
 from ..operators import paging, quality, telemetry
-from ..operators.decode import cut_levels, decode_agg_trades, decode_order_book, decode_symbols, decode_ticker
+from ..operators.decode import (cut_levels, decode_agg_trades, decode_events, decode_order_book, decode_symbols, decode_ticker,
+                                numbered_responses)
 from ..operators.encode import event_messages
 from ..operators.ingest import TradeStore, ingest_trade_pages
 from ..operators.write import (VersionedTable, add_month, bootstrap, high_water_marks, insert_ignore,
@@ -25,7 +28,7 @@ from ..operators.write import (VersionedTable, add_month, bootstrap, high_water_
 from ..schemas import EVENT_MESSAGE_DDL, EVENT_MESSAGE_FIELDS, PRICE, TABLES
 from ..session import scratch_dir
 from ..sources.tables import DRIVER_TABLES, read_json, read_shards, table
-from ..streaming.events import events_to_json_files, file_messages, run_available
+from ..streaming.events import decode_event_stream, events_to_json_files, file_messages, run_available
 from ..streaming.market import start_book_stream, start_ticker_stream
 from ..streaming.trades import response_stream, start_trade_stream
 from . import standins as si
@@ -149,7 +152,7 @@ def sharded_read_count(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------------- book
 
 def _book(spark: SparkSession, sf: str, depth: int):
-    return decode_order_book(si.order_books(spark, sf, depth))
+    return decode_order_book(numbered_responses(si.order_books(spark, sf, depth), "books"))
 
 
 def side_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,20 +242,28 @@ def quality_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def constraint_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Rule violations on dirtied stand-ins: NOT NULL, length <= 64, unique key,
-    allowed sides, and levels whose order has no header (orphans)."""
-    ev = quality.validate_spec(si.dirty_app_events(spark, sf), TABLES["app.events"])
-    stored = si.agg_trades(spark, sf)
-    batch = _trade_batch(stored)
-    tr = quality.validate(batch.drop("_ord"), "crypto.agg_trades", not_null=("price",),
-                          key=("symbol", "agg_trade_id"))
+    """Rule violations of the seven tables on dirtied stand-ins: every NOT NULL column,
+    length <= 64, unique keys, allowed sides, and levels whose order has no header (orphans)."""
+    spec = {n: TABLES[f"crypto.{n}"] for n in ("symbols", "agg_trades", "orderbook_snapshots", "orderbook_levels", "ticker_24hr", "ingest_state")}
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    out = [quality.validate_spec(si.dirty_app_events(spark, sf), TABLES["app.events"])]
+    symbols = keep_last_symbols(decode_symbols(si.exchange_info(spark, sf)).good)
+    out.append(quality.validate_spec(si.planted(symbols, spec["symbols"]), spec["symbols"]))
+    stored = si.agg_trades(spark, sf).withColumn("inserted_at", now)
+    out.append(quality.validate_spec(si.planted(stored, spec["agg_trades"], "agg_trade_id"), spec["agg_trades"]))
     book = _book(spark, sf, 20)
+    out.append(quality.validate_spec(si.planted(book.headers, spec["orderbook_snapshots"], "last_update_id"), spec["orderbook_snapshots"]))
     # dirtied parent: the header write "failed" for books fetched from HEADER_GAP_FROM on,
     # so their levels have no header (matched on snapshot_id only)
     headers = book.headers.filter(F.col("snapshot_time") < F.lit(HEADER_GAP_FROM).cast("timestamp_ntz"))
-    lv = quality.validate(book.levels, "crypto.orderbook_levels", allowed={"side": ("bid", "ask")},
-                          parent=headers, foreign_key=("snapshot_id",))
-    return ev.unionByName(tr).unionByName(lv)
+    levels = si.planted(book.levels, spec["orderbook_levels"], "last_update_id")
+    levels = levels.withColumn("side", F.when(F.col("last_update_id") % 101 == 2, F.concat("side", F.lit("?"))).otherwise(F.col("side")))
+    out.append(quality.validate_spec(levels, spec["orderbook_levels"], headers, ("snapshot_id",)))
+    ticker = decode_ticker(numbered_responses(si.ticker_responses(agg.ticker_from_trades(si.agg_trades(spark, sf))))).good
+    out.append(quality.validate_spec(si.planted(ticker, spec["ticker_24hr"]), spec["ticker_24hr"]))
+    marks = high_water_marks(stored)
+    out.append(quality.validate_spec(si.planted(marks, spec["ingest_state"]), spec["ingest_state"]))
+    return reduce(DataFrame.unionByName, out)
 
 
 HEADER_GAP_FROM = "2001-06-01 00:00:00"
@@ -307,15 +318,12 @@ def seed_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_decode_events(spark: SparkSession, sf: str) -> DataFrame:
-    """A file stream of messages decoded to the 5 typed columns."""
+    """A file stream of messages decoded to the 5 typed columns; messages that do not
+    decode go to a quarantine folder of the same stream."""
     src = _message_dir(spark, sf, "stream-src")
     out, ck = scratch_dir(spark, "stream-decoded"), scratch_dir(spark, "stream-decoded-ck")
-    from ..operators.decode import decode_events
-    dec = decode_events(file_messages(spark, src))
-    q = (dec.good.writeStream.format("parquet").option("checkpointLocation", ck)
-         .trigger(availableNow=True).start(out))
-    run_available(q)
-    return spark.read.parquet(out).select(*EVENT_MESSAGE_FIELDS)
+    run_available(decode_event_stream(file_messages(spark, src), out, ck, trigger={"availableNow": True}))
+    return spark.read.parquet(f"{out}/events").select(*EVENT_MESSAGE_FIELDS)
 
 
 def stream_json_sink(spark: SparkSession, sf: str) -> DataFrame:
@@ -391,6 +399,18 @@ def decode_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return bad.select("symbol", "endpoint", "reason", "raw_bytes")
 
 
+def reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """A page per event, most with a fault: every fault's reason, the item and the
+    whole body or element, kept to be decoded again."""
+    bad = decode_agg_trades(si.odd_pages(spark, sf)).rejects
+    return bad.select("symbol", "reason", "item", "raw_text", "raw_bytes", "fetched_at")
+
+
+def event_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages that do not decode, with their reason and whole text."""
+    return decode_events(si.odd_messages(spark, sf)).rejects.select("reason", "item", "raw_text", "raw_bytes")
+
+
 # --------------------------------------------------------------------------- writes
 
 def upsert_symbols(spark: SparkSession, sf: str) -> DataFrame:
@@ -524,7 +544,7 @@ def stream_trades(spark: SparkSession, sf: str) -> DataFrame:
 def ticker_append(spark: SparkSession, sf: str) -> DataFrame:
     """Decoded tickers appended twice (no dedup)."""
     path = scratch_dir(spark, "ticker")
-    t = decode_ticker(si.ticker_responses(agg.ticker_from_trades(si.agg_trades(spark, sf)))).good
+    t = decode_ticker(numbered_responses(si.ticker_responses(agg.ticker_from_trades(si.agg_trades(spark, sf))))).good
     for i in range(2):
         observed_append(t, path, f"ticker_append_{i}")   # K12: rows written, seen by the write itself
     return spark.read.parquet(path).select(*TICKER_OUT)

@@ -195,6 +195,25 @@ SELECT * FROM s
 UNION ALL SELECT 'ALL', CAST(count(*) FILTER (WHERE status = 'PASS') AS BIGINT), CAST(count(*) AS BIGINT),
        CASE WHEN count(*) FILTER (WHERE status = 'PASS') = count(*) THEN 'PASS' ELSE 'FAIL' END FROM s"""
 
+TICKER_COLS = """symbol price_change price_change_pct weighted_avg prev_close last_price last_qty bid_price bid_qty ask_price ask_qty
+open_price high_price low_price volume quote_volume open_time close_time first_trade_id last_trade_id trade_count fetched_at"""
+
+
+def _planted(table: str, cols: str, key: str, rows: str, id_sql: str) -> str:
+    """Violations of a table whose column j is null where id % 101 = j and whose rows with
+    id % 101 = 100 come twice."""
+    out = [f"UNION ALL SELECT '{table}', 'not_null:{c}', count(*) FROM {rows} x WHERE {id_sql} % 101 = {j}" for j, c in enumerate(cols.split())]
+    out += [f"UNION ALL SELECT '{table}', 'not_null:{c}', CAST(0 AS BIGINT)" for c in key.split()]
+    return "\n".join([*out, f"UNION ALL SELECT '{table}', 'unique:{key.replace(' ', ',')}', count(*) FROM {rows} x WHERE {id_sql} % 101 = 100"])
+
+
+def _copied(table: str, cols: str, key: str, rows: str) -> str:
+    """Violations of a table whose rows come once per column, which is null there."""
+    out = [f"UNION ALL SELECT '{table}', 'not_null:{c}', count(*) FROM {rows}" for c in cols.split()]
+    out += [f"UNION ALL SELECT '{table}', 'not_null:{c}', CAST(0 AS BIGINT)" for c in key.split() if key != "id"]
+    return "\n".join([*out, f"UNION ALL SELECT '{table}', 'unique:{key.replace(' ', ',')}', count(*) * {len(cols.split()) - 1} FROM {rows}"])
+
+
 SQL["constraint_report"] = f"""WITH d AS (
   SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id END AS user_id,
          repeat(event_type, CAST(event_id % 12 + 1 AS INTEGER)) AS event_type, ts AS created_at FROM events)
@@ -205,12 +224,17 @@ UNION ALL SELECT 'app.events', 'not_null:created_at', count(*) FILTER (WHERE cre
 UNION ALL SELECT 'app.events', 'max_length:event_type<=64', count(*) FILTER (WHERE length(event_type) > 64) FROM d
 UNION ALL SELECT 'app.events', 'unique:event_id', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM
   (SELECT event_id, count(*) AS n FROM d GROUP BY event_id HAVING count(*) > 1)
-UNION ALL SELECT 'crypto.agg_trades', 'not_null:price', CAST(0 AS BIGINT)
-UNION ALL SELECT 'crypto.agg_trades', 'unique:symbol,agg_trade_id', count(*) FROM events WHERE event_id % 10 >= 3
-UNION ALL SELECT 'crypto.orderbook_levels', 'allowed:side', CAST(0 AS BIGINT)
-UNION ALL SELECT 'crypto.orderbook_levels', 'orphan', count(*) FROM ({_levels()}) lv
+{_planted("crypto.agg_trades", "price quantity first_trade_id last_trade_id trade_time is_buyer_maker is_best_match inserted_at",
+          "symbol agg_trade_id", "events", "event_id")}
+{_planted("crypto.orderbook_snapshots", "symbol last_update_id depth_level snapshot_time", "snapshot_id", "(SELECT DISTINCT l_orderkey FROM lineitem)", "l_orderkey * 10")}
+{_planted("crypto.orderbook_levels", "price quantity", "snapshot_id side level_index", f"({_levels()})", "l_orderkey * 10")}
+UNION ALL SELECT 'crypto.orderbook_levels', 'allowed:side', count(*) FROM ({_levels()}) WHERE l_orderkey * 10 % 101 = 2
+UNION ALL SELECT 'crypto.orderbook_levels', 'orphan', count(*) + count(*) FILTER (WHERE l_orderkey * 10 % 101 = 100) FROM ({_levels()}) lv
   JOIN (SELECT l_orderkey, max(l_shipdate) AS fetched_at FROM lineitem GROUP BY l_orderkey) b USING (l_orderkey)
-  WHERE b.fetched_at >= TIMESTAMP '2001-06-01 00:00:00'"""
+  WHERE b.fetched_at >= TIMESTAMP '2001-06-01 00:00:00'
+{_copied("crypto.symbols", "status base_asset quote_asset base_precision quote_precision fetched_at", "symbol", f"({SYMBOLS_BASE}) WHERE status <> ''")}
+{_copied("crypto.ticker_24hr", TICKER_COLS, "id", f"({DECODED_TICKER})")}
+{_copied("crypto.ingest_state", "updated_at", "worker_type symbol", f"(SELECT DISTINCT upper(event_type) AS symbol FROM events)")}"""
 
 SQL["encode_messages"] = f"""SELECT event_id, user_id, event_type, payload, created_iso AS created_at, 5 AS n_keys,
        payload IS NULL AS payload_null_kept FROM ({APP_EVENTS})"""
@@ -237,6 +261,22 @@ SQL["decode_rejects"] = """SELECT 'PAGE' || CAST(page_id AS VARCHAR) AS symbol,
        'unexpected_json_container' AS reason,
        CAST(least(500, octet_length(encode(html))) AS INTEGER) AS raw_bytes FROM pages"""
 
+_ITEM = """'[{"a":' || event_id || ',"p":"%s","q":"1","f":1,"l":2,"T":5,"m":true,"M":false}]'"""
+SQL["reject_reasons"] = f"""WITH b AS (SELECT event_id, date_trunc('millisecond', ts) AS fetched_at, event_id % 8 AS k FROM events WHERE event_id % 8 <> 0),
+r AS (SELECT *, CASE k WHEN 1 THEN '[{{"a":' || event_id WHEN 2 THEN '[{{"a":"' || event_id || '"}}]' WHEN 3 THEN '{{"a":' || event_id || '}}'
+       WHEN 4 THEN ' ' WHEN 5 THEN {_ITEM % "1.x"} WHEN 6 THEN {_ITEM % ""}
+       ELSE {_ITEM % "1.5"} END AS body FROM b),
+t AS (SELECT *, CASE WHEN k IN (5, 6) THEN body[2:len(body) - 1] ELSE body END AS raw_text FROM r)
+SELECT 'E' || event_id AS symbol,
+       CASE k WHEN 1 THEN 'malformed_json' WHEN 2 THEN 'json_type_mismatch' WHEN 3 THEN 'unexpected_json_container' WHEN 4 THEN 'empty_body'
+         WHEN 5 THEN 'bad_decimal' WHEN 6 THEN 'empty_price_or_quantity' ELSE 'status_not_ok' END AS reason,
+       CASE WHEN k IN (5, 6) THEN CAST(event_id AS VARCHAR) END AS item, raw_text,
+       CAST(octet_length(encode(raw_text)) AS INTEGER) AS raw_bytes, fetched_at FROM t"""
+
+SQL["event_rejects"] = """SELECT reason, item, raw_text, CAST(octet_length(encode(raw_text)) AS INTEGER) AS raw_bytes FROM (
+  SELECT 'malformed_json' AS reason, CAST(NULL AS VARCHAR) AS item, '{"event_id":' || event_id AS raw_text FROM events WHERE event_id % 11 = 3
+  UNION ALL SELECT 'bad_number', 'n' || event_id, '{"event_id":"n' || event_id || '","user_id":7}' FROM events WHERE event_id % 11 = 5)"""
+
 SQL["upsert_symbols"] = f"""SELECT symbol, CASE WHEN n_nationkey % 2 = 0 THEN 'TRADING' ELSE status END AS status,
        base_asset, quote_asset, base_precision, quote_precision
 FROM ({SYMBOLS_BASE}) WHERE status <> '' OR n_nationkey % 2 = 0"""

@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cut_to_millis, ts_to_millis
-from ..schemas import PRICE
+from ..schemas import PRICE, TableSpec
 from ..sources.tables import table
 
 
-
 def _null(t: str):
     return F.lit(None).cast(t)
 
@@ -179,6 +178,45 @@ def malformed_pages(spark: SparkSession, sf: str) -> DataFrame:
                            F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")), "page_id")
 
 
+def odd_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One trade page per event, seven of eight with a fault: a body cut short, an id as text,
+    an object in place of the list, no body, a price that is no number, no price, an error
+    status."""
+    e = table(spark, sf, "events")
+    i = F.col("event_id").cast("string")
+    def item(price):
+        return F.concat(F.lit('[{"a":'), i, F.lit(',"p":'), F.lit(price), F.lit(',"q":"1","f":1,"l":2,"T":5,"m":true,"M":false}]'))
+    k = F.col("event_id") % 8
+    body = (F.when(k == 1, F.concat(F.lit('[{"a":'), i)).when(k == 2, F.concat(F.lit('[{"a":"'), i, F.lit('"}]')))
+            .when(k == 3, F.concat(F.lit('{"a":'), i, F.lit("}"))).when(k == 4, F.lit(" "))
+            .when(k == 5, item('"1.x"')).when(k == 6, item('""')).otherwise(item('"1.5"')))
+    return e.select(*_resp(F.lit("aggTrades"), F.concat(F.lit("E"), i), _null("int"), F.when(k == 7, 503).otherwise(200), _null("string"),
+                           _null("string"), body, cut_to_millis(F.col("ts"))))
+
+
+def odd_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Event messages, some cut short and some with an id that is no whole number."""
+    e = table(spark, sf, "events")
+    i = F.col("event_id").cast("string")
+    whole = F.concat(F.lit('{"event_id":'), i, F.lit(',"user_id":7,"event_type":"x","payload":null,"created_at":null}'))
+    return e.select(F.when(F.col("event_id") % 11 == 3, F.concat(F.lit('{"event_id":'), i))
+                    .when(F.col("event_id") % 11 == 5, F.concat(F.lit('{"event_id":"n'), i, F.lit('","user_id":7}'))).otherwise(whole).alias("value"))
+
+
+def planted(df: DataFrame, spec: TableSpec, id_col: str | None = None) -> DataFrame:
+    """Constraint-report input: every NOT NULL column outside the key broken somewhere, and keys
+    repeated. With ``id_col`` column number j is null where id % 101 = j and rows with id % 101
+    = 100 come twice; without (tables of a few rows) each row comes once per column, which is
+    null there."""
+    cols = [c for c in spec.not_null if c not in spec.key]
+    if id_col is None:
+        one = df.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))))
+        return one.withColumns({c: F.when(F.col("_j") != j, F.col(c)) for j, c in enumerate(cols)}).drop("_j")
+    part = df.withColumn("_j", F.col(id_col) % 101)
+    broken = part.withColumns({c: F.when(F.col("_j") != j, F.col(c)) for j, c in enumerate(cols)})
+    return broken.unionByName(part.filter("_j = 100")).drop("_j")
+
+
 # --------------------------------------------------------------------------- warehouse family
 
 def user_events(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 PRICE = "decimal(38,18)"
 
 
+TICKER_NUMBERS = ("price_change", "price_change_pct", "weighted_avg", "prev_close", "last_price", "last_qty", "bid_price",
+                  "bid_qty", "ask_price", "ask_qty", "open_price", "high_price", "low_price", "volume", "quote_volume")
+
+
 @dataclass(frozen=True)
 class TableSpec:
     database: str
@@ -45,16 +49,17 @@ TABLES: dict[str, TableSpec] = {s.qualified: s for s in [
     TableSpec("crypto", "symbols",
               "symbol string, status string, base_asset string, quote_asset string, "
               "base_precision int, quote_precision int, fetched_at timestamp_ntz",
-              key=("symbol",), not_null=("symbol", "status", "base_asset", "quote_asset")),
+              key=("symbol",), not_null=("symbol", "status", "base_asset", "quote_asset", "base_precision", "quote_precision", "fetched_at")),
     TableSpec("crypto", "agg_trades",
               f"symbol string, agg_trade_id bigint, price {PRICE}, quantity {PRICE}, first_trade_id bigint, "
               "last_trade_id bigint, trade_time timestamp_ntz, is_buyer_maker boolean, is_best_match boolean, "
               "inserted_at timestamp_ntz, ym int",
-              key=("symbol", "agg_trade_id"), not_null=("symbol", "agg_trade_id", "price", "quantity", "trade_time"),
+              key=("symbol", "agg_trade_id"), not_null=("symbol", "agg_trade_id", "price", "quantity", "first_trade_id", "last_trade_id", "trade_time",
+                                                          "is_buyer_maker", "is_best_match", "inserted_at"),
               partition_by=("ym",), sort_by=("symbol", "trade_time")),
     TableSpec("crypto", "orderbook_snapshots",
               "snapshot_id bigint, symbol string, last_update_id bigint, depth_level int, snapshot_time timestamp_ntz",
-              key=("snapshot_id",), not_null=("snapshot_id", "symbol", "last_update_id", "depth_level"),
+              key=("snapshot_id",), not_null=("snapshot_id", "symbol", "last_update_id", "depth_level", "snapshot_time"),
               sort_by=("symbol", "snapshot_time")),
     TableSpec("crypto", "orderbook_levels",
               f"snapshot_id bigint, side string, level_index smallint, price {PRICE}, quantity {PRICE}",
@@ -62,16 +67,14 @@ TABLES: dict[str, TableSpec] = {s.qualified: s for s in [
               not_null=("snapshot_id", "side", "level_index", "price", "quantity"),
               allowed={"side": ("bid", "ask")}),
     TableSpec("crypto", "ticker_24hr",
-              "id bigint, symbol string, " + ", ".join(f"{c} {PRICE}" for c in (
-                  "price_change", "price_change_pct", "weighted_avg", "prev_close", "last_price", "last_qty",
-                  "bid_price", "bid_qty", "ask_price", "ask_qty", "open_price", "high_price", "low_price",
-                  "volume", "quote_volume")) +
+              "id bigint, symbol string, " + ", ".join(f"{c} {PRICE}" for c in TICKER_NUMBERS) +
               ", open_time timestamp_ntz, close_time timestamp_ntz, first_trade_id bigint, last_trade_id bigint, "
               "trade_count bigint, fetched_at timestamp_ntz",
-              key=("id",), not_null=("symbol",), sort_by=("symbol", "fetched_at")),
+              key=("id",), not_null=("symbol", *TICKER_NUMBERS, "open_time", "close_time", "first_trade_id", "last_trade_id",
+                                     "trade_count", "fetched_at"), sort_by=("symbol", "fetched_at")),
     TableSpec("crypto", "ingest_state",
               "worker_type string, symbol string, last_id bigint, last_timestamp timestamp_ntz, updated_at timestamp_ntz",
-              key=("worker_type", "symbol"), not_null=("worker_type", "symbol")),
+              key=("worker_type", "symbol"), not_null=("worker_type", "symbol", "updated_at")),
     # warehouse model
     TableSpec("analytics", "user_events",
               "event_id bigint, user_id bigint, event_type string, event_timestamp timestamp_ntz, page_url string, "

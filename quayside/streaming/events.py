@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.decode import decode_events
+from ..operators.write import stream_key, write_batch_partition
 from ..schemas import EVENT_MESSAGE_FIELDS
 
 
@@ -50,6 +51,20 @@ def events_to_json_files(messages: DataFrame, out_path: str, checkpoint: str, qu
     return q, qq
 
 
+def decode_event_stream(messages: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
+    """Typed events to ``root/events`` and messages that do not decode to ``root/rejects``,
+    both replaced alike if a micro-batch runs again."""
+    stream_id = stream_key(checkpoint)
+
+    def per_batch(df: DataFrame, batch_id: int) -> None:
+        dec = decode_events(df)
+        write_batch_partition(dec.good, f"{root}/events", batch_id, stream_id)
+        write_batch_partition(dec.rejects, f"{root}/rejects", batch_id, stream_id)
+
+    return (messages.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "10 seconds"})).start())
+
+
 def run_available(query) -> None:
     """Drain everything available and stop (T03 test mode)."""
     if query is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.decode import decode_order_book, decode_ticker
+from ..operators.decode import decode_order_book, decode_ticker, numbered_responses
 from ..operators.write import stream_key, write_batch_partition, write_header_detail
 from .trades import POLL_SECONDS
 
@@ -17,17 +17,14 @@ def _start(responses: DataFrame, per_batch, checkpoint: str, trigger: dict | Non
 
 def start_book_stream(root: str, responses: DataFrame, checkpoint: str, trigger: dict | None = None):
     """Book responses -> snapshot headers + levels (+ quarantine), every 5 s by default.
-    Each micro-batch is decoded once (persisted) and written idempotently per batch id."""
+    The raw responses of a micro-batch are staged once, numbered; headers and levels decoded
+    from that copy share their ids. Written idempotently per batch id."""
     stream_id = stream_key(checkpoint)
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        df = df.persist()
-        try:
-            book = decode_order_book(df)
-            write_header_detail(book.headers, book.levels, root, batch_id, stream_id)
-            write_batch_partition(book.rejects, f"{root}/orderbook_rejects", batch_id, stream_id)
-        finally:
-            df.unpersist()
+        book = decode_order_book(numbered_responses(df, "book-responses"))
+        write_header_detail(book.headers, book.levels, root, batch_id, stream_id)
+        write_batch_partition(book.rejects, f"{root}/orderbook_rejects", batch_id, stream_id)
     return _start(responses, per_batch, checkpoint, trigger, POLL_SECONDS["depth"])
 
 
@@ -36,11 +33,7 @@ def start_ticker_stream(root: str, responses: DataFrame, checkpoint: str, trigge
     stream_id = stream_key(checkpoint)
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        df = df.persist()
-        try:
-            t = decode_ticker(df)
-            write_batch_partition(t.good, f"{root}/ticker_24hr", batch_id, stream_id)
-            write_batch_partition(t.rejects, f"{root}/ticker_rejects", batch_id, stream_id)
-        finally:
-            df.unpersist()
+        t = decode_ticker(numbered_responses(df, "ticker-responses"))
+        write_batch_partition(t.good, f"{root}/ticker_24hr", batch_id, stream_id)
+        write_batch_partition(t.rejects, f"{root}/ticker_rejects", batch_id, stream_id)
     return _start(responses, per_batch, checkpoint, trigger, POLL_SECONDS["ticker24hr"])

@@ -144,3 +144,14 @@ def test_session_facts_on_real_session_ids(spark):
     assert out.columns.count("session_id") == 1
     assert rows(out, "session_id", "page_count", "session_seconds", "entry_url", "exit_url", "is_bounce") == [
         ("s-a", 2, 90, "/a", "/b", False), ("s-b", 1, 0, "/c", "/c", True)]
+
+
+def test_events_without_a_time_keep_their_rows(spark):
+    import datetime as dt
+    at = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, 1, at, "a", 1.0, "m"), (2, 1, None, "b", 1.0, "m"), (3, 1, None, "c", 1.0, "m"), (4, None, at, "d", 1.0, "m"), (5, None, None, "e", 1.0, "m")],
+                               "event_id long, user_id long, event_timestamp timestamp_ntz, page_url string, duration_seconds double, device_type string")
+    s = agg.sessionize(df, "user_id", "event_timestamp", "event_id", 1800)
+    got = sorted((r.event_id, r.session_no) for r in s.collect())
+    assert [e for e, _ in got] == [1, 2, 3, 4, 5] and dict(got)[1] == 3 and {dict(got)[2], dict(got)[3]} == {1, 2}
+    assert agg.session_facts(s).count() == 5

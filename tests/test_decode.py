@@ -198,3 +198,47 @@ def test_body_over_the_parser_limit_is_named_and_kept(spark):
     b = decode_order_book(responses(spark, [("depth", "L", 5, body)]))
     assert b.headers.count() == 0
     assert rows(b.rejects.select("reason", F.length("raw_text"))) == [("body_over_parser_limit", len(body))]
+
+
+def test_reject_keeps_the_whole_element(spark):
+    d = decode_agg_trades(responses(spark, [("aggTrades", "X", None, json.dumps([trade(1, p="1e400", f=7, T=9), trade(2, q=None)]))]))
+    assert [json.loads(r.raw_text) for r in d.rejects.orderBy("item").collect()] == [trade(1, p="1e400", f=7, T=9), trade(2, q=None)]
+    d = decode_ticker(responses(spark, [("ticker24hr", "T", None, _ticker_body(askQty="x"))]))
+    assert json.loads(d.rejects.first().raw_text) == json.loads(_ticker_body(askQty="x"))
+    sym = {"symbol": "A", "status": "", "baseAsset": "a", "quoteAsset": "q", "baseAssetPrecision": 8, "quotePrecision": 9}
+    big = {**sym, "status": "TRADING", "symbol": "B", "quotePrecision": 3_000_000_000}
+    d = decode_symbols(responses(spark, [("exchangeInfo", None, None, json.dumps({"symbols": [sym, big]}))]))
+    assert d.good.count() == 0
+    assert {r.reason: json.loads(r.raw_text) for r in d.rejects.collect()} == {"empty_symbol_or_status": sym, "number_out_of_range": big}
+
+
+def test_a_book_deeper_than_its_index_column(spark):
+    body = json.dumps({"lastUpdateId": 1, "bids": [[str(i + 1), "1"] for i in range(33_000)], "asks": []})
+    b = decode_order_book(responses(spark, [("depth", "S", 50_000, body)]))
+    assert b.levels.count() == 32_768 and b.levels.agg(F.max("level_index")).first()[0] == 32_767
+    assert b.rejects.count() == 33_000 - 32_768 and rows(b.rejects.select("reason").distinct()) == [("number_out_of_range",)]
+
+
+def test_a_poll_recorded_twice_is_two_snapshots(spark):
+    from quayside.operators.decode import numbered_responses
+    body = json.dumps({"lastUpdateId": 1, "bids": [["1", "1"]], "asks": [["2", "1"]]})
+    twice = responses(spark, [("depth", "S", 5, body)])
+    b = decode_order_book(numbered_responses(twice.unionByName(twice)))
+    assert b.headers.count() == 2 and b.headers.select("snapshot_id").distinct().count() == 2
+    assert b.levels.join(b.headers, "snapshot_id").count() == 4
+    t = responses(spark, [("ticker24hr", "T", None, _ticker_body())])
+    assert decode_ticker(numbered_responses(t.unionByName(t))).good.select("id").distinct().count() == 2
+
+
+def test_responses_without_success_are_named(spark):
+    rows_ = [("aggTrades", f"S{s}", None, s, None, None, "[]", None) for s in (200, 201, 503, None)]
+    d = decode_agg_trades(spark.createDataFrame(rows_, RESPONSE_DDL))
+    assert rows(d.rejects, "symbol", "reason", "raw_text") == [(f"S{s}", "status_not_ok", "[]") for s in (201, 503, None)]
+
+
+def test_a_message_cut_short_is_no_event(spark):
+    texts = ['{"event_id":3', '{"event_id":3,"user_id":4}', '{"event_id":3,"user_id":4', '[1]', '', None, '{"event_id":"x"}']
+    d = decode_events(spark.createDataFrame([(t,) for t in texts], "value string"))
+    assert rows(d.good, "event_id", "user_id") == [(3, 4)]
+    assert sorted((r.reason, r.raw_text or "") for r in d.rejects.collect()) == sorted(
+        [("malformed_json", t or "") for t in (texts[0], texts[2], "[1]", "", None)] + [("bad_number", texts[6])])
