@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -68,6 +69,33 @@ def map_texts(docs: DataFrame, fn: Callable[[list[str]], dict[str, list]], schem
     return src.mapInArrow(run, out_schema)
 
 
+class Spans:
+    """Spans taken in a text. A question about one is a bisection: among the spans that begin
+    before its end, the one that reaches farthest tells."""
+
+    def __init__(self, spans):
+        self._lay(sorted(spans))
+
+    def _lay(self, spans: list[tuple[int, int]]) -> None:
+        self.spans, self.starts, self.reach, far = spans, [s for s, _ in spans], [], 0
+        for _, e in spans:
+            far = max(far, e)
+            self.reach.append(far)
+
+    def take_free(self, spans) -> list[tuple[int, int]]:
+        """Of ``spans``, in order of their starts, those that meet neither a taken span nor one
+        accepted before; they are taken now."""
+        out, last = [], 0
+        for s, e in spans:
+            i = bisect_left(self.starts, e)
+            if s >= last and not (i and self.reach[i - 1] > s):
+                out.append((s, e))
+                last = e
+        if out:
+            self._lay(sorted([*self.spans, *out]))
+        return out
+
+
 def word_count(text):
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text column without nulls."""
     return F.size(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")).cast("long")

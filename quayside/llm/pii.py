@@ -14,11 +14,12 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm.common import documents, map_texts
+from quayside.llm.common import Spans, documents, map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -103,26 +104,38 @@ def find_base(t: str) -> dict[str, list[tuple[int, int]]]:
 # -- transducers -----------------------------------------------------------------------
 
 class Tape:
-    """A rewritten text with, per character, the source span it stands for."""
+    """A rewritten text that knows which source span each of its characters stands for. Kept
+    are the edits and the tape they were made on, so it grows with the edits only."""
 
-    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None):
-        self.text = text
-        self.start = list(range(len(text))) if start is None else start
-        self.end = list(range(1, len(text) + 1)) if end is None else end
+    def __init__(self, text: str, under: Tape | None = None, edits: list[tuple[int, int, str]] = ()):
+        self.text, self.under, self.edits, self.starts, shift = text, under, edits, [], 0
+        for s, e, new in edits:
+            self.starts.append(s + shift)
+            shift += len(new) - (e - s)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Replace the (sorted, disjoint) spans; each new character stands for the whole
         replaced span."""
-        text, start, end, at = [], [], [], 0
+        text, at = [], 0
         for s, e, new in edits:
             text += [self.text[at:s], new]
-            start += self.start[at:s] + [self.start[s]] * len(new)
-            end += self.end[at:s] + [self.end[e - 1]] * len(new)
             at = e
-        return Tape("".join([*text, self.text[at:]]), start + self.start[at:], end + self.end[at:])
+        return Tape("".join([*text, self.text[at:]]), self, edits)
+
+    def _below(self, i: int) -> tuple[int, int]:
+        """The span of the tape below that character i stands for."""
+        k = bisect_right(self.starts, i) - 1
+        if k < 0:
+            return i, i + 1
+        s, e, new = self.edits[k]
+        past = i - self.starts[k] - len(new)
+        return (s, e) if past < 0 else (e + past, e + past + 1)
 
     def source(self, s: int, e: int) -> tuple[int, int]:
-        return self.start[s], self.end[e - 1]
+        if self.under is None:
+            return s, e
+        a, b = self._below(s)[0], self._below(e - 1)[1]
+        return self.under.source(a, a + 1)[0], self.under.source(b - 1, b)[1]
 
 
 def _plain(c: str) -> str | None:
@@ -224,36 +237,20 @@ def written_signs(tape: Tape, low: str) -> Tape:
 
 def find_hidden(t: str, base: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) of disguised identifiers that touch no base span."""
-    tape = look_alikes(Tape(t)) if _disguised(t) else _Lazy(t)
+    tape = look_alikes(Tape(t)) if _disguised(t) else Tape(t)
     low = tape.text.lower()
     tape = spelled_digits(tape, low)
     tape = written_signs(tape, low)
     if tape.text == t:
         return []
-    taken, out = list(base), []
-    for kind, spans in find_base(tape.text).items():
-        for s, e in spans:
-            a, b = tape.source(s, e)
-            if all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
-                out.append((kind, a, b))
-    return out
+    taken = Spans(base)
+    return [(kind, *span) for kind, spans in find_base(tape.text).items() for span in taken.take_free(tape.source(s, e) for s, e in spans)]
 
 
 def _disguised(t: str) -> bool:
     return not t.isascii() and any(_plain_of(c) is not None for c in set(t) if not c.isascii())
 
 
-class _Lazy:
-    """A tape whose offsets are only laid out at the first rewrite."""
-
-    def __init__(self, text: str):
-        self.text = text
-
-    def rewrite(self, edits):
-        return Tape(self.text).rewrite(edits)
-
-
 def find_all(t: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
     base = find_base(t)
     spans = [s for k in KINDS for s in base[k]]

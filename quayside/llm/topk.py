@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quayside.session import scratch_dir
 
 _EXACT = float(1 << 52)
+_MOST = (1 << 63) - 1
 
 
 def usable(vec: str):
@@ -35,7 +36,7 @@ def usable(vec: str):
 def quantized(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     return df.where(usable(vec_col)).select(
         F.col(id_col).cast("long").alias("id"),
-        F.transform(F.col(vec_col), lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("v"))
+        F.transform(F.col(vec_col), lambda v: F.greatest(F.lit(-_MOST), F.floor(F.lit(float(scale)) * v.cast("double")))).alias("v"))
 
 
 class QueryBlock:
@@ -112,7 +113,7 @@ def search_chunk(block: QueryBlock, best: TopK, v: np.ndarray, ids: np.ndarray,
             live = reach + 1 + 1e-9 * np.abs(reach) >= floor[q]
             if not live.all():
                 q, c, s = q[live], c[live], s[live]
-        best.add(q + at, s.astype(np.int64), ids[c])
+        best.add(q + at, (np.clip(s, -_MOST, _MOST) if kind is object and len(s) else s).astype(np.int64), ids[c])
 
 
 def _search(batches: Iterator[pa.RecordBatch], block: QueryBlock, k: int, chunk: int) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,8 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     of its own, and a repeated query row has its own ranks. Vectors that are null or hold
     null or non-finite components take no part; a null id is no query and no candidate. Of
     vectors of different lengths the missing components count as zero. Fewer candidates
-    give fewer rows, none give none. Scores are exact while they fit a long.
+    give fewer rows, none give none. A component beyond a long stands at the end of its range,
+    and so does a score; up to there scores are exact.
 
     Queries are gathered ``block_queries`` at a time, which bounds what is broadcast and what
     the driver holds; there is one pass over the vectors per block.

@@ -658,3 +658,51 @@ def test_mixing_shuffles_whole_rows_once(spark):
     wide = [x for x in plan.split("\n") if "Exchange" in x and "Broadcast" not in x and "Reused" not in x]
     # one exchange deals the rows; the other one sums the rows of the last blocks
     assert len(wide) == 2 and sum("REPARTITION_BY_NUM" in x for x in wide) == 1, wide
+
+
+def test_texts_dense_in_findings_take_linear_time():
+    import time
+    hidden = " ".join(f"person{i} at mail{i} dot com" for i in range(60_000))
+    keys = " ".join(f"key{i}=Abcdefgh{i:012d}zz" for i in range(60_000))
+    began = time.process_time()
+    assert len(pii.find_all(hidden)[1]) == 60_000
+    assert len(secrets.find_candidates(keys, secrets.find_base(keys))) == 60_000
+    assert time.process_time() - began < 30
+
+
+def test_spans_and_tape_against_plain_lists():
+    from quayside.llm.common import Spans
+    rnd = random.Random(6)
+    for _ in range(300):
+        taken = [(s, s + rnd.randint(1, 6)) for s in (rnd.randint(0, 60) for _ in range(rnd.randint(0, 8)))]
+        new = sorted((s, s + rnd.randint(1, 6)) for s in (rnd.randint(0, 60) for _ in range(10)))
+        want, all_ = [], list(taken)
+        for s, e in new:
+            if all(e <= a or b <= s for a, b in all_):
+                all_.append((s, e))
+                want.append((s, e))
+        assert Spans(taken).take_free(new) == want
+        text = "".join(rnd.choice("abcd") for _ in range(30))
+        tape, start, end = pii.Tape(text), list(range(30)), list(range(1, 31))
+        for _ in range(3):
+            cuts = sorted(rnd.sample(range(len(tape.text) + 1), min(6, (len(tape.text) + 1) // 2 * 2)))
+            edits = [(s, e, "x" * rnd.randint(0, 3)) for s, e in zip(cuts[::2], cuts[1::2])]
+            a, b, at = [], [], 0
+            for s, e, x in edits:
+                a += start[at:s] + [start[s]] * len(x)
+                b += end[at:s] + [end[e - 1]] * len(x)
+                at = e
+            start, end, tape = a + start[at:], b + end[at:], tape.rewrite(edits)
+            n = len(tape.text)
+            assert n == len(start) and all(tape.source(i, j) == (start[i], end[j - 1]) for i in range(n) for j in range(i + 1, n + 1))
+
+
+def test_topk_of_huge_finite_components(spark):
+    rows = [(0, [1e30, 1.0]), (1, [2e30, 0.0]), (2, [-1e300, 0.0]), (3, [0.5, 0.5]), (4, [3.0, 2.0])]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.exact_topk(
+        *[spark.createDataFrame(rows, "vec_id long, embedding array<double>")] * 2, k=4).collect()}
+    top = (1 << 63) - 1
+    x = {i: [max(-top, min(top, int(np.floor(256 * c)))) for c in v] for i, v in rows}
+    for q in x:
+        want = sorted(((-max(-top, min(top, sum(a * b for a, b in zip(x[q], x[c])))), c) for c in x if c != q))
+        assert [got[q, r] for r in range(1, 5)] == [(c, -s) for s, c in want]
