@@ -100,7 +100,8 @@ def sessionize(df: DataFrame, user_col: str, ts_col: str, id_col: str, gap_secon
     the offsets are joined back. No task ever holds all events of one user.
 
     An event without a time cannot be placed: each is a session of its own, numbered before
-    the user's others. Events without a user form the sessions of a null user."""
+    the user's others. Events without a user form the sessions of a null user. Where only facts
+    per session are wanted, :func:`gap_session_facts` needs no row-level window at all."""
     gap_us = F.lit(gap_seconds * 1_000_000)
     ts = F.col(ts_col)
     rows = df.withColumn("_b", F.floor(ts_to_millis(ts) / F.lit(bucket_seconds * 1000)))
@@ -127,6 +128,51 @@ def sessionize(df: DataFrame, user_col: str, ts_col: str, id_col: str, gap_secon
               .drop("_b", "_new", "_local", "_offset", "_user", "_bucket")
 
 
+def gap_session_facts(events: DataFrame, gap_seconds: int, user_col: str = "user_id", ts_col: str = "event_timestamp",
+                      id_col: str = "event_id", url_col: str = "page_url", duration_col: str = "duration_seconds",
+                      device_col: str = "device_type", cells_per_block: int = 4096) -> DataFrame:
+    """A09 in one pass over the events: gap sessions and their facts.
+
+    Time is cut into cells no longer than the gap, so no session ends inside a cell. Events are
+    reduced to one row of facts per (user, cell) before the shuffle: a user with a third of
+    all events in one hour leaves every task as a few rows. A cell opens a session if the time
+    since the cell before exceeds the gap; cells are numbered inside blocks of ``cells_per_block``
+    and block summaries carry last time and count over the borders, so a user with very many
+    cells is spread, too. Facts of a session's cells then merge.
+
+    Events without a time form one session of their user, numbered first; events without a
+    user the sessions of a null user. Of events that tie on (time, id) the smallest entry."""
+    gap_us = max(1, gap_seconds * 1_000_000)
+    ts, user = F.col(ts_col), F.col(user_col)
+    first, last = F.struct(ts_col, id_col, F.col(url_col).alias("url"), F.col(device_col).alias("device")), F.struct(ts_col, id_col, F.col(url_col).alias("url"))
+    cells = events.groupBy(user.alias("u"), F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts) / F.lit(gap_us)).alias("cell")).agg(
+        F.min(ts_col).alias("t0"), F.max(ts_col).alias("t1"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col(duration_col).cast("decimal(18,2)")).alias("spent"), F.min(first).alias("entry"), F.max(last).alias("exit"))
+    cells = stage(cells.withColumn("block", F.floor(F.col("cell") / F.lit(cells_per_block))), "session-cells")
+
+    def opens(previous: Column, t0: Column) -> Column:
+        return F.when(previous.isNull() | (F.timestamp_diff("MICROSECOND", previous, t0) > F.lit(gap_seconds * 1_000_000)), 1).otherwise(0)
+
+    inside = Window.partitionBy("u", "block").orderBy("cell")
+    before = F.lag("t1").over(inside)
+    numbered = cells.withColumn("opens", F.when(F.row_number().over(inside) == 1, 0).otherwise(opens(before, F.col("t0"))))
+    numbered = numbered.withColumn("local", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = numbered.groupBy("u", "block").agg(F.min("t0").alias("b0"), F.max("t1").alias("b1"), F.sum("opens").alias("within"))
+    along = Window.partitionBy("u").orderBy("block")
+    blocks = blocks.withColumn("first_opens", opens(F.lag("b1").over(along), F.col("b0")))
+    earlier = F.sum(F.col("within") + F.col("first_opens")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(F.col("u").alias("b_u"), F.col("block").alias("b_block"), (F.coalesce(earlier, F.lit(0)) + F.col("first_opens")).alias("base"))
+    same = F.col("u").eqNullSafe(F.col("b_u")) & F.col("block").eqNullSafe(F.col("b_block"))
+    sessions = numbered.join(blocks, same).groupBy("u", (F.col("base") + F.col("local")).cast("bigint").alias("session_no")).agg(
+        F.min("t0").alias("started_at"), F.max("t1").alias("ended_at"), F.sum("n").alias("page_count"), F.sum("spent").alias("spent"),
+        F.min("entry").alias("entry"), F.max("exit").alias("exit"))
+    return sessions.select(
+        F.concat_ws("-", F.col("u").cast("string"), F.col("session_no").cast("string")).alias("session_id"), F.col("u").alias(user_col), "session_no",
+        "started_at", "ended_at", "page_count", F.timestamp_diff("SECOND", F.col("started_at"), F.col("ended_at")).alias("session_seconds"),
+        F.col("spent").cast("double").alias("total_duration_seconds"), (F.col("page_count") == 1).alias("is_bounce"),
+        F.col("entry.url").alias("entry_url"), F.col("exit.url").alias("exit_url"), F.col("entry.device").alias("device_type"))
+
+
 def session_facts(events: DataFrame, user_col: str = "user_id", session_col: str = "session_no",
                   ts_col: str = "event_timestamp", id_col: str = "event_id", url_col: str = "page_url",
                   duration_col: str = "duration_seconds", device_col: str = "device_type") -> DataFrame:

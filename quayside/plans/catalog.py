@@ -574,9 +574,8 @@ def daily_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def session_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """8-hour-gap sessions per user, then one fact row per session."""
-    ue = agg.sessionize(si.user_events(spark, sf), "user_id", "event_timestamp", "event_id", SESSION_GAP_S)
-    return agg.session_facts(ue)
+    """8-hour-gap sessions per user and one fact row per session, in one pass over the events."""
+    return agg.gap_session_facts(si.user_events(spark, sf), SESSION_GAP_S)
 
 
 def stock_snapshot(spark: SparkSession, sf: str) -> DataFrame:

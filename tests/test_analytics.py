@@ -155,3 +155,41 @@ def test_events_without_a_time_keep_their_rows(spark):
     got = sorted((r.event_id, r.session_no) for r in s.collect())
     assert [e for e, _ in got] == [1, 2, 3, 4, 5] and dict(got)[1] == 3 and {dict(got)[2], dict(got)[3]} == {1, 2}
     assert agg.session_facts(s).count() == 5
+
+
+def test_gap_session_facts_equal_the_row_level_sessions(spark):
+    """Also with a user that holds a third of all events, in one hour, with gaps from a second
+    to a month and blocks of a few cells."""
+    ue = si.user_events(spark, SF_MID)
+    hot = ue.withColumns({"user_id": F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")),
+                          "event_timestamp": F.when(F.col("event_id") % 3 == 0, F.timestamp_micros(F.lit(1704067200_000_000) + F.col("event_id") * 100_000).cast("timestamp_ntz"))
+                          .otherwise(F.col("event_timestamp"))})
+    cols = ["user_id", "session_no", "started_at", "ended_at", "page_count", "total_duration_seconds", "entry_url", "exit_url", "device_type"]
+    for df in (ue, hot):
+        for gap, block in ((8 * 3600, 4096), (1, 3), (30 * 86400, 1), (3600, 2)):
+            want = rows(agg.session_facts(agg.sessionize(df, "user_id", "event_timestamp", "event_id", gap)), *cols)
+            assert rows(agg.gap_session_facts(df, gap, cells_per_block=block), *cols) == want
+    nothing = agg.gap_session_facts(ue.limit(0), 60)
+    assert nothing.count() == 0
+
+
+def test_gap_session_facts_reduce_a_hot_hour_inside_the_tasks(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    hot = spark.range(0, 200_000, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("user_id"), F.col("id").alias("event_id"),
+        (F.lit(t0).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("id") % 3600).cast("decimal(18,6)"))).alias("event_timestamp"),
+        F.lit("u").alias("page_url"), F.lit(1.0).alias("duration_seconds"), F.lit("d").alias("device_type"))
+    out = agg.gap_session_facts(hot, 3600)
+    r = out.filter("user_id = 0").collect()
+    assert len(r) == 1 and r[0].page_count == 66_667
+    # windows see staged cells (u, cell, t0, ...), never events
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "event_timestamp#" not in plan and "page_url#" not in plan
+
+
+def test_gap_session_facts_of_events_without_a_time_or_user(spark):
+    at = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, 1, at, "a", 1.0, "m"), (2, 1, None, "b", 1.0, "m"), (3, 1, None, "c", None, "m"), (4, None, at, None, 1.0, "m"), (5, None, None, "e", 1.0, None)],
+                               "event_id long, user_id long, event_timestamp timestamp_ntz, page_url string, duration_seconds double, device_type string")
+    got = {(r.user_id, r.session_no): (r.page_count, r.started_at, r.entry_url, r.exit_url) for r in agg.gap_session_facts(df, 1800).collect()}
+    assert got == {(1, 1): (2, None, "b", "c"), (1, 2): (1, at, "a", "a"), (None, 1): (1, None, "e", "e"), (None, 2): (1, at, None, None)}
