@@ -8,6 +8,7 @@ the read-back result.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from ..operators import paging, quality, telemetry
 from ..operators.decode import (cut_levels, decode_agg_trades, decode_events, decode_order_book, decode_symbols, decode_ticker,
                                 numbered_responses)
 from ..operators.encode import event_messages
+from ..operators.skip_index import build_skip_index, read_matching
 from ..operators.ingest import TradeStore, ingest_trade_pages
 from ..operators.write import (VersionedTable, add_month, bootstrap, high_water_marks, insert_ignore,
                                month_filter, observed_append, replace_table, upsert, write_bucketed, write_layout,
@@ -107,27 +109,49 @@ def time_range_scan(spark: SparkSession, sf: str) -> DataFrame:
                .select("event_id", "user_id", "event_type", "event_timestamp", "page_url")
 
 
+INDEXES = {   # the model's skip indexes: column, kind, size
+    "user_events": {"event_type": ("set", 100), "country_code": ("bloom", 1 << 15)},
+    "daily_aggregates": {"dimension_key": ("bloom", 1 << 20)},
+    "session_facts": {"total_duration_seconds": ("minmax",)},
+    "products": {"sku": ("bloom", 1 << 20), "price": ("minmax",)},
+    "stock_movements": {"warehouse_id": ("set", 50)},
+    "warehouse_snapshots": {"quantity_available": ("minmax",)},
+}
+
+
 def index_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    """Index-shaped predicates over products and stock movements written with
-    bloom filters and sorted layouts, as counts per predicate."""
-    pspec, mspec = TABLES["inventory.products"], TABLES["inventory.stock_movements"]
-    ppath, mpath = scratch_dir(spark, "products"), scratch_dir(spark, "movements")
-    write_layout(si.products(spark, sf), ppath, partition_by=pspec.partition_by, sort_by=pspec.sort_by,
-                 bloom=pspec.bloom)
-    write_layout(add_month(si.stock_movements(spark, sf), "movement_timestamp"), mpath,
-                 partition_by=mspec.partition_by, sort_by=mspec.sort_by)
-    p, m = spark.read.parquet(ppath), spark.read.parquet(mpath)
-    parts = [
-        ("sku_eq", p.filter(F.col("sku") == "SKU-42")),
-        ("category_eq_price_range", p.filter((F.col("category") == "Brand#4")
-                                             & F.col("price").between(F.lit(950).cast("decimal(18,2)"),
-                                                                      F.lit(1500).cast("decimal(18,2)")))),
-        ("active_only", p.filter(F.col("is_active") == 1)),
-        ("warehouse_in", m.filter(F.col("warehouse_id").isin(1, 2, 3))),
-        ("outbound_qty_le", m.filter((F.col("movement_type") == "outbound") & (F.col("quantity") <= -40))),
+    """Every index-shaped predicate over tables written in their layouts with a skip
+    index beside them, as counts per predicate; files are chosen on the index first."""
+    events = si.user_events(spark, sf)
+    data = {
+        "user_events": add_month(events, "event_timestamp"),
+        "daily_aggregates": add_month(daily_rollup(spark, sf), "dt"),
+        "session_facts": add_month(agg.gap_session_facts(events, SESSION_GAP_S), "started_at"),
+        "products": si.products(spark, sf),
+        "stock_movements": add_month(si.stock_movements(spark, sf), "movement_timestamp"),
+        "warehouse_snapshots": add_month(agg.stock_snapshot(si.stock_movements(spark, sf)), "snapshot_date"),
+    }
+    roots = {}
+    for name, df in data.items():
+        spec = next(t for t in TABLES.values() if t.name == name)
+        roots[name] = scratch_dir(spark, name)
+        write_layout(df, roots[name], partition_by=spec.partition_by, sort_by=spec.sort_by, bloom=spec.bloom)
+        build_skip_index(spark, roots[name], f"{roots[name]}_index", INDEXES[name])
+    price = [Decimal(950), Decimal(1500)]
+    asked = [
+        ("sku_eq", "products", [("eq", "sku", "SKU-42")]),
+        ("category_eq_price_range", "products", [("eq", "category", "Brand#4"), ("between", "price", *price)]),
+        ("active_only", "products", [("eq", "is_active", 1)]),
+        ("warehouse_in", "stock_movements", [("in", "warehouse_id", [1, 2, 3])]),
+        ("outbound_qty_le", "stock_movements", [("eq", "movement_type", "outbound"), ("le", "quantity", -40)]),
+        ("event_type_in", "user_events", [("in", "event_type", ["click", "purchase"])]),
+        ("country_eq", "user_events", [("eq", "country_code", "DE")]),
+        ("dimension_eq", "daily_aggregates", [("eq", "dimension_key", "click")]),
+        ("duration_range", "session_facts", [("between", "total_duration_seconds", 100.0, 500.0)]),
+        ("available_le", "warehouse_snapshots", [("le", "quantity_available", 0)]),
     ]
-    return agg.table_counts({k: v for k, v in parts}).withColumnRenamed("table_name", "predicate") \
-              .withColumnRenamed("row_count", "matches")
+    parts = {k: read_matching(spark, roots[t], f"{roots[t]}_index", INDEXES[t], p) for k, t, p in asked}
+    return agg.table_counts(parts).withColumnRenamed("table_name", "predicate").withColumnRenamed("row_count", "matches")
 
 
 def partitioned_write_read(spark: SparkSession, sf: str) -> DataFrame:

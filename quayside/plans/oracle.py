@@ -363,6 +363,13 @@ SELECT snapshot_date, warehouse_id, product_id, CAST(sum(net) OVER w AS BIGINT)
 FROM d WINDOW w AS (PARTITION BY warehouse_id, product_id ORDER BY snapshot_date
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
+SQL["index_predicates"] += f"""
+UNION ALL SELECT 'event_type_in', count(*) FROM events WHERE event_type IN ('click', 'purchase')
+UNION ALL SELECT 'country_eq', count(*) FROM events WHERE user_id % 3 = 1
+UNION ALL SELECT 'dimension_eq', count(DISTINCT CAST(ts AS DATE)) FROM events WHERE event_type = 'click'
+UNION ALL SELECT 'duration_range', count(*) FROM ({SQL["session_facts"]}) WHERE total_duration_seconds BETWEEN 100 AND 500
+UNION ALL SELECT 'available_le', count(*) FROM ({SQL["stock_snapshot"]}) WHERE quantity_available <= 0"""
+
 SQL["factorial_udf"] = """SELECT p_partkey, CAST(p_size - 25 AS BIGINT) AS n,
        CASE WHEN p_size - 25 BETWEEN 0 AND 20 THEN CAST(factorial(p_size - 25) AS BIGINT) END AS factorial FROM part"""
 
