@@ -21,8 +21,9 @@ from ..operators import paging, quality, telemetry
 from ..operators.decode import (cut_levels, decode_agg_trades, decode_events, decode_order_book, decode_symbols, decode_ticker,
                                 numbered_responses)
 from ..operators.encode import event_messages
-from ..operators.skip_index import build_skip_index, read_matching
 from ..operators.ingest import TradeStore, ingest_trade_pages
+from ..operators.rollup import DailyRollup
+from ..operators.skip_index import build_skip_index, read_matching
 from ..operators.write import (VersionedTable, add_month, bootstrap, high_water_marks, insert_ignore,
                                month_filter, observed_append, replace_table, upsert, write_bucketed, write_layout,
                                write_shards,
@@ -597,6 +598,20 @@ def daily_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return agg.daily_rollup(table(spark, sf, "events"), "ts", "value", "event_type", "user_id", "value")
 
 
+def stored_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """A08 kept in its table: three batches of events, one of which comes twice, added to the
+    rollup's state, merged, written with the model's types and read back."""
+    root = scratch_dir(spark, "rollup")
+    roll = DailyRollup(spark, root, {"value": "value"})
+    events = table(spark, sf, "events")
+    for batch in (0, 1, 1, 2):
+        roll.update(events.filter(F.col("event_id") % 3 == batch), batch)
+    roll.compact()
+    roll.store(f"{root}/daily_aggregates")
+    spec = TABLES["analytics.daily_aggregates"]
+    return spark.read.schema(spec.ddl).parquet(f"{root}/daily_aggregates")
+
+
 def session_facts(spark: SparkSession, sf: str) -> DataFrame:
     """8-hour-gap sessions per user and one fact row per session, in one pass over the events."""
     return agg.gap_session_facts(si.user_events(spark, sf), SESSION_GAP_S)

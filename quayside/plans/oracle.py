@@ -336,6 +336,8 @@ SQL["daily_rollup"] = """SELECT CAST(ts AS DATE) AS dt, 'value' AS metric_name,
        count(DISTINCT user_id) AS unique_users
 FROM events GROUP BY 1, 2, 3"""
 
+SQL["stored_rollup"] = f"""SELECT *, CAST(year(dt) * 100 + month(dt) AS INTEGER) AS ym FROM ({SQL["daily_rollup"]})"""
+
 SQL["session_facts"] = f"""WITH g AS (
   SELECT *, CASE WHEN lag(event_timestamp) OVER w IS NULL
                    OR event_timestamp - lag(event_timestamp) OVER w > INTERVAL 8 HOUR THEN 1 ELSE 0 END AS new_s

@@ -77,7 +77,7 @@ def test_put_if_absent_has_one_winner(spark):
 
     def go(k):
         try:
-            log.commit(seen, add={"t": {f"s{k}": f"{log.root}/t/part=p{k}"}})
+            log.commit(seen, add={"t": {f"s{k}": f"{log.root}/t/commit_slot=p{k}"}})
             won.append(k)
         except CommitConflict:
             pass
