@@ -239,6 +239,20 @@ def stream_books(spark: SparkSession, sf: str) -> DataFrame:
     return lv.select("symbol", "last_update_id", "side", "level_index", "price", "quantity")
 
 
+def market_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """K12 for books and tickers: rows written per symbol, as each stream counts them."""
+    roots = {}
+    for name, responses, start in (("book", si.order_books(spark, sf, BOOK_DEPTH), start_book_stream),
+                                   ("ticker", si.ticker_responses(agg.ticker_from_trades(si.agg_trades(spark, sf))), start_ticker_stream)):
+        src, ck, roots[name] = (scratch_dir(spark, f"{name}-{n}") for n in ("counts-src", "counts-ck", "counts-store"))
+        responses.write.json(src)
+        run_available(start(roots[name], response_stream(spark, src, max_files_per_trigger=3), ck, trigger={"availableNow": True}))
+    book = spark.read.parquet(f"{roots['book']}/orderbook_metrics").groupBy("symbol").agg(F.sum("snapshots").alias("snapshots"), F.sum("levels").alias("levels"))
+    tick = spark.read.parquet(f"{roots['ticker']}/ticker_metrics").groupBy("symbol").agg(F.sum("tickers").alias("tickers"))
+    zero = F.lit(0).cast("bigint")
+    return book.withColumn("tickers", zero).unionByName(tick.select("symbol", zero.alias("snapshots"), zero.alias("levels"), "tickers"))
+
+
 # --------------------------------------------------------------------------- quality
 
 def quality_report(spark: SparkSession, sf: str) -> DataFrame:

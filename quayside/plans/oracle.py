@@ -175,6 +175,12 @@ SQL["orderbook_levels"] = _levels_out(3)
 SQL["book_with_header"] = f"""SELECT symbol, last_update_id, 20 AS depth_level, side, level_index, price, quantity
 FROM ({_levels_out()})"""
 
+SQL["market_metrics"] = f"""SELECT 'SYM' || CAST(k AS VARCHAR) AS symbol, CAST(sum(s) AS BIGINT) AS snapshots, CAST(sum(n) AS BIGINT) AS levels,
+       CAST(0 AS BIGINT) AS tickers
+FROM (SELECT l_orderkey % 3 AS k, count(DISTINCT l_orderkey) AS s, 0 AS n FROM lineitem GROUP BY 1
+      UNION ALL SELECT l_orderkey % 3, 0, count(*) FROM ({_levels()}) GROUP BY 1) GROUP BY k
+UNION ALL SELECT symbol, 0, 0, count(*) FROM ({DECODED_TICKER}) GROUP BY symbol"""
+
 SQL["quality_report"] = f"""WITH checks AS (
   SELECT 1 AS o, 'symbols' AS check_name,
          (SELECT count(*) FROM ({SYMBOLS_BASE}) WHERE status <> '') AS actual, 3 AS minimum
