@@ -24,13 +24,14 @@ from ..operators.encode import event_messages
 from ..operators.ingest import TradeStore, ingest_trade_pages
 from ..operators.rollup import DailyRollup
 from ..operators.skip_index import build_skip_index, read_matching
+from ..operators.snapshots import StockSnapshots
 from ..operators.write import (VersionedTable, add_month, bootstrap, high_water_marks, insert_ignore,
                                month_filter, observed_append, replace_table, upsert, write_bucketed, write_layout,
                                write_shards,
                                write_table)
 from ..schemas import EVENT_MESSAGE_DDL, EVENT_MESSAGE_FIELDS, PRICE, TABLES
 from ..session import scratch_dir
-from ..sources.tables import DRIVER_TABLES, read_json, read_shards, table
+from ..sources.tables import DRIVER_TABLES, ShardedTable, read_json, read_shards, table
 from ..streaming.events import decode_event_stream, events_to_json_files, file_messages, run_available
 from ..streaming.market import start_book_stream, start_ticker_stream
 from ..streaming.trades import response_stream, start_trade_stream
@@ -120,11 +121,10 @@ INDEXES = {   # the model's skip indexes: column, kind, size
 }
 
 
-def index_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    """Every index-shaped predicate over tables written in their layouts with a skip
-    index beside them, as counts per predicate; files are chosen on the index first."""
+def _model_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The six tables of the warehouse model."""
     events = si.user_events(spark, sf)
-    data = {
+    return {
         "user_events": add_month(events, "event_timestamp"),
         "daily_aggregates": add_month(daily_rollup(spark, sf), "dt"),
         "session_facts": add_month(agg.gap_session_facts(events, SESSION_GAP_S), "started_at"),
@@ -132,9 +132,19 @@ def index_predicates(spark: SparkSession, sf: str) -> DataFrame:
         "stock_movements": add_month(si.stock_movements(spark, sf), "movement_timestamp"),
         "warehouse_snapshots": add_month(agg.stock_snapshot(si.stock_movements(spark, sf)), "snapshot_date"),
     }
+
+
+def _spec(name: str):
+    return next(t for t in TABLES.values() if t.name == name)
+
+
+def index_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every index-shaped predicate over tables written in their layouts with a skip
+    index beside them, as counts per predicate; files are chosen on the index first."""
+    data = _model_tables(spark, sf)
     roots = {}
     for name, df in data.items():
-        spec = next(t for t in TABLES.values() if t.name == name)
+        spec = _spec(name)
         roots[name] = scratch_dir(spark, name)
         write_layout(df, roots[name], partition_by=spec.partition_by, sort_by=spec.sort_by, bloom=spec.bloom)
         build_skip_index(spark, roots[name], f"{roots[name]}_index", INDEXES[name])
@@ -174,6 +184,33 @@ def sharded_read_count(spark: SparkSession, sf: str) -> DataFrame:
     return facade.agg(F.count(F.lit(1)).alias("row_count"), F.sum("event_id").cast("bigint").alias("sum_event_id"))
 
 
+SHARD_KEYS = {   # key of each sharded table, and the key that is looked up
+    "user_events": (("user_id",), (7,)),
+    "daily_aggregates": (("dimension_key",), ("click",)),
+    "session_facts": (("user_id",), (7,)),
+    "products": (("product_id",), (42,)),
+    "stock_movements": (("product_id",), (42,)),
+    "warehouse_snapshots": (("warehouse_id", "product_id"), (3, 42)),
+}
+
+
+def sharded_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """K17 + S07 for all six tables of the model: dealt to 2 shards by key; rows of the facade,
+    rows of one key (one shard is read), and rows of the keys of small accounts or products."""
+    counts = []
+    some = {"user_id": table(spark, sf, "events").where("user_id < 5").select("user_id"),
+            "product_id": table(spark, sf, "part").where("p_size = 1").select(F.col("p_partkey").alias("product_id"))}
+    for name, df in _model_tables(spark, sf).items():
+        key, value = SHARD_KEYS[name]
+        t = ShardedTable(spark, scratch_dir(spark, f"sharded-{name}"), _spec(name), key, 2)
+        t.write(df)
+        asked = {"rows": t.read(), "rows_of_key": t.lookup(*value)}
+        if key[0] in some:
+            asked["rows_of_keys"] = t.join_keys(some[key[0]])
+        counts += [p.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), F.lit(k).alias("read"), "n") for k, p in asked.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # --------------------------------------------------------------------------- book
 
 def _book(spark: SparkSession, sf: str, depth: int):
@@ -636,6 +673,22 @@ def stock_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return agg.stock_snapshot(si.stock_movements(spark, sf))
 
 
+def stored_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """W01 kept in its table: movements of four spans of time and a batch of late ones, one batch
+    comes twice; the snapshots are carried on, corrected, written with the model's types and read back."""
+    root = scratch_dir(spark, "snapshots")
+    snaps = StockSnapshots(spark, root)
+    moves = si.stock_movements(spark, sf)
+    late = F.coalesce(F.col("product_id") % 11 == 3, F.lit(False)) & F.coalesce(F.col("quantity") % 5 == 0, F.lit(False))
+    year = F.coalesce(F.year("movement_timestamp"), F.lit(0))
+    batch = F.when(late, 4).when(year < 1994, 0).when(year < 1996, 1).when(year < 1998, 2).otherwise(3)
+    for n in (0, 1, 2, 2, 3, 4):
+        snaps.update(moves.where(batch == n), n)
+    snaps.compact()
+    snaps.store(f"{root}/warehouse_snapshots")
+    return spark.read.schema(TABLES["inventory.warehouse_snapshots"].ddl).parquet(f"{root}/warehouse_snapshots")
+
+
 # --------------------------------------------------------------------------- functions and text
 
 def factorial_udf(spark: SparkSession, sf: str) -> DataFrame:

@@ -371,6 +371,24 @@ SELECT snapshot_date, warehouse_id, product_id, CAST(sum(net) OVER w AS BIGINT)
 FROM d WINDOW w AS (PARTITION BY warehouse_id, product_id ORDER BY snapshot_date
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
+SQL["stored_snapshots"] = f"""SELECT snapshot_date, warehouse_id, product_id, CAST(quantity_on_hand AS INTEGER) AS quantity_on_hand,
+       CAST(quantity_reserved AS INTEGER) AS quantity_reserved, CAST(quantity_available AS INTEGER) AS quantity_available,
+       last_restock_date, reorder_point, CAST(year(snapshot_date) * 100 + month(snapshot_date) AS INTEGER) AS ym
+FROM ({SQL["stock_snapshot"]})"""
+
+FEW_USERS, FEW_PRODUCTS = "SELECT user_id FROM events WHERE user_id < 5", "SELECT p_partkey FROM part WHERE p_size = 1"
+SQL["sharded_tables"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '{read}' AS read, count(*) AS n FROM ({rows}){where}"
+    for name, rows, one, few in (
+        ("user_events", USER_EVENTS, "user_id = 7", f"user_id IN ({FEW_USERS})"),
+        ("daily_aggregates", SQL["daily_rollup"], "dimension_key = 'click'", None),
+        ("session_facts", SQL["session_facts"], "user_id = 7", f"user_id IN ({FEW_USERS})"),
+        ("products", "SELECT p_partkey AS product_id FROM part", "product_id = 42", f"product_id IN ({FEW_PRODUCTS})"),
+        ("stock_movements", MOVEMENTS, "product_id = 42", f"product_id IN ({FEW_PRODUCTS})"),
+        ("warehouse_snapshots", SQL["stock_snapshot"], "warehouse_id = 3 AND product_id = 42", None))
+    for read, where in (("rows", ""), ("rows_of_key", f" WHERE {one}"), ("rows_of_keys", f" WHERE {few}" if few else None))
+    if where is not None)
+
 SQL["index_predicates"] += f"""
 UNION ALL SELECT 'event_type_in', count(*) FROM events WHERE event_type IN ('click', 'purchase')
 UNION ALL SELECT 'country_eq', count(*) FROM events WHERE user_id % 3 = 1
