@@ -321,8 +321,43 @@ def test_threshold_keeps_the_recall_where_scores_are_low():
     y = np.arange(400) % 10 == 0
     net.logits = lambda x: logits[x]
     with pytest.warns(UserWarning, match="precision on held-out findings"):
-        net.calibrate(np.arange(400), y.astype(float), 0.98)
+        net.calibrate(logits, y.astype(float), np.ones(400, bool), 0.98)
     assert (net.scores(np.flatnonzero(y)) >= net.threshold).mean() >= 0.98
+    assert net.held_recall >= 0.98 and 0 < net.held_precision < 1
+    # findings as they stand in the texts keep the recall, too, where made-up copies score higher
+    easy = np.concatenate([logits, np.full(4000, 9.0)])
+    own = np.arange(4400) < 400
+    with pytest.warns(UserWarning, match="precision on held-out findings"):
+        net.calibrate(easy, np.concatenate([y, np.ones(4000)]).astype(float), own, 0.98)
+    assert net.held_recall >= 0.98 and (net.calibrated(logits[y]) >= net.threshold).mean() >= 0.98
+
+
+def test_training_sees_findings_as_scoring_does():
+    key = "0a1b2c3d4e5f6a7b" * 6
+    t = f'before it all, a token = "{key}" and after'
+    found = [f for f in secrets.labelled_findings(t) if f[3] == 1]
+    s = t.index(key)
+    seen, first = secrets.cut(found)
+    assert first[0] == 0 and seen[:(first + [len(seen)])[1]] == secrets.windows_of(t, s, s + len(key))
+    long = "x " + "f0" * 10_000 + " y"                  # a finding beyond the sample's bound
+    ((left, body, right, _),) = [f for f in secrets.labelled_findings(long) if f[3] == 1]
+    assert (left, body, right) == ("x ", "f0" * (secrets.FINDING // 2), "f0" * (secrets.RIGHT // 2))
+    full = secrets.windows_of(long, 2, len(long) - 2)
+    assert all(w in full for w in secrets.cut([(left, body, right, 1)])[0])
+
+
+def test_secret_spans_digest_equals_the_rules(spark):
+    texts = ['a token = "abcdefabcdef1234" b', None, "", "AKIA" + "Z9" * 8 + " 0123456789abcdef0 é password:0123456789abcdef",
+             'ſ api-key="abcdefghijkl" PASSWD=abcdefghijklm', "x" * 5_000 + " secret: " + "ab12" * 9]
+    rows = [(i % 5, t, "clash") for i, t in enumerate(texts)] + [(0, texts[0], None)]
+    got = {(r.doc_id, r.base_sha256): r for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, spans string"), None).collect()}
+    pats = (("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
+            ("access", "(AKIA[A-Z0-9]+)", 18), ("hex", "([0-9a-f]+)", 16))
+    for doc_id, t, _ in rows:
+        spans = [(m.start(), n, m.end(), k) for n, (k, p, least) in enumerate(pats) for m in re.finditer(p, t or "") if len(m[1]) >= least]
+        line = ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
+        r = got[(doc_id, hashlib.sha256(line.encode()).hexdigest())]
+        assert r.spans == line and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[3] == k for x in spans) for k, _, _ in pats)
 
 
 def test_rare_findings_of_all_documents_train_the_network(spark):
