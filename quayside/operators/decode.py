@@ -124,12 +124,16 @@ def _as_json(element: Column) -> Column:
     return F.to_json(element, {"ignoreNullFields": "false"})
 
 
+def _judged(responses: DataFrame, endpoint: str, *check) -> DataFrame:
+    """The responses of an endpoint with ``_why`` = NULL or the reason their body is rejected."""
+    answered = F.coalesce(F.col("status") == 200, F.lit(False))
+    return responses.filter(F.col("endpoint") == endpoint).withColumn(
+        "_why", F.when(~answered, F.lit("status_not_ok")).otherwise(body_violation(F.col("body"), *check)))
+
+
 def _split_bodies(responses: DataFrame, endpoint: str, top: str, fields: dict, list_path: str | None = None,
                   item_fields: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    r = responses.filter(F.col("endpoint") == endpoint)
-    answered = F.coalesce(F.col("status") == 200, F.lit(False))
-    r = r.withColumn("_why", F.when(~answered, F.lit("status_not_ok")).otherwise(
-        body_violation(F.col("body"), top, fields, list_path, item_fields)))
+    r = _judged(responses, endpoint, top, fields, list_path, item_fields)
     bad = _reject_rows(r.filter(F.col("_why").isNotNull()), F.col("_why"), F.lit(None), F.col("body"))
     return r.filter(F.col("_why").isNull()).drop("_why"), bad
 
@@ -143,17 +147,21 @@ TRADE_COLUMNS = ["symbol", "agg_trade_id", "price", "quantity", "first_trade_id"
                  "is_buyer_maker", "is_best_match", "fetched_at", "page_pos"]
 
 
-def trade_items(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """D02 core: every trade element of every accepted page, typed, with ``_why`` = NULL
-    for a good row or the reason it is quarantined; plus the rejected pages."""
-    ok, bad = _split_bodies(responses, "aggTrades", "[", {}, "$", TRADE_FIELDS)
-    items = ok.select("endpoint", "symbol", "fetched_at",
-                      F.posexplode(F.from_json("body", TRADE_JSON)).alias("page_pos", "t"))
-    flat = items.select("endpoint", "symbol", "fetched_at", "page_pos", F.col("t").alias("element"), "t.*").toDF(
-        "endpoint", "symbol", "fetched_at", "page_pos", "element", "a", "p", "q", "f", "l", "T", "buyer", "best")
+def trade_items(responses: DataFrame) -> DataFrame:
+    """D02 core, one pass over the pages: every trade element of every accepted page, typed, with
+    ``_why`` = NULL for a good row or the reason it is quarantined, and one row without
+    ``page_pos`` for every rejected page. ``raw`` is the whole text of what is rejected."""
+    r = _judged(responses, "aggTrades", "[", {}, "$", TRADE_FIELDS).withColumnRenamed("_why", "_page")
+    accepted = F.col("_page").isNull()
+    nothing = F.array(F.lit(None).cast(TRADE_JSON[len("array<"):-1]))
+    items = r.select("endpoint", "symbol", "fetched_at", "_page", F.when(~accepted, F.col("body")).alias("page_body"),
+                     F.posexplode(F.when(accepted, F.from_json("body", TRADE_JSON)).otherwise(nothing)).alias("page_pos", "t"))
+    flat = items.select("endpoint", "symbol", "fetched_at", "_page", "page_body", "page_pos", F.col("t").alias("element"), "t.*").toDF(
+        "endpoint", "symbol", "fetched_at", "_page", "page_body", "page_pos", "element", "a", "p", "q", "f", "l", "T", "buyer", "best")
     flat = flat.select(
-        "endpoint", "symbol", "fetched_at", "page_pos", "p", "q", "element",
-        zero_if_null(F.col("a"), 0).alias("agg_trade_id"),
+        "endpoint", "symbol", "fetched_at", "_page", "page_body", "p", "q", "element",
+        F.when(accepted, F.col("page_pos")).alias("page_pos"),
+        F.when(accepted, zero_if_null(F.col("a"), 0)).alias("agg_trade_id"),
         exact_decimal(F.col("p")).alias("price"),
         exact_decimal(F.col("q")).alias("quantity"),
         zero_if_null(F.col("f"), 0).alias("first_trade_id"),
@@ -161,22 +169,22 @@ def trade_items(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
         millis_to_ts(zero_if_null(F.col("T"), 0)).alias("trade_time"),
         zero_if_null(F.col("buyer"), False).alias("is_buyer_maker"),
         zero_if_null(F.col("best"), False).alias("is_best_match"))
-    why = (F.when(~(non_empty("p") & non_empty("q")), F.lit("empty_price_or_quantity"))
+    why = (F.when(~accepted, F.col("_page"))
+           .when(~(non_empty("p") & non_empty("q")), F.lit("empty_price_or_quantity"))
            .when(F.col("price").isNull() | F.col("quantity").isNull(), F.lit("bad_decimal")))
-    flat = flat.withColumn("_why", why)
-    return flat.withColumn("raw", F.when(F.col("_why").isNotNull(), _as_json(F.col("element")))).drop("element", "p", "q"), bad
+    raw = F.when(~accepted, F.col("page_body")).when(F.col("_why").isNotNull(), _as_json(F.col("element")))
+    return flat.withColumn("_why", why).withColumn("raw", raw).drop("element", "p", "q", "_page", "page_body")
 
 
-def split_trade_items(items: DataFrame, bad_pages: DataFrame) -> Decoded:
+def split_trade_items(items: DataFrame) -> Decoded:
     good = items.filter(F.col("_why").isNull()).select(*TRADE_COLUMNS)
-    row_bad = _reject_rows(items.filter(F.col("_why").isNotNull()), F.col("_why"), F.col("agg_trade_id"), F.col("raw"))
-    return Decoded(good, bad_pages.unionByName(row_bad))
+    return Decoded(good, _reject_rows(items.filter(F.col("_why").isNotNull()), F.col("_why"), F.col("agg_trade_id"), F.col("raw")))
 
 
 def decode_agg_trades(responses: DataFrame) -> Decoded:
     """Trade pages -> one row per trade. The symbol comes from the request row, not
     the body. Keys ``m`` and ``M`` differ only in case, so fields are taken by position."""
-    return split_trade_items(*trade_items(responses))
+    return split_trade_items(trade_items(responses))
 
 
 # --------------------------------------------------------------------------- D01 symbols

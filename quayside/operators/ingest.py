@@ -157,8 +157,15 @@ class RejectedBatch(ValueError):
 def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int = 0, monotone: bool = False,
                        strict_batch: bool = False, stream_id: str = "batch", retries: int = 3) -> dict:
     """Process one batch of trade-page responses. Returns the rows attempted and inserted.
+    Of trades with one key the first fetched is inserted; the rest is as in :func:`ingest_trade_items`."""
+    return ingest_trade_items(store, trade_items(responses), ("fetched_at", "page_pos"), batch_id, monotone, strict_batch, stream_id, retries)
 
-    The pages are decoded once: the typed items (good and quarantined) are staged as a
+
+def ingest_trade_items(store: TradeStore, items: DataFrame, order: tuple[str, ...], batch_id: int = 0, monotone: bool = False,
+                       strict_batch: bool = False, stream_id: str = "batch", retries: int = 3) -> dict:
+    """Insert decoded items (``decode.trade_items``); of those with one key the first by ``order``.
+
+    The typed items (good and quarantined, rejected pages too) are staged as a
     Parquet table under the shared checkpoint folder and every later step reads that
     copy. Marks advance over quarantined trades too, so a page whose rows are all invalid
     is not fetched again for ever (SURVEY Q4). With ``strict_batch`` one bad trade aborts the
@@ -167,18 +174,18 @@ def ingest_trade_pages(store: TradeStore, responses: DataFrame, batch_id: int =
     Quarantined rows and write counts are stored per (``stream_id``, ``batch_id``): a replay
     keeps those of the first run. If another writer commits meanwhile, the insert is worked
     out again on the newer version, up to ``retries`` times."""
-    items, bad_pages = trade_items(responses)
     items = stage(items.withColumn("ym", year_month(F.col("trade_time")))
-                  .withColumn("_ord", F.struct("fetched_at", "page_pos")), "trade-items")
-    if strict_batch and items.filter(F.col("_why").isNotNull()).limit(1).count() > 0:
+                  .withColumn("_ord", F.struct(*order)), "trade-items")
+    elements = items.filter(F.col("page_pos").isNotNull())   # without the rejected pages
+    if strict_batch and not elements.filter(F.col("_why").isNotNull()).isEmpty():
         raise RejectedBatch(f"batch {batch_id}: a trade failed to decode; nothing written")
-    dec = split_trade_items(items, bad_pages)
+    rejects = split_trade_items(items).rejects
     batch = items.filter(F.col("_why").isNull()).select(*TRADE_COLUMNS, "ym", "_ord")
-    marks = high_water_marks(items.select("symbol", "agg_trade_id", "trade_time"))
+    marks = high_water_marks(elements.select("symbol", "agg_trade_id", "trade_time"))
     for attempt in range(retries + 1):
         at = store.log.snapshot()
         try:
-            return store.insert(batch, "_ord", at, advance_marks(store.marks(at), marks, monotone=monotone), dec.rejects, stream_id, batch_id)
+            return store.insert(batch, "_ord", at, advance_marks(store.marks(at), marks, monotone=monotone), rejects, stream_id, batch_id)
         except CommitConflict:
             if attempt == retries:
                 raise

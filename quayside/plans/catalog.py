@@ -34,12 +34,13 @@ from ..session import scratch_dir
 from ..sources.tables import DRIVER_TABLES, ShardedTable, read_json, read_shards, table
 from ..streaming.events import decode_event_stream, events_to_json_files, file_messages, run_available
 from ..streaming.market import start_book_stream, start_ticker_stream
-from ..streaming.trades import response_stream, start_trade_stream
+from ..streaming.trades import response_stream, start_deduplicated_trade_stream, start_trade_stream, state_report
 from . import standins as si
 
 BOOK_DEPTH = 20         # fixed value: requested book depth of the reference
 TOP_LEVELS = 3          # levels a side that the top-of-book query reads (cuts books of 4 bids)
 SESSION_GAP_S = 8 * 3600
+REPEAT_FROM = "2024-01-20"   # pages fetched from then on are delivered twice
 
 
 # --------------------------------------------------------------------------- lake path
@@ -610,13 +611,46 @@ def stream_trades(spark: SparkSession, sf: str) -> DataFrame:
     pages.write.json(f"{src}/a")
     for sub in ("a", "b"):
         if sub == "b":
-            pages.filter(F.col("fetched_at") >= F.lit("2024-01-20").cast("timestamp_ntz")).write.json(f"{src}/b")
+            pages.filter(F.col("fetched_at") >= F.lit(REPEAT_FROM).cast("timestamp_ntz")).write.json(f"{src}/b")
         q = start_trade_stream(store, response_stream(spark, f"{src}/*"), ck,
                                trigger={"availableNow": True})
         run_available(q)
     return store.trades().select(*TRADE_OUT)
 
 
+def _deduplicated_runs(spark: SparkSession, sf: str):
+    """A store fed by the deduplicating stream: all pages, then a restart that meets the pages
+    of the last days again."""
+    src, ck = scratch_dir(spark, "seen-src"), scratch_dir(spark, "seen-ck")
+    store = TradeStore(spark, scratch_dir(spark, "seen-store"))
+    pages = si.trade_pages(spark, sf).drop("page_no")
+    pages.write.json(f"{src}/a")
+    runs = []
+    for sub in ("a", "b"):
+        if sub == "b":
+            pages.filter(F.col("fetched_at") >= F.lit(REPEAT_FROM).cast("timestamp_ntz")).write.json(f"{src}/b")
+        runs.append(start_deduplicated_trade_stream(store, response_stream(spark, f"{src}/*"), ck, trigger={"availableNow": True}))
+        run_available(runs[-1])
+    return store, runs
+
+
+def deduplicated_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """The trades that the deduplicating stream stored, across a restart."""
+    return _deduplicated_runs(spark, sf)[0].trades().select(*TRADE_OUT)
+
+
+def stream_state(spark: SparkSession, sf: str) -> DataFrame:
+    """What the deduplicating stream handed to the store and quarantined, per symbol, beside the
+    rows in its state and the repeats dropped there after the restart (one value each)."""
+    store, runs = _deduplicated_runs(spark, sf)
+    put = store.metrics().groupBy("symbol").agg(F.sum("attempted").alias("attempted"), F.sum("inserted").alias("inserted"))
+    bad = store.rejects().groupBy("symbol").agg(F.count(F.lit(1)).alias("rejected"))
+    state = state_report(runs[-1])
+    return put.join(bad, "symbol", "full").select(
+        "symbol", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("attempted", "inserted", "rejected")],
+        *[F.lit(state[c]).cast("bigint").alias(c) for c in ("state_rows", "repeats_dropped")])
+
+
 def ticker_append(spark: SparkSession, sf: str) -> DataFrame:
     """Decoded tickers appended twice (no dedup)."""
     path = scratch_dir(spark, "ticker")

