@@ -27,7 +27,7 @@ from ..schemas import EVENT_MESSAGE_FIELDS
 from ..session import stage
 
 RAW_PREFIX_BYTES = 500  # fixed value: bytes of a rejected body shown for inspection
-PARSER_LIMIT_BYTES = 16 << 20   # Spark's variants hold less than 16 MiB
+PARSER_STRING_CHARS = 20_000_000   # the JSON parser's longest string; shorter bodies are parsed whole, whatever they hold
 
 
 class Decoded(NamedTuple):
@@ -37,10 +37,8 @@ class Decoded(NamedTuple):
 
 # --------------------------------------------------------------------------- strict check
 
-def _type_ok(holder: Column, key: str, types: tuple[str, ...]) -> Column:
-    """The type found at ``$.key`` itself, so that a nested key of the same name does not
-    count. A type ending in ``<`` is a prefix (any element type); others must match whole."""
-    found = F.schema_of_variant(F.try_variant_get(holder, f"$.{key}", "variant"))
+def _found_ok(found: Column, types: tuple[str, ...]) -> Column:
+    """A type ending in ``<`` is a prefix (any element type); others must match whole."""
     ok = found.isNull() | found.isin("VOID", *[t for t in types if not t.endswith("<")])
     for t in types:
         if t.endswith("<"):
@@ -48,6 +46,11 @@ def _type_ok(holder: Column, key: str, types: tuple[str, ...]) -> Column:
     return ok
 
 
+def _type_ok(holder: Column, key: str, types: tuple[str, ...]) -> Column:
+    """The type found at ``$.key`` itself, so that a nested key of the same name does not count."""
+    return _found_ok(F.schema_of_variant(F.try_variant_get(holder, f"$.{key}", "variant")), types)
+
+
 def _fields_ok(holder: Column, fields: dict[str, tuple[str, ...]]) -> Column:
     """A JSON null, or an object whose known keys all have an expected type."""
     kind = F.schema_of_variant(holder)
@@ -77,6 +80,55 @@ def _surely_ok(shape: Column, fields: dict, list_path: str | None, item_fields:
     return ok
 
 
+def _large_body_violation(body: Column, fields: dict, list_path: str | None, item_fields: dict | None) -> Column:
+    """The strict check of a body that is too large for one variant, or holds a string that is: the
+    containers are read with their own types, list elements and scalar fields as variants, and unknown
+    keys of the body are passed over. ``body_over_parser_limit`` is left for a known value that the parser
+    cannot read. Of a key that the body itself repeats the last counts."""
+    if list_path == "$":
+        items = F.from_json(body, "array<variant>")
+        return _bind(items, lambda v: F.when(v.isNull(), F.when(_well_formed_list(body), F.lit("body_over_parser_limit")).otherwise(F.lit("malformed_json")))
+                     .when(~F.forall(v, lambda e: _fields_ok(e, item_fields)), F.lit("json_type_mismatch")))
+    lists = [k for k, types in fields.items() if all(t.startswith("ARRAY<") for t in types)]
+    inner = {k: tuple(t[len("ARRAY<"):].removesuffix(">") for t in fields[k]) for k in lists}
+    shape = ", ".join(f"`{k}` {'array<variant>' if k in lists else 'variant'}" for k in fields)
+
+    def judge(v: Column) -> Column:
+        ok = F.lit(True)
+        for k, types in fields.items():
+            if k not in lists:
+                ok = ok & _found_ok(F.schema_of_variant(v[k]), types)
+            elif list_path == f"$.{k}":
+                ok = ok & F.coalesce(F.forall(v[k], lambda e: _fields_ok(e, item_fields)), F.lit(True))
+            elif "" not in inner[k]:
+                ok = ok & F.coalesce(_elements_ok(v[k], inner[k]), F.lit(True))
+        return F.when(v["_corrupt_record"].isNotNull(), _why_unread(body, lists)).when(~ok, F.lit("json_type_mismatch"))
+
+    return _bind(F.from_json(body, f"{shape}, `_corrupt_record` string"), judge)
+
+
+def _elements_ok(items: Column, types: tuple[str, ...]) -> Column:
+    return F.forall(items, lambda e: _found_ok(F.schema_of_variant(e), types))
+
+
+def _well_formed_list(body: Column) -> Column:
+    return F.from_json(body, "array<struct<`_` string>>").isNotNull()   # passes over what the objects hold
+
+
+def _why_unread(body: Column, lists: list[str]) -> Column:
+    """Why an object was not read: broken text, something else where a list belongs, or one value too large."""
+    keys = F.from_json(body, ", ".join([f"`{k}` string" for k in lists] + ["`_corrupt_record` string"]))
+
+    def judge(t: Column) -> Column:
+        wrong = F.lit(False)
+        for k in lists:
+            wrong = wrong | F.coalesce(~t[k].startswith("["), F.lit(False))
+        return F.when(t["_corrupt_record"].isNull() & wrong, F.lit("json_type_mismatch")).otherwise(F.lit("body_over_parser_limit"))
+
+    passed_over = _bind(F.from_json(body, "`_` string, `_corrupt_record` string"), lambda t: t["_corrupt_record"].isNull())
+    return F.when(~passed_over, F.lit("malformed_json")).otherwise(_bind(keys, judge))
+
+
 def body_violation(body: Column, top: str, fields: dict[str, tuple[str, ...]], list_path: str | None = None,
                    item_fields: dict[str, tuple[str, ...]] | None = None) -> Column:
     """NULL when the body passes the strict check, else the reason. ``fields`` are keys of the
@@ -85,8 +137,8 @@ def body_violation(body: Column, top: str, fields: dict[str, tuple[str, ...]], l
     The parsed body is bound once through a one-element ``transform`` (a lambda
     variable), so it is parsed a single time however many keys are checked; a plain
     shared column would be inlined into every test by the optimizer. Bodies that the quick
-    test on the merged type does not settle are read key by key. A body that does not
-    parse and is longer than the parser's limit has its own reason: it may be valid."""
+    test on the merged type does not settle are read key by key. A body that may be too large
+    for one variant is read in parts if it does not parse whole."""
     first = F.regexp_extract(body, r"(?s)^\s*(.)", 1)
 
     def exact(v: Column) -> Column:
@@ -99,8 +151,8 @@ def body_violation(body: Column, top: str, fields: dict[str, tuple[str, ...]], l
     def judge(v: Column) -> Column:
         ok = _bind(F.schema_of_variant(v), lambda shape: F.when(
             _surely_ok(shape, fields, list_path, item_fields), F.lit(True)).otherwise(exact(v)))
-        return (F.when(v.isNull() & (F.octet_length(F.encode(body, "UTF-8")) >= PARSER_LIMIT_BYTES),
-                       F.lit("body_over_parser_limit"))
+        return (F.when(v.isNull() & (F.octet_length(F.encode(body, "UTF-8")) >= PARSER_STRING_CHARS),
+                       _large_body_violation(body, fields, list_path, item_fields))
                 .when(v.isNull(), F.lit("malformed_json")).when(~ok, F.lit("json_type_mismatch")))
 
     why = _bind(F.try_parse_json(body), judge)

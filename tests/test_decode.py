@@ -193,11 +193,36 @@ def test_nested_key_of_the_same_name_does_not_count(spark):
     assert rows(d.good, "agg_trade_id") == [(1,), (2,)] and rows(d.rejects, "symbol") == [("M",)]
 
 
-def test_body_over_the_parser_limit_is_named_and_kept(spark):
-    body = json.dumps({"lastUpdateId": 1, "bids": [["1", "2"]], "asks": [], "pad": "x" * (20 << 20)})
-    b = decode_order_book(responses(spark, [("depth", "L", 5, body)]))
-    assert b.headers.count() == 0
-    assert rows(b.rejects.select("reason", F.length("raw_text"))) == [("body_over_parser_limit", len(body))]
+LONG = "x" * 21_000_000   # more than the parser takes as one string
+
+
+def test_bodies_over_16_mib_decode(spark):
+    """Books whose bulk is an unknown key or the levels, a long trade page, a long symbol list."""
+    level = ["1.5", "2", "x" * 1000]
+    pad = json.dumps({"lastUpdateId": 1, "bids": [["1", "2"]], "asks": [None], "pad": LONG})
+    deep = json.dumps({"lastUpdateId": 2, "bids": [level] * 10_000, "asks": [level] * 10_000})
+    got = [decode_order_book(responses(spark, [("depth", "B", 5, body)])) for body in (pad, deep)]   # one body a job: a test JVM is small
+    assert [b.headers.first().last_update_id for b in got] == [1, 2] and [b.levels.count() for b in got] == [1, 20_000]
+    page = json.dumps([dict(trade(i), note="y" * 1000) for i in range(18_000)])
+    assert decode_agg_trades(responses(spark, [("aggTrades", "T", None, page)])).good.agg(F.count("price"), F.max("agg_trade_id")).first()[:] == (18_000, 17_999)
+    sym = {"symbol": "A", "status": "TRADING", "baseAsset": "a", "quoteAsset": "q", "baseAssetPrecision": 8, "quotePrecision": 9, "filters": [1]}
+    info = json.dumps({"symbols": [sym] * 100, "pad": LONG})
+    assert decode_symbols(responses(spark, [("exchangeInfo", None, None, info)])).good.count() == 100
+
+
+def test_faults_beside_an_overlong_string(spark):
+    """The reasons are those of small bodies; only an overlong known value has a reason of its own."""
+    good = {"lastUpdateId": 1, "bids": [["1", "2"]], "asks": [], "pad": LONG}
+    faults = {"level": {**good, "bids": [["1", 2]]}, "list": {**good, "asks": 5}, "id": {**good, "lastUpdateId": "1"}, "element": {**good, "asks": ["1"]}}
+    bodies = {k: json.dumps(v) for k, v in faults.items()} | {"cut": json.dumps(good)[:-1], "value": json.dumps({**good, "bids": [["1", LONG]], "pad": 0})}
+    want = dict.fromkeys(faults, "json_type_mismatch") | {"cut": "malformed_json", "value": "body_over_parser_limit"}
+    for k, body in bodies.items():
+        b = decode_order_book(responses(spark, [("depth", k, 5, body)]))
+        assert rows(b.rejects.select("reason", F.length("raw_text"))) == [(want[k], len(body))], k
+    page = json.dumps([dict(trade(1), note=LONG), trade(2)])
+    for k, body in {"cut": page[:-1], "whole": page}.items():
+        d = decode_agg_trades(responses(spark, [("aggTrades", k, None, body)]))
+        assert rows(d.rejects, "reason") == [("malformed_json" if k == "cut" else "body_over_parser_limit",)], k
 
 
 def test_reject_keeps_the_whole_element(spark):
