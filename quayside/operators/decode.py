@@ -314,19 +314,34 @@ def cut_levels(levels: DataFrame, depth: int) -> DataFrame:
     return levels.filter(F.col("level_index") < depth)
 
 
+def _books(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One parsed row per accepted book, and the rejected bodies."""
+    ok, bad = _split_bodies(responses, "depth", "{", BOOK_FIELDS)
+    no = F.col("response_no") if "response_no" in responses.columns else F.lit(0).cast("bigint")
+    book = ok.select("endpoint", "symbol", "depth", "fetched_at", no.alias("response_no"), F.from_json("body", BOOK_JSON).alias("b"))
+    return book.select(
+        "endpoint", "symbol", "depth", "fetched_at", "response_no",
+        zero_if_null(F.col("b.lastUpdateId"), 0).alias("last_update_id"),
+        F.col("b.bids").alias("bids"), F.col("b.asks").alias("asks")), bad
+
+
+def book_sizes(responses: DataFrame) -> DataFrame:
+    """One row per accepted book with the number of levels that ``decode_order_book`` gives for each
+    side (``bid``, ``ask``), counted inside the body: totals need neither the exploded levels nor a second parse."""
+    def levels(side: str) -> Column:
+        first = F.slice(F.filter(side, _usable), 1, MAX_LEVEL_INDEX + 1)
+        exact = F.filter(first, lambda e: exact_decimal(e[0]).isNotNull() & exact_decimal(e[1]).isNotNull())
+        return F.coalesce(F.size(exact), F.lit(0)).cast("bigint")
+    return _books(responses)[0].select("symbol", "last_update_id", levels("bids").alias("bid"), levels("asks").alias("ask"))
+
+
 def decode_order_book(responses: DataFrame) -> DecodedBook:
     """K10 header/detail from one decoded input: one header per response (kept even with
     0 levels) and all its usable levels, both carrying the hashed ``snapshot_id``. Level
     indexes are assigned after the drop of unusable entries, which go to the quarantine
     with their position in the body. Responses of :func:`numbered_responses` give every
     response an id of its own; without numbers a poll recorded twice shares one."""
-    ok, bad = _split_bodies(responses, "depth", "{", BOOK_FIELDS)
-    no = F.col("response_no") if "response_no" in responses.columns else F.lit(0).cast("bigint")
-    book = ok.select("endpoint", "symbol", "depth", "fetched_at", no.alias("response_no"), F.from_json("body", BOOK_JSON).alias("b"))
-    book = book.select(
-        "endpoint", "symbol", "depth", "fetched_at", "response_no",
-        zero_if_null(F.col("b.lastUpdateId"), 0).alias("last_update_id"),
-        F.col("b.bids").alias("bids"), F.col("b.asks").alias("asks"))
+    book, bad = _books(responses)
     book = book.withColumn("snapshot_id", snapshot_id(
         F.col("symbol"), F.col("last_update_id"), F.col("fetched_at"), F.col("depth"), F.col("response_no")))
     headers = book.select("snapshot_id", "symbol", "last_update_id", F.col("depth").alias("depth_level"),

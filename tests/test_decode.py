@@ -5,7 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from conftest import rows
-from quayside.operators.decode import (cut_levels, decode_agg_trades, decode_events, decode_order_book, decode_symbols,
+from quayside.operators.decode import (book_sizes, cut_levels, decode_agg_trades, decode_events, decode_order_book, decode_symbols,
                                         decode_ticker)
 from quayside.schemas import RESPONSE_DDL
 
@@ -244,6 +244,18 @@ def test_a_book_deeper_than_its_index_column(spark):
     assert b.rejects.count() == 33_000 - 32_768 and rows(b.rejects.select("reason").distinct()) == [("number_out_of_range",)]
 
 
+def test_book_sizes_count_what_decoding_gives(spark):
+    """Unusable, inexact and too deep levels, absent and null sides, an empty book, a rejected body."""
+    many = [[str(i + 1), "1"] for i in range(33_000)]
+    books = {"A": {"lastUpdateId": 1, "bids": [["1", "2"], ["", "2"], ["3"], None, ["x", "1"], ["1e400", "1"]], "asks": [["1", "2"], ["3", "4"]]},
+             "B": {"lastUpdateId": 2, "bids": [], "asks": None}, "C": {}, "D": {"lastUpdateId": "x"}, "E": {"lastUpdateId": 5, "bids": [["y", "1"]] + many}}
+    r = responses(spark, [("depth", k, 5, json.dumps(v)) for k, v in books.items()])
+    d, sizes = decode_order_book(r), rows(book_sizes(r), "symbol", "bid", "ask")
+    assert sizes == [("A", 1, 2), ("B", 0, 0), ("C", 0, 0), ("E", 32_767, 0)]
+    n = {tuple(x)[:2]: x[2] for x in d.levels.groupBy("symbol", "side").count().collect()}
+    assert sizes == [(h.symbol, n.get((h.symbol, "bid"), 0), n.get((h.symbol, "ask"), 0)) for h in d.headers.orderBy("symbol").collect()]
+
+
 def test_a_poll_recorded_twice_is_two_snapshots(spark):
     from quayside.operators.decode import numbered_responses
     body = json.dumps({"lastUpdateId": 1, "bids": [["1", "1"]], "asks": [["2", "1"]]})

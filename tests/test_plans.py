@@ -60,3 +60,9 @@ def test_trades_are_not_dealt_by_symbol_before_they_are_reduced(spark, name):
     assert "hashpartitioning(symbol" not in below
     if name == "incremental_page":
         assert "hashpartitioning(symbol" in p and "_salt" in p and p.count("WindowGroupLimit") == 4
+
+
+def test_the_quality_report_parses_every_book_once(spark):
+    """One scan of the table that the books are made of, and no exploded levels."""
+    p = plan_of(entry.queries()["quality_report"](spark, SF_SMALL))
+    assert p.count("lineitem.parquet") == 1 and "Generate posexplode(filter" not in p
