@@ -26,7 +26,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every found secret masked; n_chars follows the text."""
-    net = secrets.train(secrets.gather_findings(docs))
+    net = secrets.train_findings(secrets.finding_rows(docs))
     masked = secrets.mask_secrets(docs, net)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -368,6 +368,38 @@ def test_rare_findings_of_all_documents_train_the_network(spark):
         assert secrets.train([]) is None
 
 
+def test_every_finding_trains_or_calibrates_the_network(spark, monkeypatch):
+    i = F.col("id").cast("string")
+    text = F.concat(F.lit('token = "Zx9'), F.md5(i), F.lit('" '), *[F.concat(F.lit(f" {w} "), i) for w in ("harmlessidentifier", "someotherlongword", "yetanotherlongword")])
+    found = secrets.finding_rows(spark.range(3_500).select(F.col("id").alias("doc_id"), text.alias("text")))
+    assert {r.y: r["count"] for r in found.groupBy("y").count().collect()} == {0: 10_500, 1: 3_500}
+    calibrate, seen = secrets.CharCnn.calibrate, {}
+
+    def spied(self, f, y, own, recall, n=None):
+        seen.update({int(k): int(n[own & (y == k)].sum()) for k in (0, 1)})
+        calibrate(self, f, y, own, recall, n)
+    monkeypatch.setattr(secrets.CharCnn, "calibrate", spied)
+    monkeypatch.setattr(secrets, "SHARD", 4_000)
+    monkeypatch.setattr(secrets, "ROUNDS", 1)
+    net = secrets.train_findings(found)
+    held = "substring(md5(c), -1, 1) in ('0', '4', '8', 'c')"
+    assert seen == {r.y: r["count"] for r in found.where(held).groupBy("y").count().collect()} and net.held_recall >= 0.98
+    again = secrets.train_findings(found.repartition(7))   # wherever the rows lie
+    assert (net.weights() == again.weights()).all() and net.threshold == again.threshold
+
+
+def test_counted_calibration_equals_that_of_single_findings():
+    rng = np.random.default_rng(4)
+    f = np.floor(rng.normal(0, 2, 900) * 8) / 8
+    y, own = (f + rng.normal(0, 1, 900) > 1.5).astype(float), rng.random(900) < 0.4
+    plain, counted = (secrets.CharCnn.fresh(np.random.default_rng(1)) for _ in range(2))
+    plain.calibrate(f, y, own, 0.9)
+    (g, z, o), n = np.unique(np.stack([f, y, own]), axis=1, return_counts=True)
+    counted.calibrate(g, z, o.astype(bool), 0.9, n)
+    for c in ("scale", "shift", "threshold", "held_recall", "held_precision"):
+        assert getattr(plain, c) == pytest.approx(getattr(counted, c), rel=1e-9)
+
+
 def test_secrets_on_edge_rows(edge, none):
     rows = secrets.secret_spans(edge, None).collect()
     assert len(rows) == len(EDGE) and not any(r.spans for r in rows)
