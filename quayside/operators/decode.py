@@ -314,15 +314,27 @@ def cut_levels(levels: DataFrame, depth: int) -> DataFrame:
     return levels.filter(F.col("level_index") < depth)
 
 
-def _books(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One parsed row per accepted book, and the rejected bodies."""
-    ok, bad = _split_bodies(responses, "depth", "{", BOOK_FIELDS)
+def _parsed_books(responses: DataFrame) -> DataFrame:
+    """One row per book response: ``_why`` = NULL and the parsed book, or the reason and the rejected body."""
     no = F.col("response_no") if "response_no" in responses.columns else F.lit(0).cast("bigint")
-    book = ok.select("endpoint", "symbol", "depth", "fetched_at", no.alias("response_no"), F.from_json("body", BOOK_JSON).alias("b"))
+    r = _judged(responses, "depth", "{", BOOK_FIELDS).withColumn("response_no", no)
+    accepted = F.col("_why").isNull()
+    book = r.select("endpoint", "symbol", "depth", "fetched_at", "response_no", "_why", F.when(~accepted, F.col("body")).alias("body"),
+                    F.when(accepted, F.from_json("body", BOOK_JSON)).alias("b"))
     return book.select(
-        "endpoint", "symbol", "depth", "fetched_at", "response_no",
+        "endpoint", "symbol", "depth", "fetched_at", "response_no", "_why", "body",
         zero_if_null(F.col("b.lastUpdateId"), 0).alias("last_update_id"),
-        F.col("b.bids").alias("bids"), F.col("b.asks").alias("asks")), bad
+        F.col("b.bids").alias("bids"), F.col("b.asks").alias("asks"))
+
+
+def _split_books(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The accepted books, and the rejected bodies."""
+    bad = _reject_rows(parsed.filter(F.col("_why").isNotNull()), F.col("_why"), F.lit(None), F.col("body"))
+    return parsed.filter(F.col("_why").isNull()).drop("_why", "body"), bad
+
+
+def _books(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _split_books(_parsed_books(responses))
 
 
 def book_sizes(responses: DataFrame) -> DataFrame:
@@ -335,13 +347,18 @@ def book_sizes(responses: DataFrame) -> DataFrame:
     return _books(responses)[0].select("symbol", "last_update_id", levels("bids").alias("bid"), levels("asks").alias("ask"))
 
 
-def decode_order_book(responses: DataFrame) -> DecodedBook:
+def decode_order_book(responses: DataFrame, staged: str | None = None) -> DecodedBook:
     """K10 header/detail from one decoded input: one header per response (kept even with
     0 levels) and all its usable levels, both carrying the hashed ``snapshot_id``. Level
     indexes are assigned after the drop of unusable entries, which go to the quarantine
     with their position in the body. Responses of :func:`numbered_responses` give every
-    response an id of its own; without numbers a poll recorded twice shares one."""
-    book, bad = _books(responses)
+    response an id of its own; without numbers a poll recorded twice shares one. With ``staged``
+    (a name) responses are numbered here and their parsed books staged: a caller that writes all three
+    parts has every body judged and parsed once."""
+    if staged:
+        book, bad = _split_books(stage(_parsed_books(responses.withColumn("response_no", F.monotonically_increasing_id())), staged))
+    else:
+        book, bad = _books(responses)
     book = book.withColumn("snapshot_id", snapshot_id(
         F.col("symbol"), F.col("last_update_id"), F.col("fetched_at"), F.col("depth"), F.col("response_no")))
     headers = book.select("snapshot_id", "symbol", "last_update_id", F.col("depth").alias("depth_level"),
@@ -356,8 +373,9 @@ def decode_order_book(responses: DataFrame) -> DecodedBook:
                                F.posexplode("entries").alias("pos", "e")).filter(~_usable(F.col("e")))
     entry_bad = _reject_rows(unusable, F.lit("unusable_level"), F.concat_ws(":", "last_update_id", "side", "pos"),
                              F.coalesce(F.to_json("e"), F.lit("null")))
-    lv = lv.select("endpoint", "snapshot_id", "symbol", "last_update_id", "fetched_at", "side",
-                   "level_index", "e", exact_decimal(F.col("e")[0]).alias("price"), exact_decimal(F.col("e")[1]).alias("quantity"))
+    # generated, not projected: a filter on them is not pushed below, where it would work them out again
+    numbers = F.struct(exact_decimal(F.col("e")[0]).alias("price"), exact_decimal(F.col("e")[1]).alias("quantity"))
+    lv = lv.select("endpoint", "snapshot_id", "symbol", "last_update_id", "fetched_at", "side", "level_index", "e", F.inline(F.array(numbers)))
     why = (F.when(F.col("price").isNull() | F.col("quantity").isNull(), F.lit("bad_decimal"))
            .when(F.col("level_index") > MAX_LEVEL_INDEX, F.lit("number_out_of_range")))
     lv = lv.withColumn("_why", why)

@@ -17,10 +17,9 @@ def _start(responses: DataFrame, per_batch, checkpoint: str, trigger: dict | Non
 
 
 def _written(df: DataFrame, path: str, batch_id: int, stream_id: str) -> DataFrame:
-    """What a micro-batch stored in a table: its own partition, nothing is decoded again. A
-    batch without rows has no partition."""
-    stored = read_or_empty(df.sparkSession, path, "symbol string, stream_id string, batch_id int")
-    return stored.filter((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id))
+    """What a micro-batch stored in a table: its own partition, nothing is decoded again and no
+    other batch is listed. A batch without rows has no partition."""
+    return read_or_empty(df.sparkSession, f"{path}/stream_id={stream_id}/batch_id={batch_id}", "symbol string")
 
 
 def book_counts(headers: DataFrame, levels: DataFrame) -> DataFrame:
@@ -37,12 +36,12 @@ def ticker_counts(tickers: DataFrame) -> DataFrame:
 
 def start_book_stream(root: str, responses: DataFrame, checkpoint: str, trigger: dict | None = None):
     """Book responses -> snapshot headers + levels (+ quarantine), every 5 s by default.
-    The raw responses of a micro-batch are staged once, numbered; headers and levels decoded
-    from that copy share their ids. Written idempotently per batch id."""
+    The books of a micro-batch are numbered, parsed and staged in one pass; headers, levels and
+    rejects made from that copy share their ids. Written idempotently per batch id."""
     stream_id = stream_key(checkpoint)
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        book = decode_order_book(numbered_responses(df, "book-responses"))
+        book = decode_order_book(df, staged="books")
         write_header_detail(book.headers, book.levels, root, batch_id, stream_id)
         write_batch_partition(book.rejects, f"{root}/orderbook_rejects", batch_id, stream_id)
         counts = book_counts(*(_written(df, f"{root}/{t}", batch_id, stream_id) for t in ("orderbook_snapshots", "orderbook_levels")))

@@ -279,3 +279,16 @@ def test_a_message_cut_short_is_no_event(spark):
     assert rows(d.good, "event_id", "user_id") == [(3, 4)]
     assert sorted((r.reason, r.raw_text or "") for r in d.rejects.collect()) == sorted(
         [("malformed_json", t or "") for t in (texts[0], texts[2], "[1]", "", None)] + [("bad_number", texts[6])])
+
+
+def test_staged_books_are_parsed_once_and_equal_the_plain_ones(spark):
+    bodies = ['{"lastUpdateId": 7, "bids": [["1.5", "2"], ["", "1"], ["3"], ["x", "1"]], "asks": []}', '{"lastUpdateId": "7"}', "[", None,
+              '{"lastUpdateId": 8, "bids": null, "asks": [["2.25", "4"]]}']
+    df = responses(spark, [("depth", "A", 20, b) for b in bodies] + [("aggTrades", "A", 20, "[]")])
+    staged = decode_order_book(df, staged="books-test")
+    plain = decode_order_book(df.withColumn("response_no", F.monotonically_increasing_id()))
+    for a, b in zip(staged, plain):
+        assert a.columns == b.columns and sorted(map(str, a.drop("snapshot_id").collect())) == sorted(map(str, b.drop("snapshot_id").collect()))
+        plan = a._jdf.queryExecution().executedPlan().toString()
+        assert "parse_json" not in plan and "from_json" not in plan
+    assert [tuple(r) for r in staged.levels.join(staged.headers, "snapshot_id").select("price").collect()]
