@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import year_month
@@ -48,34 +48,38 @@ def balance_of(daily: DataFrame) -> DataFrame:
                                    F.max(F.when(F.col("inbound"), F.col("snapshot_date"))).alias("restocked"))
 
 
-def _same_key(prefix: str) -> Column:
-    return F.col(KEY[0]).eqNullSafe(F.col(f"{prefix}{KEY[0]}")) & F.col(KEY[1]).eqNullSafe(F.col(f"{prefix}{KEY[1]}"))
-
-
-def _named(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
-
-
 def running_rows(daily: DataFrame, stored: DataFrame, balance: DataFrame) -> DataFrame:
     """The snapshot rows of ``daily`` and ``stored`` together. ``stored`` holds all rows of its
     months and every later one, so a key's stock before them is its balance less their net;
-    what was restocked before them stands in the first of them, or else in the balance."""
-    inside = stored.groupBy(*KEY).agg(F.sum("net").alias("taken"), F.count(F.lit(1)).alias("held"),
-                                      F.min_by("restocked_before", F.struct("snapshot_date")).alias("first_before"))
-    start = balance.join(_named(inside, "i_"), _same_key("i_"), "left").select(
-        *[F.col(k).alias(f"s_{k}") for k in KEY], (F.col("net") - F.coalesce("i_taken", F.lit(0))).alias("s_net"),
-        F.when(F.col("i_held") > 0, F.col("i_first_before")).otherwise(F.col("restocked")).alias("s_restocked"))
-    cols = ["snapshot_date", *KEY, "net", "inbound"]
-    days = stored.select(*cols).unionByName(daily.select(*cols)).groupBy("snapshot_date", *KEY).agg(
-        F.sum("net").cast("bigint").alias("net"), F.bool_or("inbound").alias("inbound"))
-    w = Window.partitionBy(*KEY).orderBy("snapshot_date")
+    what was restocked before them stands in the first of them, or else in the balance.
+
+    Days, stored rows and balances (any number per key, with no merge before) meet in one shuffle
+    by key: the start of a key is a total over its rows, not a join."""
+    none = lambda t: F.lit(None).cast(t)
+    days = daily.select(*KEY, F.lit(0).alias("kind"), "snapshot_date", "net", "inbound", none("date").alias("before"))
+    held = stored.select(*KEY, F.lit(1).alias("kind"), "snapshot_date", "net", "inbound", F.col("restocked_before").alias("before"))
+    start = balance.select(*KEY, F.lit(2).alias("kind"), none("date").alias("snapshot_date"), "net", none("boolean").alias("inbound"), F.col("restocked").alias("before"))
+    rows = days.unionByName(held).unionByName(start).repartition(*[F.col(k) for k in KEY])
+    is_held, is_start = F.col("kind") == 1, F.col("kind") == 2
+    # one row per key and day, and one of the key's balances
+    per_day = rows.groupBy(*KEY, is_start.alias("balance"), "snapshot_date").agg(
+        F.sum("net").cast("bigint").alias("net"), F.bool_or("inbound").alias("inbound"),
+        F.sum(F.when(is_held, F.col("net"))).alias("held"), F.max(F.when(is_start, F.col("before"))).alias("start"),
+        F.max(is_held).alias("is_held"), F.max(F.when(is_held, F.col("before"))).alias("before"))
+    key = Window.partitionBy(*KEY)
+    w = key.orderBy(F.col("balance").desc(), "snapshot_date")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    restock = F.when(F.col("inbound"), F.col("snapshot_date"))
-    run = days.withColumns({"run": F.sum("net").over(upto), "r": F.max(restock).over(upto), "rb": F.max(restock).over(before)})
-    j = run.join(start, _same_key("s_"), "left")
-    return j.select("snapshot_date", *KEY, "net", "inbound", (F.coalesce("s_net", F.lit(0)) + F.col("run")).cast("bigint").alias("on_hand"),
-                    F.greatest("r", "s_restocked").alias("restocked"), F.greatest("rb", "s_restocked").alias("restocked_before"),
-                    F.coalesce(year_month(F.col("snapshot_date")), F.lit(NO_MONTH)).cast("int").alias("ym"))
+    day = ~F.col("balance")
+    first_held = F.struct("snapshot_date", "before")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    restock = F.when(day & F.col("inbound"), F.col("snapshot_date"))
+    run = per_day.withColumns({
+        "run": F.sum("net").over(upto), "taken": F.sum("held").over(whole), "r": F.max(restock).over(upto), "rb": F.max(restock).over(before),
+        "any_held": F.max("is_held").over(whole), "first": F.min(F.when(F.col("is_held"), first_held)).over(whole), "s_restocked": F.max("start").over(whole)}).where(day)
+    earlier = F.when(F.col("any_held"), F.col("first")["before"]).otherwise(F.col("s_restocked"))
+    return run.select("snapshot_date", *KEY, "net", F.col("inbound"), (F.col("run") - F.coalesce("taken", F.lit(0))).cast("bigint").alias("on_hand"),
+                      F.greatest("r", earlier).alias("restocked"), F.greatest("rb", earlier).alias("restocked_before"),
+                      F.coalesce(year_month(F.col("snapshot_date")), F.lit(NO_MONTH)).cast("int").alias("ym"))
 
 
 @dataclass
@@ -95,10 +99,19 @@ class StockSnapshots:
 
     def first_late_month(self, daily: DataFrame, balance: DataFrame) -> int | None:
         """The month of the earliest day in ``daily`` that is not after its key's last day; None
-        if none is. Movements without a time are late for every key that has stored rows."""
-        j = daily.join(_named(balance, "b_"), _same_key("b_"))
-        late = F.col("snapshot_date").isNull() | (F.col("snapshot_date") <= F.col("b_last_day"))
-        return j.where(late).agg(F.min(F.coalesce(year_month(F.col("snapshot_date")), F.lit(NO_MONTH))).alias("m")).first()["m"]
+        if none is. Movements without a time are late for every key that has stored rows. A batch
+        that begins after every stored day is told by two small totals; else a key's first day
+        meets the last of its balances (any number of them)."""
+        day, last = daily.agg(F.min("snapshot_date").alias("d"), F.count_if(F.col("snapshot_date").isNull()).alias("undated")), balance.agg(F.max("last_day").alias("d"), F.count(F.lit(1)).alias("n"))
+        new, old = day.first(), last.first()
+        if old["n"] == 0 or not new["undated"] and (new["d"] is None or old["d"] is None or new["d"] > old["d"]):
+            return None
+        none = F.lit(None).cast("date")
+        both = daily.select(*KEY, "snapshot_date", none.alias("last_day"), F.col("snapshot_date").isNull().alias("undated"), F.lit(False).alias("known")).unionByName(
+            balance.select(*KEY, none.alias("snapshot_date"), "last_day", F.lit(False).alias("undated"), F.lit(True).alias("known")))
+        keys = both.groupBy(*KEY).agg(F.min("snapshot_date").alias("d"), F.max("last_day").alias("last"), F.max("undated").alias("undated"), F.max("known").alias("known"))
+        late = F.when(F.col("undated"), F.lit(NO_MONTH)).when(F.col("d") <= F.col("last"), year_month(F.col("d")))
+        return keys.where("known").agg(F.min(late).alias("m")).first()["m"]
 
     def update(self, movements: DataFrame, batch_id: int, stream_id: str = "batch", retries: int = 3) -> bool:
         """Add a batch. False if this batch of the stream, or a later one, was added before."""
@@ -110,12 +123,12 @@ class StockSnapshots:
             at = log.snapshot()
             if int(at.slots(DONE).get(stream_id, -1)) >= batch_id:
                 return False
-            balance = self.balance(at)
+            balance = log.read(BALANCE, BALANCE_DDL, at)
             late = self.first_late_month(daily, balance)
             replaced = [] if late is None else [s for s in at.slots(ROWS) if int(s.split(".")[0]) >= late]
             rows = running_rows(daily, log.read(ROWS, ROWS_DDL, at, replaced), balance)
             slot, folder = log.new_folder(BALANCE)
-            write_layout(balance_of(daily), folder, sort_by=tuple(KEY))
+            write_layout(balance_of(daily), folder)   # always read whole: no order
             months = self._write_months(log, rows)
             try:
                 now = log.commit(at, remove={ROWS: replaced}, add={ROWS: months, BALANCE: {slot: folder}, DONE: {stream_id: str(batch_id)}})
@@ -147,7 +160,7 @@ class StockSnapshots:
         if len(at.slots(BALANCE)) < 2 and not many:
             return False
         slot, folder = log.new_folder(BALANCE)
-        write_layout(self.balance(at), folder, sort_by=tuple(KEY))
+        write_layout(self.balance(at), folder)
         months = self._write_months(log, log.read(ROWS, ROWS_DDL, at, many)) if many else {}
         try:
             log.commit(at, remove={ROWS: many, BALANCE: list(at.slots(BALANCE))}, add={ROWS: months, BALANCE: {slot: folder}})
@@ -164,9 +177,9 @@ class StockSnapshots:
         return out.select(*[F.col(f.name).cast(f.dataType) for f in TABLES["inventory.warehouse_snapshots"].schema.fields])
 
     def store(self, path: str) -> None:
-        """Write the table in its layout."""
+        """Write the table in its layout, which is that of the stored rows."""
         spec = TABLES["inventory.warehouse_snapshots"]
-        write_layout(self.table(), path, partition_by=spec.partition_by, sort_by=spec.sort_by, bloom=spec.bloom)
+        write_layout(self.table(), path, partition_by=spec.partition_by, sort_by=spec.sort_by, bloom=spec.bloom, dealt=True)
 
 
 def start_snapshot_stream(snapshots: StockSnapshots, movements: DataFrame, checkpoint: str, trigger: dict | None = None):

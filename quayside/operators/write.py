@@ -212,15 +212,16 @@ def add_month(df: DataFrame, ts_col: str, name: str = "ym") -> DataFrame:
 
 def write_layout(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (),
                  bloom: dict | None = None, mode: str = "overwrite", max_records_per_file: int | None = None,
-                 fmt: str = "parquet") -> None:
+                 fmt: str = "parquet", dealt: bool = False) -> None:
     """Month (or flag) partitions, rows sorted by the table's key inside each file.
 
     Range-partitioning on (partition columns, sort key) gives each task one contiguous
     key range: a big month is spread over many tasks (never one task per month), every
     file is sorted, and row-group min/max statistics prune key and time ranges. Bloom
-    filters are written for the columns in ``bloom`` (value = expected distinct count)."""
+    filters are written for the columns in ``bloom`` (value = expected distinct count).
+    ``dealt`` rows are read from files of this layout: they are sorted, not dealt again."""
     order = [*partition_by, *sort_by]
-    out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    out = (df if dealt else df.repartitionByRange(*order)).sortWithinPartitions(*order) if order else df
     # a full overwrite replaces all partitions, whatever the session's overwrite mode is
     w = out.write.mode(mode).format(fmt).option("partitionOverwriteMode", "static")
     if partition_by:

@@ -125,3 +125,17 @@ def test_a_lookup_reads_one_shard(spark):
     assert t.read().count() == 1
     t.write(df.limit(0), mode="append")
     assert t.read().count() == 1
+
+
+def test_rows_meet_their_balances_in_one_shuffle(spark):
+    from quayside.operators.snapshots import BALANCE_DDL, ROWS_DDL, balance_of, daily_net, running_rows
+    from quayside.session import stage
+    daily = stage(daily_net(movements(spark, range(0, 40))), "daily-test")
+    balance = spark.createDataFrame(stage(balance_of(daily), "balance-test").collect(), BALANCE_DDL)
+    out = running_rows(daily, spark.createDataFrame([], ROWS_DDL), balance)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    snaps = StockSnapshots(spark, scratch_dir(spark, "snaps-store"))
+    snaps.update(movements(spark, range(0, 100)), 0)
+    snaps.store(path := scratch_dir(spark, "snaps-stored"))
+    kept = spark.read.schema(TABLES["inventory.warehouse_snapshots"].ddl).parquet(path)
+    assert rows(kept) == rows(snaps.table())
