@@ -264,7 +264,8 @@ def stock_snapshot(movements: DataFrame, reserved: int = 0, reorder_point: int =
     daily = movements.groupBy(F.to_date("movement_timestamp").alias("snapshot_date"), "warehouse_id",
                               "product_id").agg(
         F.sum("quantity").alias("_net"), F.max(F.col("quantity") > 0).alias("_inbound"))
-    w = Window.partitionBy("warehouse_id", "product_id").orderBy("snapshot_date") \
+    # product first: Spark sorts on a prefix of the first column, and warehouses are few
+    w = Window.partitionBy("product_id", "warehouse_id").orderBy("snapshot_date") \
               .rowsBetween(Window.unboundedPreceding, 0)
     snap = daily.select(
         "snapshot_date", "warehouse_id", "product_id",

@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import year_month
 from ..schemas import TABLES, TableSpec
+from ..session import stage
 from .commit_log import CommitConflict, CommitLog, Snapshot  # noqa: F401
 
 
@@ -210,18 +212,73 @@ def add_month(df: DataFrame, ts_col: str, name: str = "ym") -> DataFrame:
     return df.withColumn(name, year_month(F.col(ts_col)))
 
 
+RANGE_ROWS = (250_000, 2_000_000)   # least and most rows that a task is dealt, as far as folders and keys allow
+
+
+def deal_folders(df: DataFrame, folders: list[str], sort_by: list[str], keys: DataFrame | None = None,
+                 rows: int | None = None) -> DataFrame:
+    """Rows dealt to tasks by folder (the values of ``folders``), those of a large folder by
+    ranges of the sort key too, and sorted in each task.
+
+    Range partitioning samples its whole input first, so all of a derived table is worked out
+    twice. Here folders are counted, and large ones sampled, on their columns and the sort key
+    alone. ``keys`` replaces ``df`` in this where its rows are unique by sort key: a cheaper
+    frame with the same (folder, sort key) values, repeats allowed. Counts and bounds only
+    choose a row's task, never whether it is written. A task gets about ``rows`` rows, by
+    default a few tasks for each core within ``RANGE_ROWS``."""
+    spark, seen, key = df.sparkSession, df if keys is None else keys, F.struct(*sort_by)
+
+    def same(plan: DataFrame) -> Column:
+        return reduce(Column.__and__, [F.col(c).eqNullSafe(plan[f"_of_{c}"]) for c in folders])
+
+    n = F.count(F.lit(1)) if keys is None else F.approx_count_distinct(F.xxhash64(*sort_by))
+    found = stage(seen.groupBy(*[F.col(c).alias(f"_of_{c}") for c in folders]).agg(n.alias("_n")), "folders")
+    names = [f"_of_{c}" for c in folders]
+    if rows is None:
+        total = found.agg(F.sum("_n")).first()[0] or 0
+        rows = min(max(total // (4 * spark.sparkContext.defaultParallelism), RANGE_ROWS[0]), RANGE_ROWS[1])
+    before = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)   # one row a folder
+    plan = found.select(*names, F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows).alias("_base"),
+                        F.greatest(F.ceil(F.col("_n") / rows), F.lit(1)).alias("_cuts"))
+    size = plan.agg(F.max(F.col("_base") + F.col("_cuts")).alias("tasks"), F.max("_cuts").alias("cuts")).first()
+    place, rest = F.lit(0), df
+    if (size["cuts"] or 1) > 1:
+        large, thin = plan.where("_cuts > 1"), max(1, rows // 64)   # 64 keys a range
+        some = seen.sample(1.0 / thin, seed=1) if keys is None else seen.where(F.pmod(F.xxhash64(*sort_by), F.lit(thin)) == 0)
+        some = some.join(F.broadcast(large), same(large)).select(*large.columns, key.alias("_key"))
+        some = some if keys is None else some.distinct()
+        bounds = some.groupBy(*names, "_cuts").agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
+        at = F.sequence(F.lit(1), F.col("_cuts").cast("int") - 1)
+        bounds = bounds.select(*[F.col(c).alias(c[4:]) for c in names], F.transform(
+            at, lambda i: F.get("_keys", F.floor(i * F.size("_keys") / F.col("_cuts")).cast("int"))).alias("_bounds"))
+        plan = stage(plan.join(F.broadcast(bounds), same(plan), "left").select(*plan.columns, "_bounds"), "folder-bounds")
+        # binary search: the number of bounds not above the row's key
+        steps = F.array(*[F.lit(1 << j) for j in reversed(range(int(size["cuts"]).bit_length()))])
+        place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+            (at + step <= F.size("_bounds")) & (F.get("_bounds", at + step - 1) <= F.col("_key")), at + step).otherwise(at))
+        place = F.when(F.col("_bounds").isNull(), 0).otherwise(place)
+        rest = df.withColumn("_key", key)
+    out = rest.join(F.broadcast(plan), same(plan), "left")
+    out = out.select(*df.columns, F.coalesce(F.col("_base") + place, F.lit(0)).cast("int").alias("_task"))
+    return out.repartitionById(size["tasks"] or 1, "_task").sortWithinPartitions(*folders, *sort_by).drop("_task")
+
+
 def write_layout(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (),
                  bloom: dict | None = None, mode: str = "overwrite", max_records_per_file: int | None = None,
-                 fmt: str = "parquet", dealt: bool = False) -> None:
+                 fmt: str = "parquet", dealt: bool = False, keys: DataFrame | None = None) -> None:
     """Month (or flag) partitions, rows sorted by the table's key inside each file.
 
     Range-partitioning on (partition columns, sort key) gives each task one contiguous
     key range: a big month is spread over many tasks (never one task per month), every
     file is sorted, and row-group min/max statistics prune key and time ranges. Bloom
     filters are written for the columns in ``bloom`` (value = expected distinct count).
-    ``dealt`` rows are read from files of this layout: they are sorted, not dealt again."""
+    ``dealt`` rows are read from files of this layout: they are sorted, not dealt again.
+    ``keys`` (see :func:`deal_folders`) spares a derived table from being worked out twice."""
     order = [*partition_by, *sort_by]
-    out = (df if dealt else df.repartitionByRange(*order)).sortWithinPartitions(*order) if order else df
+    if keys is not None:
+        out = deal_folders(df, list(partition_by), list(sort_by), keys)
+    else:
+        out = (df if dealt else df.repartitionByRange(*order)).sortWithinPartitions(*order) if order else df
     # a full overwrite replaces all partitions, whatever the session's overwrite mode is
     w = out.write.mode(mode).format(fmt).option("partitionOverwriteMode", "static")
     if partition_by:
@@ -356,7 +413,6 @@ def upsert_partitions(spark: SparkSession, path: str, batch: DataFrame, key: lis
     dynamic partition overwrite: untouched partitions are never read or rewritten.
     The key must determine the partition (e.g. a trade's month). Returns the partition
     values rewritten."""
-    from ..session import stage
     touched = [r[0] for r in batch.select(partition_col).distinct().collect()]   # a few months
     schema = batch.drop(ord_col).schema if ord_col else batch.schema
     for name, expr in (refresh or {}).items():

@@ -8,9 +8,11 @@ the read-back result.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
-from functools import reduce
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,17 +124,29 @@ INDEXES = {   # the model's skip indexes: column, kind, size
 }
 
 
-def _model_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The six tables of the warehouse model."""
-    events = si.user_events(spark, sf)
-    return {
-        "user_events": add_month(events, "event_timestamp"),
-        "daily_aggregates": add_month(daily_rollup(spark, sf), "dt"),
-        "session_facts": add_month(agg.gap_session_facts(events, SESSION_GAP_S), "started_at"),
-        "products": si.products(spark, sf),
-        "stock_movements": add_month(si.stock_movements(spark, sf), "movement_timestamp"),
-        "warehouse_snapshots": add_month(agg.stock_snapshot(si.stock_movements(spark, sf)), "snapshot_date"),
-    }
+def _model_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """One of the six tables of the warehouse model."""
+    if name == "user_events":
+        return add_month(si.user_events(spark, sf), "event_timestamp")
+    if name == "daily_aggregates":
+        return add_month(daily_rollup(spark, sf), "dt")
+    if name == "session_facts":
+        return add_month(agg.gap_session_facts(si.user_events(spark, sf), SESSION_GAP_S), "started_at")
+    if name == "products":
+        return si.products(spark, sf)
+    if name == "stock_movements":
+        return add_month(si.stock_movements(spark, sf), "movement_timestamp")
+    return add_month(agg.stock_snapshot(si.stock_movements(spark, sf)), "snapshot_date")
+
+
+STORED_FIRST = ("daily_aggregates", "session_facts")   # much smaller than their events, and read twice when they are dealt
+
+
+def _model_keys(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Snapshots have one row per (day, warehouse, product) with a movement: their keys are
+    known from the movements alone."""
+    day = F.to_date("movement_timestamp").alias("snapshot_date")
+    return {"warehouse_snapshots": add_month(si.stock_movements(spark, sf).select(day, "warehouse_id", "product_id"), "snapshot_date")}
 
 
 def _spec(name: str):
@@ -142,12 +156,12 @@ def _spec(name: str):
 def index_predicates(spark: SparkSession, sf: str) -> DataFrame:
     """Every index-shaped predicate over tables written in their layouts with a skip
     index beside them, as counts per predicate; files are chosen on the index first."""
-    data = _model_tables(spark, sf)
-    roots = {}
-    for name, df in data.items():
-        spec = _spec(name)
+    keys, roots = _model_keys(spark, sf), {}
+    for name in INDEXES:
+        spec, df = _spec(name), _model_table(spark, sf, name)
+        df = stage(df, name) if name in STORED_FIRST else df
         roots[name] = scratch_dir(spark, name)
-        write_layout(df, roots[name], partition_by=spec.partition_by, sort_by=spec.sort_by, bloom=spec.bloom)
+        write_layout(df, roots[name], partition_by=spec.partition_by, sort_by=spec.sort_by, bloom=spec.bloom, keys=keys.get(name))
         build_skip_index(spark, roots[name], f"{roots[name]}_index", INDEXES[name])
     price = [Decimal(950), Decimal(1500)]
     asked = [
@@ -198,17 +212,23 @@ SHARD_KEYS = {   # key of each sharded table, and the key that is looked up
 def sharded_tables(spark: SparkSession, sf: str) -> DataFrame:
     """K17 + S07 for all six tables of the model: dealt to 2 shards by key; rows of the facade,
     rows of one key (one shard is read), and rows of the keys of small accounts or products."""
-    counts = []
     some = {"user_id": table(spark, sf, "events").where("user_id < 5").select("user_id"),
             "product_id": table(spark, sf, "part").where("p_size = 1").select(F.col("p_partkey").alias("product_id"))}
-    for name, df in _model_tables(spark, sf).items():
-        key, value = SHARD_KEYS[name]
+    keys = _model_keys(spark, sf)
+
+    def counted(name: str) -> list[DataFrame]:
+        (key, value), df = SHARD_KEYS[name], _model_table(spark, sf, name)
         t = ShardedTable(spark, scratch_dir(spark, f"sharded-{name}"), _spec(name), key, 2)
-        t.write(df)
+        t.write(stage(df, name) if name in STORED_FIRST else df, keys=keys.get(name))
         asked = {"rows": t.read(), "rows_of_key": t.lookup(*value)}
         if key[0] in some:
             asked["rows_of_keys"] = t.join_keys(some[key[0]])
-        counts += [p.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), F.lit(k).alias("read"), "n") for k, p in asked.items()]
+        return [p.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), F.lit(k).alias("read"), "n") for k, p in asked.items()]
+
+    # the tables do not depend on each other: while one is counted or committed, or on its last tasks, others run
+    with ThreadPoolExecutor(len(SHARD_KEYS)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(partial(counted, name))) for name in SHARD_KEYS]
+        counts = [c for job in jobs for c in job.result()]
     return reduce(DataFrame.unionByName, counts)
 
 

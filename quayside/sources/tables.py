@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.write import deal_folders
 from ..schemas import TableSpec
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -52,11 +53,12 @@ class ShardedTable:
     key: tuple[str, ...]
     n_shards: int
 
-    def write(self, df: DataFrame, mode: str = "overwrite") -> None:
+    def write(self, df: DataFrame, mode: str = "overwrite", keys: DataFrame | None = None) -> None:
         """Replace all shards (or append to them), each sorted by the table's sort key. Files
-        are dealt by (shard, partition, sort key): a hot shard or month is many tasks' work."""
-        order = ["shard", *self.spec.partition_by, *self.spec.sort_by]
-        out = df.withColumn("shard", shard_of([F.col(c) for c in self.key], self.n_shards)).repartitionByRange(*order).sortWithinPartitions(*order)
+        are dealt by (shard, partition, sort key): a hot shard or month is many tasks' work.
+        ``keys``: a cheaper frame with the keys of a derived ``df`` (see ``deal_folders``)."""
+        df, keys = [x and x.withColumn("shard", shard_of([F.col(c) for c in self.key], self.n_shards)) for x in (df, keys)]
+        out = deal_folders(df, ["shard", *self.spec.partition_by], list(self.spec.sort_by), keys)
         w = out.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("shard", *self.spec.partition_by)
         for col, ndv in self.spec.bloom.items():
             w = w.option(f"parquet.bloom.filter.enabled#{col}", "true").option(f"parquet.bloom.filter.expected.ndv#{col}", str(ndv))

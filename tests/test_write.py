@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
 from quayside.operators.ingest import TradeStore, ingest_trade_pages
-from quayside.operators.write import (VersionedTable, advance_marks, bootstrap, high_water_marks, insert_ignore,
+from quayside.operators.write import (VersionedTable, add_month, advance_marks, bootstrap, high_water_marks, insert_ignore,
                                       keep_first, keep_last, upsert, write_layout)
 from quayside.plans import standins as si
 from quayside.schemas import RESPONSE_DDL, TABLES
@@ -252,3 +252,42 @@ def test_empty_shard_is_readable(spark):
     from quayside.sources.tables import read_shards
     paths = write_shards(spark.createDataFrame([(1,)], "x int"), scratch_dir(spark, "few"), ["x"], 4)
     assert read_shards(spark, paths).count() == 1
+
+
+def test_large_folders_are_dealt_by_ranges_of_their_key(spark):
+    from quayside.operators.write import deal_folders
+    keys = [(202401 if i % 10 else None, None if i == 50 else i, f"v{i}") for i in range(3000)] + [(202402, 7, "few")]
+    df = spark.createDataFrame(keys, "ym int, k int, v string")
+    for given in (None, df.select("ym", "k").unionByName(df.select("ym", "k"))):
+        dealt = deal_folders(df, ["ym"], ["k"], given, rows=100).withColumn("task", F.spark_partition_id())
+        got = [tuple(r) for r in dealt.collect()]
+        assert sorted((r[:3] for r in got), key=str) == sorted(keys, key=str)
+        for ym in (None, 202401):   # the ranges of a folder do not overlap, each in its order
+            spans = {}
+            for m, k, _, task in got:
+                if m == ym:
+                    spans.setdefault(task, []).append(-1 if k is None else k)
+            assert len(spans) > 1 and all(s == sorted(s) for s in spans.values())
+            ends = sorted((s[0], s[-1]) for s in spans.values())
+            assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+    assert deal_folders(df.limit(0), ["ym"], ["k"]).count() == 0
+
+
+def test_a_derived_table_is_worked_out_once_when_it_is_dealt(spark):
+    from quayside.schemas import TABLES
+    from quayside.sources.tables import ShardedTable
+    worked = spark.sparkContext.accumulator(0)
+
+    def seen(n):
+        worked.add(1)
+        return n
+
+    days = spark.range(200).selectExpr("date'2024-01-01' + cast(id % 40 as int) as snapshot_date", "cast(id % 3 as int) as warehouse_id",
+                                       "id as product_id")
+    days = add_month(days, "snapshot_date")
+    t = ShardedTable(spark, scratch_dir(spark, "shards-once"), TABLES["inventory.warehouse_snapshots"], ("warehouse_id", "product_id"), 2)
+    t.write(days.withColumn("quantity_on_hand", F.udf(seen, "bigint")("product_id")), keys=days)
+    assert worked.value == 200
+    assert t.read().count() == 200 and t.lookup(1, 1).count() == 1
+    t.write(days.withColumn("quantity_on_hand", F.udf(seen, "bigint")("product_id")))   # without keys: only the key's columns are passed twice
+    assert worked.value == 400
